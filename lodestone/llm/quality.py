@@ -116,8 +116,8 @@ x AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id
 y AS (SELECT doc_id, len(t) AS n_chars, len(ws) AS n_words,
   len(array_to_string(ws, '')) AS word_chars,
   len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
-  len(list_filter(ls, l -> regexp_matches(l, '{WORD}'))) - len(list_distinct(list_filter(ls, l -> regexp_matches(l, '{WORD}')))) AS n_dup_lines,
-  len(array_to_string(list_filter(ls, l -> NOT regexp_matches(l, '{WORD}') OR (
+  len(list_filter(ls, lambda l: regexp_matches(l, '{WORD}'))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '{WORD}')))) AS n_dup_lines,
+  len(array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '{WORD}') OR (
     regexp_matches(l, '{CLOSING.replace("'", "''")}')
     AND NOT (len(regexp_extract_all(l, '{SEPARATORS}')) >= 2 AND len(regexp_extract_all(l, '{SEPARATORS}')) * 4 >= len(regexp_extract_all(l, '{WORD}')))
     AND NOT len(regexp_extract_all(l, '{SYMBOLS}')) * 10 > len(regexp_extract_all(l, '{WORD}'))
