@@ -215,7 +215,7 @@ def pair_codes(joined: DataFrame, base: dict[int, int], n_ids: int, bits: int, m
     return written(joined.mapInArrow(send, sent_ddl).groupBy("shard").applyInArrow(answer, "shard int, block long, codes binary, table binary"), "codes")
 
 
-def score(docs: DataFrame, held: Column, mu: float = 50.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column, mu: float = 500.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows where ``held`` is not true and scores all rows. Columns: RESULT."""
     texts = tokenised(docs, held, id_col, text_col)
     size = texts.agg(F.sum("size")).first()[0] or 0

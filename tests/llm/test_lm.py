@@ -42,7 +42,7 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int").repartition(4)
     out = lm.score_held_out(docs).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    got, expected = sorted(map(tuple, out), key=key), sorted(brute(rows, 50.0), key=key)
+    got, expected = sorted(map(tuple, out), key=key), sorted(brute(rows, 500.0), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in expected]
     for g, e in zip(got, expected):
         assert abs(g[5] - e[5]) < 1e-6 * max(1, abs(e[5]))
