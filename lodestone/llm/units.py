@@ -32,17 +32,22 @@ class SpaceSplit:
         self.cache = BoundedCache()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        heads, cut = self._cut(texts, self.encode_all, self.cache)
         cache = self.cache
+        return [x if units is None else x + b"".join([cache[u] for u in units]) for x, units in zip(heads, cut, strict=True)]
+
+    @staticmethod
+    def _cut(texts: list[str], encode_all, cache: BoundedCache):
+        """What each whole text or first unit gives, and the text's other units (None for a whole text), all of them cached."""
         cache.make_room()
         cut = [None if _ENTANGLED.search(t) else t.split(" ") for t in texts]
         fresh = list(set().union(*(units[1:] for units in cut if units is not None)).difference(cache))
-        whole = [i for i, units in enumerate(cut) if units is None]
-        heads = [i for i, units in enumerate(cut) if units is not None]
-        ids = self.encode_all([" " + u for u in fresh] + [texts[i] for i in whole] + [cut[i][0] for i in heads])
-        cache.update(zip(fresh, ids))
-        out: list[bytes] = [b""] * len(texts)
-        for i, x in zip(whole, ids[len(fresh) :]):
-            out[i] = x
-        for i, x in zip(heads, ids[len(fresh) + len(whole) :]):
-            out[i] = x + b"".join([cache[u] for u in cut[i][1:]])
-        return out
+        out = encode_all([" " + u for u in fresh] + [t if units is None else units[0] for t, units in zip(texts, cut, strict=True)])
+        cache.update(zip(fresh, out))
+        return out[len(fresh) :], [units and units[1:] for units in cut]
+
+    @classmethod
+    def summed(cls, texts: list[str], count_all, cache: BoundedCache) -> list[tuple]:
+        """As for encoding, but for tuples of numbers that add up."""
+        heads, cut = cls._cut(texts, count_all, cache)
+        return [x if not units else tuple(map(sum, zip(x, *[cache[u] for u in units], strict=True))) for x, units in zip(heads, cut, strict=True)]
