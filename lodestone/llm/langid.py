@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.shared import documents, small_batches, text_bytes
+from lodestone.llm.shared import small_batches, text_bytes
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
@@ -237,28 +238,29 @@ def label_spans(model: Model, column: pa.Array) -> list[list[tuple[str, int]]]:
     return out
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, n_spans."""
+def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The carried columns, lang_pred, score, n_spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*carry, F.coalesce(text_col, F.lit("")).alias("text to read"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())])
 
     def run(batches):
         for b in small_batches(batches, 4096, 4 << 20):
-            column = b.column(1)
-            rows = []
+            column = b.column(b.num_columns - 1)
+            out = []
             for text, spans in zip(column.to_pylist(), label_spans(shared.value, column), strict=True):
                 if not spans or not has_letter(text):
-                    # letters outside the byte classes of words cannot be: every letter is ASCII or above 127
-                    rows.append((UNDETERMINED, 0.0, 0))
+                    out.append((UNDETERMINED, 0.0, 0))
                     continue
                 sizes: dict[str, int] = {}
                 for lang, size in spans:
                     sizes[lang] = sizes.get(lang, 0) + size
                 lang = min(sizes, key=lambda x: (-sizes[x], x))
-                rows.append((lang, sizes[lang] / sum(sizes.values()), len(spans)))
-            pred, score, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score), pa.array(n, pa.int32())], names=["doc_id", "lang_pred", "score", "n_spans"])
+                out.append((lang, sizes[lang] / sum(sizes.values()), len(spans)))
+            pred, score, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred), pa.array(score), pa.array(n, pa.int32())], names=schema.names)
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans int")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out_remainder(id_col: str = "doc_id"):
@@ -266,8 +268,9 @@ def held_out_remainder(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def identify_held_out(docs: DataFrame) -> DataFrame:
-    """Learns from rows whose remainder is not 1 and predicts for all rows; a null doc_id is learned from and not held out."""
+def identify_held_out(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Learns from rows whose remainder is not 1 and predicts for all rows; a null doc_id is learned from and not held out.
+    The carried columns (doc_id among them), held_out, lang_pred, score, n_spans."""
     held = F.coalesce(held_out_remainder() == 1, F.lit(False))
     model = train(docs.where(~held))
-    return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_spans")
+    return identify(docs, model, carry).select(*carry, held.alias("held_out"), "lang_pred", "score", "n_spans")

@@ -84,15 +84,15 @@ def line_passes(line: Column) -> Column:
     return empty | (closed & ~bar & ~noisy & ~F.lower(line).rlike(BOILERPLATE))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """doc_id, the measures of the base rules, cleaned text, lost characters, and the verdict."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
+def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """The carried columns, the measures of the base rules, cleaned text, lost characters, and the verdict."""
+    carried = F.struct(*(F.col(c) for c in carry)).alias("carried")
+    rows = docs.select(carried, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("carried", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     with_word = F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE)) != "")
     n = F.size("words").cast("long")
     rows = rows.select(
-        "doc_id",
+        "carried",
         n.alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -103,7 +103,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost = F.col("n_chars") - F.length("cleaned")
-    return rows.withColumns({"lost_chars": lost.cast("long"), "base_failed": failed, "kept": ~failed & (100 * lost <= max_lost_percent * F.col("n_chars"))})
+    kept = ~failed & (100 * lost <= max_lost_percent * F.col("n_chars"))
+    return rows.select("carried.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned", lost.cast("long").alias("lost_chars"), failed.alias("base_failed"), kept.alias("kept"))
 
 
 ORACLE = rf"""

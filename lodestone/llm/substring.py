@@ -96,7 +96,8 @@ def covered(words: np.ndarray, place: np.ndarray, hit: np.ndarray, window: int)
 def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The carried columns, n_words, n_removed, kept (the words left, joined by one space) and repeats: (start, end) in words
     of each maximal run of repeated windows."""
-    blocks = to_blocks(docs.select(*carry, text_col), text_col=text_col)
+    docs = docs.withColumn(text_col, F.coalesce(text_col, F.lit("")))
+    blocks = to_blocks(docs.select(*dict.fromkeys([*carry, text_col])), text_col=text_col)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bits = max(MIN_GROUP_BITS, (size // GROUP_BYTES).bit_length())
     answers = written(repeated_paths(blocks, window, bits, text_col), "bits")
