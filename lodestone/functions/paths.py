@@ -182,8 +182,8 @@ def best_of_srcset(srcset: str | None) -> str:
 
     best, top = "", -1.0
     for address, descriptor in parse_srcset(srcset or ""):
-        wide, dense = re.search(r"(\d+(?:\.\d+)?)w\b", descriptor), re.search(r"(\d+(?:\.\d+)?)x\b", descriptor)
-        value = float(wide[1]) if wide else float(dense[1]) * 1e-3 if dense else 1e-3
+        m = re.fullmatch(r"(\d+(?:\.\d+)?)([wx])", descriptor, re.I)
+        value = 1e-3 if m is None else float(m[1]) * (1.0 if m[2] in "wW" else 1e-3)
         if value > top:
             best, top = address, value
     return best
