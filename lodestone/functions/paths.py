@@ -101,7 +101,7 @@ def apply_template(values: dict[str, Column], template: str = TEMPLATE) -> Colum
         named = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(sanitize_segment(F.concat(last, F.lit("."), e))))
         return F.when(F.size(parts) == 0, "media/file").otherwise(F.array_join(F.when(missing, named).otherwise(parts), "/"))
 
-    parts = F.transform(F.filter(F.transform(F.split(expanded, "/"), F.trim), lambda s: ~s.isin("", ".", "..")), sanitize_segment)
+    parts = F.transform(F.filter(F.transform(F.split(expanded, "/"), lambda s: F.trim(s)), lambda s: ~s.isin("", ".", "..")), lambda s: sanitize_segment(s))
     return let(F.struct(parts.alias("parts"), ext.alias("ext")), build)
 
 

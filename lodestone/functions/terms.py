@@ -44,7 +44,7 @@ def has_hash_signal(token: Column) -> Column:
 def strip_dynamic_classes(classes: Column, counts: Column | None = None) -> Column:
     """The class names that tell something, lower-cased and sorted. With a count, rare and random names go; without, names
     that look generated."""
-    tokens = F.filter(F.transform(F.coalesce(classes, array_of([])), F.trim), lambda t: t.isNotNull() & (t != "") & ~t.rlike(K.STATE_CLASS))
+    tokens = F.filter(F.transform(F.coalesce(classes, array_of([])), lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != "") & ~t.rlike(K.STATE_CLASS))
 
     def dynamic(t: Column) -> Column:
         if counts is None:

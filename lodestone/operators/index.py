@@ -144,9 +144,10 @@ def capped(items: DataFrame, most: int = K.MAX_ITEMS_PER_TAB, data_budget: int =
     """The first ``most`` items of each tab, in order of first sight, with id and ``truncated``. data: keys beyond the tab's
     budget are refused as they come: a refused one takes nothing of it, so a later, smaller one may fit."""
     data = items.where(M.is_data(F.col("normalized_url"))).groupBy("tab_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", F.length("normalized_url").alias("size")))).alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
+    kind = items.schema["first_seq"].dataType.simpleString()
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))
     fits = lambda a, x: a["used"] + x["size"] <= data_budget
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["size"]).cast("long").alias("used"), F.concat(a["kept"], F.array(x["first_seq"].cast("long"))).alias("kept"))).otherwise(a)
+    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["size"]).cast("long").alias("used"), F.concat(a["kept"], F.array(x["first_seq"])).alias("kept"))).otherwise(a)
     kept = data.select("tab_id", F.explode(F.aggregate("all", zero, step)["kept"]).alias("first_seq"))
     is_data = M.is_data(F.col("normalized_url"))
     fitting = items.where(~is_data).unionByName(items.where(is_data).join(kept, ["tab_id", "first_seq"], "left_semi"))

@@ -26,28 +26,28 @@ def with_features(items: DataFrame, **columns: str) -> DataFrame:
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.join(b, (F.col("a.tab_id") == F.col("b.tab_id")) & (F.col("a.seq") < F.col("b.seq")) & on)
+    return a.join(b, (F.col("l.tab_id") == F.col("r.tab_id")) & (F.col("l.seq") < F.col("r.seq")) & on)
 
 
 def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b."""
-    a, b = items.alias("a"), items.alias("b")
-    bare = (F.col("a.f.pattern.bare") == F.col("b.f.pattern.bare")) & (F.col("a.f.pattern.bare") != "")
-    domain = (T._domain(F.col("a.f.pattern")) == T._domain(F.col("b.f.pattern"))) & (F.col("a.f.pattern.host") != "") & (F.col("b.f.pattern.host") != "")
+    a, b = items.alias("l"), items.alias("r")
+    bare = (F.col("l.f.pattern.bare") == F.col("r.f.pattern.bare")) & (F.col("l.f.pattern.bare") != "")
+    domain = (T._domain(F.col("l.f.pattern")) == T._domain(F.col("r.f.pattern"))) & (F.col("l.f.pattern.host") != "") & (F.col("r.f.pattern.host") != "")
     if threshold > 0.7425:
         joined = _pairs(a, b, bare)
     elif threshold > 0.6725:
         joined = _pairs(a, b, domain)
     elif threshold >= 0.62:
         start = lambda f: F.slice(F.col(f"{f}.f.root"), 1, 2)
-        alike = (F.col("a.f.top") == F.col("b.f.top")) & (F.col("a.f.top") != "") & (start("a") == start("b")) & (F.size(start("a")) > 0)
-        sized = (F.col("a.f.width") > 0) & (F.col("b.f.width") > 0)
+        alike = (F.col("l.f.top") == F.col("r.f.top")) & (F.col("l.f.top") != "") & (start("l") == start("r")) & (F.size(start("l")) > 0)
+        sized = (F.col("l.f.width") > 0) & (F.col("r.f.width") > 0)
         joined = _pairs(a, b, domain).unionAll(_pairs(a, b, alike & sized & ~domain))
     else:
         joined = _pairs(a, b, F.lit(True))
     scored = joined.select(
-        F.col("a.tab_id").alias("tab_id"), F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.seq").alias("a_seq"), F.col("b.seq").alias("b_seq"),
-        T.explain(F.col("a.f"), F.col("b.f")).alias("t"),
+        F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"),
+        T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
     )
     return scored.select("tab_id", "a", "b", "a_seq", "b_seq", "t.*").where(F.col("total") >= threshold)
 

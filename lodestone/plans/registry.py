@@ -1,14 +1,519 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""Queries over the driver's tables and their SQL twins, named after the inventory's operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone import constants as K
+from lodestone.functions import media as M
+from lodestone.functions import paths as X
+from lodestone.functions import policy as P
+from lodestone.functions import upgrades as G
+from lodestone.functions import url as U
+from lodestone.operators import crawl, downloads, index, similarity, upgrades
+from lodestone.plans import views as V
+from lodestone.sources import dom, har, manifests, network, payloads
+from lodestone.streaming import tabs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def _list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _alternatives(words) -> str:
+    return "(" + "|".join(words) + ")"
+
+
+# ---------------------------------------------------------------- SQL pieces of the twins (URLs of the views are absolute and plain)
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+_PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_QUERY = "regexp_extract(url, '\\?([^#]*)', 1)"
+_BARE = f"regexp_replace({_HOST}, '^(www[0-9]*|m|mobile|amp)\\.', '')"
+_LABELS = f"string_split({_BARE}, '.')"
+_DOMAIN = f"""CASE WHEN len({_LABELS}) <= 2 THEN {_BARE}
+  WHEN {_LABELS}[-2] IN ({_list(K.SECOND_LEVEL)}) THEN array_to_string({_LABELS}[-3:], '.') ELSE array_to_string({_LABELS}[-2:], '.') END"""
+_NORMAL = f"""concat(regexp_extract(url, '^https?://[^/?#]+', 0),
+  CASE WHEN {_PATH} = '' THEN '/' WHEN length({_PATH}) > 1 THEN regexp_replace({_PATH}, '/$', '') ELSE {_PATH} END,
+  CASE WHEN {_QUERY} = '' THEN '' ELSE (
+    SELECT CASE WHEN q = '' OR q IS NULL THEN '' ELSE concat('?', q) END FROM (SELECT array_to_string(list_sort(
+      list_filter(list_transform(string_split({_QUERY}, '&'), lambda p: concat(lower(split_part(p, '=', 1)), '=', split_part(p, '=', 2))),
+        lambda p: NOT (p LIKE 'utm\\_%' ESCAPE '\\' OR p LIKE '\\_%' ESCAPE '\\' OR split_part(p, '=', 1) IN ({_list(K.TRACKING_KEYS)})))), '&') AS q)) END)"""
+_EXT = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([a-z0-9]+)$', 1)"
+_KIND = f"CASE WHEN {_EXT} IN ({_list(K.STREAM_EXT)}) THEN 'stream' WHEN {_EXT} IN ({_list(K.IMAGE_EXT)}) THEN 'image' WHEN {_EXT} IN ({_list(K.VIDEO_EXT)}) THEN 'video' WHEN {_EXT} IN ({_list(K.AUDIO_EXT)}) THEN 'audio' ELSE '' END"
+#: file name and directory of a candidate's shape: the directory's year is all digits
+_DIR = f"regexp_replace(regexp_replace({_PATH}, '/[^/]*$', ''), '/[0-9]+', '/*', 'g')"
+_FILE = f"regexp_replace(regexp_extract({_PATH}, '[^/]*$', 0), '\\.[^.]*$', '')"
+_GENERIC = f"concat(regexp_replace(lower({_FILE}), '[0-9]+', '#', 'g'), '.', {_EXT})"
+_TOKENS = f"list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[-/_.]+'), lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, '^[0-9a-f]{{8,}}$')))"
+
+
+# ---------------------------------------------------------------- URLs
+
+
+@query("u2_normalize_url", f"SELECT page_id, url, {_NORMAL} AS normalized_url FROM pages")
+def u2_normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", "url", U.normalize_url(F.col("url")).alias("normalized_url"))
+
+
+@query("u4_hosts", f"SELECT page_id, {_BARE} AS bare, {_DOMAIN} AS domain FROM pages")
+def u4_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = U.parse(F.col("url"))["host"]
+    return V.table(spark, sf_dir, "pages").select("page_id", U.bare_host(host).alias("bare"), U.registrable_domain(host).alias("domain"))
+
+
+@query(
+    "u8_pattern_of",
+    f"""SELECT item_seq, {_HOST} AS host, {_DIR} AS dir, {_GENERIC} AS file, {_EXT} AS ext, concat({_DIR}, '/', {_GENERIC}) AS pattern, len({_TOKENS}) AS n_tokens,
+  CASE WHEN url LIKE '%?w=800&h=600' THEN 'h=600&w=800' ELSE '' END AS size_key FROM ({V.DUCK_CANDIDATES})""",
+)
+def u8_pattern_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.candidates(spark, sf_dir).select("item_seq", U.pattern_of(F.col("url")).alias("p"))
+    return rows.select("item_seq", "p.host", "p.dir", "p.file", "p.ext", "p.pattern", F.size(F.array_distinct("p.tokens")).alias("n_tokens"), F.col("p.sizeKey").alias("size_key"))
+
+
+@query(
+    "u2_domain_patterns",
+    f"""SELECT domain, count(*) AS pages, count(DISTINCT normalized_url) AS addresses FROM (SELECT {_DOMAIN} AS domain, {_NORMAL} AS normalized_url FROM pages) GROUP BY domain""",
+)
+def u2_domain_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.table(spark, sf_dir, "pages").select(U.registrable_domain(U.parse(F.col("url"))["host"]).alias("domain"), U.normalize_url(F.col("url")).alias("normalized_url"))
+    return rows.groupBy("domain").agg(F.count("*").alias("pages"), F.count_distinct("normalized_url").alias("addresses"))
+
+
+@query(
+    "u12_expiry",
+    f"SELECT item_seq, url LIKE '%?token=%' AS expiring, CAST(NULL AS BIGINT) AS expires_at FROM ({V.DUCK_CANDIDATES})",
+)
+def u12_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.candidates(spark, sf_dir).select("item_seq", U.expiry(F.col("url"), F.lit(1_700_000_000_000)).alias("x")).select("item_seq", "x.expiring", "x.expires_at")
+
+
+# ---------------------------------------------------------------- media
+
+
+@query("m5_classify", f"SELECT item_seq, {_EXT} AS ext, {_KIND} AS kind FROM ({V.DUCK_CANDIDATES})")
+def m5_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.candidates(spark, sf_dir).select("item_seq", M.ext_of(F.col("url")).alias("ext"), M.classify(F.col("url"), F.col("mime_type")).alias("kind"))
+
+
+@query(
+    "m6_looks_like_media",
+    f"SELECT item_seq, NOT {_EXT} = 'html' AS media FROM ({V.DUCK_CANDIDATES})",
+)
+def m6_looks_like_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.candidates(spark, sf_dir).select("item_seq", M.looks_like_media(F.col("url")).alias("media"))
+
+
+@query(
+    "sel4_rejection",
+    f"SELECT item_seq, CASE WHEN bytes < 95000 AND greatest(width, height) > 0 AND bytes % 1024 < 1024 AND (bytes - 90000) < {K.PIXEL_MAX_BYTES} AND greatest(width, height) / 16 <= {K.PIXEL_MAX_SIDE} THEN 'tracking-pixel' ELSE '' END AS reason FROM ({V.DUCK_CANDIDATES})",
+)
+def sel4_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.candidates(spark, sf_dir)
+    return rows.select("item_seq", M.rejection_reason(F.col("url"), F.col("width") / 16, F.col("height") / 16, F.col("bytes") - 90_000).alias("reason"))
+
+
+# ---------------------------------------------------------------- the index
+
+_SEEN = f"""SELECT *, {_NORMAL} AS normalized_url, CASE WHEN mime_type = 'image/jpeg' THEN 'image' ELSE {_KIND} END AS found_kind,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM ({V.DUCK_SIGHTINGS})"""
+_MERGED = f"""
+WITH s AS ({_SEEN}), ok AS (SELECT * FROM s WHERE found_kind <> ''),
+g AS (SELECT tab_id, normalized_url, min(seq) AS first_seq, arg_min(url, seq) AS url, arg_min(found_kind, seq) AS kind, arg_min(mime_type, seq) FILTER (WHERE mime_type <> '') AS mime_type,
+  max(width) AS width, max(height) AS height, arg_min(bytes, seq) FILTER (WHERE bytes IS NOT NULL) AS bytes, count(*) AS sightings,
+  list_distinct(list(source)) AS srcs, list_distinct(list(status)) AS sts, array_to_string(list_transform(list_sort(list_filter([
+    struct_pack(q := min(seq) FILTER (WHERE source = 'dom'), s := 'dom'), struct_pack(q := min(seq) FILTER (WHERE source = 'net'), s := 'net'),
+    struct_pack(q := min(seq) FILTER (WHERE source = 'main'), s := 'main'), struct_pack(q := min(seq) FILTER (WHERE source = 'har'), s := 'har')], lambda x: x.q IS NOT NULL)), lambda x: x.s), '+') AS sources
+  FROM ok GROUP BY tab_id, normalized_url),
+m AS (SELECT *, CASE WHEN sightings = 1 THEN sts[1] WHEN list_contains(sts, 'confirmed') OR (list_contains(srcs, 'dom') AND len(srcs) > 1) THEN 'confirmed'
+  WHEN list_has_any(srcs, ['net', 'main', 'har']) THEN 'background' WHEN list_contains(sts, 'unavailable') THEN 'unavailable' ELSE 'referenced' END AS status FROM g)
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.merge(index.accepted(index.prepared(V.sightings(spark, sf_dir))))
+
+
+@query("agg1_merge_index", _MERGED + "SELECT tab_id, normalized_url, url, kind, mime_type, width, height, bytes, sources, status, sightings FROM m")
+def agg1_merge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("tab_id", "normalized_url", "url", "kind", "mime_type", "width", "height", "bytes", F.array_join("sources", "+").alias("sources"), "status", "sightings")
+
+
+@query(
+    "agg4_batch_counters",
+    f"SELECT tab_id, count(DISTINCT CASE WHEN found_kind <> '' THEN normalized_url END) AS added, count(*) FILTER (WHERE found_kind <> '') - count(DISTINCT CASE WHEN found_kind <> '' THEN normalized_url END) AS updated, 0 AS rejected FROM ({_SEEN}) GROUP BY tab_id",
+)
+def agg4_batch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.counters(index.prepared(V.sightings(spark, sf_dir)))
+
+
+@query(
+    "ord1_display_order",
+    _MERGED
+    + f""", n AS (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY first_seq) AS place, count(*) OVER (PARTITION BY tab_id) AS every FROM m)
+SELECT tab_id, normalized_url, concat(tab_id, '-', place) AS id, every > {K.MAX_ITEMS_PER_TAB} AS truncated, row_number() OVER (PARTITION BY tab_id ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'background' THEN 1 WHEN 'referenced' THEN 2 WHEN 'protected' THEN 3 WHEN 'unavailable' THEN 4 ELSE 9 END, first_seq) AS display
+FROM n WHERE place <= {K.MAX_ITEMS_PER_TAB}""",
+)
+def ord1_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.display_order(index.capped(_merged(spark, sf_dir))).select("tab_id", "normalized_url", "id", "truncated", "display")
+
+
+@query("agg11_totals", _MERGED + "SELECT tab_id, count(*) AS items, sum(coalesce(bytes, 0)) AS bytes FROM m GROUP BY tab_id")
+def agg11_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.totals(_merged(spark, sf_dir))
+
+
+@query(
+    "sel7_panel_filter",
+    _MERGED + "SELECT tab_id, normalized_url FROM m WHERE kind IN ('image', 'video') AND status = 'confirmed' AND greatest(width, height) >= 100 AND coalesce(bytes, 0) >= 89 * 1024 AND lower(url) LIKE '%shop-a%'",
+)
+def sel7_panel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.filtered(_merged(spark, sf_dir), ["image", "video"], True, 100, 89, " Shop-A ").select("tab_id", "normalized_url")
+
+
+# ---------------------------------------------------------------- similarity
+
+_FEATURES = f"""SELECT item_seq, tab_id, width, height, bytes, {_HOST} AS host, {_BARE} AS bare, {_DOMAIN} AS domain, {_DIR} AS dir, {_EXT} AS ext, concat({_DIR}, '/', {_GENERIC}) AS pattern, {_TOKENS} AS tokens, {_KIND} AS kind FROM ({V.DUCK_CANDIDATES})"""
+_SCORED = f"""
+WITH RECURSIVE f AS ({_FEATURES}), t AS (SELECT a.tab_id, a.item_seq AS a, b.item_seq AS b,
+  CASE WHEN a.bare = b.bare AND a.pattern = b.pattern THEN 1.0::DOUBLE WHEN a.bare = b.bare AND a.ext = b.ext AND a.dir = b.dir THEN 0.75 WHEN a.bare = b.bare AND a.ext = b.ext THEN 0.4
+    ELSE least(0.35, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))::DOUBLE) END AS url,
+  CASE WHEN a.width > 0 AND b.width > 0 THEN 0.5 * (least(a.width * a.height, b.width * b.height)::DOUBLE / greatest(a.width * a.height, b.width * b.height))
+    + 0.5 * (1 - least(abs(a.width::DOUBLE / a.height - b.width::DOUBLE / b.height) / greatest(a.width::DOUBLE / a.height, b.width::DOUBLE / b.height), 1.0)) ELSE 0.5 END AS dimension,
+  CASE WHEN a.kind = '' OR b.kind = '' THEN 0.0::DOUBLE WHEN a.ext = b.ext THEN 1.0 WHEN a.kind = b.kind THEN 0.6 ELSE 0.0 END AS type,
+  CASE WHEN a.bare = b.bare THEN 1.0::DOUBLE WHEN a.domain = b.domain THEN 0.7 ELSE 0.0 END AS host
+  FROM f a JOIN f b ON a.tab_id = b.tab_id AND a.item_seq < b.item_seq),
+p AS (SELECT *, 0.35::DOUBLE * url + 0.25::DOUBLE * 0.5 + 0.2::DOUBLE * dimension + 0.1::DOUBLE * type + 0.1::DOUBLE * host AS total FROM t)
+"""
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.with_features(V.candidates(spark, sf_dir))
+
+
+@query("t11_score_pairs", _SCORED + "SELECT tab_id, a, b, round(total, 6) AS total FROM p WHERE total >= 0.80")
+def t11_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pairs(_featured(spark, sf_dir), K.PRESETS["strict"]).select("tab_id", "a", "b", F.round("total", 6).alias("total"))
+
+
+@query("j3_balanced_pairs", _SCORED + "SELECT tab_id, count(*) AS pairs, round(sum(total), 4) AS total FROM p WHERE total >= 0.62 GROUP BY tab_id")
+def j3_balanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pairs(_featured(spark, sf_dir)).groupBy("tab_id").agg(F.count("*").alias("pairs"), F.round(F.sum("total"), 4).alias("total"))
+
+
+_COMPONENTS = ", e AS (SELECT tab_id, a AS x, b AS y FROM p WHERE total >= 0.80 UNION ALL SELECT tab_id, b, a FROM p WHERE total >= 0.80), r AS (SELECT tab_id, item_seq AS n, item_seq AS m FROM f UNION SELECT r.tab_id, e.y, r.m FROM r JOIN e ON e.tab_id = r.tab_id AND e.x = r.n AND e.y > r.m), c AS (SELECT tab_id, n, min(m) AS root FROM r GROUP BY tab_id, n)"
+
+
+@query(
+    "agg5_cluster",
+    _SCORED + _COMPONENTS + ", z AS (SELECT tab_id, root, count(*) AS size FROM c GROUP BY tab_id, root), k AS (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY size DESC, root) - 1 AS cluster_id FROM z) SELECT c.tab_id, c.n AS item, k.cluster_id, k.size AS cluster_size FROM c JOIN k ON c.tab_id = k.tab_id AND c.root = k.root",
+)
+def agg5_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.cluster(_featured(spark, sf_dir), K.PRESETS["strict"], limit=None).select("tab_id", "item", "cluster_id", "cluster_size")
+
+
+_DESCRIBED = f"""
+WITH f AS ({_FEATURES}), r AS (SELECT tab_id, source, f.* EXCLUDE (tab_id), concat(host, pattern) AS address, CASE WHEN width > 0 AND height > 0 THEN concat(width, 'x', height) END AS dims FROM f JOIN (SELECT item_seq AS i, source FROM ({V.DUCK_CANDIDATES})) s ON s.i = f.item_seq),
+k AS (SELECT tab_id, source, arg_max(kind, (n, -first)) AS kind, max(n) AS kn FROM (SELECT tab_id, source, CASE WHEN kind = '' THEN 'file' ELSE kind END AS kind, count(*) AS n, min(item_seq) AS first FROM r GROUP BY ALL) GROUP BY ALL),
+d AS (SELECT tab_id, source, arg_max(dims, (n, -first)) AS dims, max(n) AS dn FROM (SELECT tab_id, source, dims, count(*) AS n, min(item_seq) AS first FROM r WHERE dims IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT tab_id, source, arg_max(address, (n, -first)) AS pattern FROM (SELECT tab_id, source, address, count(*) AS n, min(item_seq) AS first FROM r GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT tab_id, source, count(*) AS n, sum(bytes) AS bytes, count(dims) AS sized FROM r GROUP BY ALL)
+SELECT t.tab_id, t.source, t.n AS count, k.kind, CASE WHEN d.dn * 2 > t.n THEN d.dims END AS dimensions, a.pattern, t.bytes::DOUBLE AS bytes,
+  concat(t.n, ' ', CASE WHEN k.kn = t.n THEN concat(k.kind, 's') ELSE 'items' END, CASE WHEN d.dn * 2 > t.n THEN concat(' · ', d.dims) WHEN t.sized > 0 THEN ' · mixed sizes' ELSE '' END, ' · ', a.pattern) AS label
+FROM t JOIN k USING (tab_id, source) LEFT JOIN d USING (tab_id, source) JOIN a USING (tab_id, source)
+"""
+
+
+@query("agg6_describe_group", _DESCRIBED)
+def agg6_describe_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.describe(_featured(spark, sf_dir), ("tab_id", "source"))
+
+
+@query(
+    "j5_select_similar",
+    _SCORED + ", s AS (SELECT tab_id, min(item_seq) AS seed FROM f GROUP BY tab_id) SELECT s.tab_id, p.b AS item, round(p.total, 6) AS score FROM p JOIN s ON s.tab_id = p.tab_id AND s.seed = p.a WHERE p.total >= 0.62 UNION ALL SELECT tab_id, seed, 1.0 FROM s",
+)
+def j5_select_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _featured(spark, sf_dir)
+    first = items.groupBy("tab_id").agg(F.min("item").alias("item"))
+    return similarity.select_similar(items.join(first, ["tab_id", "item"], "left_semi"), items).select("tab_id", "item", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- upgrades
+
+_UP = f"""
+WITH c AS (SELECT *, {_KIND} AS kind, regexp_extract(url, '^[^?]*/', 0) AS folder, regexp_extract(url, '^[^?]*/([^/?]*)', 1) AS name, regexp_extract(url, '\\?.*$', 0) AS q FROM ({V.DUCK_CANDIDATES})),
+w AS (SELECT *, list_filter([CASE WHEN item_seq % 3 = 0 THEN concat(folder, replace(name, '-150x150', ''), q) END], lambda x: x IS NOT NULL) AS wp,
+  CASE WHEN folder LIKE '%/media/small/%' THEN [replace(url, '/small/', '/large/'), replace(url, '/small/', '/original/'), replace(url, '/small/', '/full/'), replace(url, '/small/', '/')]
+    WHEN folder LIKE '%/media/medium/%' THEN [replace(url, '/medium/', '/large/'), replace(url, '/medium/', '/original/'), replace(url, '/medium/', '/full/'), replace(url, '/medium/', '/')] ELSE [] END AS dirs,
+  CASE WHEN q = '?w=800&h=600' THEN [concat(folder, name)] ELSE [] END AS bare FROM c),
+u AS (SELECT item_seq, tab_id, bytes, kind, list_concat(list_concat(wp, dirs), bare)[1:6] AS cs FROM w),
+x AS (SELECT item_seq, tab_id, bytes, kind, unnest(cs) AS candidate, unnest(range(len(cs))) AS pos FROM u)
+"""
+
+
+def _probes(rows: DataFrame) -> DataFrame:
+    """What a check of each candidate would answer: by its place and item some fail, some are too small, some no media."""
+    n = F.col("item") + F.col("pos")
+    rows = rows.select(F.col("candidate").alias("url"), (n % 4 != 0).alias("ok"), F.when(n % 5 == 0, F.col("bytes") - 1).otherwise(F.col("bytes") * 4).alias("bytes"), F.when(n % 7 == 0, "text/html").otherwise("image/jpeg").alias("mime_type"))
+    return rows.groupBy("url").agg(F.bool_or("ok").alias("ok"), F.max("bytes").alias("bytes"), F.min("mime_type").alias("mime_type"))
+
+
+@query("g11_upgrade_candidates", _UP + "SELECT item_seq, pos, candidate FROM x")
+def g11_upgrade_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.candidates(spark, sf_dir)
+    return rows.select("item_seq", F.posexplode(F.slice(G.candidates(F.col("url")), 1, K.MAX_UPGRADE_CANDIDATES)).alias("pos", "c")).select("item_seq", "pos", F.col("c.url").alias("candidate"))
+
+
+@query(
+    "j7_verified_upgrades",
+    _UP
+    + """, y AS (SELECT * FROM x WHERE kind <> 'stream'), b AS (SELECT candidate AS url, bool_or((item_seq + pos) % 4 <> 0) AS ok, max(CASE WHEN (item_seq + pos) % 5 = 0 THEN bytes - 1 ELSE bytes * 4 END) AS pb, min(CASE WHEN (item_seq + pos) % 7 = 0 THEN 'text/html' ELSE 'image/jpeg' END) AS mt FROM y GROUP BY candidate),
+g AS (SELECT y.item_seq, arg_min(candidate, pos) AS upgrade_url, arg_min(pb, pos) AS upgrade_bytes FROM y JOIN b ON b.url = y.candidate WHERE ok AND mt = 'image/jpeg' AND pb >= bytes GROUP BY y.item_seq)
+SELECT w.tab_id, w.item_seq AS item, upgrade_url, upgrade_bytes, upgrade_url IS NOT NULL AS upgrade_verified FROM w LEFT JOIN g ON g.item_seq = w.item_seq WHERE kind <> 'stream'""",
+)
+def j7_verified_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _classified(spark, sf_dir)
+    found = upgrades.verified(items, _probes(upgrades.exploded(items)))
+    return found.select("tab_id", "item", "upgrade_url", "upgrade_bytes", "upgrade_verified")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.candidates(spark, sf_dir)
+    return rows.withColumns({"kind": M.classify(F.col("url"), F.col("mime_type")), "status": F.lit("background")})
+
+
+@query("j8_collapse")
+def j8_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _classified(spark, sf_dir).withColumns({"first_seq": F.col("seq"), "sources": F.array("source")})
+    found = upgrades.verified(items, _probes(upgrades.exploded(items)))
+    return upgrades.collapse(items.join(found, ["tab_id", "item"], "left").withColumn("upgrade_verified", F.coalesce("upgrade_verified", F.lit(False)))).select("tab_id", "item", "effective_url", "merged_duplicates", "upgrade_bytes")
+
+
+# ---------------------------------------------------------------- crawl
+
+_RISK = _alternatives(K.RISK_WORDS)
+_LINKS = f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')) AS anchor, unnest(range(len(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')))) AS pos FROM pages),
+h AS (SELECT page_id, url, pos, replace(regexp_extract(anchor, 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_replace(regexp_extract(anchor, '(?is)<a\\b[^>]*>(.*?)</a', 1), '<[^>]*>', '', 'g'), '&amp;', '&') AS text FROM a),
+l AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY pos) AS n FROM h WHERE href <> ''),
+v AS (SELECT page_id, url, pos, href, text, CASE WHEN regexp_matches(lower(text), '{_RISK}') THEN 'reads as transactional or destructive'
+  WHEN regexp_matches(regexp_replace(lower(href), '[-_/?&=:+%]+', ' ', 'g'), '{_RISK}') THEN 'address reads as transactional or destructive' ELSE 'same origin' END AS reason FROM l WHERE n = 1)
+"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.links(V.table(spark, sf_dir, "pages"))
+
+
+@query("e5_should_follow", _LINKS + "SELECT page_id, pos, href, reason = 'same origin' AS follow, reason FROM v")
+def e5_should_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _links(spark, sf_dir)
+    return rows.select("page_id", "pos", "href", P.should_follow(F.col("href"), F.col("url"), P.element(rows.columns)).alias("v")).select("page_id", "pos", "href", "v.follow", "v.reason")
+
+
+def _address_tokens(address: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({address}), '[-/_.?&=:]+'), lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, '^[0-9a-f]{{8,}}$')))"
+
+
+_TOP = (
+    _LINKS
+    + f""", s AS (SELECT *, {_address_tokens("regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1)")} AS x, {_address_tokens("href")} AS y FROM v WHERE reason = 'same origin'),
+w AS (SELECT *, CASE WHEN len(x) + len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END
+  + CASE WHEN regexp_matches(lower(text), '{_alternatives(K.OPPORTUNITY_WORDS)}') THEN 0.3 ELSE 0.0 END
+  + CASE WHEN regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[^/]*$', '') = regexp_replace(href, '[^/]*$', '') THEN 0.1 ELSE 0.0 END AS priority FROM s)
+SELECT page_id, pos, href, round(priority, 6) AS priority, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, pos) AS rank FROM w) WHERE rank <= 3"""
+)
+
+
+@query("ord6_frontier_topk", _TOP)
+def ord6_frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.top_links(_links(spark, sf_dir), 3).select("page_id", "pos", "href", F.round("priority", 6).alias("priority"), "rank")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return ord6_frontier_topk(spark, sf_dir)
+
+
+_ELEMENT = "CASE p_partkey % 5 WHEN 0 THEN 'button' WHEN 1 THEN 'a' WHEN 2 THEN 'div' WHEN 3 THEN 'input' ELSE 'summary' END"
+_LABEL = "concat(CASE p_size % 6 WHEN 0 THEN 'Load more ' WHEN 1 THEN 'Delete ' WHEN 2 THEN 'Next ' ELSE '' END, p_name)"
+
+
+@query(
+    "e4_should_click",
+    f"""SELECT p_partkey AS id, reason IN ('wraps media — likely opens it larger', 'reads as a media control', 'opens or expands something not open yet') AS click, reason FROM (
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'not visible' WHEN p_size * 20 < 64 THEN 'too small to be a control' WHEN tag = 'input' THEN 'form control'
+  WHEN regexp_matches(lower(label), '{_RISK}') THEN 'reads as transactional or destructive' WHEN tag = 'a' THEN 'link — queued for navigation instead'
+  WHEN p_partkey % 7 = 0 THEN 'wraps media — likely opens it larger' WHEN regexp_matches(lower(label), '{_alternatives(K.OPPORTUNITY_WORDS)}') THEN 'reads as a media control'
+  WHEN tag = 'summary' THEN 'opens or expands something not open yet' ELSE 'no positive reason to believe it reveals media' END AS reason
+FROM (SELECT *, {_ELEMENT} AS tag, {_LABEL} AS label FROM part))""",
+)
+def e4_should_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_ELEMENT} AS tag", f"{_LABEL} AS text", "p_partkey % 13 <> 0 AS visible", "CAST(p_size * 20 AS double) AS area", "'/x' AS href", "p_partkey % 7 = 0 AS containsMedia")
+    return rows.select(F.col("p_partkey").alias("id"), P.should_click(P.element(rows.columns)).alias("v")).select("id", "v.click", "v.reason")
+
+
+# ---------------------------------------------------------------- downloads
+
+_JOBS = f"""
+WITH c AS (SELECT *, {_HOST} AS host, {_EXT} AS ext, {_FILE} AS base FROM ({V.DUCK_CANDIDATES}) WHERE {_KIND} <> 'stream'),
+j AS (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY item_seq) AS n, count(*) OVER (PARTITION BY tab_id) AS every FROM c)
+"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return downloads.plan(_classified(spark, sf_dir), now_ms=1_700_000_000_000)
+
+
+@query(
+    "d1_job_plan",
+    _JOBS
+    + """SELECT tab_id, item_seq AS item, n - 1 AS "index", host, concat('media/', host, '/page/', lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(every AS VARCHAR))) AS INTEGER), '0'), '-', base, '.', ext) AS path,
+  url LIKE '%?token=%' AS expiring_soon, n AS queue, row_number() OVER (PARTITION BY tab_id, host ORDER BY n) AS turn FROM j""",
+)
+def d1_job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs(spark, sf_dir).select("tab_id", "item", "index", "host", "path", "expiring_soon", "queue", "turn")
+
+
+@query(
+    "agg16_session_counts",
+    _JOBS + f"SELECT t.tab_id, t.total, t.soon AS expiring_soon, a.n - t.total AS skipped FROM (SELECT tab_id, count(*) AS total, count(*) FILTER (WHERE url LIKE '%?token=%') AS soon FROM j GROUP BY tab_id) t JOIN (SELECT tab_id, count(*) AS n FROM ({V.DUCK_CANDIDATES}) GROUP BY tab_id) a ON a.tab_id = t.tab_id",
+)
+def agg16_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return downloads.session_counts(_classified(spark, sf_dir), _jobs(spark, sf_dir))
+
+
+_ATTEMPT = "o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS tries, CAST(CASE o_orderkey % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 ELSE 405 END AS INT) AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS DOUBLE) AS after_s, CASE o_orderkey % 7 WHEN 0 THEN 'NETWORK_FAILED' WHEN 1 THEN 'USER_CANCELED' WHEN 2 THEN 'CRASH' WHEN 3 THEN 'FILE_NO_SPACE' ELSE '' END AS reason, o_orderstatus = 'F' AS ok"
+
+
+@query(
+    "d4_retry_plan",
+    f"""SELECT id, CAST(CASE WHEN status = 404 THEN NULL WHEN status IN (429, 503) THEN CASE WHEN after_s > 0 THEN least(30000, after_s * 1000) ELSE least(30000, least(30000, 800 * pow(2, tries - 1)) * 2) END ELSE least(30000, 800 * pow(2, tries - 1)) END AS BIGINT) AS delay_ms,
+  CASE WHEN ok THEN 'done' WHEN reason = 'USER_CANCELED' THEN 'cancelled' WHEN reason IN ({_list(K.RETRYABLE)}) AND tries < 3 THEN 'backoff' ELSE 'failed' END AS state FROM (SELECT {_ATTEMPT} FROM orders)""",
+)
+def d4_retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.table(spark, sf_dir, "orders").selectExpr(*_ATTEMPT.split(", CAST(")[:1], "CAST(o_orderkey % 4 AS INT) AS tries", "CAST(CASE o_orderkey % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 404 ELSE 405 END AS INT) AS status", "CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS DOUBLE) AS after_s", _ATTEMPT[_ATTEMPT.index("CASE o_orderkey % 7") : _ATTEMPT.index(", o_orderstatus")], "o_orderstatus = 'F' AS ok")
+    return rows.select("id", downloads.retry_delay(F.col("tries"), F.col("status"), F.col("after_s")).alias("delay_ms"), downloads.outcome(F.col("ok"), F.col("reason"), F.col("tries")).alias("state"))
+
+
+@query(
+    "agg12_progress",
+    """SELECT tab_id, total, done, failed, running, cancelled, pending, CAST(floor((done + failed) / total::DOUBLE * 100 + 0.5) AS BIGINT) AS percent, pending = 0 AS finished FROM (
+SELECT tab_id, count(*) AS total, count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'running') AS running, count(*) FILTER (WHERE state = 'cancelled') AS cancelled, count(*) FILTER (WHERE state IN ('queued', 'running', 'backoff')) AS pending
+FROM (SELECT o_custkey % 50 AS tab_id, CASE o_orderkey % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' WHEN 3 THEN 'queued' WHEN 4 THEN 'backoff' ELSE 'cancelled' END AS state FROM orders) GROUP BY tab_id)""",
+)
+def agg12_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = "CASE o_orderkey % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' WHEN 3 THEN 'queued' WHEN 4 THEN 'backoff' ELSE 'cancelled' END AS state"
+    return downloads.progress(V.table(spark, sf_dir, "orders").selectExpr("o_custkey % 50 AS tab_id", state))
+
+
+@query(
+    "f7_format_bytes",
+    "SELECT o_orderkey AS id, CASE WHEN v >= 1073741824 THEN concat(CASE WHEN v / 1073741824 >= 100 THEN CAST(CAST(floor(v / 1073741824 + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', v / 1073741824) END, ' GB') WHEN v >= 1048576 THEN concat(CASE WHEN v / 1048576 >= 100 THEN CAST(CAST(floor(v / 1048576 + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', v / 1048576) END, ' MB') WHEN v >= 1024 THEN concat(CASE WHEN v / 1024 >= 100 THEN CAST(CAST(floor(v / 1024 + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', v / 1024) END, ' KB') ELSE concat(CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR), ' B') END AS size FROM (SELECT o_orderkey, o_orderkey * 1021.0::DOUBLE + 1 AS v FROM orders)",
+)
+def f7_format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.format_bytes(F.col("o_orderkey") * F.lit(1021.0) + 1).alias("size"))
+
+
+@query("snk3_sidecar")
+def snk3_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return downloads.sidecar(_jobs(spark, sf_dir).withColumn("sources", F.array("source")))
+
+
+@query("d2_queue_simulation")
+def d2_queue_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _jobs(spark, sf_dir).select(F.col("tab_id").cast("string").alias("session"), F.col("item").alias("job"), "host", "queue", (F.col("bytes") / 100).cast("long").alias("duration_ms"), (F.col("item") % 9 == 0).cast("int").alias("fails"))
+    return downloads.simulate(jobs)
+
+
+# ---------------------------------------------------------------- tab state
+
+_GEN = "sum(CASE WHEN type = 'nav_begin' THEN 1 ELSE 0 END) OVER (PARTITION BY tab_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+
+
+@query("st3_generations", f"SELECT tab_id, gen, count(*) AS events, min(seq) AS first_seq FROM (SELECT *, {_GEN} AS gen FROM ({V.DUCK_EVENTS})) GROUP BY tab_id, gen")
+def st3_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabs.generations(V.event_log(spark, sf_dir)).groupBy("tab_id", "gen").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
+
+
+@query("st1_tab_state")
+def st1_tab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabs.batch(V.event_log(spark, sf_dir))
+
+
+@query(
+    "w1_first_wins",
+    f"SELECT tab_id, url, min(seq) AS seq FROM ({V.DUCK_EVENTS}) WHERE type = 'candidate' GROUP BY tab_id, url",
+)
+def w1_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.event_log(spark, sf_dir).where("type = 'candidate'").withColumn("route", F.lit(""))
+    return network.first_per_route(rows).select("tab_id", "url", "seq")
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query(
+    "src2_headers_received",
+    f"SELECT item_seq, {_KIND} AS kind, CAST(bytes AS DOUBLE) AS bytes FROM ({V.DUCK_CANDIDATES}) WHERE {_KIND} <> '' AND item_seq % 6 <> 5",
+)
+def src2_headers_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    kinds = F.when(F.col("item_seq") % 6 == 5, "script").otherwise("image")
+    rows = V.candidates(spark, sf_dir).select("item_seq", "tab_id", "url", kinds.alias("type"), F.array(header("X-Other", F.lit("1")), header("Content-Length", F.col("bytes").cast("string"))).alias("headers"))
+    return network.headers_received(rows).select("item_seq", "kind", "bytes")
+
+
+@query("src17_har")
+def src17_har(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A HAR archive per tab, written from the candidate view and read back."""
+    rows = V.candidates(spark, sf_dir)
+    content = F.struct(F.lit("").alias("mimeType"), F.col("bytes").alias("size"), F.base64(F.col("url").cast("binary")).alias("text"), F.lit("base64").alias("encoding"))
+    response = F.struct(F.when(F.col("item_seq") % 17 == 0, 404).otherwise(200).alias("status"), F.col("bytes").alias("bodySize"), F.array().cast("array<struct<name:string,value:string>>").alias("headers"), content.alias("content"))
+    entry = F.struct(F.lit("2024-01-01T00:00:00Z").alias("startedDateTime"), F.struct("url").alias("request"), response.alias("response"))
+    # a tab's archive is bounded by the index's cap on its items
+    place = F.row_number().over(Window.partitionBy("tab_id").orderBy("item_seq"))
+    entries = rows.withColumn("place", place).where(F.col("place") <= K.MAX_ITEMS_PER_TAB).groupBy("tab_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    archives = entries.select(F.col("tab_id").cast("string").alias("archive"), F.to_json(F.struct(F.struct("entries").alias("log"))).alias("text"))
+    return har.with_bodies(har.candidates(archives)).select("archive", "pos", "url", "kind", "bytes", "har_body", F.octet_length("body").alias("body_bytes"))
+
+
+@query("src6_json_mine")
+def src6_json_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct(F.struct(F.col("url").alias("src"), F.array(F.lit("x"), F.concat(F.lit("/thumbs/"), F.col("item_seq").cast("string"), F.lit(".png"))).alias("more")).alias("data"), F.lit("not a url").alias("note")))
+    return payloads.mine(V.candidates(spark, sf_dir).select("item_seq", F.lit("https://page.example.com/a/b").alias("url"), body.alias("body"))).select("item_seq", "pos", "found")
+
+
+@query("src10_dom_scan")
+def src10_dom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a figure each put into their body."""
+    figure = F.concat(F.lit('<ul><li class="tile"><a href="/full/'), F.col("page_id").cast("string"), F.lit('.jpg"><img src="/t/1.jpg" srcset="/t/1.jpg 1x, /t/2.jpg 2x"></a></li><li class="tile"><img src="/t/3.png"></li><li class="tile"></li></ul><body'))
+    pages = V.table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", "<body", "<body").alias("raw"), figure.alias("figure"))
+    pages = pages.select("page_id", "url", F.concat(F.lit("<html><body>"), F.col("figure"), F.lit(">"), F.col("raw")).alias("html"))
+    return dom.candidates(pages).select("page_id", "seq", "url", "kind", "repeat_depth", "preview_url")
+
+
+@query("p2_manifests")
+def p2_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A playlist per nation, written from its key and name."""
+    key = F.col("n_nationkey").cast("string")
+    body = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("n_nationkey") * 100_000 + 64_000).cast("string"), F.lit(',RESOLUTION=640x360,CODECS="avc1,mp4a"\nlow/'), key, F.lit(".m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=5000000\nhigh/"), key, F.lit(".m3u8\n"))
+    rows = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("https://v.example.com/"), key, F.lit("/master.m3u8")).alias("url"), F.lit("").alias("mime_type"), body.alias("body"))
+    return manifests.variants(manifests.parsed(rows)).select("manifest", "pos", "url", "kbps", "resolution", "encrypted")
