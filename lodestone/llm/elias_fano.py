@@ -90,16 +90,35 @@ class EliasFano:
         index = np.where(high <= total, place - high, self.n)
         equal = np.zeros(len(x), bool)
         live = np.flatnonzero((index < self.n) & (high <= total))
-        while len(live):
-            p = place[live]
-            one = (self.high[np.minimum(p >> 6, len(self.high) - 1)] >> (p & 63).astype(np.uint64) & _U(1)).astype(bool) & (p >> 6 < len(self.high))
-            live = live[one]
-            value = self._low(index[live])
-            equal[live] = value == low[live]
-            live = live[value < low[live]]
-            place[live] += 1
-            index[live] += 1
-            live = live[index[live] < self.n]
+        # the values with this high part are a run of ones from here; a binary search among their low parts follows
+        p = place[live]
+        word = np.minimum(p >> 6, len(self.high) - 1)
+        shift = (p & 63).astype(np.uint64)
+        gap = ~(self.high[word] >> shift)
+        run = np.bitwise_count((gap & (~gap + _U(1))) - _U(1)).astype(np.int64)
+        run[p >> 6 >= len(self.high)] = 0
+        end = index[live] + run
+        over = np.flatnonzero((p & 63) + run >= 64)
+        if len(over):
+            k = high[live[over]]
+            known = k < total
+            at = np.searchsorted(self.zeros, k[known], "right") - 1
+            close = np.full(len(k), self.n, np.int64)
+            close[known] = (at << 6) + _select_in_word(~self.high[at], (k[known] - self.zeros[at]).astype(np.uint64)).astype(np.int64) - k[known]
+            end[over] = close
+        begin, stop = index[live], np.minimum(end, self.n)
+        last = stop.copy()
+        wanted = low[live]
+        open_ = np.flatnonzero(begin < stop)
+        while len(open_):
+            middle = (begin[open_] + stop[open_]) >> 1
+            less = self._low(middle) < wanted[open_]
+            begin[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
+            open_ = open_[begin[open_] < stop[open_]]
+        index[live] = begin
+        inside = np.flatnonzero(begin < last)
+        equal[live[inside]] = self._low(begin[inside]) == wanted[inside]
         return index, equal
 
 
@@ -142,22 +161,33 @@ class Trie:
         return cls(first, levels, codes, table)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
-        """The last level's node of each row; -1 where the trie does not have it."""
-        index, ok = self.first.successor(grams[:, 0])
+        """The last level's node of each row; -1 where the trie does not have it. Runs of rows with a common context look it
+        up once, so sorted rows are found fastest."""
+        if not len(grams):
+            return np.zeros(0, np.int64)
+        step = np.zeros(len(grams), bool)
+        step[0] = True
+        step[1:] = grams[1:, 0] != grams[:-1, 0]
+        at = np.flatnonzero(step)
+        node, ok = self.first.successor(grams[at, 0])
+        node = np.where(ok, node, -1)
         for k, (pointers, words) in enumerate(self.levels, 1):
-            out = np.full(len(grams), -1, np.int64)
-            rows = np.flatnonzero(ok)
-            if len(rows):
-                begin = pointers.access(index[rows]).astype(np.int64)
-                end = pointers.access(index[rows] + 1).astype(np.int64)
-                base = np.zeros(len(rows), np.uint64)
-                later = begin > 0
-                base[later] = words.access(begin[later] - 1) + _U(1)
-                at, equal = words.successor(grams[rows, k].astype(np.uint64) + base)
-                hit = equal & (at >= begin) & (at < end)
-                out[rows[hit]] = at[hit]
-            index, ok = out, out >= 0
-        return np.where(ok, index, -1)
+            begin, end, base = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+            known = np.flatnonzero(node >= 0)
+            begin[known], end[known] = pointers.access(node[known]), pointers.access(node[known] + 1)
+            later = known[begin[known] > 0]
+            base[later] = words.access(begin[later] - 1) + _U(1)
+            own = np.cumsum(step) - 1  # each row's context
+            step = step.copy()
+            step[1:] |= grams[1:, k] != grams[:-1, k]
+            at = np.flatnonzero(step)
+            own = own[at]
+            node = np.full(len(at), -1, np.int64)
+            rows = np.flatnonzero(end[own] > begin[own])
+            place, equal = words.successor(grams[at[rows], k].astype(np.uint64) + base[own[rows]])
+            hit = equal & (place >= begin[own[rows]]) & (place < end[own[rows]])
+            node[rows[hit]] = place[hit]
+        return node[np.cumsum(step) - 1]
 
     def _arrays(self) -> list[np.ndarray]:
         return [*self.first.parts, *(a for level in self.levels for ef in level for a in ef.parts), self.codes, self.table]
