@@ -69,9 +69,14 @@ def sanitize(raw: DataFrame, synthetic: tuple[str, ...] = ()) -> DataFrame:
 
 
 def prepared(sightings: DataFrame) -> DataFrame:
-    """kind, rejection reason and key of each sighting; the others keep their columns."""
+    """kind, rejection reason and key of each sighting; the others keep their columns.
+
+    The three come out of a generator, so that a filter on them stays above it and none is computed twice.
+    """
     kind = F.when(text(F.col("kind")) != "", F.col("kind")).otherwise(M.classify(F.col("url"), F.col("mime_type")))
-    return sightings.withColumns({"kind": kind, "rejection": M.rejection_reason(F.col("url"), F.col("width"), F.col("height"), F.col("bytes")), "normalized_url": U.normalize_url(F.col("url"))})
+    reason = M.rejection_reason(F.col("url"), F.col("width"), F.col("height"), F.col("bytes"))
+    found = F.struct(kind.alias("kind"), reason.alias("rejection"), U.normalize_url(F.col("url")).alias("normalized_url"))
+    return sightings.select(*(c for c in sightings.columns if c != "kind"), F.inline(F.array(found)))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
