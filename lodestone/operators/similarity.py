@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import terms as T
+from lodestone.functions import url as U
 
 
 def with_features(items: DataFrame, **columns: str) -> DataFrame:
@@ -68,6 +69,34 @@ def proposal(picked: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD
     return found.join(picked.select("tab_id", "item"), ["tab_id", "item"], "left_anti")
 
 
+def find_similar(items: DataFrame, elements: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """Items similar to those of the given elements (tab_id, element_id), without these."""
+    seeds = items.join(elements.select("tab_id", "element_id").distinct(), ["tab_id", "element_id"], "left_semi")
+    return select_similar(seeds, items, threshold).join(seeds.select("tab_id", "item"), ["tab_id", "item"], "left_anti")
+
+
+def seeds_for(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per wanted (tab_id, src, page_url) the item it names, by key or else by URL; where there is none, a row made of it."""
+    asked = wanted.withColumn("key", U.normalize_url(F.col("src"), F.col("page_url")))
+    row = F.struct(*(c for c in items.columns if c != "tab_id"))
+    by = items.select("tab_id", F.explode(F.array_distinct(F.array("normalized_url", "url"))).alias("name"), "seq", row.alias("row"))
+    named = asked.select("tab_id", "src", "key", F.explode(F.array_distinct(F.array("key", "src"))).alias("name")).withColumn("direct", (F.col("name") != F.col("key")).cast("int"))
+    found = named.join(by, ["tab_id", "name"]).groupBy("tab_id", "src").agg(F.min_by("row", F.struct("direct", "seq")).alias("row"))
+    out = asked.join(found, ["tab_id", "src"], "left")
+    return out.select("tab_id", "src", F.coalesce(F.col("row.url"), F.col("key")).alias("url"), F.col("row").isNotNull().alias("known"), "row")
+
+
+def grown(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """The selection with all that is similar to any of it: one step outwards. Its fixed point is the seeds' clusters."""
+    picked = select_similar(seeds, items, threshold).select("tab_id", "item")
+    return items.join(picked, ["tab_id", "item"], "left_semi")
+
+
+def still_there(selected: DataFrame, items: DataFrame) -> DataFrame:
+    """The selected ids (tab_id, id) that the index still has."""
+    return selected.join(items.select("tab_id", "id"), ["tab_id", "id"], "left_semi")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (tab_id, seq, ...) with ``root``: the least seq that links (tab_id, a_seq, b_seq) connect. Labels spread by
     minimum with pointer jumping; each round is checkpointed in the folder that the session names."""

@@ -121,3 +121,15 @@ def test_selection(spark):
     two = df.where("item in (0, 1)")
     assert {r.item for r in S.proposal(two, df).collect()} == {r.item for r in S.select_similar(two, df).collect()} - {0, 1}
     assert S.proposal(two, df, refused=True).count() == 0
+
+
+def test_seeds_and_growth(spark):
+    df = mixed(spark).withColumns({"element_id": F.concat(F.lit("m"), F.col("item").cast("string")), "normalized_url": F.col("url"), "id": F.col("item").cast("string")})
+    one = spark.createDataFrame([(0, "m0")], "tab_id long, element_id string")
+    found = {r.item for r in S.find_similar(df, one).collect()}
+    assert found == {r.item for r in S.select_similar(df.where("item = 0"), df).collect()} - {0}
+    wanted = spark.createDataFrame([(0, "/gallery/photo-3.jpg", "https://cdn.example.com/x"), (0, "https://new.com/a.jpg", "https://new.com/")], "tab_id long, src string, page_url string")
+    got = {r.src: (r.url, r.known) for r in S.seeds_for(df, wanted).collect()}
+    assert got == {"/gallery/photo-3.jpg": ("https://cdn.example.com/gallery/photo-3.jpg", True), "https://new.com/a.jpg": ("https://new.com/a.jpg", False)}
+    assert {r.item for r in S.grown(df.where("item = 0"), df).collect()} == found | {0}
+    assert S.still_there(spark.createDataFrame([(0, "1"), (0, "99")], "tab_id long, id string"), df).count() == 1
