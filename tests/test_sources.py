@@ -113,3 +113,14 @@ def test_tab_state(spark, tmp_path):
     streamed = spark.read.schema(tabs.ITEM).parquet(str(tmp_path / "out/batch=*"))
     key = lambda d: sorted(map(tuple, d.select(*[x.split(" ")[0] for x in tabs.ITEM.split(", ")]).collect()))
     assert key(streamed) == key(rows)
+
+
+def test_table_functions(spark):
+    from lodestone.plans import functions
+
+    functions.register(spark)
+    assert [r.value for r in spark.sql("""SELECT * FROM media_urls('{"a": ["/x.jpg", "y"]}', 'https://a')""").collect()] == ["y", "/x.jpg"]
+    assert spark.sql("SELECT * FROM dom_candidates('<img src=\"/a.png\">')").first().url == "/a.png"
+    df = spark.createDataFrame([(MASTER,)], "body string")
+    df.createOrReplaceTempView("manifests_in")
+    assert spark.sql("SELECT m.* FROM manifests_in, LATERAL parse_manifest(body, 'https://v/m.m3u8', '') m").count() == 2
