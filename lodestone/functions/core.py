@@ -43,11 +43,6 @@ def slug_tail(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def last_index(c: Column, mark: str) -> Column:
-    """0-based place of the last ``mark``; -1 if there is none."""
-    return F.when(F.instr(c, mark) == 0, F.lit(-1)).otherwise(F.length(c) - F.length(F.substring_index(c, mark, -1)) - len(mark))
-
-
 def number(c: Column) -> Column:
     """A text as a finite double, null if it is none."""
     v = c.try_cast("double")
