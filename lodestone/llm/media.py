@@ -16,7 +16,6 @@ and text are read, so other columns never clash.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
