@@ -24,7 +24,7 @@ MAX_LOST_PERCENT = 50
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-CLOSING = r"""[.!?:;…。！？"'”’»)\]][\x20\x09-\x0D]*\z"""
+CLOSING = """.!?:;…。！？"'”’»)]"""
 SEPARATORS = r"[|»›·•]"
 PHRASES = (
     "all rights reserved",
@@ -40,7 +40,8 @@ PHRASES = (
     "lorem ipsum",
     "click here",
 )
-BOILERPLATE = "(" + "|".join(PHRASES) + ")"
+_CLOSED = "[" + CLOSING.replace("]", "\\]") + r"][\x20\x09-\x0D]*\z"
+_PHRASE = "(" + "|".join(PHRASES) + ")"
 
 
 def let(value: Column, body) -> Column:
@@ -54,34 +55,61 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def repeat_words(words: Column, n: Column) -> Column:
-    """Number of words in 3-word windows that occur twice or more."""
-    bits = F.length(F.bin(n))
+def repeat_words(words: Column) -> Column:
+    """Number of words in 3-word windows that occur twice or more. What the lambdas use is bound once a row."""
+    right, left = (lambda x, b: F.call_function("shiftright", x, b)), (lambda x, b: F.call_function("shiftleft", x, b))
 
-    def count(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0).cast("long"), n - 3),
-            lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i),
-        )
-        same = lambda a, b: F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
-        repeated = lambda s: F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(x, F.get(s, i - 1)), F.lit(False)))
-        place = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        places = F.sort_array(F.transform(let(F.sort_array(windows), repeated), lambda x: x.bitwiseAND(place)))
+    def sized(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        return let(F.struct(w.alias("w"), n.alias("n"), F.length(F.bin(n)).alias("bits")), count)
+
+    def count(x: Column) -> Column:
+        w, n, bits = x["w"], x["n"], x["bits"]
+        window = lambda i: left(right(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i)
+        windows = F.transform(F.sequence(F.lit(0).cast("long"), n - 3), window)
+        place = left(F.lit(1).cast("long"), bits) - 1
+
+        def repeated(s: Column) -> Column:
+            same = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0
+            size = F.size(s)
+            near = F.zip_with(F.slice(s, F.lit(2), size - 1), F.slice(s, F.lit(1), size - 1), lambda a, b: F.when(same(a, b), F.array(a, b)))
+            return F.when(size < 2, F.array().cast("array<bigint>")).otherwise(F.flatten(F.array_compact(near)))
+
+        places = F.sort_array(F.transform(let(F.sort_array(windows), repeated), lambda y: y.bitwiseAND(place)))
         start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
         step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n"))
-        return F.aggregate(places, start, step, lambda a: a["n"])
+        return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.aggregate(places, start, step, lambda a: a["n"]))
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(words, count))
+    return let(words, sized)
 
 
-def line_passes(line: Column) -> Column:
-    """The verdict on one line; a line without a word passes."""
+def line_passes(line: Column, doc: Column | None = None) -> Column:
+    """The verdict on one line; a line without a word passes. doc: what the whole text says of the costlier tests, so that
+    texts without symbols, separators or phrases skip them (fields symbols, separators, phrases)."""
+    has = (lambda f: F.lit(True)) if doc is None else (lambda f: doc[f])
     n = F.regexp_count(line, F.lit(WORD))
-    empty = F.btrim(line, F.lit(SPACE)) == ""
-    closed = line.rlike(CLOSING)
-    bar = (F.regexp_count(line, F.lit(SEPARATORS)) >= 2) & (F.regexp_count(line, F.lit(SEPARATORS)) * 4 >= n)
-    noisy = F.regexp_count(line, F.lit(SYMBOLS)) * 10 > n
-    return empty | (closed & ~bar & ~noisy & ~F.lower(line).rlike(BOILERPLATE))
+    bars = F.regexp_count(line, F.lit(SEPARATORS))
+
+    def closed(cut: Column) -> Column:
+        return (cut == "") | (F.instr(F.lit(CLOSING), F.right(cut, F.lit(1))) > 0) & ~(has("separators") & (bars >= 2) & (bars * 4 >= n)) & ~(has("symbols") & let(F.regexp_count(line, F.lit(SYMBOLS)), lambda k: (k > 0) & (k * 10 > n))) & ~(has("phrases") & let(F.lower(line), boilerplate))
+
+    return let(F.rtrim(line, F.lit(SPACE)), closed)
+
+
+def boilerplate(lower: Column) -> Column:
+    out = F.lit(False)
+    for phrase in PHRASES:
+        out = out | lower.contains(phrase)
+    return out
+
+
+def cleaned(text: Column, lines: Column) -> Column:
+    """The lines that pass, in order."""
+    separators = F.lit(False)
+    for mark in SEPARATORS.strip("[]"):
+        separators = separators | text.contains(mark)
+    doc = F.struct(text.rlike(SYMBOLS).alias("symbols"), separators.alias("separators"), let(F.lower(text), boilerplate).alias("phrases"))
+    return let(doc, lambda d: F.array_join(F.filter(lines, lambda x: line_passes(x, d)), "\n"))
 
 
 def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -90,17 +118,17 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text_col: st
     rows = docs.select(carried, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("carried", "text", words_of(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     with_word = F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    n = F.size("words").cast("long")
-    rows = rows.select(
-        "carried",
-        n.alias("n_words"),
+    measures = F.struct(
+        F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("words"), n).alias("n_repeat_words"),
-        F.array_join(F.filter("lines", line_passes), "\n").alias("cleaned"),
+        repeat_words(F.col("words")).alias("n_repeat_words"),
+        cleaned(F.col("text"), F.col("lines")).alias("cleaned"),
         F.length("text").cast("long").alias("n_chars"),
     )
+    # through a generator, so that a later filter on a measure is not moved below it and its expression computed twice
+    rows = rows.select("carried", F.inline(F.array(measures)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost = F.col("n_chars") - F.length("cleaned")
     kept = ~failed & (100 * lost <= max_lost_percent * F.col("n_chars"))
@@ -119,10 +147,10 @@ y AS (SELECT doc_id, len(t) AS n_chars, len(ws) AS n_words,
   len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
   len(list_filter(ls, lambda l: regexp_matches(l, '{WORD}'))) - len(list_distinct(list_filter(ls, lambda l: regexp_matches(l, '{WORD}')))) AS n_dup_lines,
   len(array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '{WORD}') OR (
-    regexp_matches(l, '{CLOSING.replace("'", "''")}')
+    regexp_matches(l, '{_CLOSED.replace("'", "''")}')
     AND NOT (len(regexp_extract_all(l, '{SEPARATORS}')) >= 2 AND len(regexp_extract_all(l, '{SEPARATORS}')) * 4 >= len(regexp_extract_all(l, '{WORD}')))
     AND NOT len(regexp_extract_all(l, '{SYMBOLS}')) * 10 > len(regexp_extract_all(l, '{WORD}'))
-    AND NOT regexp_matches(lower(l), '{BOILERPLATE}'))), chr(10))) AS cleaned_chars
+    AND NOT regexp_matches(lower(l), '{_PHRASE}'))), chr(10))) AS cleaned_chars
   FROM w),
 z AS (SELECT y.*, coalesce(x.n_repeat_words, 0) AS n_repeat_words FROM y LEFT JOIN x USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars - cleaned_chars AS lost_chars,

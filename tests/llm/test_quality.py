@@ -22,7 +22,7 @@ def brute(text):
         n = len(WORD.findall(line))
         if not n:
             return True
-        if not re.search(quality.CLOSING.replace(r"\z", r"\Z"), line):
+        if line.rstrip(quality.SPACE)[-1] not in quality.CLOSING:
             return False
         bars = len(re.findall(quality.SEPARATORS, line))
         if bars >= 2 and bars * 4 >= n or len(re.findall(quality.SYMBOLS, line)) * 10 > n:
