@@ -18,6 +18,7 @@ from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import terms as T
 from lodestone.functions import url as U
+from lodestone.functions.core import let
 
 
 def with_features(items: DataFrame, **columns: str) -> DataFrame:
@@ -148,20 +149,22 @@ def mode(rows: DataFrame, keys: list[str], value: str, seq: str = "seq") -> Data
 
 
 def describe(clusters: DataFrame, keys: tuple[str, ...] = ("tab_id", "cluster_id")) -> DataFrame:
-    """A summary row per group: count, kind, dimensions, pattern, bytes, label."""
+    """A summary row per group: count, kind, dimensions, pattern, bytes, label. One pass: the values of all three modes are
+    counted together, and the counts of the kinds, which every item has, add up to the group's."""
     k = list(keys)
     shown = lambda c: F.when(F.col(c) == F.floor(c), F.col(c).cast("long").cast("string")).otherwise(F.col(c).cast("string"))
-    rows = clusters.select(
-        *k, "seq", F.coalesce(F.col("bytes").cast("double"), F.lit(0.0)).alias("bytes"),
-        F.when(M.classify(F.col("url"), F.col("mime_type")) == "", "file").otherwise(M.classify(F.col("url"), F.col("mime_type"))).alias("kind"),
-        F.when((F.col("f.width") > 0) & (F.col("f.height") > 0), F.concat(shown("f.width"), F.lit("x"), shown("f.height"))).alias("dimensions"),
-        F.when((F.col("f.pattern.dir") != "") | (F.col("f.pattern.file") != ""), F.concat(F.col("f.pattern.host"), F.col("f.pattern.dir"), F.lit("/"), F.col("f.pattern.file"))).alias("pattern"),
-    )
-    out = rows.groupBy(*k).agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), F.count("dimensions").alias("sized"))
-    for value in ("kind", "dimensions", "pattern"):
-        out = out.join(mode(rows, k, value), k, "left")
-    major = F.coalesce(F.col("dimensions_count") * 2 > F.col("count"), F.lit(False))
-    noun = F.when(F.col("kind_count") == F.col("count"), F.concat("kind", F.lit("s"))).otherwise("items")
-    size = F.when(major, F.col("dimensions")).when(F.col("sized") > 0, "mixed sizes")
-    label = F.concat_ws(" · ", F.concat(F.col("count").cast("string"), F.lit(" "), noun), size, "pattern")
-    return out.select(*k, "count", "kind", F.when(major, F.col("dimensions")).alias("dimensions"), "pattern", "bytes", label.alias("label"))
+    kind = let(M.classify(F.col("url"), F.col("mime_type")), lambda x: F.when(x == "", "file").otherwise(x))
+    dimensions = F.when((F.col("f.width") > 0) & (F.col("f.height") > 0), F.concat(shown("f.width"), F.lit("x"), shown("f.height")))
+    pattern = F.when((F.col("f.pattern.dir") != "") | (F.col("f.pattern.file") != ""), F.concat(F.col("f.pattern.host"), F.col("f.pattern.dir"), F.lit("/"), F.col("f.pattern.file")))
+    named = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("kind", kind), ("dimensions", dimensions), ("pattern", pattern))))
+    values = clusters.select(*k, "seq", F.coalesce(F.col("bytes").cast("double"), F.lit(0.0)).alias("bytes"), F.inline(named)).where("value is not null")
+    counted = values.groupBy(*k, "name", "value").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.sum("bytes").alias("bytes"))
+    of = lambda name, c: F.when(F.col("name") == name, c)
+    best = lambda name: F.max_by(of(name, F.struct("value", "n")), of(name, F.struct(F.col("n"), -F.col("first")))).alias(name)
+    add = lambda name, c: F.coalesce(F.sum(of(name, F.col(c))), F.lit(0))
+    out = counted.groupBy(*k).agg(best("kind"), best("dimensions"), best("pattern"), add("kind", "n").alias("count"), add("kind", "bytes").cast("double").alias("bytes"), add("dimensions", "n").alias("sized"))
+    major = F.coalesce(F.col("dimensions.n") * 2 > F.col("count"), F.lit(False))
+    noun = F.when(F.col("kind.n") == F.col("count"), F.concat("kind.value", F.lit("s"))).otherwise("items")
+    size = F.when(major, F.col("dimensions.value")).when(F.col("sized") > 0, "mixed sizes")
+    label = F.concat_ws(" · ", F.concat(F.col("count").cast("string"), F.lit(" "), noun), size, F.col("pattern.value"))
+    return out.select(*k, "count", F.col("kind.value").alias("kind"), F.when(major, F.col("dimensions.value")).alias("dimensions"), F.col("pattern.value").alias("pattern"), "bytes", label.alias("label"))
