@@ -119,7 +119,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b in small_batches(batches):
+        for b in small_batches(batches, 1024, 2 << 20):
             ids = codec.encode_texts(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -131,7 +131,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches):
         piece = _vocabulary(ranks_path).__getitem__
-        for b in small_batches(batches):
+        for b in small_batches(batches, 1024, 2 << 20):
             out = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
