@@ -10,7 +10,8 @@ differs. ``allocate`` chooses per band between the two and the number of spare s
 that a set must probe an empty segment.
 
 Keys meet in key ranges. Up to SMALL sets with a key are paired; of more, each is paired with one hub, and once the links so
-far have made components, only members of different components are paired. Equal sets are one class from the start: per
+far have made components, only members of different components are paired; that makes the components whole. Links are
+counted afterwards: all classes of a component are compared with each other, in tiles of two blocks. Equal sets are one class from the start: per
 block they send one set's keys. Every candidate is bounded by a 256-bit parity sketch and then verified on the whole sets.
 
 Edge cases: null or empty text has the empty set and links with nothing; with fewer than k words the whole sequence is the
@@ -38,6 +39,10 @@ SMALL = 8
 RANGES = 64
 #: Candidate ids that may be broadcast, of 8 bytes each, when their texts are fetched.
 BROADCAST_IDS = 400_000
+#: A block of a component has about so many sets and shingles at most; a tile compares two blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Columns of a tile that are multiplied at once; counts below 2^24 are exact in 32-bit floats.
+COLUMNS = 4096
 _C1, _C2, _C3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 
 
@@ -299,10 +304,9 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     return both.where(sizes & (sketch * (den + num) <= total * (den - num)))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
-    """a, b of the pairs whose sets are similar enough: the sets are made again from the texts of the candidates."""
-    ids = pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("doc_id")).where("doc_id is not null").distinct()
-    ids = written(ids, "ids")
+def _found(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """f0, f1, set of the texts with these ids and of those without an id."""
+    ids = written(ids.where("doc_id is not null").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
@@ -315,7 +319,12 @@ def _links(pairs: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(f0.view(np.int64)), pa.array(f1.view(np.int64)), pa.array(packed, pa.binary())], names=["f0", "f1", "set"])
 
     found = texts.mapInArrow(blobs, "f0 long, f1 long, set binary")
-    found = written(found.dropDuplicates(["f0", "f1"]) if not few else found, "sets").groupBy("f0", "f1").agg(F.first("set").alias("set"))
+    return written(found.dropDuplicates(["f0", "f1"]) if not few else found, "sets").groupBy("f0", "f1").agg(F.first("set").alias("set"))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
+    """a, b of the pairs whose sets are similar enough: the sets are made again from the texts of the candidates."""
+    found = _found(pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("doc_id")), docs, k)
     side = lambda p: found.select(F.col("f0").alias(f"{p}_f0"), F.col("f1").alias(f"{p}_f1"), F.col("set").alias(f"{p}_set"))
     both = pairs.select("a", "b", "a_f0", "a_f1", "b_f0", "b_f1").join(side("a"), ["a_f0", "a_f1"]).join(side("b"), ["b_f0", "b_f1"]).select("a", "b", "a_set", "b_set")
     num, den = t.numerator, t.denominator
@@ -336,6 +345,75 @@ def _links(pairs: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
     return written(both.mapInArrow(verify, "a long, b long"), "links")
 
 
+def common(x_sizes: np.ndarray, x: np.ndarray, y_sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of shingles that each of the first sets shares with each of the others."""
+    out = np.zeros((len(x_sizes), len(y_sizes)), np.int64)
+    both = np.intersect1d(x, y)
+    sides = []
+    for sizes, value in ((x_sizes, x), (y_sizes, y)):
+        at = np.minimum(np.searchsorted(both, value), max(len(both) - 1, 0))
+        shared = both[at] == value if len(both) else np.zeros(len(value), bool)
+        at, owner = at[shared], np.repeat(np.arange(len(sizes)), sizes)[shared]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], owner[order], len(sizes)))
+    for low in range(0, len(both), COLUMNS):
+        dense = []
+        for at, owner, n in sides:
+            a, z = np.searchsorted(at, [low, low + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            part[owner[a:z], at[a:z] - low] = 1
+            dense.append(part)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _tile(table: pa.Table, t: Fraction) -> pa.Table:
+    """class, n: links of each set with sets of the other block of its tile (label, i, j), or with others of its own if i = j."""
+    num, den = t.numerator, t.denominator
+    label, i, j, block, node = (table.column(c).to_numpy() for c in ("label", "i", "j", "block", "class"))
+    order = np.lexsort((block, j, i, label))
+    label, i, j, block, node = label[order], i[order], j[order], block[order], node[order]
+    blobs = table.column("set").combine_chunks().take(pa.array(order)) if len(order) else table.column("set")
+    new = np.append(True, (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    starts = np.flatnonzero(new)
+    nodes, counts = [], []
+    for a, z in zip(starts.tolist(), np.append(starts[1:], len(label)).tolist()):
+        sets = [unpack_sorted(s) for s in blobs[a:z].to_pylist()]
+        middle = int(np.searchsorted(block[a:z], i[a], "right")) if i[a] != j[a] else z - a
+        sides = [(np.array([len(s) for s in part], np.int64), np.concatenate([np.zeros(0, np.uint64), *part])) for part in (sets[:middle], sets[middle:])]
+        (xs, xv), (ys, yv) = sides if i[a] != j[a] else (sides[0], sides[0])
+        if not len(xs) or not len(ys):
+            continue
+        both = common(xs, xv, ys, yv)
+        linked = den * both >= num * (xs[:, None] + ys[None, :] - both)
+        nodes.append(node[a:z])
+        if i[a] == j[a]:
+            np.fill_diagonal(linked, False)
+            counts.append(linked.sum(axis=1))
+        else:
+            counts.append(np.append(linked.sum(axis=1), linked.sum(axis=0)))
+    return pa.table({"class": np.concatenate([np.zeros(0, np.int64), *nodes]), "n": np.concatenate([np.zeros(0, np.int64), *counts])})
+
+
+def _degrees(labels: DataFrame, classes: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
+    """class, n_links: links with other classes, all of which are in its component. Two classes that are one have one link."""
+    members = labels.withColumnRenamed("node", "class").join(classes.select(F.col("a").alias("class"), "doc_id", "n", "f0", "f1"), "class")
+    sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
+    members = written(members.join(sized.select("label", "size", blocks.alias("blocks")), "label"), "members")
+    more = members.where("size > 2")
+    bundles = max(RANGES, (more.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
+    more = more.select("label", "class", "blocks", "f0", "f1", F.pmod(F.xxhash64("class"), "blocks").alias("block"), "doc_id")
+    rows = more.drop("doc_id").join(_found(more.select("doc_id"), docs, k), ["f0", "f1"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "set", "blocks")
+    # small components share a group
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bundles))).otherwise(F.xxhash64("label", "i", "j"))
+    counted = rows.withColumn("tile", tile).drop("blocks").groupBy("tile").applyInArrow(lambda table: _tile(table, t), "class long, n long")
+    degree = counted.groupBy("class").agg(F.sum("n").alias("n_links"))
+    return written(degree.unionByName(members.where("size = 2").select("class", F.lit(1).cast("long").alias("n_links"))), "degree")
+
+
 def similar(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (links of its set with other sets)."""
     t = Fraction(percent, 100)
@@ -375,7 +453,7 @@ def similar(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_i
     if second.take(1):
         links = written(links.unionByName(_links(second, docs, t, k)), "links")
         labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    degree = _degrees(labels, classes, docs, t, k)
     of_class = classes.select(F.col("a").alias("class")).join(labels.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
     of_class = of_class.select("class", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = sets.join(same, "a", "left").join(of_class, "class", "left")

@@ -113,3 +113,27 @@ def test_sketch_bounds_the_difference():
     f0, f1, s = jaccard.fingerprints(np.array([len(x), len(y)]), np.concatenate([x, y]))
     assert sum(int(v & (2**64 - 1)).bit_count() for v in (s[0] ^ s[1]).astype(object)) <= 40 and f0[0] != f0[1]
     assert jaccard.shingle_sets(pa.array(["a b", "", "A B", "a b c d e f"]))[0].tolist() == [1, 0, 1, 2]
+
+
+def links(rows):
+    """The number of other sets that each row's set is linked with."""
+    different = list({frozenset(shingles(t)) for _, t in rows})
+    near = lambda x, y: x != y and 100 * len(x & y) >= 80 * len(x | y)
+    count = {x: sum(near(x, y) for y in different) for x in different}
+    return [(d, count[frozenset(shingles(t))]) for d, t in rows]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_links_of_many_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(100)]
+    texts = [" ".join([*base[:-1], f"last{i}"]) for i in range(20)]  # all linked with each other
+    slid = [f"s{i}" for i in range(130)]
+    texts += [" ".join(slid[i : i + 100]) for i in range(0, 30, 2)]  # a chain: only neighbours are linked
+    three = [f"t{i}" for i in range(100)]
+    texts += [" ".join(three)] * 40 + [" ".join([*three[:-1], "x"]), " ".join([*three[:-1], "y"])]
+    texts += [" ".join([*(f"p{i}" for i in range(60)), x]) for x in "ab"] + ["alone " * 9, "", "one"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((r.doc_id, r.n_links) for r in jaccard.similar(docs).collect()) == links(rows)
