@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
@@ -483,15 +483,16 @@ def src2_headers_received(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src17_har")
 def src17_har(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A HAR archive per tab, written from the candidate view and read back."""
+    """HAR archives of a tab each, written from the candidate view and read back. A tab with many candidates has several."""
     rows = V.candidates(spark, sf_dir)
     content = F.struct(F.lit("").alias("mimeType"), F.col("bytes").alias("size"), F.base64(F.col("url").cast("binary")).alias("text"), F.lit("base64").alias("encoding"))
     response = F.struct(F.when(F.col("item_seq") % 17 == 0, 404).otherwise(200).alias("status"), F.col("bytes").alias("bodySize"), F.array().cast("array<struct<name:string,value:string>>").alias("headers"), content.alias("content"))
     entry = F.struct(F.lit("2024-01-01T00:00:00Z").alias("startedDateTime"), F.struct("url").alias("request"), response.alias("response"))
-    # a tab's archive is bounded by the index's cap on its items
-    place = F.row_number().over(Window.partitionBy("tab_id").orderBy("item_seq"))
-    entries = rows.withColumn("place", place).where(F.col("place") <= K.MAX_ITEMS_PER_TAB).groupBy("tab_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
-    archives = entries.select(F.col("tab_id").cast("string").alias("archive"), F.to_json(F.struct(F.struct("entries").alias("log"))).alias("text"))
+    # one in ten of the numbers is a tab's, so an archive has at most as many entries as the reader accepts
+    part = F.floor(F.col("item_seq") / (10 * K.MAX_ITEMS_PER_TAB))
+    entries = rows.withColumn("part", part).groupBy("tab_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    name = F.when(F.col("part") == 0, F.col("tab_id").cast("string")).otherwise(F.concat_ws("-", "tab_id", "part"))
+    archives = entries.select(name.alias("archive"), F.to_json(F.struct(F.struct("entries").alias("log"))).alias("text"))
     return har.with_bodies(har.candidates(archives)).select("archive", "pos", "url", "kind", "bytes", "har_body", F.octet_length("body").alias("body_bytes"))
 
 

@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import media
+from lodestone.plans import registry, views
 from lodestone.sources import dom, har, manifests, network, payloads, rules
 from lodestone.streaming import tabs
 
@@ -124,3 +126,12 @@ def test_table_functions(spark):
     df = spark.createDataFrame([(MASTER,)], "body string")
     df.createOrReplaceTempView("manifests_in")
     assert spark.sql("SELECT m.* FROM manifests_in, LATERAL parse_manifest(body, 'https://v/m.m3u8', '') m").count() == 2
+
+
+def test_har_query_reads_every_row(spark, tmp_path):
+    part = spark.range(0, 50_000, 10).selectExpr("id AS p_partkey", "'STEEL' AS p_type", "'red box' AS p_name", "CAST(id / 10 AS INT) % 50 AS p_size", "1000.0D AS p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.url for r in registry.src17_har(spark, str(tmp_path)).collect()}
+    rows = views.candidates(spark, str(tmp_path)).where("item_seq % 17 <> 0")
+    accepted = rows.where((media.classify(F.col("url"), F.lit("")) != "") & (media.rejection_reason(F.col("url"), F.lit(0), F.lit(0), F.col("bytes")) == ""))
+    assert got == {r.url for r in accepted.collect()} and len(got) > 3800
