@@ -1,10 +1,8 @@
-"""Removal of repeated word runs: prefix-partitioned suffix trees, cut at the window's depth.
+"""Removal of repeated word runs, by hashes of windows; no suffix tree is built.
 
-A suffix is a document's words from some place on. Only nodes at least ``window`` words deep matter, so a suffix is cut
-there, and its path of that depth is held as a 64-bit fingerprint: two suffixes share a node of depth ``window`` if and
-only if their paths are equal. Leading bits of the path split the suffixes into groups, and the number of bits follows from
-the corpus' size so that a group fits in memory. A group sorts its paths; a path with two leaves or more is a deep internal
-node, and every leaf of it starts a repeated window. Runs of overlapping repeated windows are the maximal repeats.
+Every run of ``window`` words is held as a 64-bit hash, its path. Leading bits of the path split the windows into groups,
+and the number of bits follows from the corpus' size so that a group fits in memory. A group sorts its paths; one that
+occurs twice or more is a repeated window. Runs of overlapping repeated windows are removed as one.
 
 A task sends a group each path of its block once, with a mark if the block itself has it twice or more, so a passage that
 a third of all documents share costs one value per block. The group answers with one bit per path. Fingerprints of
