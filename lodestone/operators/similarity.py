@@ -9,7 +9,6 @@ display limit of a tab bounds.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from lodestone.functions import media as M
 from lodestone.functions import terms as T
 from lodestone.functions import url as U
 from lodestone.functions.core import let
+from lodestone.storage import checkpointed
 
 
 def with_features(items: DataFrame, **columns: str) -> DataFrame:
@@ -101,28 +101,18 @@ def still_there(selected: DataFrame, items: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (tab_id, seq, ...) with ``root``: the least seq that links (tab_id, a_seq, b_seq) connect. Labels spread by
     minimum with pointer jumping; each round is checkpointed in the folder that the session names."""
-    spark = nodes.sparkSession
-    edges = _cut(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y")).unionAll(links.select("tab_id", F.col("b_seq").alias("x"), F.col("a_seq").alias("y"))).distinct(), spark)
-    label = _cut(nodes.select("tab_id", "seq", F.col("seq").alias("root")), spark)
+    edges = checkpointed(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y")).unionAll(links.select("tab_id", F.col("b_seq").alias("x"), F.col("a_seq").alias("y"))).distinct())
+    label = checkpointed(nodes.select("tab_id", "seq", F.col("seq").alias("root")))
     while True:
         near = edges.join(label.withColumnRenamed("seq", "y"), ["tab_id", "y"]).groupBy("tab_id", F.col("x").alias("seq")).agg(F.min("root").alias("near"))
         hooked = label.join(near, ["tab_id", "seq"], "left").select("tab_id", "seq", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = hooked.select("tab_id", F.col("seq").alias("next"), F.col("next").alias("far"))
-        moved = _cut(hooked.join(jump, ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")), spark)
+        moved = checkpointed(hooked.join(jump, ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")))
         label = moved.drop("was")
         if not moved.where("root <> was").take(1):
             return nodes.join(label, ["tab_id", "seq"])
 
 
-def _cut(df: DataFrame, spark) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; only where that is unset (tests) a local folder is set."""
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestone-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def cluster(items: DataFrame, threshold: float = K.THRESHOLD, limit: int | None = K.MAX_CLUSTERED) -> DataFrame:
     """items with cluster_id (rank of the cluster in its tab: larger first, ties by first member) and cluster_size. Of a tab's
     items the first ``limit`` are clustered; the rest form one cluster of id -1 (unclustered)."""
