@@ -1,46 +1,56 @@
 """Exact Jaccard join of shingle sets by universe partition and pigeonhole.
 
 Sizes fall into bands; a set's partners are in its own band or the next. A band's scheme deals the universe of shingles into
-segments. Sets x and y of Jaccard at least t differ in at most H = (1-t)/(1+t) (x+y) shingles, so with more than H segments
-one is equal in both. The scheme of a pair is that of the larger set's band. A set indexes its segments in its own scheme
-and probes with as many of them as the pigeonhole needs there and in the next scheme. The spare segments that a scheme has
-let a set skip its least selective ones, above all empty ones. Where sets are small, a segment may instead be worth two:
-with its one-deletion neighbourhood (its content, and its content less one shingle) it also matches when one shingle
-differs. ``allocate`` chooses per band between the two and the number of spare segments, by keys written and by the chance
-that a set must probe an empty segment.
-
-Keys meet in key ranges. Up to SMALL sets with a key are paired; of more, each is paired with one hub, and once the links so
-far have made components, only members of different components are paired; that makes the components whole. Links are
-counted afterwards: all classes of a component are compared with each other, in tiles of two blocks. Equal sets are one class from the start: per
-block they send one set's keys. Every candidate is bounded by a 256-bit parity sketch and then verified on the whole sets.
+segments. Sets x and y of Jaccard at least t differ in at most H = (1-t)/(1+t) (x+y) shingles, so of n segments at least
+n - H are equal in both. The scheme of a pair is that of the larger set's band: a set writes the keys of its segments in its
+own scheme and in the next. Where sets are small, a segment may be worth two: with its one-deletion neighbourhood (its
+content, and its content less one shingle) it also matches when one shingle differs, and n - H/2 segments match.
+``allocate`` chooses per band between the two, and the number of segments beyond the least possible, by their cost.
+
+Allocation by frequency. Keys meet in key ranges, whose number grows with the corpus. A key with at most SMALL sets is worth
+all its pairs. A key with more is common, such as a segment that lies in a passage that many documents share; it is worth
+nothing as long as a set can do without it. A pair of which one set has fewer common segments than the pair must share also
+shares a key that is not common, and is found there. What is left are saturated sets, made of common segments throughout:
+in practice the members of large groups of near copies. A saturated set keeps its rarest common keys, as many as a linked
+pair can avoid and one more (prefixes in one order over all sets). Each kept key pairs its members with its hub, the
+member with the largest share of common segments; links make components; then a kept key pairs the members that are still in
+different components. So components are whole, and every link of which one set is not saturated is found as a pair. Links
+between two saturated sets are counted in tiles: the saturated sets of a component are cut into blocks, and a task compares two.
+
+Equal sets are one from the start: a block of documents sends a set once, and equal sets of different blocks are one class.
+Every candidate pair is bounded by sizes and by a 256-bit parity sketch and then verified on the whole sets.
 
 Edge cases: null or empty text has the empty set and links with nothing; with fewer than k words the whole sequence is the
-one shingle; repeated rows are equal sets and form one component; an empty table gives an empty table; a component takes
-its smallest non-null id; only id and text are read, so other columns never clash. Shingles are 64-bit hashes.
+one shingle; repeated rows and ties are equal sets and form one component; an empty table gives an empty table; a component takes
+its smallest non-null id; a very long text is a large set in a block of its own; only id and text are read, so other columns
+never clash. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.shared import documents, mix, pack_sorted, small_batches, text_bytes, unpack_sorted, window_hashes, word_hashes, word_spans, written
 
+#: A key with more sets is common.
 SMALL = 8
-RANGES = 64
+#: Bytes of text behind a key range, and the least number of ranges.
+RANGE_BYTES, MIN_RANGES = 12 << 20, 64
+#: Bytes of text of a block of documents.
+BLOCK_BYTES = 6 << 20
 #: Candidate ids that may be broadcast, of 8 bytes each, when their texts are fetched.
 BROADCAST_IDS = 400_000
 #: A block of a component has about so many sets and shingles at most; a tile compares two blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Columns of a tile that are multiplied at once; counts below 2^24 are exact in 32-bit floats.
 COLUMNS = 4096
 _C1, _C2, _C3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
@@ -133,14 +143,16 @@ def bands_of(sizes: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def keys(sizes: np.ndarray, value: np.ndarray, t: Fraction):
-    """(key, place of the set among the given ones, whether it probes, whether it is indexed) of all sets, in both schemes."""
+    """All keys of sets: (key, place of the set among the given ones, 0 in its own scheme or 1 in the next, segment); and by
+    scheme and set the least number of segments that have a key in common with any set that it links with."""
     out = []
     here = np.flatnonzero(sizes > 0)
     band = np.zeros(len(sizes), np.int64)
     band[here] = bands_of(sizes[here], t)
     content = mix(value ^ _C3)
+    sure = np.zeros((2, len(sizes)), np.int64)
     for up in (0, 1):
-        n_seg, need, worth, salt = (np.zeros(len(sizes), np.int64) for _ in range(4))
+        n_seg, worth, salt = (np.zeros(len(sizes), np.int64) for _ in range(3))
         for b in np.unique(band[here]).tolist():
             low, high, segments, w = scheme(b + up, t)
             for s in np.unique(sizes[here][band[here] == b]).tolist():
@@ -148,81 +160,95 @@ def keys(sizes: np.ndarray, value: np.ndarray, t: Fraction):
                 if partner >= low:
                     rows = sizes == s
                     n_seg[rows], worth[rows], salt[rows] = segments, w, b + up
-                    need[rows] = -(-(differ(s, partner, t) + 1) // w)
-        takes = n_seg > 0
-        member = np.repeat(takes, sizes)
+                    sure[up, rows] = segments - differ(s, partner, t) // w
+        member = np.repeat(n_seg > 0, sizes)
         v, c = value[member], content[member]
         owner = np.repeat(np.arange(len(sizes)), sizes)[member]
         base = np.cumsum(n_seg) - n_seg
         total = int(n_seg.sum())
-        if not total:
-            continue
         slot = base[owner] + ((v >> np.uint64(32)) * n_seg[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         count = np.bincount(slot, minlength=total)
         whole = sums(c[order], count)
         slot_owner = np.repeat(np.arange(len(sizes)), n_seg)
         place = np.arange(total) - base[slot_owner]
-        # the fullest segments of a set probe, as many as it needs
-        rank = np.empty(total, np.int64)
-        by = np.lexsort((-count, slot_owner))
-        rank[by] = np.arange(total) - base[slot_owner[by]]
-        probes = rank < need[slot_owner]
         tag = mix((salt[slot_owner].astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64))
-        kept = np.ones(total, bool) if up == 0 else probes
-        out.append((mix(whole + tag)[kept], slot_owner[kept], probes[kept], np.full(int(kept.sum()), up == 0)))
-        two = (worth[slot_owner] == 2) & kept
-        if two.any():
-            s = slot[order]
-            take = two[s]
-            out.append((mix(whole[s] - c[order] + tag[s])[take], slot_owner[s][take], probes[s][take], np.full(int(take.sum()), up == 0)))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        # keys of no content are common beyond doubt: a set that can do without its segments that have one leaves them out
+        bare = count < worth[slot_owner]
+        left = sure[up] - np.bincount(slot_owner[bare], minlength=len(sizes))
+        leaves = left >= 1
+        sure[up] = np.where(n_seg > 0, np.maximum(left, 1), 0)
+        kept = (count > 0) | ~leaves[slot_owner]
+        out.append((mix(whole + tag)[kept], slot_owner[kept], np.full(int(kept.sum()), up, np.int8), place[kept]))
+        s = slot[order]
+        two = (worth[slot_owner[s]] == 2) & ((count[s] > 1) | ~leaves[slot_owner[s]])
+        s, less = s[two], order[two]
+        out.append((mix(whole[s] - c[less] + tag[s]), slot_owner[s], np.full(len(s), up, np.int8), place[s]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)), sure
 
 
 # ---------------------------------------------------------------- candidates
 
 _SKETCH = ("s0", "s1", "s2", "s3")
-_SENT = "range int, block long, sets binary, keys binary, members binary, flags binary"
-_MET = "kind int, a long, b long, doc_id long, n long, f0 long, f1 long, s0 long, s1 long, s2 long, s3 long, probes boolean, indexed boolean"
+_SENT = "range int, block long, sets binary, docs binary, keys binary, members binary, places binary, ups binary"
+_MET = "kind int, a long, b long, doc_id long, n long, f0 long, f1 long, s0 long, s1 long, s2 long, s3 long, sure0 long, sure1 long, up byte"
+_SETS = ("n", "f0", "f1", *_SKETCH, "sure0", "sure1")
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split(" ")[0] for x in ddl.split(", ")]
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers by the least width that holds them, which comes first."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if x.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _widened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]], offset=1).astype(np.int64)
 
 
-def _send(docs: DataFrame, t: Fraction, k: int, key_bits: int) -> DataFrame:
-    """A row per key range and block with the block's keys; and one (range below 0) with its sets' numbers and sketches."""
-    shift = np.uint64(64 - key_bits)
+def _send(docs: DataFrame, t: Fraction, k: int, key_bits: int, range_bits: int) -> DataFrame:
+    """A row per key range and block with the keys of the block's different sets; and one (range below 0) with its sets
+    (number, sketch, least id) and its documents (id, set)."""
+    shift, ranges = np.uint64(64 - key_bits), 1 << range_bits
 
     def run(batches):
         task, n = TaskContext.get().partitionId(), 0
-        for b in small_batches(batches, 1 << 20, 8 << 20):
+        for b in small_batches(batches, 1 << 20, BLOCK_BYTES):
             sizes, value = shingle_sets(b.column(1), k)
             f0, f1, sketch = fingerprints(sizes, value)
             block = task << 40 | n << 20
-            n += 1
             ids = b.column(0)
-            known = np.array([x is not None for x in ids.to_pylist()], bool)
-            table = np.column_stack([ids.fill_null(0).to_numpy().view(np.int64), known.astype(np.int64), sizes, f0.view(np.int64), f1.view(np.int64), sketch])
-            rows = [(-1 - n % RANGES, block, table.tobytes(), b"", b"", b"")]
-            # of equal sets of the block one sends its keys
-            _, first = np.unique(np.column_stack([f0, f1]), axis=0, return_index=True)
-            some = np.zeros(len(sizes), bool)
-            some[first] = True
-            some &= sizes > 0
-            chosen = np.flatnonzero(some)
-            key, member, probes, indexed = keys(sizes[chosen], value[np.repeat(some, sizes)], t)
-            member = chosen[member] if len(member) else member
+            known = ~np.asarray(ids.is_null())
+            ids = ids.fill_null(0).to_numpy().view(np.int64)
+            # the different sets, each with its least id
+            order = np.lexsort((ids, ~known, f1, f0, sizes))
+            new = np.append(True, (sizes[order][1:] != sizes[order][:-1]) | (f0[order][1:] != f0[order][:-1]) | (f1[order][1:] != f1[order][:-1]))
+            first = order[new]
+            number = np.empty(len(sizes), np.int64)
+            number[order] = np.cumsum(new) - 1
+            own = np.zeros(len(sizes), bool)
+            own[first] = True
+            mine = np.repeat(own, sizes)
+            chosen = np.flatnonzero(own)  # in order of arrival
+            (key, member, up, place), sure = keys(sizes[chosen], value[mine], t)
+            member = number[chosen][member]
+            table = np.column_stack([ids[chosen], known[chosen].astype(np.int64), number[chosen], sizes[chosen], f0[chosen].view(np.int64), f1[chosen].view(np.int64), sketch[chosen], sure.T])
+            documents_ = np.column_stack([ids, known.astype(np.int64), number, sizes])
+            rows = [(-1 - (task * 31 + n) % ranges, block, table.tobytes(), documents_.tobytes(), b"", b"", b"", b"")]
+            n += 1
             key >>= shift
             order = np.argsort(key, kind="stable")
-            key, member, probes, indexed = key[order], member[order].astype(np.uint32 if len(sizes) > 65535 else np.uint16), probes[order], indexed[order]
-            at = np.searchsorted(key, np.arange(1, RANGES).astype(np.uint64) << np.uint64(key_bits - RANGES.bit_length() + 1))
-            cuts = [0, *at.tolist(), len(key)]
-            for r in range(RANGES):
+            key, member, up, place = key[order], member[order], up[order], place[order]
+            cuts = [0, *np.searchsorted(key, np.arange(1, ranges).astype(np.uint64) << np.uint64(key_bits - range_bits)).tolist(), len(key)]
+            for r in range(ranges):
                 a, z = cuts[r], cuts[r + 1]
                 if a < z:
-                    flags = np.packbits(np.concatenate([probes[a:z], indexed[a:z]])).tobytes()
-                    rows.append((r, block, b"", pack_sorted(key[a:z]), bytes([member.itemsize]) + member[a:z].tobytes(), flags))
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in _SENT.split(", ")])
+                    rows.append((r, block, b"", b"", pack_sorted(key[a:z]), _narrow(member[a:z]), _narrow(place[a:z]), np.packbits(up[a:z]).tobytes()))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_SENT))
 
     return docs.mapInArrow(run, _SENT)
 
@@ -231,82 +257,82 @@ def _row_table(rows: int, /, **columns) -> pa.Table:
     """A table of _MET with the given columns and nulls elsewhere."""
     out = {}
     for name, kind in (x.split(" ") for x in _MET.split(", ")):
-        t = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[kind]
+        t = {"int": pa.int32(), "long": pa.int64(), "byte": pa.int8()}[kind]
         out[name] = pa.array(columns[name], t) if name in columns else pa.nulls(rows, t)
     return pa.table(out)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """kind 0: the sets (a: number). kind 1: candidate pairs (a < b). kind 2: members (b) of a key (a) with many."""
+    """kind 0: sets (a: number). kind 1: candidate pairs (a < b). kind 2: sets (b) of a common key (a), with scheme and
+    segment (n). kind 3: documents and their sets (a)."""
     if table.column("range")[0].as_py() < 0:
         parts = []
-        for block, sets in zip(table.column("block").to_pylist(), table.column("sets").to_pylist(), strict=True):
-            x = np.frombuffer(sets, np.int64).reshape(-1, 9)
-            ids = pa.array(x[:, 0], mask=x[:, 1] == 0)
-            own = {name: x[:, 3 + i] for i, name in enumerate(("f0", "f1", *_SKETCH))}
-            parts.append(_row_table(len(x), kind=np.zeros(len(x), np.int32), a=block + np.arange(len(x)), doc_id=ids, n=x[:, 2], **own))
+        for block, sets, docs in zip(*(table.column(c).to_pylist() for c in ("block", "sets", "docs")), strict=True):
+            x, d = np.frombuffer(sets, np.int64).reshape(-1, 12), np.frombuffer(docs, np.int64).reshape(-1, 4)
+            own = {name: x[:, 3 + i] for i, name in enumerate(_SETS)}
+            parts.append(_row_table(len(x), kind=np.zeros(len(x), np.int32), a=block + x[:, 2], doc_id=pa.array(x[:, 0], mask=x[:, 1] == 0), **own))
+            parts.append(_row_table(len(d), kind=np.full(len(d), 3, np.int32), a=block + d[:, 2], doc_id=pa.array(d[:, 0], mask=d[:, 1] == 0), n=d[:, 3]))
         return pa.concat_tables(parts)
-    key, member, probes, indexed = [], [], [], []
-    for block, k, m, f in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "members", "flags")), strict=True):
+    key, member, up, place = [], [], [], []
+    for block, k, m, p, u in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "members", "places", "ups")), strict=True):
         own = unpack_sorted(k)
         key.append(own)
-        member.append(block + np.frombuffer(m, np.uint16 if m[0] == 2 else np.uint32, offset=1).astype(np.int64))
-        bits = np.unpackbits(np.frombuffer(f, np.uint8), count=2 * len(own)).astype(bool)
-        probes.append(bits[: len(own)])
-        indexed.append(bits[len(own) :])
-    key, member, probes, indexed = (np.concatenate(x) for x in (key, member, probes, indexed))
+        member.append(block + _widened(m))
+        place.append(_widened(p))
+        up.append(np.unpackbits(np.frombuffer(u, np.uint8), count=len(own)).view(np.int8))
+    key, member, place, up = (np.concatenate(x) for x in (key, member, place, up))
     order = np.argsort(key, kind="stable")
-    key, member, probes, indexed = key[order], member[order], probes[order], indexed[order]
+    key, member, place, up = key[order], member[order], place[order], up[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(start, len(key)))
-    useful = (size > 1) & np.logical_or.reduceat(probes, start) & np.logical_or.reduceat(indexed, start)
+    useful = (size > 1) & (np.minimum.reduceat(up, start) == 0)  # sets that all only look ahead meet in their own scheme
     start, size = start[useful], size[useful]
-    pairs, many, seen = [], [], set()
+    pairs = []
     for n in range(2, SMALL + 1):
         rows = start[size == n][:, None] + np.arange(n)
         if len(rows):
             i, j = np.triu_indices(n, 1)
-            m, p, x = member[rows], probes[rows], indexed[rows]
-            ok = (p[:, i] & x[:, j]) | (p[:, j] & x[:, i])
+            m, u = member[rows], up[rows]
+            ok = (u[:, i] & u[:, j]) == 0
             pairs.append(np.column_stack([m[:, i][ok], m[:, j][ok]]))
-    for a, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        m, p, x = member[a : a + n], probes[a : a + n], indexed[a : a + n]
-        order = np.argsort(m, kind="stable")
-        m, p, x = m[order], p[order], x[order]
-        mark = hashlib.blake2b(m.tobytes() + p.tobytes() + x.tobytes(), digest_size=16).digest()
-        if mark in seen:  # another segment with the very same members
-            continue
-        seen.add(mark)
-        hub = int(m[np.flatnonzero(p & x)[0]]) if (p & x).any() else int(m[np.flatnonzero(x)[0]])
-        pairs.append(np.column_stack([np.full(n, hub), m]))
-        many.append((int(key[a]), m, p, x))
     out = []
     if pairs:
         both = np.concatenate(pairs)
-        both = np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0)
+        both = np.sort(both[both[:, 0] != both[:, 1]], axis=1)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))[: len(both)]]
         out.append(_row_table(len(both), kind=np.ones(len(both), np.int32), a=both[:, 0], b=both[:, 1]))
-    for k, m, p, x in many:
-        out.append(_row_table(len(m), kind=np.full(len(m), 2, np.int32), a=np.full(len(m), k, np.int64), b=m, probes=p, indexed=x))
-    return pa.concat_tables(out) if out else _row_table(0)
+    many = np.flatnonzero(np.repeat(size > SMALL, size))
+    at = (np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))[many]
+    out.append(_row_table(len(at), kind=np.full(len(at), 2, np.int32), a=key[at].view(np.int64), b=member[at], n=place[at], up=up[at]))
+    return pa.concat_tables(out)
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of set classes whose sizes and sketches allow a link, with ids and fingerprints of both."""
-    side = lambda p: sets.select(F.col("a").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "n", "f0", "f1", *_SKETCH)))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_n") + F.col("b_n")
+def _possible(t: Fraction, x: str, y: str):
+    """Whether sizes and sketches of two sets allow a link; x, y: what their columns' names begin with."""
     num, den = t.numerator, t.denominator
-    sketch = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH))
-    sizes = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
-    return both.where(sizes & (sketch * (den + num) <= total * (den - num)))
+    col = lambda side, c: F.col(f"{side}_{c}")
+    sketch = functools.reduce(lambda p, q: p + q, (F.bit_count(col(x, s).bitwiseXOR(col(y, s))) for s in _SKETCH))
+    sizes = (col(x, "n") * den >= col(y, "n") * num) & (col(y, "n") * den >= col(x, "n") * num)
+    return sizes & (sketch * (den + num) <= (col(x, "n") + col(y, "n")) * (den - num))
+
+
+def _side(table: DataFrame, key: str, side: str, *more: str) -> DataFrame:
+    """The columns of a pair's one side: its key as ``side``, others with its name before theirs."""
+    return table.select(F.col(key).alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH, *more)))
+
+
+def _pair(x: str, y: str) -> tuple:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _found(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """f0, f1, set of the texts with these ids and of those without an id."""
-    ids = written(ids.where("doc_id is not null").distinct(), "ids")
+def _blobs(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """class, set of the wanted classes: their sets are made again from the texts of their least ids, or of those without an id."""
+    wanted = written(classes.join(wanted.distinct(), "class", "left_semi").select("class", "doc_id", "f0", "f1"), "wanted")
+    ids = wanted.where("doc_id is not null").select("doc_id").distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
@@ -318,15 +344,14 @@ def _found(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             packed = [pack_sorted(value[z - n : z]) for n, z in zip(sizes.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(f0.view(np.int64)), pa.array(f1.view(np.int64)), pa.array(packed, pa.binary())], names=["f0", "f1", "set"])
 
-    found = texts.mapInArrow(blobs, "f0 long, f1 long, set binary")
-    return written(found.dropDuplicates(["f0", "f1"]) if not few else found, "sets").groupBy("f0", "f1").agg(F.first("set").alias("set"))
+    found = texts.mapInArrow(blobs, "f0 long, f1 long, set binary").join(wanted.select("class", "f0", "f1"), ["f0", "f1"])
+    return written(found.groupBy("class").agg(F.first("set").alias("set")), "sets")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
-    """a, b of the pairs whose sets are similar enough: the sets are made again from the texts of the candidates."""
-    found = _found(pairs.select(F.explode(F.array("a_doc_id", "b_doc_id")).alias("doc_id")), docs, k)
-    side = lambda p: found.select(F.col("f0").alias(f"{p}_f0"), F.col("f1").alias(f"{p}_f1"), F.col("set").alias(f"{p}_set"))
-    both = pairs.select("a", "b", "a_f0", "a_f1", "b_f0", "b_f1").join(side("a"), ["a_f0", "a_f1"]).join(side("b"), ["b_f0", "b_f1"]).select("a", "b", "a_set", "b_set")
+def _links(pairs: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
+    """a, b of the pairs whose sets are similar enough."""
+    side = lambda p: blobs.select(F.col("class").alias(p), F.col("set").alias(f"{p}_set"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
     num, den = t.numerator, t.denominator
 
     def verify(batches):
@@ -395,67 +420,101 @@ def _tile(table: pa.Table, t: Fraction) -> pa.Table:
     return pa.table({"class": np.concatenate([np.zeros(0, np.int64), *nodes]), "n": np.concatenate([np.zeros(0, np.int64), *counts])})
 
 
-def _degrees(labels: DataFrame, classes: DataFrame, docs: DataFrame, t: Fraction, k: int) -> DataFrame:
-    """class, n_links: links with other classes, all of which are in its component. Two classes that are one have one link."""
-    members = labels.withColumnRenamed("node", "class").join(classes.select(F.col("a").alias("class"), "doc_id", "n", "f0", "f1"), "class")
-    sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+def _tiled(labels: DataFrame, saturated: DataFrame, classes: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
+    """class, n: links of saturated sets with other saturated ones, all of which are in their component."""
+    members = labels.withColumnRenamed("node", "class").join(saturated, "class", "left_semi").join(classes.select("class", F.col("n").alias("weight")), "class")
+    sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
-    members = written(members.join(sized.select("label", "size", blocks.alias("blocks")), "label"), "members")
-    more = members.where("size > 2")
-    bundles = max(RANGES, (more.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
-    more = more.select("label", "class", "blocks", "f0", "f1", F.pmod(F.xxhash64("class"), "blocks").alias("block"), "doc_id")
-    rows = more.drop("doc_id").join(_found(more.select("doc_id"), docs, k), ["f0", "f1"])
+    members = written(members.join(sized.select("label", blocks.alias("blocks")), "label"), "members")
+    bundles = max(MIN_RANGES, (members.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES)
+    rows = members.select("label", "class", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block")).join(blobs, "class")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "set", "blocks")
     # small components share a group
     tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bundles))).otherwise(F.xxhash64("label", "i", "j"))
-    counted = rows.withColumn("tile", tile).drop("blocks").groupBy("tile").applyInArrow(lambda table: _tile(table, t), "class long, n long")
-    degree = counted.groupBy("class").agg(F.sum("n").alias("n_links"))
-    return written(degree.unionByName(members.where("size = 2").select("class", F.lit(1).cast("long").alias("n_links"))), "degree")
+    return rows.withColumn("tile", tile).drop("blocks").groupBy("tile").applyInArrow(lambda table: _tile(table, t), "class long, n long")
+
+
+def _common_keys(met: DataFrame, same: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, class, up) of keys that few classes have after all; and of the common keys that saturated classes keep, with
+    the class's share of common segments."""
+    many = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("a"), "up", F.col("n").alias("place"))
+    many = many.join(same.select("a", "class"), "a").groupBy("key", "class").agg(F.min("up").alias("up"), F.min("place").alias("place"))
+    counts = many.groupBy("key").agg(F.count("*").alias("sets"), F.min("up").alias("least")).where("sets > 1 and least = 0").drop("least")
+    many = written(many.join(counts, "key"), "many")
+    hot = many.where(F.col("sets") > SMALL)
+    sure = F.when(F.col("up") == 0, F.col("sure0")).otherwise(F.col("sure1"))
+    full = hot.groupBy("class", "up").agg(F.count_distinct("place").alias("segments"), F.count("*").alias("keys"))
+    full = full.join(classes.select("class", "sure0", "sure1"), "class").where(F.col("segments") >= F.greatest(sure, F.lit(1)))
+    full = full.select("class", "up", (F.col("keys") - F.greatest(sure, F.lit(1)) + 1).alias("quota"), (F.col("segments") / F.greatest(sure, F.lit(1))).alias("share"))
+    rank = F.row_number().over(Window.partitionBy("class", "up").orderBy("sets", "key"))
+    kept = hot.join(full, ["class", "up"]).withColumn("rank", rank).where("rank <= quota").select("key", "class", "up", "share")
+    return many.where(F.col("sets") <= SMALL).select("key", "class", "up"), written(kept, "common")
+
+
+def _meetings(rows: DataFrame, classes: DataFrame, t: Fraction, *differing: str) -> DataFrame:
+    """Pairs (a, b) of classes that share a key, may link, and differ in the given columns."""
+    rows = rows.join(classes.select("class", "n", *_SKETCH), "class")
+    x, y = (rows.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("class", "up", "n", *_SKETCH, *differing))) for p in "xy")
+    apart = functools.reduce(lambda p, q: p & q, (F.col(f"x_{c}") != F.col(f"y_{c}") for c in differing), F.col("x_class") < F.col("y_class"))
+    both = x.join(y, (x.key == y.key) & apart & (F.col("x_up") + F.col("y_up") < 2) & _possible(t, "x", "y"))
+    return both.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
 
 
 def similar(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (links of its set with other sets)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other sets that its set links with)."""
     t = Fraction(percent, 100)
     docs = documents(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     key_bits = min(62, max(40, 2 * max(1, size // 12).bit_length() - 12))
-    met = written(_send(docs, t, k, key_bits).groupBy("range").applyInArrow(_meet, _MET), "met")
-    sets = met.where("kind = 0").select("a", "doc_id", "n", "f0", "f1", *_SKETCH)
-    # classes of equal sets, by their first row
-    whole = sets.where("n > 0").groupBy("n", "f0", "f1").agg(F.min("a").alias("a"), F.min_by("doc_id", "a").alias("doc_id"), *(F.first(s).alias(s) for s in _SKETCH))
-    classes = written(whole, "classes")
-    same = written(sets.where("n > 0").select("a", "n", "f0", "f1").join(classes.select("n", "f0", "f1", F.col("a").alias("class")), ["n", "f0", "f1"]).select("a", "class"), "same")
-
-    def of_classes(pairs: DataFrame) -> DataFrame:
-        x, y = (same.select(F.col("a").alias(c), F.col("class").alias(f"{c}_class")) for c in ("a", "b"))
-        to = pairs.join(x, "a").join(y, "b").select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
-        return to.where("a <> b").distinct()
-
-    first = written(_bounded(of_classes(met.where("kind = 1").select("a", "b")), classes, t), "first")
-    links = _links(first, docs, t, k)
+    range_bits = (max(MIN_RANGES, size // RANGE_BYTES) - 1).bit_length()
+    met = written(_send(docs, t, k, key_bits, range_bits).groupBy("range").applyInArrow(_meet, _MET), "met")
+    sets = met.where("kind = 0 and n > 0").select("a", "doc_id", *_SETS)
+    own = sets.groupBy("n", "f0", "f1").agg(F.min("a").alias("class"), F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in _SETS[3:]))
+    classes = written(own, "classes")
+    same = written(sets.select("a", "n", "f0", "f1", *_SKETCH).join(classes.select("n", "f0", "f1", "class"), ["n", "f0", "f1"]), "same")
+    small = met.where("kind = 1").select("a", "b").join(_side(same, "a", "a", "class"), "a").join(_side(same, "a", "b", "class"), "b")
+    small = small.where((F.col("a_class") != F.col("b_class")) & _possible(t, "a", "b")).select(*_pair("a_class", "b_class"))
+    few, common_ = _common_keys(met, same, classes)
+    hubs = common_.groupBy("key").agg(F.max_by("class", F.struct("share", "class")).alias("hub"))
+    to_hub = common_.join(hubs, "key").where("class <> hub").select(*_pair("class", "hub")).distinct()
+    to_hub = to_hub.join(_side(classes, "class", "a"), "a").join(_side(classes, "class", "b"), "b").where(_possible(t, "a", "b")).select("a", "b")
+    first = written(small.unionByName(_meetings(few, classes, t)).unionByName(to_hub).distinct(), "first")
+    saturated = common_.select("class").distinct()
+    blobs = _blobs(first.select(F.explode(F.array("a", "b")).alias("class")).unionByName(saturated), classes, docs, k)
+    links = _links(first, blobs, t)
     labels = components(links)
-    # keys with many members: pairs of what is not yet connected
-    many = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("a"), "probes", "indexed").join(same, "a")
-    many = many.groupBy("key", "class").agg(F.max("probes").alias("probes"), F.max("indexed").alias("indexed"))
-    many = many.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = many.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    many = written(many.join(mixed, "key", "left_semi").join(classes.select(F.col("a").alias("class"), "n", *_SKETCH), "class"), "many")
-    x, y = (many.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("class", "label", "probes", "indexed", "n", *_SKETCH))) for p in "xy")
-    total, sketch = F.col("x_n") + F.col("y_n"), functools.reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in _SKETCH))
-    more = x.where("x_probes").join(
-        y.where("y_indexed"),
-        (x.key == y.key) & (F.col("x_label") != F.col("y_label")) & (sketch * (t.denominator + t.numerator) <= total * (t.denominator - t.numerator))
-        & (F.col("x_n") * t.denominator >= F.col("y_n") * t.numerator) & (F.col("y_n") * t.denominator >= F.col("x_n") * t.numerator),
-    )
-    more = more.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = written(_bounded(more, classes, t), "second")
-    if second.take(1):
-        links = written(links.unionByName(_links(second, docs, t, k)), "links")
+    # common keys once more: pairs of what is not yet connected
+    apart = common_.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    second = _meetings(apart.join(mixed, "key", "left_semi"), classes, t, "label").distinct().join(first, ["a", "b"], "left_anti")
+    second = written(second, "second")
+    more = _links(second, blobs, t)
+    if more.take(1):
+        links = written(links.unionByName(more), "links")
         labels = components(links)
-    degree = _degrees(labels, classes, docs, t, k)
-    of_class = classes.select(F.col("a").alias("class")).join(labels.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
-    of_class = of_class.select("class", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = sets.join(same, "a", "left").join(of_class, "class", "left")
-    least = written(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "least")
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    marked = saturated.withColumn("yes", F.lit(True))
+    found = links.join(marked.select(F.col("class").alias("a"), F.col("yes").alias("a_yes")), "a", "left").join(marked.select(F.col("class").alias("b"), F.col("yes").alias("b_yes")), "b", "left")
+    found = found.where("a_yes is null or b_yes is null").select(F.explode(F.array("a", "b")).alias("class"), F.lit(1).cast("long").alias("n"))
+    degree = found.unionByName(_tiled(labels, saturated, classes, blobs, t)).groupBy("class").agg(F.sum("n").alias("n_links"))
+    of_class = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.drop("doc_id").join(least, "label").join(degree, "class", "left")
+    answers = written(same.select("a", "class").join(of_class, "class").select("a", "label", "component_id", "n_links"), "answers")
+    rows = met.where("kind = 3").select("a", "doc_id", F.col("n").alias("n_shingles")).join(answers, "a", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: of the rows with its least non-null id, the first. Rows are told apart by a number of
+    their own, so ids may repeat or be null; rows without a shingle stay."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    near = similar(numbered, percent, k, row, text_col).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    near = written(near.join(near.where(F.col(row) != F.col("group")).select("group").distinct(), "group", "left_semi"), "near")
+    ids = near.join(numbered.select(F.col(row), F.col(id_col).alias("id")), row)
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first"))
+    gone = written(ids.join(first, "group").where(F.col(row) != F.col(f"first.{row}")).select(row), "gone")
+    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, row, "left_anti").drop(row)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.storage import shared_base
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below spark.checkpoint.dir. Only where that is unset (tests) a local folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
+    """A fresh folder name in the folder that the driver and all executors share."""
+    return f"{shared_base(spark)}/lodestone/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -45,6 +44,14 @@ def small_batches(batches, max_rows: int = 2048, max_bytes: int = 8 << 20):
         step = max(1, min(max_rows, int(rows * max_bytes / max(batch.nbytes, 1))))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and each operator would add what it once needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

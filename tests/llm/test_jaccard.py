@@ -68,10 +68,11 @@ def test_pigeonhole_covers_every_linked_pair():
         common = len(np.intersect1d(x, y))
         if not len(y) or 100 * common < 80 * (len(x) + len(y) - common):
             continue
-        key, member, probes, indexed = jaccard.keys(np.array([len(x), len(y)]), np.concatenate([x, y]), t)
-        a, b = member == 0, member == 1
-        hit = set(key[a & probes].tolist()) & set(key[b & indexed].tolist()) or set(key[b & probes].tolist()) & set(key[a & indexed].tolist())
-        assert hit, (len(x), len(y), common)
+        (key, member, up, place), sure = jaccard.keys(np.array([len(x), len(y)]), np.concatenate([x, y]), t)
+        sent = [{(int(k), int(p)): int(u) for k, u, p in zip(key[member == i], up[member == i], place[member == i])} for i in (0, 1)]
+        shared = [(k, p) for k, p in sent[0] if (k, p) in sent[1] and sent[0][k, p] + sent[1][k, p] < 2]
+        schemes = {(sent[0][s], sent[1][s]): {p for k, p in shared if (sent[0][k, p], sent[1][k, p]) == (sent[0][s], sent[1][s])} for s in shared}
+        assert any(len(places) >= max(sure[a, 0], sure[b, 1]) >= 1 for (a, b), places in schemes.items()), (len(x), len(y), common)
 
 
 def test_small_sets_use_neighbourhoods():
@@ -95,6 +96,8 @@ def test_edges(spark, monkeypatch):
     rows += [(300, " ".join(f"l{i}" for i in range(40000))), (301, " ".join(f"l{i}" for i in range(39000)))]
     monkeypatch.setattr(jaccard, "SMALL", 2)
     compare(spark, rows)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    compare(spark, rows)
     docs = spark.createDataFrame(rows[:3], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     assert jaccard.similar(docs.limit(0)).collect() == []
@@ -137,3 +140,28 @@ def test_links_of_many_near_copies(spark, monkeypatch, block):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert sorted((r.doc_id, r.n_links) for r in jaccard.similar(docs).collect()) == links(rows)
+
+
+def test_common_passages(spark, monkeypatch):
+    """Most segments lie in a passage that all documents share: sets are saturated without being similar."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(passage + [f"o{rng.randint(0, 10**6)}" for _ in range(rng.choice([8, 12, 16, 24, 40, 80]))]) for _ in range(60)]
+    texts += [" ".join(x.split()[:-1]) for x in texts[:20]]
+    rows = list(enumerate(texts))
+    compare(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_links) for r in jaccard.similar(docs).collect()) == links(rows)
+
+
+def test_representatives_are_rows(spark, monkeypatch):
+    """Ids that repeat or are null: rows are chosen, not ids. Other columns stay, whatever their names."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(5, base, 1), (5, other, 2), (7, base + " tail", 3), (None, base, 4), (None, other + " x", 5), (None, "alone", 6), (9, None, 7), (9, "", 8), (4, "two words", 9), (4, "two words", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").coalesce(1)
+    for few in (jaccard.BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+        out = jaccard.representatives(docs)
+        assert out.columns == docs.columns and sorted(r.row for r in out.collect()) == [1, 2, 6, 7, 8, 9]
