@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: language ID, quality rules, near-duplicate removal, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. A null text is an empty one, which the first stage rejects;
-rows without an id are never anyone's near duplicate to remove; an empty table passes through all stages.
+one's docs. All but the last return the columns of documents and leave out others. A null text is an empty one, which the
+first stage rejects; rows without an id take part like others, after those with one; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -35,10 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once."""
-    removed = jaccard.similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(removed, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of near duplicates the first row with the smallest id; ids may repeat."""
+    return jaccard.representatives(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
