@@ -8,7 +8,8 @@ content, and its content less one shingle) it also matches when one shingle diff
 ``allocate`` chooses per band between the two, and the number of segments beyond the least possible, by their cost.
 
 Allocation by frequency. Keys meet in key ranges, whose number grows with the corpus. A key with at most SMALL sets is worth
-all its pairs. A key with more is common, such as a segment that lies in a passage that many documents share; it is worth
+all its pairs; a pair stays a candidate if the keys that it shares, and all common keys of either set, are as many as it must
+share. A key with more is common, such as a segment that lies in a passage that many documents share; it is worth
 nothing as long as a set can do without it. A pair of which one set has fewer common segments than the pair must share also
 shares a key that is not common, and is found there. What is left are saturated sets, made of common segments throughout:
 in practice the members of large groups of near copies. A saturated set keeps its rarest common keys, as many as a linked
@@ -143,7 +144,7 @@ def bands_of(sizes: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def keys(sizes: np.ndarray, value: np.ndarray, t: Fraction):
-    """All keys of sets: (key, place of the set among the given ones, 0 in its own scheme or 1 in the next, segment); and by
+    """All keys of sets: (key, place of the set among the given ones, 0 in its own scheme or 1 in the next); and by
     scheme and set the least number of segments that have a key in common with any set that it links with."""
     out = []
     here = np.flatnonzero(sizes > 0)
@@ -179,18 +180,18 @@ def keys(sizes: np.ndarray, value: np.ndarray, t: Fraction):
         leaves = left >= 1
         sure[up] = np.where(n_seg > 0, np.maximum(left, 1), 0)
         kept = (count > 0) | ~leaves[slot_owner]
-        out.append((mix(whole + tag)[kept], slot_owner[kept], np.full(int(kept.sum()), up, np.int8), place[kept]))
+        out.append((mix(whole + tag)[kept], slot_owner[kept], np.full(int(kept.sum()), up, np.int8)))
         s = slot[order]
         two = (worth[slot_owner[s]] == 2) & ((count[s] > 1) | ~leaves[slot_owner[s]])
         s, less = s[two], order[two]
-        out.append((mix(whole[s] - c[less] + tag[s]), slot_owner[s], np.full(len(s), up, np.int8), place[s]))
+        out.append((mix(whole[s] - c[less] + tag[s]), slot_owner[s], np.full(len(s), up, np.int8)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)), sure
 
 
 # ---------------------------------------------------------------- candidates
 
 _SKETCH = ("s0", "s1", "s2", "s3")
-_SENT = "range int, block long, sets binary, docs binary, keys binary, members binary, places binary, ups binary"
+_SENT = "range int, block long, sets binary, docs binary, keys binary, members binary, ups binary"
 _MET = "kind int, a long, b long, doc_id long, n long, f0 long, f1 long, s0 long, s1 long, s2 long, s3 long, sure0 long, sure1 long, up byte"
 _SETS = ("n", "f0", "f1", *_SKETCH, "sure0", "sure1")
 
@@ -233,21 +234,21 @@ def _send(docs: DataFrame, t: Fraction, k: int, key_bits: int, range_bits: int)
             own[first] = True
             mine = np.repeat(own, sizes)
             chosen = np.flatnonzero(own)  # in order of arrival
-            (key, member, up, place), sure = keys(sizes[chosen], value[mine], t)
+            (key, member, up), sure = keys(sizes[chosen], value[mine], t)
             member = number[chosen][member]
             table = np.column_stack([ids[chosen], known[chosen].astype(np.int64), number[chosen], sizes[chosen], f0[chosen].view(np.int64), f1[chosen].view(np.int64), sketch[chosen], sure.T])
             documents_ = np.column_stack([ids, known.astype(np.int64), number, sizes])
-            rows = [(-1 - (task * 31 + n) % ranges, block, table.tobytes(), documents_.tobytes(), b"", b"", b"", b"")]
+            rows = [(-1 - (task * 31 + n) % ranges, block, table.tobytes(), documents_.tobytes(), b"", b"", b"")]
             n += 1
             key >>= shift
             order = np.argsort(key, kind="stable")
-            key, member, up, place = key[order], member[order], up[order], place[order]
+            key, member, up = key[order], member[order], up[order]
             cuts = [0, *np.searchsorted(key, np.arange(1, ranges).astype(np.uint64) << np.uint64(key_bits - range_bits)).tolist(), len(key)]
             for r in range(ranges):
                 a, z = cuts[r], cuts[r + 1]
                 if a < z:
-                    rows.append((r, block, b"", b"", pack_sorted(key[a:z]), _narrow(member[a:z]), _narrow(place[a:z]), np.packbits(up[a:z]).tobytes()))
-            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+                    rows.append((r, block, b"", b"", pack_sorted(key[a:z]), _narrow(member[a:z]), np.packbits(up[a:z]).tobytes()))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_SENT))
 
     return docs.mapInArrow(run, _SENT)
@@ -263,8 +264,8 @@ def _row_table(rows: int, /, **columns) -> pa.Table:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """kind 0: sets (a: number). kind 1: candidate pairs (a < b). kind 2: sets (b) of a common key (a), with scheme and
-    segment (n). kind 3: documents and their sets (a)."""
+    """kind 0: sets (a: number). kind 1: candidate pairs (a < b), with the number of keys that they share (n) and whose next
+    scheme it is (up; 0: neither's, 1: a's, 2: b's). kind 2: sets (b) of a common key (a), with scheme. kind 3: documents and their sets (a)."""
     if table.column("range")[0].as_py() < 0:
         parts = []
         for block, sets, docs in zip(*(table.column(c).to_pylist() for c in ("block", "sets", "docs")), strict=True):
@@ -273,16 +274,15 @@ def _meet(table: pa.Table) -> pa.Table:
             parts.append(_row_table(len(x), kind=np.zeros(len(x), np.int32), a=block + x[:, 2], doc_id=pa.array(x[:, 0], mask=x[:, 1] == 0), **own))
             parts.append(_row_table(len(d), kind=np.full(len(d), 3, np.int32), a=block + d[:, 2], doc_id=pa.array(d[:, 0], mask=d[:, 1] == 0), n=d[:, 3]))
         return pa.concat_tables(parts)
-    key, member, up, place = [], [], [], []
-    for block, k, m, p, u in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "members", "places", "ups")), strict=True):
+    key, member, up = [], [], []
+    for block, k, m, u in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "members", "ups")), strict=True):
         own = unpack_sorted(k)
         key.append(own)
         member.append(block + _widened(m))
-        place.append(_widened(p))
         up.append(np.unpackbits(np.frombuffer(u, np.uint8), count=len(own)).view(np.int8))
-    key, member, place, up = (np.concatenate(x) for x in (key, member, place, up))
+    key, member, up = (np.concatenate(x) for x in (key, member, up))
     order = np.argsort(key, kind="stable")
-    key, member, place, up = key[order], member[order], place[order], up[order]
+    key, member, up = key[order], member[order], up[order]
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(start, len(key)))
     useful = (size > 1) & (np.minimum.reduceat(up, start) == 0)  # sets that all only look ahead meet in their own scheme
@@ -294,17 +294,20 @@ def _meet(table: pa.Table) -> pa.Table:
             i, j = np.triu_indices(n, 1)
             m, u = member[rows], up[rows]
             ok = (u[:, i] & u[:, j]) == 0
-            pairs.append(np.column_stack([m[:, i][ok], m[:, j][ok]]))
+            pairs.append(np.column_stack([m[:, i][ok], m[:, j][ok], u[:, i][ok], u[:, j][ok]]))
     out = []
     if pairs:
-        both = np.concatenate(pairs)
-        both = np.sort(both[both[:, 0] != both[:, 1]], axis=1)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        both = both[np.append(True, (both[1:] != both[:-1]).any(axis=1))[: len(both)]]
-        out.append(_row_table(len(both), kind=np.ones(len(both), np.int32), a=both[:, 0], b=both[:, 1]))
+        x, y, x_up, y_up = np.concatenate(pairs).T
+        swap = x > y
+        x, y, both_up = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, y_up + 2 * x_up, x_up + 2 * y_up)
+        order = np.lexsort((both_up, y, x))[: len(x)]
+        x, y, both_up = x[order], y[order], both_up[order]
+        head = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (both_up[1:] != both_up[:-1]))[: len(x)])
+        shared = np.diff(np.append(head, len(x)))
+        out.append(_row_table(len(head), kind=np.ones(len(head), np.int32), a=x[head], b=y[head], n=shared, up=both_up[head]))
     many = np.flatnonzero(np.repeat(size > SMALL, size))
     at = (np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))[many]
-    out.append(_row_table(len(at), kind=np.full(len(at), 2, np.int32), a=key[at].view(np.int64), b=member[at], n=place[at], up=up[at]))
+    out.append(_row_table(len(at), kind=np.full(len(at), 2, np.int32), a=key[at].view(np.int64), b=member[at], up=up[at]))
     return pa.concat_tables(out)
 
 
@@ -330,11 +333,12 @@ def _pair(x: str, y: str) -> tuple:
 
 
 def _blobs(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """class, set of the wanted classes: their sets are made again from the texts of their least ids, or of those without an id."""
+    """class, set of the wanted classes: their sets are made again from the texts of their least ids, or of those without an id.
+    A class has more than one row if texts repeat with their ids."""
     wanted = written(classes.join(wanted.distinct(), "class", "left_semi").select("class", "doc_id", "f0", "f1"), "wanted")
     ids = wanted.where("doc_id is not null").select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    some = F.broadcast if wanted.count() <= BROADCAST_IDS else lambda x: x
+    texts = docs.where("doc_id is not null").join(some(ids), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
     def blobs(batches):
         for b in small_batches(batches):
@@ -344,8 +348,8 @@ def _blobs(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Da
             packed = [pack_sorted(value[z - n : z]) for n, z in zip(sizes.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(f0.view(np.int64)), pa.array(f1.view(np.int64)), pa.array(packed, pa.binary())], names=["f0", "f1", "set"])
 
-    found = texts.mapInArrow(blobs, "f0 long, f1 long, set binary").join(wanted.select("class", "f0", "f1"), ["f0", "f1"])
-    return written(found.groupBy("class").agg(F.first("set").alias("set")), "sets")
+    found = texts.mapInArrow(blobs, "f0 long, f1 long, set binary").join(some(wanted.select("class", "f0", "f1")), ["f0", "f1"])
+    return written(found.select("class", "set"), "sets")
 
 
 def _links(pairs: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
@@ -367,7 +371,7 @@ def _links(pairs: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
             if kept.num_rows:
                 yield kept
 
-    return written(both.mapInArrow(verify, "a long, b long"), "links")
+    return written(both.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
 def common(x_sizes: np.ndarray, x: np.ndarray, y_sizes: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -396,7 +400,10 @@ def _tile(table: pa.Table, t: Fraction) -> pa.Table:
     """class, n: links of each set with sets of the other block of its tile (label, i, j), or with others of its own if i = j."""
     num, den = t.numerator, t.denominator
     label, i, j, block, node = (table.column(c).to_numpy() for c in ("label", "i", "j", "block", "class"))
-    order = np.lexsort((block, j, i, label))
+    order = np.lexsort((node, block, j, i, label))
+    if len(order):  # a class may come more than once
+        same = functools.reduce(lambda p, q: p & q, (c[order][1:] == c[order][:-1] for c in (label, i, j, node)))
+        order = order[np.append(True, ~same)]
     label, i, j, block, node = label[order], i[order], j[order], block[order], node[order]
     blobs = table.column("set").combine_chunks().take(pa.array(order)) if len(order) else table.column("set")
     new = np.append(True, (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
@@ -438,15 +445,14 @@ def _tiled(labels: DataFrame, saturated: DataFrame, classes: DataFrame, blobs: D
 def _common_keys(met: DataFrame, same: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, class, up) of keys that few classes have after all; and of the common keys that saturated classes keep, with
     the class's share of common segments."""
-    many = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("a"), "up", F.col("n").alias("place"))
-    many = many.join(same.select("a", "class"), "a").groupBy("key", "class").agg(F.min("up").alias("up"), F.min("place").alias("place"))
+    many = met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("a"), "up")
+    many = many.join(same.select("a", "class"), "a").groupBy("key", "class").agg(F.min("up").alias("up"))
     counts = many.groupBy("key").agg(F.count("*").alias("sets"), F.min("up").alias("least")).where("sets > 1 and least = 0").drop("least")
     many = written(many.join(counts, "key"), "many")
     hot = many.where(F.col("sets") > SMALL)
     sure = F.when(F.col("up") == 0, F.col("sure0")).otherwise(F.col("sure1"))
-    full = hot.groupBy("class", "up").agg(F.count_distinct("place").alias("segments"), F.count("*").alias("keys"))
-    full = full.join(classes.select("class", "sure0", "sure1"), "class").where(F.col("segments") >= F.greatest(sure, F.lit(1)))
-    full = full.select("class", "up", (F.col("keys") - F.greatest(sure, F.lit(1)) + 1).alias("quota"), (F.col("segments") / F.greatest(sure, F.lit(1))).alias("share"))
+    full = hot.groupBy("class", "up").agg(F.count("*").alias("keys")).join(classes.select("class", "sure0", "sure1"), "class").where(F.col("keys") >= sure)
+    full = full.select("class", "up", (F.col("keys") - sure + 1).alias("quota"), (F.col("keys") / sure).alias("share"))
     rank = F.row_number().over(Window.partitionBy("class", "up").orderBy("sets", "key"))
     kept = hot.join(full, ["class", "up"]).withColumn("rank", rank).where("rank <= quota").select("key", "class", "up", "share")
     return many.where(F.col("sets") <= SMALL).select("key", "class", "up"), written(kept, "common")
@@ -472,8 +478,13 @@ def similar(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_i
     sets = met.where("kind = 0 and n > 0").select("a", "doc_id", *_SETS)
     own = sets.groupBy("n", "f0", "f1").agg(F.min("a").alias("class"), F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in _SETS[3:]))
     classes = written(own, "classes")
-    same = written(sets.select("a", "n", "f0", "f1", *_SKETCH).join(classes.select("n", "f0", "f1", "class"), ["n", "f0", "f1"]), "same")
-    small = met.where("kind = 1").select("a", "b").join(_side(same, "a", "a", "class"), "a").join(_side(same, "a", "b", "class"), "b")
+    busy = met.where("kind = 2").groupBy(F.col("b").alias("a")).agg(F.sum(1 - F.col("up")).alias("hot0"), F.sum("up").alias("hot1"))
+    same = sets.drop("doc_id").join(classes.select("n", "f0", "f1", "class"), ["n", "f0", "f1"]).join(busy, "a", "left").na.fill(0, ["hot0", "hot1"])
+    # what a set may share at most beyond the keys that are not common, less what it must share
+    same = written(same.select("a", "class", "n", *_SKETCH, (F.col("hot0") - F.col("sure0")).alias("spare0"), (F.col("hot1") - F.col("sure1")).alias("spare1")), "same")
+    small = met.where("kind = 1").groupBy("a", "b", "up").agg(F.sum("n").alias("shared"))
+    small = small.join(_side(same, "a", "a", "class", "spare0", "spare1"), "a").where(F.col("shared") + F.when(F.col("up") == 1, F.col("a_spare1")).otherwise(F.col("a_spare0")) >= 0)
+    small = small.join(_side(same, "a", "b", "class", "spare0", "spare1"), "b").where(F.col("shared") + F.when(F.col("up") == 2, F.col("b_spare1")).otherwise(F.col("b_spare0")) >= 0)
     small = small.where((F.col("a_class") != F.col("b_class")) & _possible(t, "a", "b")).select(*_pair("a_class", "b_class"))
     few, common_ = _common_keys(met, same, classes)
     hubs = common_.groupBy("key").agg(F.max_by("class", F.struct("share", "class")).alias("hub"))
