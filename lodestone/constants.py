@@ -118,3 +118,17 @@ RETRYABLE = [
     "SERVER_FAILED", "SERVER_NO_RANGE", "SERVER_BAD_CONTENT", "NETWORK_FAILED", "NETWORK_TIMEOUT", "NETWORK_DISCONNECTED",
     "FILE_TRANSIENT_ERROR", "FILE_TOO_SHORT", "CRASH",
 ]
+
+#: The shipped site rules. The first match of ``find`` in a whole URL becomes ``replace``.
+SITE_RULES = [
+    {"match": "wikimedia.org", "path": "/thumb/", "find": "^(https?://[^/]+/wikipedia/[^/]+)/thumb/(.+)/[^/]+$", "replace": "$1/$2", "note": "Wikimedia: drop /thumb/ and the rendition segment"},
+    {"match": "wikipedia.org", "path": "/thumb/", "find": "^(https?://[^/]+/wikipedia/[^/]+)/thumb/(.+)/[^/]+$", "replace": "$1/$2", "note": "Wikipedia: drop /thumb/ and the rendition segment"},
+    {"match": "redd.it", "find": r"^https?://preview\.redd\.it/([^?]+).*$", "replace": "https://i.redd.it/$1", "note": "Reddit: preview.redd.it renditions have an i.redd.it original"},
+    {"match": "wp.com", "find": r"\?.*$", "replace": "", "note": "Jetpack Photon: drop every resize parameter"},
+    {"match": "squarespace-cdn.com", "find": r"\?format=\d+w", "replace": "?format=original", "note": "Squarespace: ask for the original rendition"},
+    {"match": "shopify.com", "find": r"_(?:pico|icon|thumb|small|compact|medium|large|grande|\d{2,4}x\d{0,4})(?=\.[a-z]{3,4}(?:\?|$))", "replace": "", "note": "Shopify: strip the named size suffix"},
+    {"match": "media-amazon.com", "find": r"\._[A-Z0-9_,]+_(?=\.[a-z]{3,4}$)", "replace": "", "note": "Amazon: strip the ._SX300_ style transform block"},
+    {"match": "staticflickr.com", "find": r"_(?:[smtqnwzcb]|150|240|320|500|640|800)(?=\.[a-z]{3,4}(?:\?|$))", "replace": "_b", "note": "Flickr: request the _b (1024px) rendition"},
+    {"match": "githubusercontent.com", "find": r"([?&])s=\d+", "replace": "$1s=460", "note": "GitHub avatars: request the largest served size"},
+    {"match": "tumblr.com", "find": r"_(?:75sq|100|250|400|500|540|640)(?=\.[a-z]{3,4}$)", "replace": "_1280", "note": "Tumblr: request the 1280px rendition"},
+]

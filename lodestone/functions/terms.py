@@ -158,6 +158,16 @@ def explain(a: Column, b: Column) -> Column:
     return let(F.struct(*(f(a, b).alias(name) for name, f in TERMS.items())), lambda t: F.struct(*(t[n].alias(n) for n in TERMS), total(t).alias("total")))
 
 
+def at_most(a: Column, b: Column) -> Column:
+    """A bound of the total that needs no arrays: unless hosts and extensions agree, URLs give 0.35 at most, and structure
+    gives its neutral value where a path is missing."""
+    x, y = a["pattern"], b["pattern"]
+    alike = (x["bare"] == y["bare"]) & (x["bare"] != "") & ((x["ext"] == y["ext"]) | (x["pattern"] == y["pattern"]))
+    url = F.when(alike, F.when(x["pattern"] == y["pattern"], 1.0).when(x["dir"] == y["dir"], 0.75).otherwise(0.4)).otherwise(0.35)
+    structure = F.when((F.size(a["root"]) == 0) | (F.size(b["root"]) == 0), K.NEUTRAL).otherwise(1.0)
+    return total({"url": url, "structure": structure, "dimension": dimension_similarity(a, b), "type": type_similarity(a, b), "host": host_similarity(a, b)})
+
+
 def total(t: Column) -> Column:
     w = K.WEIGHTS
     return w["url"] * t["url"] + w["structure"] * t["structure"] + w["dimension"] * t["dimension"] + w["type"] * t["type"] + w["host"] * t["host"]

@@ -43,27 +43,34 @@ def parse(raw: Column, base: Column | None = None) -> Column:
     """The parts of ``raw`` resolved against ``base``; null if there is no absolute form. Non-http schemes keep their rest as path."""
 
     def absolute(u: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(u, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1))
-        http = scheme.isin("http", "https")
-        rest = F.regexp_replace(F.regexp_extract(u, r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:(.*)\z", 1), r"\A[/\\]*", "")
-        authority = F.regexp_extract(rest, r"\A([^/\\?#]*)", 1)
-        host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"\A.*@", ""), r":\d*\z", ""))
-        port = F.regexp_extract(authority, r":(\d+)\z", 1)
-        default = F.when(scheme == "https", "443").otherwise("80")
+        return let(F.struct(u.alias("u"), F.lower(F.regexp_extract(u, r"\A([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme")), by_scheme)
+
+    def by_scheme(x: Column) -> Column:
+        u, scheme = x["u"], x["scheme"]
+        other = F.struct(
+            scheme.alias("scheme"), F.lit("").alias("host"), F.lit("").alias("port"),
+            F.regexp_extract(u, r"(?s)\A[^:]*:([^?#]*)", 1).alias("path"),
+            F.when(u.rlike(r"(?s)\A[^#]*\?"), F.regexp_extract(u, r"(?s)\?([^#]*)", 1)).alias("query"),
+            F.when(u.contains("#"), F.regexp_extract(u, r"(?s)#(.*)\z", 1)).alias("fragment"),
+        )
+        rest = F.regexp_extract(u, r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:[/\\]*(.*)\z", 1)
+        return F.when(scheme.isin("http", "https"), let(F.struct(scheme.alias("scheme"), rest.alias("rest"), F.regexp_extract(rest, r"\A([^/\\?#]*)", 1).alias("authority")), http)).when(scheme != "", other)
+
+    def http(x: Column) -> Column:
+        scheme, rest, authority = x["scheme"], x["rest"], x["authority"]
         path = F.replace(F.regexp_extract(rest, r"(?s)\A[^/\\?#]*([^?#]*)", 1), F.lit("\\"), F.lit("/"))
-        path = F.when(path == "", "/").otherwise(_no_dots(_encode(path, _SAFE_PATH, r"\A[!$-;=@-Z\[\]_a-z|~\\]\z")))
-        query = F.when(rest.rlike(r"(?s)\A[^?#]*\?"), _encode(F.regexp_extract(rest, r"(?s)\A[^?#]*\?([^#]*)", 1), _SAFE_QUERY, r"\A[!$-;=?-Z\[-`a-z{-~]\z"))
-        fragment = F.when(u.contains("#"), F.regexp_extract(u, r"(?s)#(.*)\z", 1))
+        query = F.when(rest.rlike(r"(?s)\A[^?#]*\?"), let(F.regexp_extract(rest, r"(?s)\A[^?#]*\?([^#]*)", 1), lambda q: _encode(q, _SAFE_QUERY, r"\A[!$-;=?-Z\[-`a-z{-~]\z")))
         parts = F.struct(
             scheme.alias("scheme"),
-            F.when(http, host).otherwise("").alias("host"),
-            F.when(http & (port != default), port).otherwise("").alias("port"),
-            F.when(http, path).otherwise(F.regexp_extract(u, r"(?s)\A[^:]*:([^?#]*)", 1)).alias("path"),
-            F.when(http, query).otherwise(F.when(u.rlike(r"(?s)\A[^#]*\?"), F.regexp_extract(u, r"(?s)\?([^#]*)", 1))).alias("query"),
-            fragment.alias("fragment"),
+            F.lower(F.regexp_replace(F.regexp_replace(authority, r"\A.*@", ""), r":\d*\z", "")).alias("host"),
+            F.regexp_extract(authority, r":(\d+)\z", 1).alias("port"),
+            let(path, lambda y: F.when(y == "", "/").otherwise(let(_encode(y, _SAFE_PATH, r"\A[!$-;=@-Z\[\]_a-z|~\\]\z"), _no_dots))).alias("path"),
+            query.alias("query"),
+            F.when(rest.contains("#"), F.regexp_extract(rest, r"(?s)#(.*)\z", 1)).alias("fragment"),
         )
-        ok = F.when(http, (host != "") & ~host.rlike(r"[\s<>^|%\[\]]")).otherwise(scheme != "")
-        return F.when(ok, parts)
+        default = F.when(scheme == "https", "443").otherwise("80")
+        fine = lambda y: F.when((y["host"] != "") & ~y["host"].rlike(r"[\s<>^|%\[\]]"), F.struct(*(F.when(y["port"] != default, y["port"]).otherwise("").alias("port") if c == "port" else y[c].alias(c) for c in ("scheme", "host", "port", "path", "query", "fragment"))))
+        return let(parts, fine)
 
     clean = F.regexp_replace(F.btrim(raw, F.lit(" \t\n\r\x0b\x0c")), r"[\t\n\r]", "")
     if base is None:
@@ -240,10 +247,12 @@ def expiry(raw: Column, now_ms: Column) -> Column:
     result = lambda flag, at: F.struct(F.lit(flag).alias("expiring"), at.cast("long").alias("expires_at"))
 
     def pick(ps: Column) -> Column:
-        first = lambda *keys: F.get(F.transform(F.filter(ps, lambda q: q["k"].isin(*keys) & (q["v"] != "")), lambda q: q["v"]), 0)
-        start = F.unix_millis(F.try_to_timestamp(first("X-Amz-Date", "x-amz-date"), F.lit("yyyyMMdd'T'HHmmss'Z'")))
-        stamped = first("X-Amz-Date", "x-amz-date").rlike(r"\A\d{8}T\d{6}Z\z")
-        lasts = first("X-Amz-Expires", "x-amz-expires")
+        first = lambda key: F.get(F.transform(F.filter(ps, lambda q: q["k"] == key), lambda q: q["v"]), 0)  # noqa: E731  (an empty first value hides later ones)
+        either = lambda x, y: F.nullif(F.coalesce(F.nullif(first(x), F.lit("")), first(y)), F.lit(""))
+        date = either("X-Amz-Date", "x-amz-date")
+        start = F.unix_millis(F.try_to_timestamp(date, F.lit("yyyyMMdd'T'HHmmss'Z'")))
+        stamped = date.rlike(r"\A\d{8}T\d{6}Z\z")
+        lasts = either("X-Amz-Expires", "x-amz-expires")
 
         def deadline(v: Column) -> Column:
             n = number(v)
@@ -252,7 +261,7 @@ def expiry(raw: Column, now_ms: Column) -> Column:
             return (
                 F.when((n > 1e9) & (n < 1e11), n * 1000)
                 .when((n >= 1e12) & (n < 1e14), n)
-                .when(n.isNull() & (iso > now_ms - 31_500_000_000), iso)
+                .when(iso > now_ms - 31_500_000_000, iso)
                 .when((seconds > 1e9) & (seconds < 1e11), seconds * 1000)
             )
 

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import url as U
-from lodestone.functions.core import array_of, text
+from lodestone.functions.core import array_of, let, text
 
 _SCHEMES = r"(?i)\A(?:https?|data|blob):"
 
 
 def fetchable(url: Column, synthetic: tuple[str, ...] = ()) -> Column:
-    """The URL if its scheme may be fetched or is one of the synthetic ones; else empty. Over-long URLs go, none is cut."""
+    """The URL if its scheme may be fetched or is one of the synthetic ones; else empty. A data: URL is its own bytes, so one
+    that is too long goes; others are cut."""
     url = F.trim(text(url))
+    url = F.when(M.is_data(url), F.when(F.length(url) <= K.MAX_DATA_URL, url).otherwise("")).otherwise(F.substring(url, 1, K.MAX_URL))
     ok = url.rlike(_SCHEMES)
     for scheme in synthetic:
         ok = ok | F.lower(url).startswith(f"{scheme.lower()}:")
-    return F.when(ok & (F.length(url) <= F.when(M.is_data(url), K.MAX_DATA_URL).otherwise(K.MAX_URL)), url).otherwise("")
+    return F.when(ok, url).otherwise("")
 
 
 def absolute(url: Column, base: Column) -> Column:
@@ -34,6 +36,13 @@ def _size(c: Column) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf")), 0.0).otherwise(v)
 
 
+def capped_counts(counts: Column, most: int = 64) -> Column:
+    """Names cut to ``most`` characters, counts to a million; of names that become equal the last count stays."""
+    entries = F.transform(F.map_entries(counts), lambda e: F.struct(F.substring(e["key"], 1, most).alias("key"), F.least(e["value"], F.lit(1_000_000)).alias("value")))
+    last = lambda es: F.filter(es, lambda e, i: F.array_position(F.slice(F.transform(es, lambda x: x["key"]), i + 2, F.size(es)), e["key"]) == 0)
+    return F.map_from_entries(let(entries, last))
+
+
 def sanitize(raw: DataFrame, synthetic: tuple[str, ...] = ()) -> DataFrame:
     """Every known field coerced to its type and capped; missing columns get their defaults; rows without a fetchable URL go."""
     have = {c.lower(): c for c in raw.columns}
@@ -56,7 +65,7 @@ def sanitize(raw: DataFrame, synthetic: tuple[str, ...] = ()) -> DataFrame:
         one_of("source", K.SOURCES, "dom").alias("source"), one_of("status", K.STATUSES, "referenced").alias("status"),
         cap("elementId", 64).alias("element_id"),
         F.transform(F.slice(F.coalesce(path, F.array().cast("array<struct<tag:string,classes:array<string>>>")), 1, 16), node).alias("structural_path"),
-        F.transform_values(kept, lambda k, v: F.least(v, F.lit(1_000_000))).alias("class_counts"),
+        capped_counts(kept).alias("class_counts"),
         flag("inRepeatedGroup").alias("in_repeated_group"), F.when(depth >= 0, depth).otherwise(-1).alias("repeat_depth"),
         flag("harBody").alias("har_body"), flag("poster").alias("poster"),
         fetchable(col("upgradeUrl"), synthetic).alias("upgrade_url"), fetchable(col("previewUrl"), synthetic).alias("preview_url"),
@@ -73,10 +82,14 @@ def prepared(sightings: DataFrame) -> DataFrame:
 
     The three come out of a generator, so that a filter on them stays above it and none is computed twice.
     """
-    kind = F.when(text(F.col("kind")) != "", F.col("kind")).otherwise(M.classify(F.col("url"), F.col("mime_type")))
-    reason = M.rejection_reason(F.col("url"), F.col("width"), F.col("height"), F.col("bytes"))
-    found = F.struct(kind.alias("kind"), reason.alias("rejection"), U.normalize_url(F.col("url")).alias("normalized_url"))
-    return sightings.select(*(c for c in sightings.columns if c != "kind"), F.inline(F.array(found)))
+    def found(x: Column) -> Column:
+        kind = F.when(text(x["kind"]) != "", x["kind"]).otherwise(M.classify(x["url"], x["mime_type"]))
+        reason = M.rejection_reason(x["url"], x["width"], x["height"], x["bytes"])
+        return F.struct(kind.alias("kind"), reason.alias("rejection"), U.normalize_url(x["url"]).alias("normalized_url"))
+
+    # what the columns are made of is bound once, not written into every place that reads them
+    own = F.struct("url", "mime_type", "kind", "width", "height", "bytes")
+    return sightings.select(*(c for c in sightings.columns if c != "kind"), F.inline(F.array(let(own, found))))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -238,3 +251,33 @@ def totals(items: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     chosen = downloadable(items).join(selected, ["tab_id", "id"], "left_semi")
     size = F.coalesce(F.col("upgrade_bytes"), F.col("bytes"), F.lit(0)) if "upgrade_bytes" in items.columns else F.coalesce("bytes", F.lit(0))
     return chosen.groupBy("tab_id").agg(F.count("*").alias("items"), F.sum(size).alias("bytes"))
+
+
+def upgrade_targets(items: DataFrame, shown: DataFrame, selected: DataFrame) -> DataFrame:
+    """What a check for upgrades is asked for: a tab's selected ids (tab_id, id), or all shown items of a tab that selects none."""
+    chosen = items.join(selected.select("tab_id", "id").distinct(), ["tab_id", "id"], "left_semi")
+    return chosen.unionByName(shown.select(*items.columns).join(selected.select("tab_id").distinct(), "tab_id", "left_anti"))
+
+
+def resolve_tab(messages: DataFrame) -> DataFrame:
+    """tab_id: the one that a message names, else its sender's; messages of no tab go."""
+    return messages.withColumn("tab_id", F.coalesce("tab_id", "sender_tab_id")).where("tab_id is not null")
+
+
+def top_frame(messages: DataFrame) -> DataFrame:
+    """Crawl messages count from the top frame alone, and their page is the sender's."""
+    return messages.where("frame_id = 0").withColumn("page_url", F.col("sender_url"))
+
+
+def degraded(items: DataFrame, history: DataFrame, quota: int) -> tuple[str, DataFrame, DataFrame]:
+    """(step, items, history) of an index that must fit ``quota`` bytes of JSON: ``whole``, then ``no_history``, then
+    ``trimmed`` (items without their structure), else ``error``. The sizes are one aggregate each."""
+    size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
+    own = size(items)
+    if own + size(history) <= quota:
+        return "whole", items, history
+    none = history.limit(0)
+    if own <= quota:
+        return "no_history", items, none
+    light = lighten(items)
+    return ("trimmed" if size(light) <= quota else "error"), light, none

@@ -9,7 +9,6 @@ display limit of a tab bounds.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +21,13 @@ from lodestone.storage import checkpointed
 
 
 def with_features(items: DataFrame, **columns: str) -> DataFrame:
-    """Adds ``f``. columns: names of url, mime, width, height, path, counts, in_group, depth where they differ or exist."""
+    """Adds ``f``. columns: names of url, mime, width, height, path, counts, in_group, depth where they differ or exist.
+
+    It comes out of a generator, so that what compares features does not carry their definition into its conditions.
+    """
     names = {"url": "url", "mime": "mime_type", "width": "width", "height": "height"} | columns
-    return items.withColumn("f", T.features(**{k: F.col(v) for k, v in names.items()}))
+    features = let(F.struct(*(F.col(v).alias(k) for k, v in names.items())), lambda x: T.features(**{k: x[k] for k in names})).alias("f")
+    return items.select(*(c for c in items.columns if c != "f"), F.inline(F.array(F.struct(features))))
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
@@ -49,9 +52,10 @@ def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
         joined = _pairs(a, b, F.lit(True))
     scored = joined.select(
         F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"),
-        T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
+        T.at_most(F.col("l.f"), F.col("r.f")).alias("most"), T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
     )
-    return scored.select("tab_id", "a", "b", "a_seq", "b_seq", "t.*").where(F.col("total") >= threshold)
+    # both move into the join's condition, in this order: the score is only computed for pairs that can reach the threshold
+    return scored.where((F.col("most") >= threshold - 1e-9) & (F.col("t.total") >= threshold)).select("tab_id", "a", "b", "a_seq", "b_seq", "t.*")
 
 
 def select_similar(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:

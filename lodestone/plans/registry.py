@@ -67,6 +67,18 @@ _TOKENS = f"list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[-/
 # ---------------------------------------------------------------- URLs
 
 
+@query(
+    "sel2_fetchable",
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 4096 WHEN 1 THEN 5022 WHEN 2 THEN 0 ELSE 22 END AS url_length FROM part",
+)
+def sel2_fetchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long addresses are cut, data: URLs are not, other schemes go."""
+    long = F.repeat(F.lit("a"), 5000)
+    url = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("https://e.com/"), long)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("data:image/png;base64,"), long)).when(F.col("p_partkey") % 4 == 2, "javascript:alert(1)").otherwise("blob:https://e.com/a-b")
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), F.col("p_partkey").alias("seq"))
+    return rows.select(F.col("p_partkey").alias("id"), F.length(index.fetchable(F.col("url"))).alias("url_length"))
+
+
 @query("u2_normalize_url", f"SELECT page_id, url, {_NORMAL} AS normalized_url FROM pages")
 def u2_normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", "url", U.normalize_url(F.col("url")).alias("normalized_url"))
@@ -105,6 +117,21 @@ def u12_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.candidates(spark, sf_dir).select("item_seq", U.expiry(F.col("url"), F.lit(1_700_000_000_000)).alias("x")).select("item_seq", "x.expiring", "x.expires_at")
 
 
+_DEADLINES = """SELECT p_partkey AS id, concat('https://cdn.example.com/a.jpg?', CASE p_partkey % 6
+  WHEN 0 THEN concat('Expires=', CAST(1600000000 + p_partkey AS VARCHAR(20))) WHEN 1 THEN concat('X-Amz-Date=20240817T120000Z&X-Amz-Expires=', CAST(900 + p_partkey % 100 AS VARCHAR(20)), '&X-Amz-Signature=ab')
+  WHEN 2 THEN 'Expires=&Expires=1900000000' WHEN 3 THEN 'Expires=2030' WHEN 4 THEN 'oe=65A0B0C0' ELSE 'e=5' END) AS url FROM {part}"""
+
+
+@query(
+    "u12_deadlines",
+    """SELECT p_partkey AS id, p_partkey % 6 NOT IN (2, 5) AS expiring, CAST(CASE p_partkey % 6 WHEN 0 THEN (CAST(1600000000 AS BIGINT) + p_partkey) * 1000 WHEN 1 THEN epoch_ms(TIMESTAMP '2024-08-17 12:00:00') + (900 + p_partkey % 100) * 1000
+  WHEN 3 THEN epoch_ms(TIMESTAMP '2030-01-01') WHEN 4 THEN 1705029824000 END AS BIGINT) AS expires_at FROM part""",
+)
+def u12_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_DEADLINES, part=V.table(spark, sf_dir, "part"))
+    return rows.select("id", U.expiry(F.col("url"), F.lit(1_700_000_000_000)).alias("x")).select("id", "x.expiring", "x.expires_at")
+
+
 # ---------------------------------------------------------------- media
 
 
@@ -300,13 +327,35 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"kind": M.classify(F.col("url"), F.col("mime_type")), "status": F.lit("background")})
 
 
-@query("j8_collapse")
+@query(
+    "j8_collapse",
+    _UP
+    + """, y AS (SELECT * FROM x WHERE kind <> 'stream'), b AS (SELECT candidate AS url, bool_or((item_seq + pos) % 4 <> 0) AS ok, max(CASE WHEN (item_seq + pos) % 5 = 0 THEN bytes - 1 ELSE bytes * 4 END) AS pb, min(CASE WHEN (item_seq + pos) % 7 = 0 THEN 'text/html' ELSE 'image/jpeg' END) AS mt FROM y GROUP BY candidate),
+g AS (SELECT y.item_seq, arg_min(candidate, pos) AS upgrade_url, arg_min(pb, pos) AS upgrade_bytes FROM y JOIN b ON b.url = y.candidate WHERE ok AND mt = 'image/jpeg' AND pb >= bytes GROUP BY y.item_seq),
+e AS (SELECT w.tab_id, w.item_seq, coalesce(upgrade_url, url) AS effective_url, upgrade_bytes FROM w LEFT JOIN g ON g.item_seq = w.item_seq)
+SELECT tab_id, min(item_seq) AS item, effective_url, count(*) - 1 AS merged_duplicates, arg_min(upgrade_bytes, item_seq) FILTER (WHERE upgrade_bytes IS NOT NULL) AS upgrade_bytes FROM e GROUP BY tab_id, effective_url""",
+)
 def j8_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _classified(spark, sf_dir).withColumns({"first_seq": F.col("seq"), "sources": F.array("source")})
     found = upgrades.verified(items, _probes(upgrades.exploded(items)))
     return upgrades.collapse(items.join(found, ["tab_id", "item"], "left").withColumn("upgrade_verified", F.coalesce("upgrade_verified", F.lit(False)))).select("tab_id", "item", "effective_url", "merged_duplicates", "upgrade_bytes")
 
 
+_RENDITIONS = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN concat('https://upload.wikimedia.org/wikipedia/commons/thumb/a/ab/', CAST(p_partkey AS VARCHAR(20)), '.jpg/220px-x.jpg')
+  WHEN 1 THEN concat('https://preview.redd.it/', CAST(p_partkey AS VARCHAR(20)), '.png?width=640') WHEN 2 THEN concat('https://64.media.tumblr.com/', CAST(p_partkey AS VARCHAR(20)), '_500.jpg')
+  WHEN 3 THEN concat('https://i0.wp.com/e.com/', CAST(p_partkey AS VARCHAR(20)), '.jpg?w=300') ELSE concat('https://e.com/', CAST(p_partkey AS VARCHAR(20)), '_500.jpg') END AS url FROM {part}"""
+
+
+@query(
+    "g12_site_rules",
+    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN concat('https://upload.wikimedia.org/wikipedia/commons/a/ab/', p_partkey, '.jpg') WHEN 1 THEN concat('https://i.redd.it/', p_partkey, '.png')
+  WHEN 2 THEN concat('https://64.media.tumblr.com/', p_partkey, '_1280.jpg') ELSE concat('https://i0.wp.com/e.com/', p_partkey, '.jpg') END AS candidate, true AS verify FROM part WHERE p_partkey % 5 <> 4""",
+)
+def g12_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_RENDITIONS, part=V.table(spark, sf_dir, "part"))
+    return rows.select("id", F.inline(G.site(F.col("url"), K.SITE_RULES))).select("id", F.col("url").alias("candidate"), "verify")
+
+
 # ---------------------------------------------------------------- crawl
 
 _RISK = _alternatives(K.RISK_WORDS)
@@ -432,7 +481,12 @@ def f7_format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.format_bytes(F.col("o_orderkey") * F.lit(1021.0) + 1).alias("size"))
 
 
-@query("snk3_sidecar")
+@query(
+    "snk3_sidecar",
+    _JOBS
+    + """SELECT tab_id, CAST(n - 1 AS INTEGER) AS "index", concat('media/', host, '/page/', lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(every AS VARCHAR))) AS INTEGER), '0'), '-', base, '.', ext) AS path,
+  url AS source_url, url AS downloaded_url, false AS upgraded, '' AS mime_type, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, bytes, 'background' AS status, source AS layer, 'queued' AS state, '' AS error FROM j""",
+)
 def snk3_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return downloads.sidecar(_jobs(spark, sf_dir).withColumn("sources", F.array("source")))
 
@@ -481,7 +535,12 @@ def src2_headers_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.headers_received(rows).select("item_seq", "kind", "bytes")
 
 
-@query("src17_har")
+@query(
+    "src17_har",
+    f"""WITH c AS (SELECT *, item_seq // {10 * K.MAX_ITEMS_PER_TAB} AS part, row_number() OVER (PARTITION BY tab_id, item_seq // {10 * K.MAX_ITEMS_PER_TAB} ORDER BY item_seq) - 1 AS pos FROM ({V.DUCK_CANDIDATES}))
+SELECT CASE WHEN part = 0 THEN CAST(tab_id AS VARCHAR) ELSE concat(tab_id, '-', part) END AS archive, CAST(pos AS INTEGER) AS pos, url, {_KIND} AS kind, CAST(bytes AS DOUBLE) AS bytes, true AS har_body, CAST(strlen(url) AS INTEGER) AS body_bytes
+FROM c WHERE item_seq % 17 <> 0 AND {_KIND} <> '' QUALIFY row_number() OVER (PARTITION BY tab_id, part ORDER BY pos) <= {K.MAX_ITEMS_PER_TAB}""",
+)
 def src17_har(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HAR archives of a tab each, written from the candidate view and read back. A tab with many candidates has several."""
     rows = V.candidates(spark, sf_dir)
@@ -496,7 +555,11 @@ def src17_har(spark: SparkSession, sf_dir: str) -> DataFrame:
     return har.with_bodies(har.candidates(archives)).select("archive", "pos", "url", "kind", "bytes", "har_body", F.octet_length("body").alias("body_bytes"))
 
 
-@query("src6_json_mine")
+@query(
+    "src6_json_mine",
+    f"""SELECT item_seq, CAST(1 AS INTEGER) AS pos, concat('https://page.example.com/thumbs/', item_seq, '.png') AS found FROM ({V.DUCK_CANDIDATES})
+UNION ALL SELECT item_seq, CAST(3 AS INTEGER), url FROM ({V.DUCK_CANDIDATES}) WHERE {_EXT} <> 'html'""",
+)
 def src6_json_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.struct(F.col("url").alias("src"), F.array(F.lit("x"), F.concat(F.lit("/thumbs/"), F.col("item_seq").cast("string"), F.lit(".png"))).alias("more")).alias("data"), F.lit("not a url").alias("note")))
     return payloads.mine(V.candidates(spark, sf_dir).select("item_seq", F.lit("https://page.example.com/a/b").alias("url"), body.alias("body"))).select("item_seq", "pos", "found")
@@ -511,7 +574,11 @@ def src10_dom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.candidates(pages).select("page_id", "seq", "url", "kind", "repeat_depth", "preview_url")
 
 
-@query("p2_manifests")
+@query(
+    "p2_manifests",
+    """SELECT concat('https://v.example.com/', n_nationkey, '/master.m3u8') AS manifest, CAST(0 AS INTEGER) AS pos, concat('https://v.example.com/', n_nationkey, '/high/', n_nationkey, '.m3u8') AS url, CAST(5000 AS BIGINT) AS kbps, '' AS resolution, false AS encrypted FROM nation
+UNION ALL SELECT concat('https://v.example.com/', n_nationkey, '/master.m3u8'), CAST(1 AS INTEGER), concat('https://v.example.com/', n_nationkey, '/low/', n_nationkey, '.m3u8'), CAST(n_nationkey * 100 + 64 AS BIGINT), '640x360', false FROM nation""",
+)
 def p2_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A playlist per nation, written from its key and name."""
     key = F.col("n_nationkey").cast("string")
