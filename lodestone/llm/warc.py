@@ -12,7 +12,7 @@ join; they are broadcast up to BROADCAST_ROWS rows and joined with salted keys b
 
 Edge cases: null html is an empty payload; a null url gives a record without a target; a null page_id never is the
 largest; repeated rows of the largest page_id are all responses; an empty table writes no archive and reads no record; line
-ends in a url are percent-encoded; only page_id, url and html are read, so other columns never clash.
+ends in a url are percent-encoded; a record head or a payload may be of any length; only page_id, url and html are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import filesystem, shared_dir, small_batches, written
 
 MAGIC = b"WARC/1.0\r\n"
+HEAD_END = b"\r\n\r\n"
 #: Rows of repeated digests that may be broadcast: each is under 100 bytes.
 BROADCAST_ROWS = 100_000
 #: Parts into which a digest's rows are dealt in the join beyond that.
@@ -120,7 +121,7 @@ def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """(fields by lower-case name, offset after the head) of the record head at ``at``; None if it is none or not complete."""
     if not data.startswith(MAGIC, at):
         return None
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(HEAD_END, at)
     if end < 0:
         return None
     fields = {}
@@ -133,21 +134,26 @@ def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 
 
 def candidates(archives: DataFrame, folder: str, block_bytes: int = 8 << 20, head_bytes: int = 64 << 10) -> DataFrame:
-    """archive, size, offset, successor for each place that parses as a record head; heads may be up to ``head_bytes`` long."""
+    """archive, size, offset, successor for each place that parses as a record head. A head that starts in a block and ends
+    beyond what was read with it is read on by ``head_bytes`` at a time, doubled each time, until its end."""
     blocks = archives.select("archive", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(block_bytes))).alias("start"))
 
     def run(batches):
         fs, base = filesystem(folder)
         for b in batches:
             for archive, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = []
                 with fs.open_input_file(f"{base}/{archive}") as f:
                     data = f.read_at(min(block_bytes + head_bytes, size - start), start)
-                found = []
-                at = data.find(MAGIC)
-                while 0 <= at < block_bytes:
-                    if head := parse_head(data, at):
-                        found.append((start + at, start + head[1] + int(head[0]["content-length"]) + 4))
-                    at = data.find(MAGIC, at + 1)
+                    more = head_bytes
+                    at = data.find(MAGIC)
+                    while 0 <= at < block_bytes:
+                        while start + len(data) < size and data.find(HEAD_END, at) < 0:
+                            data += f.read_at(min(more, size - start - len(data)), start + len(data))
+                            more *= 2
+                        if head := parse_head(data, at):
+                            found.append((start + at, start + head[1] + int(head[0]["content-length"]) + 4))
+                        at = data.find(MAGIC, at + 1)
                 if found:
                     here, there = zip(*found, strict=True)
                     n = len(found)

@@ -54,3 +54,14 @@ def test_salted_join_and_empty(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     assert key(warc.with_referrals(pages)) == plain
     assert warc.round_trip(pages.limit(0)).collect() == []
+
+
+def test_heads_across_the_ends_of_blocks(spark):
+    """Records with urls far above head_bytes start all over a block and end beyond it; texts without an end follow."""
+    rows = [(i, "http://e.com/" + "x" * (37 * i % 9000), "y" * (211 * i % 3000), 1) for i in range(120)]
+    rows += [(200, "u" * 300_000, "WARC/1.0\r\n" + "z" * 5000, 1), (201, "last", "WARC/1.0\r\n", 1)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    folder = f"{shared_dir(spark)}/archives"
+    archives = written(warc.write_archives(warc.with_referrals(pages, 10**9), folder), "list")
+    found = warc.chain(warc.candidates(archives, folder, block_bytes=4096, head_bytes=64))
+    assert sorted((r.page_id, r.url) for r in warc.read_records(found, folder).collect()) == [(i, u) for i, u, *_ in rows]
