@@ -7,8 +7,9 @@ multiplicities. Each piece finds its place by its rank among the pieces of its l
 The bound: ceil(tokens / capacity), or the number of pieces above half the capacity if larger. Best fit decreasing over
 the histogram is the first incumbent. While it is above the bound, the search takes the largest piece left, enumerates
 the undominated fillings around it (a filling is dominated if another holds its pieces, grouped, one group to a piece),
-fullest first, uses each as often as the counts allow, and cuts branches whose waste rules out a better packing.
-``max_nodes`` bounds the search, not the input: the incumbent is always a whole packing.
+of any number of pieces, fullest first, uses each as often as the counts allow or once, and cuts branches whose waste rules
+out a better packing. ``max_nodes`` bounds the search, not the input: the incumbent is always a whole packing, and it is
+optimal if it meets the bound or the search ended before that many nodes.
 
 Edge cases: a null or empty text is one end token, hence a piece of length 1; equal lengths are interchangeable and are
 ranked by task and order of arrival; repeated rows are packed each on its own; an empty table gives no pieces; only id and
@@ -133,6 +134,10 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(items.items()), bins) for groups in room.values() for items, bins in groups]
 
 
+#: The test for dominance only saves work, so it is left out for sets of many pieces and made against the latest sets.
+DOMINANCE_PIECES, DOMINANCE_SETS = 6, 32
+
+
 def dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
     """Whether the pieces of ``small`` can be dealt to the pieces of ``by`` with no sum above its piece."""
 
@@ -142,29 +147,40 @@ def dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return deal(0, by)
 
 
-def fillings(lengths: np.ndarray, counts: dict[int, int], room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three pieces that fit in ``room``, the fullest first. lengths: what is left, ascending."""
-    fit = lengths[: np.searchsorted(lengths, room, "right")]
-    if not len(fit):
-        return [()]
-    found: list[tuple[int, ...]] = [(int(fit[-1]),)]
-    if fit[-1] < room:
-        other = np.searchsorted(fit, room - fit, "right") - 1
-        ok = (other >= 0) & (fit >= fit[np.maximum(other, 0)])
-        for i in sorted(np.flatnonzero(ok), key=lambda i: -(fit[i] + fit[other[i]]))[:most]:
-            a, b = int(fit[i]), int(fit[other[i]])
-            if a != b or counts[a] > 1:
-                found.append((a, b))
-        for i in sorted(np.flatnonzero(ok), key=lambda i: -fit[i])[:most]:
-            left = room - int(fit[i]) - fit
-            third = np.searchsorted(fit, left, "right") - 1
-            good = np.flatnonzero((third >= 0) & (fit <= fit[i]) & (fit >= fit[np.maximum(third, 0)]))
-            for j in good[np.argsort(-(fit[good] + fit[third[good]]), kind="stable")][:2]:
-                three = (int(fit[i]), int(fit[j]), int(fit[third[j]]))
-                if all(counts[x] >= three.count(x) for x in three):
-                    found.append(three)
-    found = sorted(dict.fromkeys(found), key=lambda x: (-sum(x), len(x)))
-    return [x for k, x in enumerate(found) if not any(sum(y) >= sum(x) and dominated(x, y) and not (j > k and dominated(y, x)) for j, y in enumerate(found) if j != k)][:most]
+def fillings(counts: dict[int, int], room: int):
+    """Undominated sets of pieces that fit in ``room``, of any number, the fullest first and of equal ones those with larger
+    pieces; () if none fits. Sums that the pieces can make are known as bits, so no walk ends without a set."""
+    lengths = sorted(k for k, n in counts.items() if n and k <= room)
+    number = [counts[k] for k in lengths]
+    reach = [1]  # bit t of reach[i]: t is a sum of the first i lengths' pieces
+    mask = (1 << room + 1) - 1
+    for k, n in zip(lengths, number):
+        bits, left, step = reach[-1], min(n, room // k), 1
+        while left:
+            step = min(step, left)
+            bits |= bits << step * k & mask
+            left, step = left - step, step * 2
+        reach.append(bits)
+
+    def walk(i: int, total: int):
+        if not total:
+            yield ()
+        for j in range(min(i, bisect_right(lengths, total)) - 1, -1, -1):
+            if not reach[j + 1] >> total & 1:
+                return
+            k = lengths[j]
+            for n in range(min(number[j], total // k), 0, -1):
+                if reach[j] >> total - n * k & 1:
+                    for rest in walk(j, total - n * k):
+                        yield (k,) * n + rest
+
+    given: list[tuple[int, ...]] = []
+    for total in range(room, -1, -1):
+        if reach[-1] >> total & 1 and (total or not given):
+            for chosen in walk(len(lengths), total):
+                if len(chosen) > DOMINANCE_PIECES or not any(dominated(chosen, x) for x in given[-DOMINANCE_SETS:]):
+                    given.append(chosen)
+                    yield chosen
 
 
 def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern], max_nodes: int) -> list[Pattern]:
@@ -172,7 +188,7 @@ def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern],
     total = sum(k * n for k, n in histogram.items())
     bound, best, nodes = lower_bound(histogram, capacity), sum(b for _, b in incumbent), 0
     counts = {k: n for k, n in histogram.items() if n}
-    stack: list[list] = [[None, 0, None]]  # [fillings left, waste so far, what was taken to get here]
+    stack: list[list] = [[None, 0, None]]  # [choices left, waste so far, what was taken to get here]
     while stack and best > bound and nodes < max_nodes:
         frame = stack[-1]
         if frame[0] is None:
@@ -180,22 +196,24 @@ def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern],
             if not counts:
                 found = [(items, bins) for *_, (items, bins) in stack[1:]]
                 best, incumbent = sum(b for _, b in found), found
-                frame[0] = []
+                frame[0] = iter(())
                 continue
             largest = max(counts)
-            counts[largest] -= 1
-            lengths = np.array(sorted(k for k, n in counts.items() if n), np.int64)
-            frame[0] = [(largest, *x) for x in fillings(lengths, counts, capacity - largest)][::-1]
-            counts[largest] += 1
-        if not frame[0]:
+            # each filling as often as the counts allow, and once: then others, or itself again, may follow for this length
+            rest = {**counts, largest: counts[largest] - 1}
+            frame[0] = (((largest, *x), times) for x in fillings(rest, capacity - largest) for times in (0, 1))
+        if (choice := next(frame[0], None)) is None:
             stack.pop()
             if frame[2]:
                 for k, n in frame[2][0]:
                     counts[k] = counts.get(k, 0) + n * frame[2][1]
             continue
-        chosen = frame[0].pop()
+        chosen, times = choice
         items = tuple((k, chosen.count(k)) for k in dict.fromkeys(chosen))
         bins = min(counts[k] // n for k, n in items)
+        if times and bins == 1:
+            continue  # that was the choice before
+        bins = times or bins
         waste = frame[1] + bins * (capacity - sum(chosen))
         # the last bin may be left part empty for free: a better packing has best - 1 bins
         if waste > (best - 1) * capacity - total:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from functools import lru_cache
@@ -68,7 +69,7 @@ def test_completion_beats_best_fit():
         check_plan(histogram, 100, last)
         gain += sum(b for _, b in first) - sum(b for _, b in last)
         assert sum(b for _, b in last) <= sum(b for _, b in first)
-    assert gain >= 0
+    assert gain > 0
 
 
 def test_dominance():
@@ -107,3 +108,40 @@ def test_packed(spark):
         histogram[r.length] = histogram.get(r.length, 0) + 1
     assert len(bins) == sum(b for _, b in packing.plan(histogram, 256)) <= sum(b for _, b in packing.best_fit(histogram, 256))
     assert packing.packed(docs.limit(0), TOKENIZER, P.PATTERN).collect() == []
+
+
+def test_fillings_of_many_pieces():
+    lengths = [332, 707, 416, 483, 110, 565, 259, 479, 108, 637]
+    histogram = dict.fromkeys(lengths, 1)
+    assert sum(b for _, b in packing.best_fit(histogram, 2048)) == 3
+    found = packing.plan(histogram, 2048)
+    assert sum(b for _, b in found) == 2 and all(len(items) == 5 for items, _ in found)
+
+
+def test_fillings_against_all_sets():
+    """Every set of pieces that fits is a filling or dominated by one; none comes twice; sums never rise."""
+    rng = random.Random(6)
+    for _ in range(60):
+        pool = [rng.randint(2, 12) for _ in range(rng.randint(1, 7))]
+        room = rng.randint(1, 30)
+        counts = {k: pool.count(k) for k in pool}
+        got = list(packing.fillings(counts, room))
+        sums = [sum(x) for x in got]
+        assert len(set(got)) == len(got) and sums == sorted(sums, reverse=True) and sums[0] <= room
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(pool) + 1) for c in itertools.combinations(pool, n) if sum(c) <= room}
+        assert set(got) <= every and all(any(packing.dominated(x, y) for y in got) for x in every)
+
+
+def test_search_beats_best_fit():
+    """Instances that fill their bins without waste, so that best fit misses the bound: the search must win some."""
+    rng, won = random.Random(9), 0
+    for _ in range(20):
+        histogram: dict[int, int] = {}
+        for _ in range(6):
+            cuts = sorted(rng.sample(range(5, 95), 4))
+            for a, z in itertools.pairwise([0, *cuts, 100]):
+                histogram[z - a] = histogram.get(z - a, 0) + 1
+        first, best = (sum(b for _, b in x) for x in (packing.best_fit(histogram, 100), packing.plan(histogram, 100)))
+        assert 6 == packing.lower_bound(histogram, 100) <= best <= first
+        won += first > best
+    assert won > 0
