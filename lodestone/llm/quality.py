@@ -1,15 +1,15 @@
 """Line-first quality rules in DataFrame functions only.
 
 Each line is judged by itself: it fails if it ends without closing punctuation, is a navigation bar (separators between
-few words), carries more than one symbol in ten words, or has a boilerplate phrase. Failing lines are removed; a document
+few words), carries more than one symbol in ten words, or has at most PHRASE_LINE_WORDS words and a boilerplate phrase. Failing lines are removed; a document
 that loses more than ``max_lost_percent`` of its characters is rejected, as is one that fails the base rules (fewer than
 MIN_WORDS words, or more than half of its words in repeated 3-word windows).
 
-Everything is computed inside the row: no explode, no shuffle. Repeated windows are found by sorting one 64-bit value per
-window, a hash with the window's place in the low bits, so that equal windows become neighbours.
+Everything is computed inside the row: no explode, no shuffle. Repeated windows are found by sorting the pairs of each
+window's 64-bit hash and its place, so that equal windows become neighbours, however long the text is.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; lines without a word neither pass nor
-fail; repeated rows and ties are judged each on its own; an empty table gives an empty table; only id and text are read.
+fail; a very long text is one row of long arrays; repeated rows and ties are judged each on its own; an empty table gives an empty table; only id and text are read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ MAX_LOST_PERCENT = 50
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-CLOSING = """.!?:;…。！？"'”’»)]"""
+CLOSING = """.!?:;…"'”’»)]。！？」』）】》〉।॥؟۔؛։።"""
 SEPARATORS = r"[|»›·•]"
 PHRASES = (
     "all rights reserved",
@@ -40,6 +40,8 @@ PHRASES = (
     "lorem ipsum",
     "click here",
 )
+#: A line of more words does not fail by a phrase: it would be less than a tenth of the line.
+PHRASE_LINE_WORDS = 30
 _CLOSED = "[" + CLOSING.replace("]", "\\]") + r"][\x20\x09-\x0D]*\z"
 _PHRASE = "(" + "|".join(PHRASES) + ")"
 
@@ -57,30 +59,22 @@ def words_of(text: Column) -> Column:
 
 def repeat_words(words: Column) -> Column:
     """Number of words in 3-word windows that occur twice or more. What the lambdas use is bound once a row."""
-    right, left = (lambda x, b: F.call_function("shiftright", x, b)), (lambda x, b: F.call_function("shiftleft", x, b))
 
-    def sized(w: Column) -> Column:
-        n = F.size(w).cast("long")
-        return let(F.struct(w.alias("w"), n.alias("n"), F.length(F.bin(n)).alias("bits")), count)
-
-    def count(x: Column) -> Column:
-        w, n, bits = x["w"], x["n"], x["bits"]
-        window = lambda i: left(right(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits), bits).bitwiseOR(i)
-        windows = F.transform(F.sequence(F.lit(0).cast("long"), n - 3), window)
-        place = left(F.lit(1).cast("long"), bits) - 1
+    def count(w: Column) -> Column:
+        n = F.size(w)
+        window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
 
         def repeated(s: Column) -> Column:
-            same = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bits) == 0
             size = F.size(s)
-            near = F.zip_with(F.slice(s, F.lit(2), size - 1), F.slice(s, F.lit(1), size - 1), lambda a, b: F.when(same(a, b), F.array(a, b)))
-            return F.when(size < 2, F.array().cast("array<bigint>")).otherwise(F.flatten(F.array_compact(near)))
+            near = F.zip_with(F.slice(s, F.lit(2), size - 1), F.slice(s, F.lit(1), size - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+            return F.when(size < 2, F.array().cast("array<int>")).otherwise(F.flatten(F.array_compact(near)))
 
-        places = F.sort_array(F.transform(let(F.sort_array(windows), repeated), lambda y: y.bitwiseAND(place)))
-        start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-        step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n"))
+        places = F.sort_array(let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)), repeated))
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
         return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.aggregate(places, start, step, lambda a: a["n"]))
 
-    return let(words, sized)
+    return let(words, count)
 
 
 def line_passes(line: Column, doc: Column | None = None) -> Column:
@@ -91,7 +85,7 @@ def line_passes(line: Column, doc: Column | None = None) -> Column:
     bars = F.regexp_count(line, F.lit(SEPARATORS))
 
     def closed(cut: Column) -> Column:
-        return (cut == "") | (F.instr(F.lit(CLOSING), F.right(cut, F.lit(1))) > 0) & ~(has("separators") & (bars >= 2) & (bars * 4 >= n)) & ~(has("symbols") & let(F.regexp_count(line, F.lit(SYMBOLS)), lambda k: (k > 0) & (k * 10 > n))) & ~(has("phrases") & let(F.lower(line), boilerplate))
+        return (cut == "") | (F.instr(F.lit(CLOSING), F.right(cut, F.lit(1))) > 0) & ~(has("separators") & (bars >= 2) & (bars * 4 >= n)) & ~(has("symbols") & let(F.regexp_count(line, F.lit(SYMBOLS)), lambda k: (k > 0) & (k * 10 > n))) & ~(has("phrases") & (n <= PHRASE_LINE_WORDS) & let(F.lower(line), boilerplate))
 
     return let(F.rtrim(line, F.lit(SPACE)), closed)
 
@@ -150,7 +144,7 @@ y AS (SELECT doc_id, len(t) AS n_chars, len(ws) AS n_words,
     regexp_matches(l, '{_CLOSED.replace("'", "''")}')
     AND NOT (len(regexp_extract_all(l, '{SEPARATORS}')) >= 2 AND len(regexp_extract_all(l, '{SEPARATORS}')) * 4 >= len(regexp_extract_all(l, '{WORD}')))
     AND NOT len(regexp_extract_all(l, '{SYMBOLS}')) * 10 > len(regexp_extract_all(l, '{WORD}'))
-    AND NOT regexp_matches(lower(l), '{_PHRASE}'))), chr(10))) AS cleaned_chars
+    AND NOT (len(regexp_extract_all(l, '{WORD}')) <= {PHRASE_LINE_WORDS} AND regexp_matches(lower(l), '{_PHRASE}')))), chr(10))) AS cleaned_chars
   FROM w),
 z AS (SELECT y.*, coalesce(x.n_repeat_words, 0) AS n_repeat_words FROM y LEFT JOIN x USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars - cleaned_chars AS lost_chars,
