@@ -1,12 +1,13 @@
 """Removal of repeated word runs, by hashes of windows; no suffix tree is built.
 
-Every run of ``window`` words is held as a 64-bit hash, its path. Leading bits of the path split the windows into groups,
-and the number of bits follows from the corpus' size so that a group fits in memory. A group sorts its paths; one that
-occurs twice or more is a repeated window. Runs of overlapping repeated windows are removed as one.
+Every run of ``window`` words is held as a 64-bit hash, its path, and 32 more bits, its mark. Leading bits of the path split
+the windows into groups, and the number of bits follows from the corpus' size so that a group fits in memory. A group sorts
+its paths; one that occurs twice or more with the same mark is a repeated window. Runs of overlapping repeated windows are
+removed as one.
 
-A task sends a group each path of its block once, with a mark if the block itself has it twice or more, so a passage that
+A task sends a group each path of its block once, with a flag if the block itself has it twice or more, so a passage that
 a third of all documents share costs one value per block. The group answers with one bit per path. Fingerprints of
-different windows are equal with probability 2^-64 a pair.
+different windows are equal with probability 2^-96 a pair: some 10^-9 expected false pairs over 5 * 10^9 windows (30 GB), under 0.01 over 2 * 10^13 (100 TB).
 
 Edge cases: null and empty texts have no words; documents of fewer than ``window`` words have no window; a repeated row is
 a second occurrence, and both lose the window; an empty table gives an empty table; a very long document is in a block of
@@ -31,56 +32,63 @@ MIN_GROUP_BITS = 6
 
 
 def paths(texts: pa.Array, window: int):
-    """(words per document, path of each suffix that has ``window`` words, the place of its first word among all words)."""
+    """(words per document, path and mark of each suffix that has ``window`` words, the place of its first word among all words)."""
     data, offsets = text_bytes(texts)
     start, end, words = word_spans(data, offsets)
-    path = window_hashes(word_hashes(data, start, end, lower=False), window)
+    hashed = word_hashes(data, start, end, lower=False)
+    path, mark = window_hashes(hashed, window), window_hashes(hashed, window, seed=11)
     left = np.repeat(np.cumsum(words), words) - np.arange(len(start))  # words from here to the document's end
     place = np.flatnonzero(left >= window)
-    return words, path[place], place
+    return words, path[place], (mark[place] >> np.uint64(32)).astype(np.uint32), place
 
 
-def _distinct(path: np.ndarray):
-    """(order that sorts the paths, whether each in that order is the first of its kind, different paths, whether each occurs twice or more)."""
+def _distinct(path: np.ndarray, mark: np.ndarray):
+    """(order that sorts the windows, whether each in that order is the first of its kind, paths and marks of the kinds, whether each occurs twice or more)."""
     order = np.argsort(path, kind="stable")
     ranked = path[order]
-    head = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    if len(ranked) and (mark[order][1:] != mark[order][:-1])[ranked[1:] == ranked[:-1]].any():  # equal paths, different marks
+        order = np.lexsort((mark, path))
+        ranked = path[order]
+    marks = mark[order]
+    head = np.append(True, (ranked[1:] != ranked[:-1]) | (marks[1:] != marks[:-1]))[: len(ranked)]
     at = np.flatnonzero(head)
-    return order, head, ranked[at], np.diff(np.append(at, len(ranked))) > 1
+    return order, head, ranked[at], marks[at], np.diff(np.append(at, len(ranked))) > 1
 
 
 def repeated_paths(blocks: DataFrame, window: int, group_bits: int, text_col: str = "text") -> DataFrame:
-    """group, block, bits: which of the block's different paths in the group, in ascending order, start a repeat."""
+    """group, block, bits: which of the block's different windows in the group, in ascending order, start a repeat."""
 
     def send(batches):
         for b in batches:
             for row in range(b.num_rows):
-                _, path, _ = paths(column(b, row, text_col), window)
-                *_, kinds, twice = _distinct(path)
+                _, path, mark, _ = paths(column(b, row, text_col), window)
+                *_, kinds, marks, twice = _distinct(path, mark)
                 group = (kinds >> np.uint64(64 - group_bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)]).tolist()
-                out = [(int(group[a]), b.column(0)[row].as_py(), pack_sorted(kinds[a:z]), np.packbits(twice[a:z]).tobytes()) for a, z in zip(cuts, [*cuts[1:], len(group)])]
+                out = [(int(group[a]), b.column(0)[row].as_py(), pack_sorted(kinds[a:z]), marks[a:z].tobytes(), np.packbits(twice[a:z]).tobytes()) for a, z in zip(cuts, [*cuts[1:], len(group)])]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["group", "block", "paths", "twice"])
-
-    def tree(table: pa.Table) -> pa.Table:
-        leaves = [unpack_sorted(x) for x in table.column("paths").to_pylist()]
-        marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), leaves, strict=True)]
-        every = np.sort(np.concatenate(leaves))
-        deep = np.concatenate([every[1:][every[1:] == every[:-1]], *(k[m] for k, m in zip(leaves, marks, strict=True))])
-        deep = np.unique(deep)
-        out = []
-        for block, k in zip(table.column("block").to_pylist(), leaves, strict=True):
-            at = np.searchsorted(deep, k)
-            hit = at < len(deep)
-            hit[hit] = deep[at[hit]] == k[hit]
-            if hit.any():
-                out.append((table.column("group")[0].as_py(), block, np.packbits(hit).tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["group", "block", "paths", "marks", "twice"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        sent = [unpack_sorted(x) for x in table.column("paths").to_pylist()]
+        path = np.concatenate(sent)
+        mark = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("marks").to_pylist()])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), sent, strict=True)])
+        order, head, _, _, several = _distinct(path, mark)
+        kind = np.cumsum(head) - 1
+        several |= np.bincount(kind, weights=twice[order], minlength=len(several)) > 0
+        hit = np.empty(len(path), bool)
+        hit[order] = several[kind]
+        ends, out = np.cumsum([len(k) for k in sent]), []
+        for block, k, z in zip(table.column("block").to_pylist(), sent, ends.tolist(), strict=True):
+            own = hit[z - len(k) : z]
+            if own.any():
+                out.append((table.column("group")[0].as_py(), block, np.packbits(own).tobytes()))
         group, block, bits = zip(*out) if out else ((), (), ())
         return pa.table({"group": pa.array(group, pa.int32()), "block": pa.array(block, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    sent = blocks.select("block", f"c_{text_col}").mapInArrow(send, "group int, block long, paths binary, twice binary")
-    return sent.groupBy("group").applyInArrow(tree, "group int, block long, bits binary")
+    rows = blocks.select("block", f"c_{text_col}").mapInArrow(send, "group int, block long, paths binary, marks binary, twice binary")
+    return rows.groupBy("group").applyInArrow(meet, "group int, block long, bits binary")
 
 
 def covered(words: np.ndarray, place: np.ndarray, hit: np.ndarray, window: int) -> np.ndarray:
@@ -107,8 +115,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_
         for b in batches:
             for row in range(b.num_rows):
                 texts = column(b, row, text_col)
-                words, path, place = paths(texts, window)
-                order, head, kinds, _ = _distinct(path)
+                words, path, mark, place = paths(texts, window)
+                order, head, kinds, *_ = _distinct(path, mark)
                 group = (kinds >> np.uint64(64 - bits)).astype(np.int64)
                 kind_hit = np.zeros(len(kinds), bool)
                 for x in b.column(b.schema.get_field_index("answers"))[row].as_py() or ():

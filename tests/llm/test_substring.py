@@ -76,3 +76,12 @@ def test_word_helpers():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 999).astype(np.uint64))
     for k in (keys, keys[:1], keys[:0], np.array([5, 5, 2**64 - 1], np.uint64)):
         assert shared.unpack_sorted(shared.pack_sorted(k)).tolist() == k.tolist()
+
+
+def test_equal_paths_with_different_marks_are_different_windows():
+    import numpy as np
+
+    path, mark = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 7, 2, 1, 7], np.uint32)
+    order, head, kinds, marks, twice = substring._distinct(path, mark)
+    assert kinds.tolist() == [3, 5, 5] and marks.tolist() == [7, 1, 2] and twice.tolist() == [True, True, False]
+    assert path[order].tolist() == [3, 3, 5, 5, 5] and head.tolist() == [True, False, True, False, True]
