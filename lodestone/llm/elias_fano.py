@@ -132,8 +132,9 @@ class Trie:
         self.first, self.levels, self.codes, self.table = first, levels, codes, table
 
     @classmethod
-    def build(cls, grams: np.ndarray, log_probability: np.ndarray, bins: int = 255) -> Trie:
-        """grams: rows of word ids, different, in lexicographic order; log_probability: one for each row."""
+    def build(cls, grams: np.ndarray, log_probability: np.ndarray, bins: int = 255, table: np.ndarray | None = None) -> Trie:
+        """grams: rows of word ids, different, in lexicographic order; log_probability: one for each row; table:
+        the ascending values that codes stand for, of which each takes the nearest; else ``bins`` equal steps."""
         order = grams.shape[1]
         new = np.ones(len(grams), bool)
         node = np.zeros(len(grams), np.int64)
@@ -155,9 +156,11 @@ class Trie:
                 base = np.append(np.zeros(1, np.uint64), np.cumsum(ends + _U(1), dtype=np.uint64))[: len(ends)]
                 levels.append((EliasFano.build(start), EliasFano.build(word + np.repeat(base, np.diff(start)))))
             node = np.cumsum(new) - 1
-        low, high = (float(log_probability.min()), float(log_probability.max())) if len(grams) else (0.0, 0.0)
-        table = np.linspace(low, high, bins).astype(np.float32)
-        codes = np.rint((log_probability - low) / ((high - low) or 1.0) * (bins - 1)).astype(np.uint8)
+        if table is None:
+            low, high = (float(log_probability.min()), float(log_probability.max())) if len(grams) else (0.0, 0.0)
+            table = np.linspace(low, high, bins)
+        table = table.astype(np.float32)
+        codes = np.searchsorted((table[1:] + table[:-1]) / 2, log_probability).astype(np.uint8)
         return cls(first, levels, codes, table)
 
     def find(self, grams: np.ndarray) -> np.ndarray:

@@ -4,14 +4,14 @@
     p(w | v) = (n(v, w) + mu p1(w)) / (c(v) + mu)
 
 c, N and V are counts over the training texts, of words and one end per text; before a text's first word stands a start,
-which counts once per training text. The tries hold log10 of n / (c + mu), quantised to 8 bits; the other term follows from
-the unigram counts, so an unseen pair needs no entry.
+which counts once per training text. The tries hold log10 of the smoothed p(w | v) of every pair seen in training, quantised
+to 8 bits in steps of its log odds; an unseen pair has mu p1(w) / (c(v) + mu) and needs no entry.
 
 Texts are kept as blocks of word numbers. Three exchanges follow, each with one row per block and shard: words out, counts
 and global ids back; word pairs out, codes back. A shard of pairs builds its trie and answers every block's pairs from it, by
-successor search within the context. Pairs are dealt by context and by the low bits of the word, so a very frequent context
-is split; a block sends each of its pairs once. Nothing that grows with the corpus is broadcast or collected, but two
-numbers per shard of words.
+successor search within the context. Pairs are dealt by context and, for a context seen often, by the word in as many parts as
+its count asks for; a block sends each of its pairs once. Nothing that grows with the corpus is broadcast or collected, but two
+numbers per shard of words, of 16 MB of text each.
 
 Edge cases: a null or empty text is its end token alone; a null id is in the training part; without training texts every
 token is unknown and p1 is 1/(V+1) with V = 0; repeated rows count as often as they occur; an empty table gives an empty
@@ -35,7 +35,8 @@ from lodestone.llm.shared import mix, pack_sorted, small_batches, text_bytes, un
 END = np.uint64(0x452821E638D01377)
 MIN_SHARD_BITS = 6
 SHARD_BYTES = 16 << 20
-SPLIT = 8
+#: A context that is seen more often is dealt by its words too, one part more for each so many times.
+SPLIT_COUNT = 1 << 18
 _UNKNOWN = np.iinfo(np.int64).max
 _TEXTS = "block long, size long, doc_id array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary, counts binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -152,8 +153,10 @@ class Block:
         known = np.flatnonzero((self.context_count[left] > 0) & (self.count[right] > 0))
         a, b = self.id[left[known]], self.id[right[known]]
         self.left = left
-        return_shard = mix(a.astype(np.uint64) * np.uint64(SPLIT) + (b.astype(np.uint64) & np.uint64(SPLIT - 1)))
-        self.known, self.a, self.b, self.hash = known, a, b, return_shard
+        parts = (1 + self.context_count[left[known]] // SPLIT_COUNT).astype(np.uint64)
+        part = mix(b.astype(np.uint64)) % parts
+        self.known, self.a, self.b, self.hash = known, a, b, mix(mix(a.astype(np.uint64)) + part)
+        self.right = right
 
     def dealt(self, bits: int):
         """(order of the known pairs by shard, context and word; their shards in that order)."""
@@ -162,8 +165,16 @@ class Block:
         return order, shard[order]
 
 
-def pair_codes(joined: DataFrame, base: dict[int, int], n_ids: int, bits: int, mu: float) -> DataFrame:
-    """shard, block, codes, table: the code of each pair of the block in the shard (0: not seen), and the codes' values."""
+def code_values(total: int, known: int, mu: float, bins: int = 255) -> np.ndarray:
+    """log10 of the probabilities that codes stand for: equal steps of log10 p / (1 - p), from the least smoothed probability
+    that a seen pair can have up to 0.9999, so that values near 1, which long repetitions add up, are told apart as well."""
+    least = (1 + mu * 1.5 / (total + 0.5 * (known + 1))) / (total + mu) if total else 0.5
+    odds = 10.0 ** np.linspace(np.log10(least), 4.0, bins)
+    return np.log10(odds / (1 + odds))
+
+
+def pair_codes(joined: DataFrame, base: dict[int, int], n_ids: int, bits: int, mu: float, total: int, known: int) -> DataFrame:
+    """shard, block, codes: the code of each pair of the block in the shard (0: not seen in training)."""
 
     def send(batches):
         for b in batches:
@@ -172,47 +183,48 @@ def pair_codes(joined: DataFrame, base: dict[int, int], n_ids: int, bits: int, m
                 trains = np.repeat(~np.array(row["held"], bool), x.lengths)
                 n = np.bincount(x.place[trains], minlength=len(x.pairs))[x.known]
                 order, shard = x.dealt(bits)
-                count = x.context_count[x.left[x.known]]
+                count, follows = x.context_count[x.left[x.known]], x.count[x.right[x.known]]
                 rows = []
                 for s, i, j in _cut(shard):
                     o = order[i:j]
                     context = x.a[o]
                     at = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-                    rows.append((s, row["block"], pack_sorted(context[at].astype(np.uint64)), planes(np.diff(np.append(at, j - i))), planes(count[o][at]), planes(x.b[o]), planes(n[o])))
+                    rows.append((s, row["block"], pack_sorted(context[at].astype(np.uint64)), planes(np.diff(np.append(at, j - i))), planes(count[o][at]), planes(x.b[o]), planes(n[o]), planes(np.where(n[o] > 0, follows[o], 0))))
                 if rows:
-                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(sent_ddl))
 
-    sent_ddl = "shard int, block long, contexts binary, sizes binary, context_counts binary, words binary, n binary"
+    sent_ddl = "shard int, block long, contexts binary, sizes binary, context_counts binary, words binary, n binary, counts binary"
 
     def answer(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
         queries, seen, weight = [], [], []
-        for c, s, k, w, n in zip(*(table.column(x).to_pylist() for x in ("contexts", "sizes", "context_counts", "words", "n")), strict=True):
+        for c, s, k, w, n, f in zip(*(table.column(x).to_pylist() for x in ("contexts", "sizes", "context_counts", "words", "n", "counts")), strict=True):
             sizes, n = unplanes(s), unplanes(n)
             grams = np.column_stack([np.repeat(unpack_sorted(c).astype(np.int64), sizes), unplanes(w)])
             queries.append(grams)
             here = n > 0
             seen.append(grams[here])
-            weight.append(np.column_stack([n, np.repeat(unplanes(k), sizes)])[here])
+            weight.append(np.column_stack([n, np.repeat(unplanes(k), sizes), unplanes(f)])[here])
         grams, weight = np.concatenate(seen), np.concatenate(weight)
         order = np.lexsort((grams[:, 1], grams[:, 0]))
         grams, weight = grams[order], weight[order]
         new = np.append(True, (grams[1:] != grams[:-1]).any(axis=1))[: len(grams)]
         at = np.flatnonzero(new)
         n = np.add.reduceat(weight[:, 0], at) if len(at) else np.zeros(0, np.int64)
-        trie = Trie.from_buffer(Trie.build(grams[at], np.log10(n / (weight[at, 1] + mu))).to_bytes())
+        p1 = (weight[at, 2] + 0.5) / (total + 0.5 * (known + 1))
+        smoothed = (n + mu * p1) / (weight[at, 1] + mu)
+        trie = Trie.from_buffer(Trie.build(grams[at], np.log10(smoothed), table=code_values(total, known, mu)).to_bytes())
         codes = []
         for q in queries:
             found = trie.find(q)
             code = np.zeros(len(q), np.uint8)
             code[found >= 0] = trie.codes[found[found >= 0]] + 1
             codes.append(code.tobytes())
-        table_bytes = trie.table.tobytes()
         shard = table.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "codes": pa.array(codes, pa.binary()), "table": pa.array([table_bytes] * len(blocks), pa.binary())})
+        return pa.table({"shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "codes": pa.array(codes, pa.binary())})
 
-    return written(joined.mapInArrow(send, sent_ddl).groupBy("shard").applyInArrow(answer, "shard int, block long, codes binary, table binary"), "codes")
+    return written(joined.mapInArrow(send, sent_ddl).groupBy("shard").applyInArrow(answer, "shard int, block long, codes binary"), "codes")
 
 
 def score(docs: DataFrame, held: Column, mu: float = 500.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,8 +241,9 @@ def score(docs: DataFrame, held: Column, mu: float = 500.0, id_col: str = "doc_i
         n_ids += r.v
     by_block = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "ids")).alias("answers"))
     joined = texts.drop("words", "counts").join(by_block, "block")
-    codes = pair_codes(joined.select("block", "held", "lengths", "tokens", "answers"), base, n_ids, bits, mu)
-    coded = codes.groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "table")).alias("codes"))
+    codes = pair_codes(joined.select("block", "held", "lengths", "tokens", "answers"), base, n_ids, bits, mu, total, known)
+    coded = codes.groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("codes"))
+    table = np.append(0.0, code_values(total, known, mu))
 
     def run(batches):
         for b in batches:
@@ -240,16 +253,15 @@ def score(docs: DataFrame, held: Column, mu: float = 500.0, id_col: str = "doc_i
             for i, row in enumerate(rest.to_pylist()):
                 x = Block(row["tokens"], row["lengths"], row["answers"], base, n_ids)
                 p1 = (x.count + 0.5) / (total + 0.5 * (known + 1))
-                value = np.zeros(len(x.pairs))
+                code = np.zeros(len(x.pairs), np.uint8)
                 order, shard = x.dealt(bits)
                 cuts = {s: (a, z) for s, a, z in _cut(shard)}
                 for c in row["codes"] or ():
                     a, z = cuts[c["shard"]]
-                    table = np.append(0.0, 10.0 ** np.frombuffer(c["table"], np.float32).astype(np.float64))
-                    value[x.known[order[a:z]]] = table[np.frombuffer(c["codes"], np.uint8)]
+                    code[x.known[order[a:z]]] = np.frombuffer(c["codes"], np.uint8)
                 n_words = len(x.count)
                 back = mu / (x.context_count[x.left] + mu)
-                pair = np.log10(value + back * p1[x.pairs % (n_words + 1)])
+                pair = np.where(code > 0, table[code], np.log10(back * p1[x.pairs % (n_words + 1)]))
                 at = np.cumsum(x.lengths) - x.lengths
                 columns = [
                     ids[i].values, helds[i].values, pa.array(x.lengths), pa.array(np.add.reduceat((x.count > 0)[x.token].astype(np.int64), at)), pa.array(np.full(len(at), total)),

@@ -50,3 +50,13 @@ def test_against_brute_force(spark):
     assert lm.score_held_out(docs.limit(0)).collect() == []
     none = lm.score(docs, F.lit(True)).collect()
     assert {r.train_tokens for r in none} == {0} and all(abs(r.base_score) < 1e-9 and r.n_known == 0 for r in none)
+
+
+def test_frequent_contexts_are_dealt_by_word(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("a b c d e f g h".split(), k=80))) for i in range(40)] + [(99, "é" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(map(tuple, lm.score_held_out(docs).collect()))
+    monkeypatch.setattr(lm, "SPLIT_COUNT", 7)
+    split = sorted(map(tuple, lm.score_held_out(docs).collect()))
+    assert plain == split and [r[:5] for r in plain] == [r[:5] for r in sorted(brute(rows, 500.0))]
