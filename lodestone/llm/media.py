@@ -1,7 +1,10 @@
 """Media columns: content-addressed payloads in tar shards, filled in by range reads.
 
-Each text is an 8-bit grey image of 576 samples a row, stored losslessly as PNG. A task appends its payloads to a tar
-shard in the shared folder, each different payload of the task once, under the name of its SHA-256. A row carries the
+Each text is an 8-bit grey image of 576 samples a row, stored losslessly as PNG. Of equal texts, those with the least
+non-null id are owners (all, if none has an id); a task appends its owners' payloads to a tar shard in the shared folder,
+each different one once, under the name of its SHA-256. So a payload is stored once, whatever tasks its copies are in,
+unless rows repeat with their ids in several tasks. Copies take their owner's place by the digest: only digests that repeat
+take part in joins, which broadcast them up to BROADCAST_ROWS rows and salt their keys beyond that. A row carries the
 digest, the shard, the offset and the length of its member; width and height are filled by reading only the 33 header
 bytes of a member, and features by reading the member.
 
@@ -24,11 +27,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.llm.shared import documents, filesystem, shared_dir, small_batches, written
 
 ROW = 576
 HEADER_BYTES = 33
+#: Rows of repeated digests that may be broadcast: each is under 300 bytes.
+BROADCAST_ROWS = 50_000
+#: Parts into which a digest's rows are dealt in the join beyond that.
+SALTS = 32
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
@@ -100,8 +108,29 @@ class Shard:
         self.out.close()
 
 
+def _beside(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """rows joined with ``few`` (written, a row per key) on key, a part of which may hold a large share of the rows."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), "key", how)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], how).drop("salt")
+
+
 def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards below ``folder`` (a URI that all executors share) and returns their index: a row per document."""
+    rows = documents(docs, id_col, text_col).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    repeated = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("key", "owner", F.lit(True).alias("repeats"))
+    marked = _beside(rows, written(repeated, "repeated"), "left")
+    is_owner = F.col("repeats").isNull() | F.col("doc_id").eqNullSafe(F.col("owner"))
+    own = written(put(marked.where(is_owner).select("doc_id", "text", F.when(F.col("repeats"), F.col("key")).alias("key")), folder, shard_bytes), "owners")
+    names = ("n_bytes", "digest", "shard", "offset", "length")
+    places = own.where("key is not null").groupBy("key").agg(F.min(F.struct(*names)).alias("place"))
+    copies = _beside(marked.where(~is_owner).select("doc_id", "key"), written(places, "places"), "inner")
+    return own.drop("key").unionByName(copies.select("doc_id", *(F.col(f"place.{c}").alias(c) for c in names)))
+
+
+def put(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
+    """Appends the payloads of rows (doc_id, text, key) to shards: INDEX and the key."""
 
     def run(batches):
         shard = None
@@ -118,12 +147,12 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, id_col: st
                     digest = hashlib.sha256(payload).hexdigest()
                     rows.append((doc_id, len(data), digest, shard.path, *shard.member(digest, payload)))
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)), b.column(2)], names=[x.split(" ")[0] for x in INDEX.split(", ")] + ["key"])
         finally:
             if shard is not None:
                 shard.close()
 
-    return documents(docs, id_col, text_col).mapInArrow(run, INDEX)
+    return rows.mapInArrow(run, f"{INDEX}, key string")
 
 
 class Ranges:

@@ -42,3 +42,19 @@ def test_shards_are_tar_files(spark):
         with tarfile.open(f"{base}/{p}") as t:
             members = {m.name: (m.offset_data, m.size) for m in t.getmembers()}
         assert members == {f"{r.digest}.png": (r.offset, r.length) for r in index if r.shard == p}
+
+
+def test_a_payload_is_stored_once(spark, monkeypatch):
+    """Copies in many tasks, with and without ids, by broadcast and by salted keys."""
+    rows = [(i, ("same", "other " * 500, f"own {i}")[i % 3]) for i in range(90)] + [(None, "same"), (None, "nobody"), (None, "nobody"), (7, "own 7"), (200, None), (201, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(6)
+    for most in (media.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(media, "BROADCAST_ROWS", most)
+        folder = f"{shared_dir(spark)}/shards"
+        index = media.store(docs, folder).collect()
+        assert len(index) == len(rows)
+        digest = lambda t: hashlib.sha256(media.pad((t or "").encode())).hexdigest()
+        assert sorted(((r.doc_id is None, r.doc_id or 0, r.digest, r.n_bytes)) for r in index) == sorted((i is None, i or 0, digest(t), len((t or "").encode())) for i, t in rows)
+        places = {(r.digest, r.shard, r.offset, r.length) for r in index if r.digest != digest("nobody")}
+        assert len(places) == len({digest(t) for _, t in rows} - {digest("nobody")})
+    assert media.media_columns(docs.limit(0)).collect() == []
