@@ -6,7 +6,7 @@ each word gets a log-likelihood for every language left; Viterbi with a penalty
 several languages falls into spans. The document's language is the one whose spans hold the most letters-bearing bytes,
 its score the share of these bytes.
 
-The model's size is bounded by languages x BUCKETS. Only text and, in training, the label are read.
+The model's size is bounded by MAX_LANGUAGES x BUCKETS; more labels raise, for they are no languages. Only text and, in training, the label are read.
 
 Edge cases: null text and text without a letter get the language ``und`` and score 0; equal shares go to the language
 first in alphabetical order; without training rows every text is ``und``; repeated rows count as often as they occur;
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import small_batches, text_bytes
+from lodestone.llm.shared import small_batches, text_bytes, written
 
 BUCKETS = 1 << 15
+#: The model is broadcast, 128 KB a language; a label column with more values than this is refused.
+MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 
 #: Script ranges (fixed values): first code point, last code point, script.
@@ -152,7 +154,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = written(rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    several = counts.select("lang").distinct().count()
+    if several > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} has {several} values with words, more than the {MAX_LANGUAGES} languages that a model may have")
+    counts = counts.toArrow()
     names, code = np.unique(np.array(counts.column("lang").to_pylist(), object), return_inverse=True)
     dense = np.zeros((len(names), BUCKETS + len(NAMES)))
     dense[code, counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
@@ -168,13 +174,12 @@ def word_scores(model: Model, column: pa.Array):
     bucket, start, doc, bits = features(column)
     n, k = len(start), len(model.languages)
     length = np.diff(np.append(start, len(bucket)))
-    score = np.empty((n, k), np.float32)
-    for lang in range(k):
-        score[:, lang] = np.add.reduceat(model.table[bucket, lang], start) if n else 0
     allowed = (bits[:, None] & model.scripts[None, :]) == bits[:, None]
     none = ~allowed.any(1)
     allowed[none] = True
-    score[~allowed] = -1e4
+    score = np.full((n, k), -1e4, np.float32)
+    for lang in np.flatnonzero(allowed[~none].any(0)):  # languages of other scripts than the batch's are not looked up
+        score[:, lang] = np.where(allowed[:, lang], np.add.reduceat(model.table[bucket, lang], start), np.float32(-1e4))
     score[none] = 0
     return doc, length, score
 
