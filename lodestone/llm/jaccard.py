@@ -47,7 +47,7 @@ SMALL = 8
 #: Bytes of text behind a key range, and the least number of ranges.
 RANGE_BYTES, MIN_RANGES = 12 << 20, 64
 #: Bytes of text of a block of documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Candidate ids that may be broadcast, of 8 bytes each, when their texts are fetched.
 BROADCAST_IDS = 400_000
 #: A block of a component has about so many sets and shingles at most; a tile compares two blocks.

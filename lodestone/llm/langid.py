@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())])
 
     def run(batches):
-        for b in small_batches(batches, 4096, 4 << 20):
+        for b in small_batches(batches, 4096, 2 << 20):
             column = b.column(b.num_columns - 1)
             out = []
             for text, spans in zip(column.to_pylist(), label_spans(shared.value, column), strict=True):

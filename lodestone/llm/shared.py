@@ -24,7 +24,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
