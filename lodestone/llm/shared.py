@@ -123,6 +123,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.diff(bounds)
 
 
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words, each with a line feed behind it; where each starts, and the end of all)."""
+    bounds = np.append(0, np.cumsum(end - start + 1)).astype(np.int64)
+    text = np.full(int(bounds[-1]), 0x0A, np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[bounds[1:] - 1] = False
+    text[inside] = data[~_SPACE[data]]
+    return text, bounds
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool, seed: int = 1, chunk: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each word's bytes (A-Z lower-cased first if ``lower``)."""
     n = len(start)

@@ -1,93 +1,199 @@
-"""Removal of repeated word runs, by hashes of windows; no suffix tree is built.
+"""Removal of repeated word runs: suffixes split by variable-length prefixes, a suffix tree per group, its deep internal nodes.
 
-Every run of ``window`` words is held as a 64-bit hash, its path, and 32 more bits, its mark. Leading bits of the path split
-the windows into groups, and the number of bits follows from the corpus' size so that a group fits in memory. A group sorts
-its paths; one that occurs twice or more with the same mark is a repeated window. Runs of overlapping repeated windows are
-removed as one.
+A suffix is a word with the words behind it in its document, up to ``window`` of them. An internal node at that depth is a
+run of words that starts in two places or more, and every such run is removed. Equality is that of the words; hashes only
+deal suffixes to groups.
 
-A task sends a group each path of its block once, with a flag if the block itself has it twice or more, so a passage that
-a third of all documents share costs one value per block. The group answers with one bit per path. Fingerprints of
-different windows are equal with probability 2^-96 a pair: some 10^-9 expected false pairs over 5 * 10^9 windows (30 GB), under 0.01 over 2 * 10^13 (100 TB).
+Shipping each suffix's words would take ``window`` times the text. So suffixes are split by a prefix that neighbours share:
+the one that starts at the anchor, the place within reach at which the next PREFIX words have the least hash. Equal
+suffixes have equal anchors, and neighbours with one anchor travel as one run of text. Where more suffixes share a prefix
+than a group should hold, the prefix is lengthened to the whole suffix. The number of groups follows from the corpus' size.
 
-Edge cases: null and empty texts have no words; documents of fewer than ``window`` words have no window; a repeated row is
-a second occurrence, and both lose the window; an empty table gives an empty table; a very long document is in a block of
-its own; columns to carry keep their names, whatever they are.
+A block builds the tree of its own suffixes first and sends one suffix per node, so a passage that a third of all documents
+share costs one suffix a block. A group builds its subtree over what the blocks sent and answers with one bit per suffix.
+Runs of overlapping repeats are removed as one.
+
+Edge cases: null and empty texts have no words; documents of fewer than ``window`` words have no suffix of that depth; a
+repeated row is a second occurrence, and both lose the run; an empty table gives an empty table; a very long document is in
+a block of its own; columns to carry keep their names, whatever they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.blocks import column, to_blocks
-from lodestone.llm.shared import pack_sorted, text_bytes, unpack_sorted, window_hashes, word_hashes, word_spans, written
+from lodestone.llm.shared import give_back, joined_words, text_bytes, window_hashes, word_hashes, word_spans, written
 
 WINDOW = 35
-#: Bytes of text behind a group: about six times as many bytes of paths.
+#: Bytes of text behind a group: its blocks send about three times as many before compression.
 GROUP_BYTES = 8 << 20
 MIN_GROUP_BITS = 6
+#: Suffixes are counted by this many leading bits of their prefixes' hashes: a table of one size for every corpus.
+TABLE_BITS = 16
+#: Suffixes beyond the mean of the table's places at which a prefix is lengthened.
+HOT_SUFFIXES = 1 << 18
+
+
+def prefix_words(window: int) -> int:
+    """Words of a prefix that is not lengthened."""
+    return max(1, window // 4)
+
+
+def word_numbers(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each word, equal for equal words only; a hash of each word); each word ends with a separator."""
+    array = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text)]).dictionary_encode()
+    data, offsets = text_bytes(array.dictionary)
+    number = array.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return number, word_hashes(data, offsets[:-1], offsets[1:] - 1, lower=False)[number] if len(number) else np.zeros(0, np.uint64)
+
+
+def deep_nodes(number: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The node at ``depth`` words of the suffix that starts at each of the places ``at``; -1 where it is a leaf by then.
+
+    The tree grows from its root down, all nodes of a level at once: suffixes of a node part by their next words, as many
+    as fit in a key, and one that is alone is a leaf and goes no deeper.
+    """
+    out = np.full(len(at), -1, np.int64)
+    alive, node, nodes, deep = np.arange(len(at)), np.zeros(len(at), np.int64), 1, 0
+    bits = max(1, int(number.max(initial=0)).bit_length())
+    while deep < depth and len(alive):
+        step = min(depth - deep, max(1, (63 - (nodes - 1).bit_length()) // bits))
+        key = node
+        for k in range(deep, deep + step):
+            key = key << bits | number[at[alive] + k]
+        order = np.argsort(key)
+        ranked = key[order]
+        head = np.append(True, ranked[1:] != ranked[:-1])
+        inner = np.diff(np.append(np.flatnonzero(head), len(ranked))) > 1
+        kind = np.cumsum(head) - 1
+        stays = inner[kind]
+        alive, node, nodes = alive[order[stays]], (np.cumsum(inner) - 1)[kind[stays]], int(inner.sum())
+        deep += step
+    out[alive] = node
+    return out
+
+
+def least_ahead(values: np.ndarray, span: int) -> np.ndarray:
+    """For each place the first one of the least value among the ``span`` values from it on."""
+    at, have = np.arange(len(values)), 1
+    while have < span and len(at):
+        step = min(have, span - have)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(values[b] < values[a], b, a)
+        have += step
+    return at
+
+
+class Suffixes:
+    """The suffixes of ``window`` words of a block, and the prefixes that deal them."""
+
+    def __init__(self, texts: pa.Array, window: int):
+        data, offsets = text_bytes(texts)
+        start, end, self.words = word_spans(data, offsets)
+        self.text, self.bounds = joined_words(data, start, end)
+        self.number, self.hashes = word_numbers(self.text, self.bounds)
+        left = np.repeat(np.cumsum(self.words), self.words) - np.arange(len(start))  # words from here to the document's end
+        self.window, self.place = window, np.flatnonzero(left >= window)
+        n = prefix_words(window)
+        prefix = window_hashes(self.hashes, n)
+        self.anchor = least_ahead(prefix, window - n + 1)[self.place] if len(self.place) else self.place
+        self.prefix = prefix[self.anchor]
+
+    def deal(self, bits: int, hot: np.ndarray) -> None:
+        """Sets ``repeated`` (which suffixes the block has twice or more), and of those to send (the first of each node) by
+        group: ``sent``, their ``group`` and whether each starts a run of text (``opens``)."""
+        node = deep_nodes(self.number, self.place, self.window)
+        self.repeated = node >= 0
+        first = ~self.repeated
+        again = np.flatnonzero(self.repeated)
+        first[again[np.unique(node[again], return_index=True)[1]]] = True
+        sent = np.flatnonzero(first)
+        key, longer = self.prefix[sent], hot[(self.prefix[sent] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        if longer.any():
+            key[longer] = window_hashes(self.hashes, self.window)[self.place[sent[longer]]]
+        place, anchor = self.place[sent], self.anchor[sent]
+        opens = np.append(True, (np.diff(place) != 1) | (np.diff(anchor) != 0) | longer[1:] | longer[:-1])[: len(sent)]
+        group = (key >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(group, kind="stable")  # runs stay together: all suffixes of one are in one group
+        self.sent, self.group, self.opens = sent[order], group[order], opens[order]
+
+    def cuts(self) -> list[tuple[int, int, int]]:
+        """(group, from, to) among the sent suffixes."""
+        at = np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1])[: len(self.group)]).tolist()
+        return [(int(self.group[a]), a, z) for a, z in zip(at, [*at[1:], len(self.group)])]
+
+    def runs(self, a: int, z: int) -> tuple[np.ndarray, bytes]:
+        """(suffixes in each run, the words of all runs) of the sent suffixes from a to z."""
+        heads = np.flatnonzero(self.opens[a:z])
+        sizes = np.diff(np.append(heads, z - a))
+        place = self.place[self.sent[a:z][heads]]
+        text = memoryview(self.text)
+        return sizes, b"".join([text[i:j] for i, j in zip(self.bounds[place].tolist(), self.bounds[place + sizes + self.window - 1].tolist())])
+
+
+def hot_prefixes(blocks: DataFrame, window: int, hot_suffixes: int, text_col: str = "text") -> np.ndarray:
+    """Which places of the table hold a prefix that many suffixes share: a table of 2 ** TABLE_BITS flags."""
+
+    def run(batches):
+        total = np.zeros(1 << TABLE_BITS, np.int64)
+        for b in batches:
+            for row in range(b.num_rows):
+                x = Suffixes(column(b, row, text_col), window)
+                total += np.bincount((x.prefix >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["place", "n"])
+        give_back()
 
-
-def paths(texts: pa.Array, window: int):
-    """(words per document, path and mark of each suffix that has ``window`` words, the place of its first word among all words)."""
-    data, offsets = text_bytes(texts)
-    start, end, words = word_spans(data, offsets)
-    hashed = word_hashes(data, start, end, lower=False)
-    path, mark = window_hashes(hashed, window), window_hashes(hashed, window, seed=11)
-    left = np.repeat(np.cumsum(words), words) - np.arange(len(start))  # words from here to the document's end
-    place = np.flatnonzero(left >= window)
-    return words, path[place], (mark[place] >> np.uint64(32)).astype(np.uint32), place
-
-
-def _distinct(path: np.ndarray, mark: np.ndarray):
-    """(order that sorts the windows, whether each in that order is the first of its kind, paths and marks of the kinds, whether each occurs twice or more)."""
-    order = np.argsort(path, kind="stable")
-    ranked = path[order]
-    if len(ranked) and (mark[order][1:] != mark[order][:-1])[ranked[1:] == ranked[:-1]].any():  # equal paths, different marks
-        order = np.lexsort((mark, path))
-        ranked = path[order]
-    marks = mark[order]
-    head = np.append(True, (ranked[1:] != ranked[:-1]) | (marks[1:] != marks[:-1]))[: len(ranked)]
-    at = np.flatnonzero(head)
-    return order, head, ranked[at], marks[at], np.diff(np.append(at, len(ranked))) > 1
+    counts = written(blocks.select("block", f"c_{text_col}").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")), "prefixes")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << TABLE_BITS)
+    hot = np.zeros(1 << TABLE_BITS, bool)
+    hot[[r.place for r in counts.where(F.col("n") > 2 * mean + hot_suffixes).collect()]] = True
+    return hot
 
 
-def repeated_paths(blocks: DataFrame, window: int, group_bits: int, text_col: str = "text") -> DataFrame:
-    """group, block, bits: which of the block's different windows in the group, in ascending order, start a repeat."""
+def repeated_suffixes(blocks: DataFrame, window: int, group_bits: int, hot: np.ndarray, text_col: str = "text") -> DataFrame:
+    """group, block, bits: which of the suffixes that the block sent to the group, in that order, start elsewhere too."""
 
     def send(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for row in range(b.num_rows):
-                _, path, mark, _ = paths(column(b, row, text_col), window)
-                *_, kinds, marks, twice = _distinct(path, mark)
-                group = (kinds >> np.uint64(64 - group_bits)).astype(np.int64)
-                cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)]).tolist()
-                out = [(int(group[a]), b.column(0)[row].as_py(), pack_sorted(kinds[a:z]), marks[a:z].tobytes(), np.packbits(twice[a:z]).tobytes()) for a, z in zip(cuts, [*cuts[1:], len(group)])]
+                x = Suffixes(column(b, row, text_col), window)
+                x.deal(group_bits, hot)
+                out = []
+                for group, a, z in x.cuts():
+                    sizes, text = x.runs(a, z)
+                    out.append((group, b.column(0)[row].as_py(), sizes.astype(np.uint32).tobytes(), pack.compress(text), np.packbits(x.repeated[x.sent[a:z]]).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["group", "block", "paths", "marks", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["group", "block", "sizes", "words", "twice"])
+        give_back()
 
     def meet(table: pa.Table) -> pa.Table:
-        sent = [unpack_sorted(x) for x in table.column("paths").to_pylist()]
-        path = np.concatenate(sent)
-        mark = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("marks").to_pylist()])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("twice").to_pylist(), sent, strict=True)])
-        order, head, _, _, several = _distinct(path, mark)
-        kind = np.cumsum(head) - 1
-        several |= np.bincount(kind, weights=twice[order], minlength=len(several)) > 0
-        hit = np.empty(len(path), bool)
-        hit[order] = several[kind]
-        ends, out = np.cumsum([len(k) for k in sent]), []
-        for block, k, z in zip(table.column("block").to_pylist(), sent, ends.tolist(), strict=True):
-            own = hit[z - len(k) : z]
+        unpack = zstandard.ZstdDecompressor()
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("sizes").to_pylist()]
+        text = np.frombuffer(b"".join([unpack.decompress(x) for x in table.column("words").to_pylist()]), np.uint8)
+        number, _ = word_numbers(text, np.append(0, np.flatnonzero(text == 0x0A) + 1))
+        run = np.concatenate(sizes)
+        # a run of n suffixes has window - 1 words more
+        at = np.arange(int(run.sum())) + np.repeat(np.arange(len(run)) * (window - 1), run)
+        hit = deep_nodes(number, at, window) >= 0
+        ends, out = np.cumsum([int(x.sum()) for x in sizes]), []
+        for block, x, twice, z in zip(table.column("block").to_pylist(), sizes, table.column("twice").to_pylist(), ends.tolist(), strict=True):
+            n = int(x.sum())
+            own = hit[z - n : z] & ~np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)  # the block knows those
             if own.any():
-                out.append((table.column("group")[0].as_py(), block, np.packbits(own).tobytes()))
+                out.append((table.column("group")[0].as_py(), block, zstandard.compress(np.packbits(own).tobytes())))
         group, block, bits = zip(*out) if out else ((), (), ())
+        give_back()
         return pa.table({"group": pa.array(group, pa.int32()), "block": pa.array(block, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    rows = blocks.select("block", f"c_{text_col}").mapInArrow(send, "group int, block long, paths binary, marks binary, twice binary")
+    rows = blocks.select("block", f"c_{text_col}").mapInArrow(send, "group int, block long, sizes binary, words binary, twice binary")
     return rows.groupBy("group").applyInArrow(meet, "group int, block long, bits binary")
 
 
@@ -99,14 +205,15 @@ def covered(words: np.ndarray, place: np.ndarray, hit: np.ndarray, window: int)
     return np.cumsum(edge)[:-1] > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", hot_suffixes: int = HOT_SUFFIXES) -> DataFrame:
     """The carried columns, n_words, n_removed, kept (the words left, joined by one space) and repeats: (start, end) in words
     of each maximal run of repeated windows."""
     docs = docs.withColumn(text_col, F.coalesce(text_col, F.lit("")))
     blocks = to_blocks(docs.select(*dict.fromkeys([*carry, text_col])), text_col=text_col)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bits = max(MIN_GROUP_BITS, (size // GROUP_BYTES).bit_length())
-    answers = written(repeated_paths(blocks, window, bits, text_col), "bits")
+    hot = hot_prefixes(blocks, window, hot_suffixes, text_col)
+    answers = written(repeated_suffixes(blocks, window, bits, hot, text_col), "bits")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("group", "bits")).alias("answers"))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("repeats", span)])
@@ -115,16 +222,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_
         for b in batches:
             for row in range(b.num_rows):
                 texts = column(b, row, text_col)
-                words, path, mark, place = paths(texts, window)
-                order, head, kinds, *_ = _distinct(path, mark)
-                group = (kinds >> np.uint64(64 - bits)).astype(np.int64)
-                kind_hit = np.zeros(len(kinds), bool)
-                for x in b.column(b.schema.get_field_index("answers"))[row].as_py() or ():
-                    a, z = np.searchsorted(group, [x["group"], x["group"] + 1])
-                    kind_hit[a:z] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=z - a)
-                hit = np.zeros(len(path), bool)
-                hit[order] = kind_hit[np.cumsum(head) - 1]
-                gone = covered(words, place, hit, window)
+                x = Suffixes(texts, window)
+                x.deal(bits, hot)
+                words, hit = x.words, x.repeated
+                answered = {y["group"]: y["bits"] for y in b.column(b.schema.get_field_index("answers"))[row].as_py() or ()}
+                for group, a, z in x.cuts():
+                    if group in answered:
+                        hit[x.sent[a:z]] |= np.unpackbits(np.frombuffer(zstandard.decompress(answered[group]), np.uint8), count=z - a).astype(bool)
+                gone = covered(words, x.place, hit, window)
                 ends = np.cumsum(words)
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(ends - words, len(gone))) * (words > 0)
                 for at in range(0, len(texts), 1000):

@@ -78,10 +78,32 @@ def test_word_helpers():
         assert shared.unpack_sorted(shared.pack_sorted(k)).tolist() == k.tolist()
 
 
-def test_equal_paths_with_different_marks_are_different_windows():
-    import numpy as np
-
-    path, mark = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 7, 2, 1, 7], np.uint32)
-    order, head, kinds, marks, twice = substring._distinct(path, mark)
-    assert kinds.tolist() == [3, 5, 5] and marks.tolist() == [7, 1, 2] and twice.tolist() == [True, True, False]
-    assert path[order].tolist() == [3, 3, 5, 5, 5] and head.tolist() == [True, False, True, False, True]
+def test_deep_nodes_are_the_runs_that_occur_twice():
+    rng = np.random.default_rng(3)
+    for kinds, n, depth in ((2, 200, 5), (3, 3000, 9), (1 << 40, 50, 2), (1, 100, 35), (5, 0, 3)):
+        number = rng.integers(0, kinds, n + depth)
+        number[n // 2 :] = number[: len(number) - n // 2] if kinds > 3 else number[n // 2 :]
+        at = rng.permutation(n)[: n - n // 5]
+        node = substring.deep_nodes(number, at, depth)
+        runs = [tuple(number[i : i + depth].tolist()) for i in at]
+        same = {}
+        for run, x in zip(runs, node.tolist(), strict=True):
+            assert (x >= 0) == (runs.count(run) > 1)
+            assert x < 0 or same.setdefault(x, run) == run
+        assert len(set(same.values())) == len(same)
+
+
+def test_least_ahead():
+    values = np.random.default_rng(4).integers(0, 4, 90).astype(np.uint64)
+    for span in (1, 2, 7, 28, 90, 91):
+        expected = [i + int(np.argmin(values[i : i + span])) for i in range(len(values) - span + 1)]
+        assert substring.least_ahead(values, span).tolist() == expected
+
+
+@pytest.mark.parametrize("hot_suffixes", [-(1 << 40), 20])
+def test_lengthened_prefixes_give_the_same_rows(spark, hot_suffixes):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    for window in (5, 35):
+        out = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.dedup(docs, window, hot_suffixes=hot_suffixes).collect()}
+        assert [out[i] for i in range(len(texts))] == brute(texts, window)
