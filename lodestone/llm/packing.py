@@ -25,6 +25,7 @@ import os
 import zlib
 from array import array
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +148,10 @@ def dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return deal(0, by)
 
 
-def fillings(counts: dict[int, int], room: int):
-    """Undominated sets of pieces that fit in ``room``, of any number, the fullest first and of equal ones those with larger
-    pieces; () if none fits. Sums that the pieces can make are known as bits, so no walk ends without a set."""
+def fillings(counts: dict[int, int], room: int, least: int = 0, go_on: Callable[[], bool] = lambda: True):
+    """Undominated sets of pieces that fit in ``room`` with a sum of ``least`` or more, of any number, the fullest first and
+    of equal ones those with larger pieces; () if none fits. Sums that the pieces can make are known as bits, so no walk ends
+    without a set. ``go_on`` is asked once a set, dominated ones included, and ends the walk."""
     lengths = sorted(k for k, n in counts.items() if n and k <= room)
     number = [counts[k] for k in lengths]
     reach = [1]  # bit t of reach[i]: t is a sum of the first i lengths' pieces
@@ -175,16 +177,21 @@ def fillings(counts: dict[int, int], room: int):
                         yield (k,) * n + rest
 
     given: list[tuple[int, ...]] = []
-    for total in range(room, -1, -1):
+    for total in range(room, max(least, 0) - 1, -1):
         if reach[-1] >> total & 1 and (total or not given):
             for chosen in walk(len(lengths), total):
+                if not go_on():
+                    return
                 if len(chosen) > DOMINANCE_PIECES or not any(dominated(chosen, x) for x in given[-DOMINANCE_SETS:]):
                     given.append(chosen)
                     yield chosen
 
 
-def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern], max_nodes: int) -> list[Pattern]:
-    """Bin completion: the best packing found, the incumbent if none is better."""
+def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern], max_nodes: int, max_fillings: int = 20_000) -> list[Pattern]:
+    """Bin completion: the best packing found, the incumbent if none is better. The search ends at the lower bound, when all
+    is tried, after ``max_nodes`` opened nodes, or after ``max_fillings`` sets of pieces that were looked at in all of them."""
+    looked = itertools.count(1)
+    go_on = lambda: next(looked) <= max_fillings
     total = sum(k * n for k, n in histogram.items())
     bound, best, nodes = lower_bound(histogram, capacity), sum(b for _, b in incumbent), 0
     counts = {k: n for k, n in histogram.items() if n}
@@ -201,7 +208,9 @@ def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern],
             largest = max(counts)
             # each filling as often as the counts allow, and once: then others, or itself again, may follow for this length
             rest = {**counts, largest: counts[largest] - 1}
-            frame[0] = (((largest, *x), times) for x in fillings(rest, capacity - largest) for times in (0, 1))
+            # a bin that wastes more than what is left to waste is in no better packing, and sums only fall from there
+            slack = (best - 1) * capacity - total - frame[1]
+            frame[0] = (((largest, *x), times) for x in fillings(rest, capacity - largest, capacity - largest - slack, go_on) for times in (0, 1))
         if (choice := next(frame[0], None)) is None:
             stack.pop()
             if frame[2]:
@@ -232,6 +241,7 @@ def complete(histogram: dict[int, int], capacity: int, incumbent: list[Pattern],
 
 
 def plan(histogram: dict[int, int], capacity: int, max_nodes: int = 2000) -> list[Pattern]:
+    """Bins for all pieces: best fit decreasing, then bin completion where that is above the lower bound."""
     first = best_fit(histogram, capacity)
     return complete(histogram, capacity, first, max_nodes)
 

@@ -12,7 +12,7 @@ join; they are broadcast up to BROADCAST_ROWS rows and joined with salted keys b
 
 Edge cases: null html is an empty payload; a null url gives a record without a target; a null page_id never is the
 largest; repeated rows of the largest page_id are all responses; an empty table writes no archive and reads no record; line
-ends in a url are percent-encoded; a record head or a payload may be of any length; only page_id, url and html are read, so other columns never clash.
+ends in a url are percent-encoded; a record head or a payload may be of any length; magic with a malformed or impossible length is no candidate; only page_id, url and html are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -117,6 +117,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 32 << 20,
 # ---------------------------------------------------------------- reading
 
 
+def _length(value: bytes) -> int | None:
+    """A Content-Length: ASCII digits, at most 18."""
+    return int(value) if re.fullmatch(rb"[0-9]{1,18}", value.strip()) else None
+
+
 def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """(fields by lower-case name, offset after the head) of the record head at ``at``; None if it is none or not complete."""
     if not data.startswith(MAGIC, at):
@@ -130,11 +135,31 @@ def parse_head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+    return (fields, end + 4) if _length(fields.get("content-length", "").encode()) is not None else None
+
+
+def heads(data: bytes) -> list[tuple[int, int, int]]:
+    """(offset, offset after the head, Content-Length) of all places where parse_head() finds a head. Places with the same
+    head end share its lines, which are read once, from the end back to the first line without a colon."""
+    out, first = [], data.find(MAGIC)
+    while first >= 0 and (end := data.find(HEAD_END, first)) >= 0:
+        to, told, length = end, False, None
+        while to > first:
+            line = data.rfind(b"\r\n", first, to) + 2
+            name, colon, value = data[line:to].partition(b":")
+            if line < first + len(MAGIC) or not colon:
+                break
+            if not told and name.strip().lower() == b"content-length":
+                told, length = True, _length(value)
+            if length is not None and line - len(MAGIC) >= first and data.startswith(MAGIC, line - len(MAGIC)):
+                out.append((line - len(MAGIC), end + len(HEAD_END), length))
+            to = line - 2
+        first = data.find(MAGIC, max(first + 1, end - len(MAGIC) + 3))
+    return sorted(out)
 
 
 def candidates(archives: DataFrame, folder: str, block_bytes: int = 8 << 20, head_bytes: int = 64 << 10) -> DataFrame:
-    """archive, size, offset, successor for each place that parses as a record head. A head that starts in a block and ends
+    """archive, size, offset, successor for each place that parses as a record head and ends within its archive. A head that starts in a block and ends
     beyond what was read with it is read on by ``head_bytes`` at a time, doubled each time, until its end."""
     blocks = archives.select("archive", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(block_bytes))).alias("start"))
 
@@ -146,14 +171,13 @@ def candidates(archives: DataFrame, folder: str, block_bytes: int = 8 << 20, hea
                 with fs.open_input_file(f"{base}/{archive}") as f:
                     data = f.read_at(min(block_bytes + head_bytes, size - start), start)
                     more = head_bytes
-                    at = data.find(MAGIC)
-                    while 0 <= at < block_bytes:
-                        while start + len(data) < size and data.find(HEAD_END, at) < 0:
-                            data += f.read_at(min(more, size - start - len(data)), start + len(data))
-                            more *= 2
-                        if head := parse_head(data, at):
-                            found.append((start + at, start + head[1] + int(head[0]["content-length"]) + 4))
-                        at = data.find(MAGIC, at + 1)
+                    last = data.rfind(MAGIC, 0, block_bytes + len(MAGIC) - 1)
+                    while last >= 0 and start + len(data) < size and data.find(HEAD_END, last) < 0:
+                        data += f.read_at(min(more, size - start - len(data)), start + len(data))
+                        more *= 2
+                    for at, end, length in heads(data):
+                        if at < block_bytes and (successor := start + end + length + 4) <= size:
+                            found.append((start + at, successor))
                 if found:
                     here, there = zip(*found, strict=True)
                     n = len(found)

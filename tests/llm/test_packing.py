@@ -1,6 +1,8 @@
 import itertools
 import random
+import time
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -145,3 +147,19 @@ def test_search_beats_best_fit():
         assert 6 == packing.lower_bound(histogram, 100) <= best <= first
         won += first > best
     assert won > 0
+
+
+def test_search_ends():
+    """Nineteen lengths, seven pieces each: many sums, of which nearly all waste more than a better packing may."""
+    began = time.time()
+    found = packing.plan({k: 7 for k in range(50, 951, 50)}, 2048)
+    assert time.time() - began < 20 and sum(bins for _, bins in found) in (33, 34)
+    used = Counter()
+    for items, bins in found:
+        assert sum(k * n for k, n in items) <= 2048
+        for k, n in items:
+            used[k] += n * bins
+    assert used == {k: 7 for k in range(50, 951, 50)}
+    asked = []
+    list(packing.fillings({k: 7 for k in range(50, 951, 50)}, 2048, go_on=lambda: len(asked) < 50 and not asked.append(1)))
+    assert len(asked) == 50

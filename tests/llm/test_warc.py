@@ -65,3 +65,27 @@ def test_heads_across_the_ends_of_blocks(spark):
     archives = written(warc.write_archives(warc.with_referrals(pages, 10**9), folder), "list")
     found = warc.chain(warc.candidates(archives, folder, block_bytes=4096, head_bytes=64))
     assert sorted((r.page_id, r.url) for r in warc.read_records(found, folder).collect()) == [(i, u) for i, u, *_ in rows]
+
+
+def naive_heads(data):
+    out = []
+    for at in range(len(data)):
+        if head := warc.parse_head(data, at):
+            out.append((at, head[1], int(head[0]["content-length"])))
+    return out
+
+
+def test_heads_against_each_place_alone():
+    rng = np.random.default_rng(3)
+    parts = [b"WARC/1.0\r\n", b"Content-Length: 5\r\n", b"content-length:%d\r\n" % 10**17, b"Content-Length: \xc2\xb2\r\n", b"a: b\r\n", b"\r\n", b"\r\n\r\n", b"x", b"a:", b"Content-Length: " + b"9" * 25 + b"\r\n"]
+    for _ in range(3000):
+        data = b"".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 14)))
+        assert warc.heads(data) == naive_heads(data), data
+
+
+def test_malformed_lengths_and_much_magic(spark):
+    """Superscript digits, lengths beyond any archive, and magic on every line, with and without colons."""
+    texts = ["WARC/1.0\r\nContent-Length: ²\r\n\r\n", "WARC/1.0\r\nContent-Length: " + "9" * 25 + "\r\n\r\n", "WARC/1.0\r\nContent-Length: " + "9" * 18 + "\r\n\r\n", "WARC/1.0\r\n" * 40_000, "a:WARC/1.0\r\n" * 40_000]
+    rows = [(i, "u", t, 1) for i, t in enumerate(texts)]
+    out = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.page_id, r.payload_digest) for r in out) == [(i, digest(t)) for i, t in enumerate(texts)]
