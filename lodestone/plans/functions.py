@@ -27,15 +27,34 @@ class DomCandidates:
 
 
 class ParseManifest:
-    """A row per variant of a manifest."""
+    """A row per variant of a manifest, in its order of rate. DataFrames go through sources.manifests.parsed, which tells more."""
 
     def eval(self, body: str, url: str, mime_type: str):
-        from lodestone.sources.manifests import parse_dash, parse_hls
-
-        dash = "dash+xml" in (mime_type or "").lower() or (url or "").split("?")[0].lower().endswith(".mpd") or (body or "").lstrip().startswith("<")
-        stream = (parse_dash if dash else parse_hls)(body, url or "")
-        for pos, v in enumerate(stream["variants"]):
-            yield stream["type"], pos, v["url"], v["bandwidth"], v["resolution"], stream["encrypted"]
+        import re
+        from urllib.parse import urljoin
+
+        from lodestone.sources.manifests import dash_description
+
+        body, url = body or "", url or ""
+        if "dash+xml" in (mime_type or "").lower() or url.partition("?")[0].lower().endswith(".mpd") or body.lstrip().startswith("<"):
+            stream = dash_description(body, url)
+            for pos, v in enumerate(stream["variants"]):
+                yield "dash", pos, v["url"], v["bandwidth"], v["resolution"], stream["encrypted"]
+            return
+        value = lambda tag, name: next((m[1] or m[2] for m in re.finditer(rf'(?:^|,)\s*{name}=(?:"([^"]*)"|([^,]*))', tag)), "")
+        # a stream tag and the address that follows it, other tags between them
+        found = re.findall(r"(?m)^#EXT-X-STREAM-INF:(.*)\n(?:[ \t]*(?:#(?!EXT-X-STREAM-INF:).*)?\n)*[ \t]*([^#\s].*)", body.replace("\r\n", "\n")) if body.lstrip().startswith("#EXTM3U") else []
+        locked = any(value(k, "METHOD") != "NONE" or value(k, "URI") or value(k, "KEYFORMAT") for k in re.findall(r"(?m)^#EXT-X-(?:SESSION-)?KEY:(.*)", body))
+        rated = []
+        for tag, address in found:
+            rate = value(tag, "BANDWIDTH") or value(tag, "AVERAGE-BANDWIDTH")
+            try:
+                address = urljoin(url, address.strip())
+            except ValueError:  # stays as it is written
+                address = address.strip()
+            rated.append((float(rate) if re.fullmatch(r"[0-9]+(?:\.[0-9]*)?", rate) else 0.0, address, value(tag, "RESOLUTION")))
+        for pos, (rate, address, resolution) in enumerate(sorted(rated, key=lambda x: -x[0])):
+            yield "hls", pos, address, rate, resolution, locked
 
 
 def register(spark: SparkSession) -> None:

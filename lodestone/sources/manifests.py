@@ -1,17 +1,25 @@
-"""Stream manifests: HLS playlists and DASH descriptions to variants, tracks and segments. Protection is only marked."""
+"""Stream manifests: HLS playlists and DASH descriptions to variants, tracks and segments. Protection is only marked.
+
+A playlist is exploded into its lines; windows over the lines of a playlist tell which stream tag an address belongs to, and
+one aggregation over tags makes the result, so playlists are handled in the JVM and a long one is no single expression.
+A DASH description is read as a stream of XML events with the attributes of the enclosing element at hand.
+
+A null, empty or malformed body gives an empty description, as does XML that declares entities. An address that cannot be
+resolved stays as it is written.
+"""
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
-from urllib.parse import urljoin
+from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
-from lodestone.functions.core import half_up, text
+from lodestone.functions import url as U
+from lodestone.functions.core import half_up, number, text
 from lodestone.functions.paths import format_bytes
 
 _VARIANT = "struct<id:string,bandwidth:double,resolution:string,codecs:string,frame_rate:double,group:string,mime_type:string,lang:string,url:string>"
@@ -23,144 +31,195 @@ _PA_STREAM = pa.struct([
     ("type", pa.string()), ("master", pa.bool_()), ("variants", pa.list_(_PA_VARIANT)), ("audio_tracks", pa.list_(_PA_TRACK)), ("subtitle_tracks", pa.list_(_PA_TRACK)), ("segments", pa.list_(pa.string())),
     ("duration", pa.float64()), ("live", pa.bool_()), ("encrypted", pa.bool_()), ("encryption_method", pa.string()), ("key_systems", pa.list_(pa.string())),
 ])
-
-
-def _empty(kind: str) -> dict:
-    return {"type": kind, "master": kind == "dash", "variants": [], "audio_tracks": [], "subtitle_tracks": [], "segments": [], "duration": 0.0, "live": False, "encrypted": False, "encryption_method": "", "key_systems": []}
-
-
-def _number(value: str | None) -> float:
+_SPACE = " \t\n\r\x0b\x0c\u00a0\ufeff"
+
+# ---------------------------------------------------------------- HLS
+
+_PAIR = r'(?s)([^=]*)=(?:"([^"]*)(?:"|\z).?|([^,]*),?)'
+
+
+def attributes(rest: Column) -> Column:
+    """(k, v) of a tag's KEY=VALUE list; a quoted value may hold commas and may lack its closing quote."""
+    part = lambda i: F.regexp_extract_all(rest, F.lit(_PAIR), F.lit(i))
+    made = F.zip_with(part(1), F.zip_with(part(2), part(3), lambda q, p: F.concat(q, p)), lambda k, v: F.struct(F.upper(F.btrim(k, F.lit(_SPACE))).alias("k"), F.btrim(v, F.lit(_SPACE)).alias("v")))
+    return F.filter(made, lambda x: x["k"] != "")
+
+
+def attribute(pairs: Column, name: str) -> Column:
+    """The value of ``name``, the last of several; empty if there is none."""
+    found = F.filter(pairs, lambda x: x["k"] == name)
+    return text(F.get(found, F.size(found) - 1)["v"])
+
+
+def _lines(playlists: DataFrame) -> DataFrame:
+    """The lines of playlists (id, url, mime_type, body) with what they mean. A body that is no playlist gives one empty line."""
+    body = F.when(F.btrim("body", F.lit(_SPACE)).startswith("#EXTM3U"), F.col("body"))
+    rows = playlists.select("id", "url", "mime_type", F.posexplode(F.split(text(body), r"\r?\n")).alias("pos", "raw"))
+    rows = rows.select("id", "url", "mime_type", "pos", F.btrim("raw", F.lit(_SPACE)).alias("line"))
+    is_tag = F.col("line").startswith("#")
+    rows = rows.withColumns({
+        "tag": F.when(is_tag, F.substring_index("line", ":", 1)),
+        "rest": F.when(is_tag & F.col("line").contains(":"), F.regexp_extract("line", r"(?s)\A[^:]*:(.*)\z", 1)),
+        "address": F.when(~is_tag & (F.col("line") != ""), F.col("line")),
+    })
+    rows = rows.withColumn("a", F.when(F.col("tag").isin("#EXT-X-STREAM-INF", "#EXT-X-MEDIA", "#EXT-X-KEY", "#EXT-X-SESSION-KEY", "#EXT-X-MAP") & F.col("rest").isNotNull(), attributes(F.col("rest"))))
+    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.last(F.when(F.col("tag") == "#EXT-X-STREAM-INF", F.struct("pos", "a")), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"opened": opened, "last_address": F.last(F.when(F.col("address").isNotNull(), F.col("pos")), ignorenulls=True).over(before)})
+    # a stream tag describes the next address, and only that
+    mine = F.col("address").isNotNull() & (F.col("opened.pos") > F.coalesce("last_address", F.lit(-1)))
+    link = F.coalesce("address", F.when(F.col("tag").isin("#EXT-X-MEDIA", "#EXT-X-MAP"), attribute(F.col("a"), "URI")))
+    full = F.when(F.col("address").isNotNull() | (link != ""), F.coalesce(U.href(U.parse(link, F.col("url"))), link))
+    return rows.select("id", "url", "mime_type", "pos", "line", "tag", "rest", "a", "address", F.when(mine, F.col("opened.a")).alias("stream_of"), full.alias("full"))
+
+
+def _named_systems(key_format: Column) -> Column:
+    """The protection systems that a key format names, in the order of the table."""
+    low = F.lower(key_format)
+    known = [F.when(low.contains(mark), F.lit(name)) for mark, name in K.KEY_SYSTEMS.items()]
+    return F.array_compact(F.array(*known, F.when(low.contains("widevine"), F.lit("widevine"))))
+
+
+def hls(playlists: DataFrame) -> DataFrame:
+    """url, mime_type, ``stream`` (STREAM) of HLS playlists (id, url, mime_type, body); id is different in every row."""
+    at = lambda name: attribute(F.col("a"), name)
+    of = lambda name: attribute(F.col("stream_of"), name)
+    tag = lambda *names: F.col("tag").isin(*names) & F.col("rest").isNotNull()
+    rate = lambda name: F.nullif(F.coalesce(number(of(name)), F.lit(0.0)), F.lit(0.0))
+    variant = F.struct(
+        F.lit("").alias("id"), F.coalesce(rate("BANDWIDTH"), rate("AVERAGE-BANDWIDTH"), F.lit(0.0)).alias("bandwidth"), of("RESOLUTION").alias("resolution"), of("CODECS").alias("codecs"),
+        F.coalesce(number(of("FRAME-RATE")), F.lit(0.0)).alias("frame_rate"), of("AUDIO").alias("group"), F.lit("").alias("mime_type"), F.lit("").alias("lang"), F.col("full").alias("url"),
+    )
+    kind = F.lower(at("TYPE"))
+    track = F.struct(kind.alias("type"), at("NAME").alias("name"), at("LANGUAGE").alias("language"), at("GROUP-ID").alias("group"), text(F.col("full")).alias("url"), (at("DEFAULT") == "YES").alias("is_default"))
+    method = F.upper(at("METHOD"))
+    # fails closed: a key tag without a method, or with NONE and yet a key, counts as encrypted
+    locked = tag("#EXT-X-KEY", "#EXT-X-SESSION-KEY") & ((method != "NONE") | (at("URI") != "") | (at("KEYFORMAT") != ""))
+    seconds = F.when(tag("#EXTINF"), number(F.regexp_extract("rest", r"\A\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)))
+    is_media, is_stream = tag("#EXT-X-MEDIA"), F.col("stream_of").isNotNull()
+    listed = lambda test, value: F.collect_list(F.when(test, F.struct("pos", value.alias("x"))))
+    found = _lines(playlists).groupBy("id", "url", "mime_type").agg(
+        listed(is_stream, variant).alias("variants"), listed(is_media & (kind == "audio"), track).alias("audio"), listed(is_media & kind.isin("subtitles", "closed-captions"), track).alias("subtitles"),
+        listed(F.col("address").isNotNull() & ~is_stream, F.col("full")).alias("segments"), listed(tag("#EXT-X-MAP") & F.col("full").isNotNull(), F.col("full")).alias("maps"),
+        listed(seconds.isNotNull(), seconds).alias("seconds"), listed(locked, F.struct(method.alias("method"), _named_systems(at("KEYFORMAT")).alias("systems"))).alias("keys"),
+        F.bool_or(is_stream | is_media).alias("master"), F.bool_or(F.col("line").startswith("#EXT-X-ENDLIST")).alias("ended"), F.bool_or(F.col("line").startswith("#EXT-X-TARGETDURATION")).alias("timed"),
+    )
+    in_order = lambda c: F.transform(F.array_sort(c, lambda a, b: a["pos"] - b["pos"]), lambda x: x["x"])
+    by_rate = F.array_sort("variants", lambda a, b: F.when(a["x"]["bandwidth"] > b["x"]["bandwidth"], -1).when(a["x"]["bandwidth"] < b["x"]["bandwidth"], 1).otherwise(a["pos"] - b["pos"]))
+    last = F.get(in_order("keys"), F.size("keys") - 1)["method"]
+    stream = F.struct(
+        F.lit("hls").alias("type"), F.col("master"), F.transform(by_rate, lambda x: x["x"]).alias("variants"), in_order("audio").alias("audio_tracks"), in_order("subtitles").alias("subtitle_tracks"),
+        F.concat(F.reverse(in_order("maps")), in_order("segments")).alias("segments"), F.aggregate(in_order("seconds"), F.lit(0.0), lambda a, x: a + x).alias("duration"),
+        (F.col("timed") & ~F.col("ended") & ~F.col("master")).alias("live"), (F.size("keys") > 0).alias("encrypted"),
+        F.when(F.size("keys") == 0, "").when(last.isin("", "NONE"), "UNDECLARED").otherwise(last).alias("encryption_method"),
+        F.array_distinct(F.flatten(F.transform(in_order("keys"), lambda x: x["systems"]))).alias("key_systems"),
+    )
+    return found.select("url", "mime_type", stream.cast(STREAM).alias("stream"))
+
+
+# ---------------------------------------------------------------- DASH
+
+
+def _finite(value: str | None) -> float:
     try:
         n = float(value or 0)
     except ValueError:
         return 0.0
-    return n if n == n and abs(n) != float("inf") else 0.0
+    return n if abs(n) < float("inf") else 0.0
 
 
-def attributes(line: str) -> dict[str, str]:
-    """KEY=VALUE pairs; a quoted value may hold commas and may lack its closing quote; the last of equal keys wins."""
-    out = {}
-    for key, quoted, plain in re.findall(r'([^=]*)=(?:"([^"]*)(?:"|\Z)[^,]?|([^,]*))?,?', line):
-        if key.strip(" ,"):
-            out[key.strip(" ,").upper()] = (quoted or plain).strip()
-    return out
-
-
-def key_systems(value: str, into: list[str]) -> None:
-    for mark, name in K.KEY_SYSTEMS.items():
-        if mark in value.lower() and name not in into:
-            into.append(name)
-
-
-def parse_hls(body: str | None, base: str) -> dict:
-    out = _empty("hls")
-    if not (body or "").strip().startswith("#EXTM3U"):
-        return out
-    pending, ended, target = None, False, False
-    for line in (x.strip() for x in re.split(r"\r?\n", body)):
-        tag, _, rest = line.partition(":")
-        if not line:
-            continue
-        if not line.startswith("#"):
-            address = urljoin(base, line)
-            if pending is None:
-                out["segments"].append(address)
-            else:
-                out["variants"].append(pending | {"url": address})
-                pending, out["master"] = None, True
-        elif tag == "#EXT-X-STREAM-INF":
-            a = attributes(rest)
-            rate = _number(a.get("BANDWIDTH")) or _number(a.get("AVERAGE-BANDWIDTH"))
-            pending = {"id": "", "bandwidth": rate, "resolution": a.get("RESOLUTION", ""), "codecs": a.get("CODECS", ""), "frame_rate": _number(a.get("FRAME-RATE")), "group": a.get("AUDIO", ""), "mime_type": "", "lang": ""}
-        elif tag == "#EXT-X-MEDIA":
-            a = attributes(rest)
-            track = {"type": a.get("TYPE", "").lower(), "name": a.get("NAME", ""), "language": a.get("LANGUAGE", ""), "group": a.get("GROUP-ID", ""), "url": urljoin(base, a["URI"]) if a.get("URI") else "", "is_default": a.get("DEFAULT") == "YES"}
-            out["master"] = True
-            if track["type"] == "audio":
-                out["audio_tracks"].append(track)
-            elif track["type"] in ("subtitles", "closed-captions"):
-                out["subtitle_tracks"].append(track)
-        elif tag in ("#EXT-X-KEY", "#EXT-X-SESSION-KEY"):
-            a = attributes(rest)
-            method = a.get("METHOD", "").upper()
-            if method != "NONE" or a.get("URI") or a.get("KEYFORMAT"):  # undeclared counts as encrypted
-                out["encrypted"], out["encryption_method"] = True, method if method not in ("", "NONE") else "UNDECLARED"
-                key_systems(a.get("KEYFORMAT", ""), out["key_systems"])
-                if "widevine" in a.get("KEYFORMAT", "").lower() and "widevine" not in out["key_systems"]:
-                    out["key_systems"].append("widevine")
-        elif tag == "#EXTINF":
-            m = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", rest)
-            out["duration"] += float(m[1]) if m else 0.0
-        elif tag == "#EXT-X-MAP" and attributes(rest).get("URI"):
-            out["segments"].insert(0, urljoin(base, attributes(rest)["URI"]))
-        ended |= line.startswith("#EXT-X-ENDLIST")
-        target |= line.startswith("#EXT-X-TARGETDURATION")
-    out["live"] = target and not ended and not out["master"]
-    out["variants"].sort(key=lambda v: -v["bandwidth"])
-    return out
+#: Seconds of the units of a duration, before and after the T.
+DATE_UNITS, TIME_UNITS = {"Y": 31_536_000, "M": 2_592_000, "D": 86_400}, {"H": 3600, "M": 60, "S": 1}
 
 
 def iso_duration(value: str | None) -> float:
-    """Seconds; a year has 365 days and a month 30; 0 if it cannot be read."""
-    m = re.fullmatch(r"P(?:([\d.]+)Y)?(?:([\d.]+)M)?(?:([\d.]+)D)?(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)?", value or "")
-    return sum(_number(x) * s for x, s in zip(m.groups(), (31_536_000, 2_592_000, 86_400, 3600, 60, 1), strict=True)) if m else 0.0
+    """Seconds; a year has 365 days and a month 30; 0 if it cannot be read. Units come in falling order, each at most once."""
+    if not (value or "").startswith("P"):
+        return 0.0
+    date, mark, time = value[1:].partition("T")
+    total = 0.0
+    for part, units in ((date, DATE_UNITS), (time, TIME_UNITS)):
+        names = list(units)
+        for amount, unit, stray in re.findall(r"([\d.]+)([A-Z])|(.)", part):
+            if stray or unit not in names:
+                return 0.0
+            total += _finite(amount) * units[unit]
+            names = names[names.index(unit) + 1 :]
+    return total
+
+
+def _events(body: str):
+    """(local name, attributes, attributes of the enclosing element) of all elements; raises ValueError for what is not well formed."""
+    out, around = [], [{}]
+
+    def start(name, attrs):
+        out.append((name.rpartition("\n")[2], attrs, around[-1]))
+        around.append(attrs)
+
+    def refuse(*_):
+        raise ValueError("entities are not read")
+
+    reader = expat.ParserCreate(namespace_separator="\n")
+    reader.StartElementHandler, reader.EndElementHandler, reader.EntityDeclHandler = start, lambda name: around.pop(), refuse
+    try:
+        reader.Parse(body, True)
+    except expat.ExpatError as e:
+        raise ValueError(str(e)) from None
+    return out
 
 
-def parse_dash(body: str | None, base: str) -> dict:
-    """An empty description if the XML is malformed or declares entities."""
-    out = _empty("dash")
-    if not (body or "").strip() or "<!ENTITY" in body:
-        return out
+def dash_description(body: str | None, base: str) -> dict:
+    """A DASH description as STREAM. A Representation takes what it lacks from the element around it."""
+    out = {"type": "dash", "master": True, "variants": [], "audio_tracks": [], "subtitle_tracks": [], "segments": [], "duration": 0.0, "live": False, "encrypted": False, "encryption_method": "", "key_systems": []}
     try:
-        root = ET.fromstring(body.strip())
-    except ET.ParseError:
+        elements = _events((body or "").strip())
+    except ValueError:
         return out
-    local = lambda el: el.tag.rpartition("}")[2]
-    out["live"] = root.get("type", "static") == "dynamic"
-    out["duration"] = iso_duration(root.get("mediaPresentationDuration"))
-    parent = {child: el for el in root.iter() for child in el}
-    for el in (e for e in root.iter() if local(e) == "ContentProtection"):
-        scheme = (el.get("schemeIdUri") or "").lower()
-        out["encrypted"] = True
-        if "mp4protection" in scheme:
-            out["encryption_method"] = (el.get("value") or "cenc").upper()
-            continue
-        out["encryption_method"] = out["encryption_method"] or "CENC"
-        name = K.KEY_SYSTEMS.get(scheme.replace("urn:uuid:", "", 1))
-        if name and name not in out["key_systems"]:
-            out["key_systems"].append(name)
-    for i, rep in enumerate(e for e in root.iter() if local(e) == "Representation"):
-        up = parent[rep]
-        mime = rep.get("mimeType") or up.get("mimeType") or ""
-        kind = up.get("contentType") or mime.split("/")[0]
-        width, height = _number(rep.get("width")), _number(rep.get("height"))
-        entry = {
-            "id": rep.get("id") or str(i), "bandwidth": _number(rep.get("bandwidth")), "resolution": f"{width:g}x{height:g}" if width and height else "", "codecs": rep.get("codecs") or up.get("codecs") or "",
-            "frame_rate": 0.0, "group": "", "mime_type": mime, "lang": up.get("lang") or "", "url": base,
-        }
+    root = elements[0][1]
+    schemes = [((a.get("schemeIdUri") or "").lower(), a.get("value") or "cenc") for name, a, _ in elements if name == "ContentProtection"]
+    common = [value.upper() for scheme, value in schemes if "mp4protection" in scheme]
+    systems = [K.KEY_SYSTEMS.get(scheme.replace("urn:uuid:", "", 1)) for scheme, _ in schemes if "mp4protection" not in scheme]
+    out |= {
+        "live": root.get("type") == "dynamic", "duration": iso_duration(root.get("mediaPresentationDuration")), "encrypted": bool(schemes),
+        "encryption_method": common[-1] if common else "CENC" if schemes else "", "key_systems": list(dict.fromkeys(filter(None, systems))),
+    }
+    for i, (own, up) in enumerate((a, up) for name, a, up in elements if name == "Representation"):
+        mime = own.get("mimeType") or up.get("mimeType") or ""
+        kind, name, lang = up.get("contentType") or mime.partition("/")[0], own.get("id") or str(i), up.get("lang") or ""
         if kind in ("audio", "text"):
-            out["audio_tracks" if kind == "audio" else "subtitle_tracks"].append({"type": kind, "name": entry["id"], "language": entry["lang"], "group": "", "url": base, "is_default": False})
-        else:
-            out["variants"].append(entry)
+            out["audio_tracks" if kind == "audio" else "subtitle_tracks"].append({"type": kind, "name": name, "language": lang, "group": "", "url": base, "is_default": False})
+            continue
+        sides = [_finite(own.get(x)) for x in ("width", "height")]
+        out["variants"].append({
+            "id": name, "bandwidth": _finite(own.get("bandwidth")), "resolution": "x".join(f"{x:g}" for x in sides) if all(sides) else "", "codecs": own.get("codecs") or up.get("codecs") or "",
+            "frame_rate": 0.0, "group": "", "mime_type": mime, "lang": lang, "url": base,
+        })
     out["variants"].sort(key=lambda v: -v["bandwidth"])
     return out
 
 
+# ---------------------------------------------------------------- both
+
+
 def manifest_type(url: Column, mime: Column, body: Column) -> Column:
-    dash = url.rlike(r"(?i)\.mpd(?:[?#]|\z)") | F.contains(F.lower(text(mime)), F.lit("dash+xml")) | F.ltrim(text(body)).startswith("<")
+    """dash or hls, by address, type or first character; hls if nothing is known."""
+    dash = text(url).rlike(r"(?i)\.mpd(?:[?#]|\z)") | F.contains(F.lower(text(mime)), F.lit("dash+xml")) | F.ltrim(text(body)).startswith("<")
     return F.when(dash, "dash").otherwise("hls")
 
 
 def parsed(manifests: DataFrame) -> DataFrame:
     """url, mime_type and ``stream`` (STREAM) of manifests (url, mime_type, body)."""
+    kinds = manifests.select("url", "mime_type", "body", manifest_type(F.col("url"), F.col("mime_type"), F.col("body")).alias("kind"))
+    kept = f"url string, mime_type string, stream {STREAM}"
 
     def run(batches):
         for b in batches:
-            rows = [(parse_dash if k == "dash" else parse_hls)(body, u or "") for u, body, k in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True)]
+            rows = [dash_description(body, u or "") for u, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _PA_STREAM)], names=["url", "mime_type", "stream"])
 
-    kind = manifest_type(F.col("url"), F.col("mime_type"), F.col("body"))
-    return manifests.select("url", "mime_type", "body", kind.alias("kind")).mapInArrow(run, f"url string, mime_type string, stream {STREAM}")
+    dash = kinds.where("kind = 'dash'").select("url", "mime_type", "body").mapInArrow(run, kept)
+    return hls(kinds.where("kind = 'hls'").select(F.monotonically_increasing_id().alias("id"), "url", "mime_type", "body")).unionByName(dash)
 
 
 def estimate_bytes(bandwidth: Column, seconds: Column) -> Column:

@@ -61,26 +61,44 @@ MEDIA = "#EXTM3U\n#EXT-X-TARGETDURATION:6\n#EXT-X-MAP:URI=\"init.mp4\"\n#EXTINF:
 MPD = '<MPD xmlns="urn:x" xmlns:c="urn:y" type="static" mediaPresentationDuration="PT1M30.5S"><Period><AdaptationSet contentType="video" mimeType="video/mp4">{p}<Representation id="v1" bandwidth="500000" width="640" height="360" codecs="avc1"/><Representation id="v2" bandwidth="900000"/></AdaptationSet><AdaptationSet mimeType="audio/mp4" lang="en"><Representation bandwidth="64000"/></AdaptationSet></Period></MPD>'
 
 
+def parsed(spark, *bodies, url="https://v/x/m.m3u8"):
+    rows = [(f"{url}?{i}", "", body) for i, body in enumerate(bodies)]
+    out = manifests.parsed(spark.createDataFrame(rows, "url string, mime_type string, body string")).collect()
+    return [r.stream for r in sorted(out, key=lambda r: r.url)]
+
+
+def test_playlists(spark):
+    hls, media, page, broken, empty, none = parsed(spark, MASTER, MEDIA, "<html>", "#EXTM3U\nhttp://[x\n#EXT-X-STREAM-INF:BANDWIDTH=1\n#EXT-X-STREAM-INF:BANDWIDTH=x,AVERAGE-BANDWIDTH=7\n\n# note\nv\ns\n", "", None)
+    assert [(v.url, v.bandwidth) for v in hls.variants] == [("https://v/x/high.m3u8", 2000000.0), ("https://v/x/low.m3u8", 800000.0)]
+    assert hls.audio_tracks[0].name == "En, glish" and hls.audio_tracks[0].url == "https://v/x/a/en.m3u8" and hls.audio_tracks[0].is_default and hls.master and not hls.live and hls.variants[1].codecs == "avc1,mp4a"
+    assert media.segments == [f"https://v/x/{s}" for s in ("init.mp4", "s1.ts", "s2.ts")] and media.duration == 10.5 and media.live
+    assert page.type == "dash" and page.variants == []
+    assert broken.segments == ["http://[x", "https://v/x/s"] and [(v.url, v.bandwidth) for v in broken.variants] == [("https://v/x/v", 7.0)]
+    assert empty == none and empty.type == "hls" and empty.variants == empty.segments == [] and not empty.master and not empty.encrypted
+    keys = ["#EXT-X-KEY:METHOD=NONE", '#EXT-X-KEY:URI="k"', '#EXT-X-KEY:METHOD=SAMPLE-AES,KEYFORMAT="com.apple.streamingkeydelivery"', '#EXT-X-SESSION-KEY:METHOD=NONE,KEYFORMAT="Some.Widevine', '#EXT-X-KEY:METHOD=AES-128\n#EXT-X-KEY:METHOD=NONE', "#EXT-X-KEY"]
+    found = [(s.encrypted, s.encryption_method, s.key_systems) for s in parsed(spark, *("#EXTM3U\n" + k for k in keys))]
+    assert found == [(False, "", []), (True, "UNDECLARED", []), (True, "SAMPLE-AES", ["fairplay"]), (True, "UNDECLARED", ["widevine"]), (True, "AES-128", []), (False, "", [])]
+
+
+def test_dash(spark):
+    clean, locked, root, malformed, entities, mixed = parsed(
+        spark, MPD.format(p=""), MPD.format(p='<c:ContentProtection schemeIdUri="urn:uuid:EDEF8BA9-79D6-4ACE-A3C8-27DCD51D21ED"/>'), "<Representation/>", "<MPD", '<!DOCTYPE x [<!ENTITY a "b">]><MPD type="dynamic"/>',
+        MPD.format(p='<ContentProtection schemeIdUri="urn:mpeg:dash:mp4protection:2011" value="cbcs"/><ContentProtection schemeIdUri="x"/>'), url="https://v/m.mpd",
+    )
+    assert [v.id for v in clean.variants] == ["v2", "v1"] and clean.duration == 90.5 and len(clean.audio_tracks) == 1 and not clean.encrypted and clean.variants[1].resolution == "640x360"
+    assert locked.encrypted and locked.key_systems == ["widevine"] and locked.encryption_method == "CENC" and [v.id for v in locked.variants] == ["v2", "v1"]
+    assert [v.id for v in root.variants] == ["0"] and not root.live
+    assert malformed.variants == [] and entities.variants == [] and not entities.live
+    assert mixed.encryption_method == "CBCS" and mixed.key_systems == []
+    assert [manifests.iso_duration(x) for x in ("P1DT1H", "x", "PT1M30.5S", "P1M", "PT1M", "PT1S1H", "P1Y2D", "PT", "P1H", None)] == [90000, 0, 90.5, 2_592_000, 60, 0, 31_536_000 + 172_800, 0, 0, 0]
+
+
 def test_manifests(spark):
-    hls = manifests.parse_hls(MASTER, "https://v/x/m.m3u8")
-    assert [(v["url"], v["bandwidth"]) for v in hls["variants"]] == [("https://v/x/high.m3u8", 2000000.0), ("https://v/x/low.m3u8", 800000.0)]
-    assert hls["audio_tracks"][0]["name"] == "En, glish" and hls["master"] and not hls["live"] and hls["variants"][1]["codecs"] == "avc1,mp4a"
-    media = manifests.parse_hls(MEDIA, "https://v/x/m.m3u8")
-    assert media["segments"] == [f"https://v/x/{s}" for s in ("init.mp4", "s1.ts", "s2.ts")] and media["duration"] == 10.5 and media["live"]
-    keyed = lambda line: (lambda d: (d["encrypted"], d["encryption_method"], d["key_systems"]))(manifests.parse_hls("#EXTM3U\n" + line, ""))
-    assert keyed("#EXT-X-KEY:METHOD=NONE") == (False, "", []) and keyed('#EXT-X-KEY:URI="k"') == (True, "UNDECLARED", [])
-    assert keyed('#EXT-X-KEY:METHOD=SAMPLE-AES,KEYFORMAT="com.apple.streamingkeydelivery"') == (True, "SAMPLE-AES", ["fairplay"])
-    assert manifests.parse_hls("<html>", "")["variants"] == []
-    clean = manifests.parse_dash(MPD.format(p=""), "https://v/m.mpd")
-    assert [v["id"] for v in clean["variants"]] == ["v2", "v1"] and clean["duration"] == 90.5 and len(clean["audio_tracks"]) == 1 and not clean["encrypted"]
-    locked = manifests.parse_dash(MPD.format(p='<c:ContentProtection schemeIdUri="urn:uuid:EDEF8BA9-79D6-4ACE-A3C8-27DCD51D21ED"/>'), "u")
-    assert {k for k in clean if clean[k] != locked[k]} == {"encrypted", "encryption_method", "key_systems", "variants", "audio_tracks"} and locked["key_systems"] == ["widevine"] and locked["encryption_method"] == "CENC"
-    assert manifests.parse_dash("<MPD", "u")["variants"] == [] and manifests.iso_duration("P1DT1H") == 90000 and manifests.iso_duration("x") == 0
     df = spark.createDataFrame([("https://v/x/m.m3u8", "", MASTER), ("https://v/x/low.m3u8", "", MEDIA), ("https://v/d", "application/dash+xml", MPD.format(p=""))], "url string, mime_type string, body string")
     streams = manifests.parsed(df)
     assert manifests.variants(streams).where("manifest = 'https://v/d'").orderBy("pos").first().size == "9.7 MB"
     chosen = spark.createDataFrame([("https://v/x/m.m3u8", "https://v/x/low.m3u8")], "manifest string, variant string")
-    assert manifests.segment_list(streams, chosen).first().segments == media["segments"]
+    assert manifests.segment_list(streams, chosen).first().segments == [f"https://v/x/{s}" for s in ("init.mp4", "s1.ts", "s2.ts")]
     assert manifests.tracks(streams).count() == 2 and manifests.segments(streams).count() == 3
 
 
