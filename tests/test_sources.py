@@ -108,33 +108,6 @@ def test_rules(spark, tmp_path):
     assert rules.load(spark, f"file://{tmp_path}/none.json") == []
 
 
-EVENTS = [
-    (1, 1, "nav_begin", None, None, None, False, False), (1, 2, "candidate", "a.mp4", "video", "dom", False, False), (1, 3, "page_info", "p1", None, None, True, False),
-    (1, 4, "candidate", "b.jpg", "image", "net", False, False), (1, 5, "eme", None, None, None, False, False), (1, 6, "nav_begin", None, None, None, False, False), (1, 7, "candidate", "c.jpg", "image", "dom", False, False),
-    (1, 8, "page_info", "p2", None, None, True, False), (1, 9, "candidate", "c.jpg", "image", "net", False, False), (1, 10, "nav_begin", None, None, None, False, False), (1, 11, "nav_complete", "p3", None, None, False, True),
-    (1, 12, "nav_complete", "p3", None, None, False, False), (2, 1, "candidate", "z.mp4", "video", "dom", False, False), (2, 2, "eme", None, None, None, False, False), (2, 3, "tab_closed", None, None, None, False, False),
-]
-
-
-def test_tab_state(spark, tmp_path):
-    df = spark.createDataFrame([(*e[:6], "", *e[6:]) for e in EVENTS], "tab_id long, seq long, type string, url string, kind string, source string, status string, navigation boolean, crawling boolean")
-    rows = tabs.batch(df)
-    got = [tuple(r)[1:] for r in rows.where("tab_id = 1").orderBy("seq").collect()]
-    assert (8, "a.mp4", 1, "history", "protected", "navigation") in got and (9, "c.jpg", 2, "live", "confirmed", "seen") in got and (12, "c.jpg", 2, "history", "confirmed", "orphaned") in got
-    assert not [x for x in got if x[0] == 11] and tabs.current(rows).count() == 0 and tabs.history(rows).where("tab_id = 1").count() == 3
-    assert [r.gen for r in tabs.generations(df).where("tab_id = 1 and type = 'candidate'").orderBy("seq").collect()] == [1, 1, 2, 2]
-    for i, upto in enumerate((5, 9, 99)):
-        lo = (0, 5, 9)[i]
-        df.where((F.col("seq") > lo) & (F.col("seq") <= upto)).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    q = tabs.started(tabs.stream(source), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    streamed = spark.read.schema(tabs.ITEM).parquet(str(tmp_path / "out/batch=*"))
-    key = lambda d: sorted(map(tuple, d.select(*[x.split(" ")[0] for x in tabs.ITEM.split(", ")]).collect()))
-    assert key(streamed) == key(rows)
-
-
 def test_table_functions(spark):
     from lodestone.plans import functions
 
