@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
@@ -15,7 +15,7 @@ from lodestone.functions import upgrades as G
 from lodestone.functions import url as U
 from lodestone.operators import crawl, downloads, index, similarity, upgrades
 from lodestone.plans import views as V
-from lodestone.sources import dom, har, manifests, network, payloads
+from lodestone.sources import controls, dom, har, manifests, network, payloads
 from lodestone.streaming import tabs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,6 +419,37 @@ def e4_should_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("id"), P.should_click(P.element(rows.columns)).alias("v")).select("id", "v.click", "v.reason")
 
 
+_OPENS, _NONE = "opens or expands something not open yet", "no positive reason to believe it reveals media"
+
+
+@query(
+    "src21_controls",
+    f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS anchor, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS i FROM pages),
+t AS (SELECT page_id, i, replace(replace(replace(regexp_extract(anchor, '>([^<]*)<', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM a),
+c AS (SELECT page_id, 1 AS i, 'button' AS tag, concat('Tab ', page_id) AS text, CASE WHEN page_id % 2 = 0 THEN '{_NONE}' ELSE '{_OPENS}' END AS reason FROM pages
+UNION ALL SELECT page_id, 2, 'button', 'Menu', CASE WHEN page_id % 3 = 0 THEN '{_NONE}' ELSE '{_OPENS}' END FROM pages
+UNION ALL SELECT page_id, 3, 'summary', 'Details', CASE WHEN page_id % 5 = 0 THEN '{_NONE}' ELSE '{_OPENS}' END FROM pages
+UNION ALL SELECT page_id, 4, 'button', concat('Load more ', page_id), 'reads as a media control' FROM pages WHERE page_id % 5 = 0
+UNION ALL SELECT page_id, 5, 'button', 'Delete all', 'reads as transactional or destructive' FROM pages
+UNION ALL SELECT page_id, 6, 'button', '', 'inside a form' FROM pages
+UNION ALL SELECT page_id, 10 + i, 'a', text, CASE WHEN regexp_matches(lower(text), '{_RISK}') THEN 'reads as transactional or destructive' ELSE 'link — queued for navigation instead' END FROM t)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS place, tag, text, reason FROM c""",
+)
+def src21_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a panel of controls each, whose state follows from the page's number."""
+    key = F.col("page_id").cast("string")
+    when = lambda n, yes, no: F.when(F.col("page_id") % n == 0, yes).otherwise(no)
+    panel = F.concat(
+        F.lit('<body><div role="tablist"><button type="button" role="tab" aria-selected="'), when(2, "true", "false"), F.lit('">Tab '), key, F.lit('</button></div><button type="button" aria-expanded="'), when(3, "true", "false"),
+        F.lit('">Menu</button><details'), when(5, " open", ""), F.lit('><summary>Details</summary><button type="button">Load more '), key,
+        F.lit('</button></details><div hidden><button>Next</button></div><button type="button" tabindex="0">Delete all</button><form id="f"></form><button form="f"><svg></svg></button>'),
+    )
+    pages = V.table(spark, sf_dir, "pages").select("page_id", "url", F.replace(F.col("html"), F.lit("<body>"), panel).alias("html"))
+    judged = crawl.judged(controls.controls(pages))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return judged.select("page_id", place.alias("place"), "tag", "text", "reason")
+
+
 # ---------------------------------------------------------------- downloads
 
 _JOBS = f"""
@@ -585,3 +616,53 @@ def p2_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("n_nationkey") * 100_000 + 64_000).cast("string"), F.lit(',RESOLUTION=640x360,CODECS="avc1,mp4a"\nlow/'), key, F.lit(".m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=5000000\nhigh/"), key, F.lit(".m3u8\n"))
     rows = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("https://v.example.com/"), key, F.lit("/master.m3u8")).alias("url"), F.lit("").alias("mime_type"), body.alias("body"))
     return manifests.variants(manifests.parsed(rows)).select("manifest", "pos", "url", "kbps", "resolution", "encrypted")
+
+
+_KEY_LINE = """CASE o_orderpriority WHEN '1-URGENT' THEN '#EXT-X-KEY:METHOD=AES-128,URI="k"' WHEN '2-HIGH' THEN '#EXT-X-KEY:METHOD=NONE' WHEN '3-MEDIUM' THEN '#EXT-X-KEY:URI="k"'
+  WHEN '5-LOW' THEN '#EXT-X-SESSION-KEY:METHOD=SAMPLE-AES,KEYFORMAT="com.apple.streamingkeydelivery"' ELSE '# clear' END"""
+_PLAYLISTS = f"""SELECT o_orderkey, concat('#EXTM3U\n#EXT-X-TARGETDURATION:50\n#EXT-X-MAP:URI="init,', o_orderkey, '.mp4"\n', {_KEY_LINE}, '\n', lines, CASE WHEN o_orderstatus = 'F' THEN '#EXT-X-ENDLIST\n' ELSE '' END) AS body FROM {{orders}} JOIN (
+  SELECT l_orderkey, array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_quantity))), x -> concat('#EXTINF:', CAST(x.l_quantity AS INT), ',\nseg/', x.l_partkey, '.ts\n')), '') AS lines FROM {{lineitem}} GROUP BY l_orderkey
+) ON l_orderkey = o_orderkey"""
+
+
+@query(
+    "p3_playlists",
+    """SELECT concat('https://v.example.com/', o_orderkey, '/index.m3u8') AS manifest, CAST(l.n + 1 AS INTEGER) AS segments, concat('https://v.example.com/', o_orderkey, '/init,', o_orderkey, '.mp4') AS first_segment,
+  concat('https://v.example.com/', o_orderkey, '/seg/', l.last_part, '.ts') AS last_segment, CAST(l.seconds AS DOUBLE) AS duration, o_orderstatus <> 'F' AS live, o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW') AS encrypted,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'AES-128' WHEN '3-MEDIUM' THEN 'UNDECLARED' WHEN '5-LOW' THEN 'SAMPLE-AES' ELSE '' END AS encryption_method, CASE WHEN o_orderpriority = '5-LOW' THEN 'fairplay' ELSE '' END AS systems
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n, sum(CAST(l_quantity AS INTEGER)) AS seconds, last(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS last_part FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""",
+)
+def p3_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A media playlist per order: a segment per line, the key tag by priority, ended if the order is."""
+    rows = spark.sql(_PLAYLISTS, orders=V.table(spark, sf_dir, "orders"), lineitem=V.table(spark, sf_dir, "lineitem"))
+    address = F.concat(F.lit("https://v.example.com/"), F.col("o_orderkey").cast("string"), F.lit("/index.m3u8"))
+    streams = manifests.parsed(rows.select(address.alias("url"), F.lit("").alias("mime_type"), "body"))
+    return streams.select(
+        F.col("url").alias("manifest"), F.size("stream.segments").alias("segments"), F.get("stream.segments", F.lit(0)).alias("first_segment"), F.get("stream.segments", F.size("stream.segments") - 1).alias("last_segment"),
+        "stream.duration", "stream.live", "stream.encrypted", "stream.encryption_method", F.array_join("stream.key_systems", ",").alias("systems"),
+    )
+
+
+_DESCRIPTIONS = """SELECT o_orderkey, concat('<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" xmlns:cenc="urn:mpeg:cenc:2013" type="', CASE WHEN o_orderstatus = 'F' THEN 'static' ELSE 'dynamic' END, '" mediaPresentationDuration="PT', CAST(o_orderkey % 5 AS INT), 'H', CAST(o_custkey % 60 AS INT), 'M1.5S"><Period>', lines, '</Period></MPD>') AS body FROM {orders} JOIN (
+  SELECT l_orderkey, array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_quantity, l_suppkey, l_returnflag))), x -> concat('<AdaptationSet mimeType="', CASE CAST(x.l_suppkey % 7 AS INT) WHEN 0 THEN 'audio' WHEN 1 THEN 'text' ELSE 'video' END, '/mp4" lang="l', x.l_linenumber, '">',
+    CASE WHEN x.l_returnflag = 'R' THEN '<cenc:ContentProtection schemeIdUri="urn:uuid:9A04F079-9840-4286-AB92-E65BE0885F95"/>' ELSE '' END, '<Representation id="r', x.l_partkey, '" bandwidth="', CAST(x.l_quantity * 1000 AS INT), '" width="', CAST(x.l_quantity AS INT), '" height="10"/></AdaptationSet>')), '') AS lines FROM {lineitem} GROUP BY l_orderkey
+) ON l_orderkey = o_orderkey"""
+
+
+@query(
+    "p5_descriptions",
+    """SELECT concat('https://v.example.com/', o_orderkey, '/m.mpd') AS manifest, CAST(v AS INTEGER) AS variants, CAST(a AS INTEGER) AS audio, CAST(t AS INTEGER) AS subtitles, CASE WHEN v > 0 THEN top END AS best, CAST(3600 * (o_orderkey % 5) + 60 * (o_custkey % 60) + 1.5 AS DOUBLE) AS duration,
+  o_orderstatus <> 'F' AS live, r > 0 AS encrypted, CASE WHEN r > 0 THEN 'CENC' ELSE '' END AS encryption_method, CASE WHEN r > 0 THEN 'playready' ELSE '' END AS systems
+FROM orders JOIN (SELECT l_orderkey, count(*) FILTER (l_suppkey % 7 > 1) AS v, count(*) FILTER (l_suppkey % 7 = 0) AS a, count(*) FILTER (l_suppkey % 7 = 1) AS t, count(*) FILTER (l_returnflag = 'R') AS r,
+  first(concat('r', l_partkey, ' ', CAST(l_quantity AS INTEGER), 'x10') ORDER BY l_quantity DESC, l_linenumber, l_partkey) FILTER (l_suppkey % 7 > 1) AS top FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+)
+def p5_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DASH description per order: a set per line, its kind by supplier, protected where the line was returned."""
+    rows = spark.sql(_DESCRIPTIONS, orders=V.table(spark, sf_dir, "orders"), lineitem=V.table(spark, sf_dir, "lineitem"))
+    address = F.concat(F.lit("https://v.example.com/"), F.col("o_orderkey").cast("string"), F.lit("/m.mpd"))
+    streams = manifests.parsed(rows.select(address.alias("url"), F.lit("").alias("mime_type"), "body"))
+    first = F.get("stream.variants", F.lit(0))
+    return streams.select(
+        F.col("url").alias("manifest"), F.size("stream.variants").alias("variants"), F.size("stream.audio_tracks").alias("audio"), F.size("stream.subtitle_tracks").alias("subtitles"), F.concat(first["id"], F.lit(" "), first["resolution"]).alias("best"),
+        "stream.duration", "stream.live", "stream.encrypted", "stream.encryption_method", F.array_join("stream.key_systems", ",").alias("systems"),
+    )
