@@ -3,12 +3,15 @@
 Items are rows with ``tab_id``, an ``item`` key, ``seq`` (input order) and ``f`` (functions.terms.features). Nothing is
 compared across tabs. Blocking follows from the weights: without a common bare host a pair scores at most 0.7425, without a
 common domain at most 0.6725, so above these thresholds an equi-join finds all links; for the range below, the third kind of
-pair must agree in type and in the first two nodes from the root. Below 0.62 all pairs of a tab are scored, which the
-display limit of a tab bounds.
+pair must agree in type and in the first two nodes from the root. Down to LOOSEST, pairs of different domains must share
+either tokens (where a path is missing: an inverted index with length and prefix filters) or a prefix of their paths from the
+root, both as long as the weights ask; only below that are all pairs of a tab scored, which its display limit bounds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from lodestone.functions import media as M
 from lodestone.functions import terms as T
 from lodestone.functions import url as U
 from lodestone.functions.core import let
-from lodestone.storage import checkpointed
+from lodestone.storage import written
 
 
 def with_features(items: DataFrame, **columns: str) -> DataFrame:
@@ -34,23 +37,99 @@ def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
     return a.join(b, (F.col("l.tab_id") == F.col("r.tab_id")) & (F.col("l.seq") < F.col("r.seq")) & on)
 
 
-def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
-    """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b."""
+#: What pairs of different domains score at most: without a term for URLs beyond 0.35 of its weight, and none for hosts.
+_W = K.WEIGHTS
+_URL_APART = 0.35 * _W["url"]
+#: Pairs without a common path score at most this when type or dimensions tell nothing either, so above it both must agree.
+LOOSEST = _URL_APART + _W["structure"] * K.NEUTRAL + _W["dimension"]
+
+
+def _least_jaccard(threshold: float) -> float:
+    """What the tokens of two items of different domains must have in common where a path is missing."""
+    return (threshold - _W["structure"] * K.NEUTRAL - _W["dimension"] - _W["type"]) / _W["url"]
+
+
+def _by_tokens(items: DataFrame, threshold: float) -> DataFrame:
+    """l and r: candidates of different domains, a path missing, that share enough tokens.
+
+    Tokens are ordered by frequency in their tab, rare first. Two sets of n and m tokens with a Jaccard index of j or more
+    share at least j / (1 + j) * (n + m) tokens, so one of the first n - that + 1 tokens of each is common; each pair of
+    sizes has its own keys, for their prefixes differ. A pair is taken at the first token that its prefixes share.
+    """
+    least = _least_jaccard(threshold)
+    able = items.where((F.col("f.width") > 0) & (F.col("f.height") > 0) & (F.col("f.top") != "") & (F.col("f.pattern.host") != ""))
+    tokens = able.select("tab_id", "seq", F.explode(F.array_distinct("f.pattern.tokens")).alias("token"))
+    often = tokens.groupBy("tab_id", "token").agg(F.count("*").alias("n"))
+    ordered = tokens.join(often, ["tab_id", "token"]).groupBy("tab_id", "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    sizes = ordered.groupBy("tab_id").agg(F.collect_set(F.size("tokens")).alias("sizes"))  # of one tab: as many as tokens a URL has
+    n = F.size("tokens")
+    sized = ordered.join(sizes, "tab_id").select("tab_id", "seq", "tokens", n.alias("n"), F.explode("sizes").alias("m")).where(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    share = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9)).cast("int")
+    prefix = sized.select("tab_id", "seq", "n", "m", F.slice("tokens", F.lit(1), F.greatest(F.col("n") - share + 1, F.lit(0))).alias("prefix"))
+    keyed = prefix.select("*", F.explode("prefix").alias("token"))
+    whole = able.select("tab_id", "seq", F.struct(*able.columns).alias("row"))
+    rows = keyed.join(whole, ["tab_id", "seq"])
+    own = F.struct(F.col("row.f.top").alias("top"), F.least("n", "m").alias("low"), F.greatest("n", "m").alias("high")).alias("key")
+    rows = rows.select("tab_id", "seq", "n", "m", "prefix", "token", own, "row")
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("tab_id", "token", "key")]
+    meet = (F.col("x.seq") < F.col("y.seq")) & (F.col("x.n") == F.col("y.m")) & (F.col("y.n") == F.col("x.m"))
+    once = F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.token")
+    found = x.join(y, same[0] & same[1] & same[2] & meet & once).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
+    return found.where((F.size("l.f.root") == 0) | (F.size("r.f.root") == 0))
+
+
+def _by_paths(items: DataFrame, threshold: float) -> DataFrame:
+    """l and r: candidates of different domains whose paths have a common prefix that is long enough for their structure."""
+    structure = (threshold - _URL_APART - _W["dimension"] - _W["type"]) / _W["structure"]
+    share = max(0.0, structure - 0.15)  # a repeated group adds 0.15 to the share of common nodes
+    need = lambda m: max(1, math.ceil(share * m - 1e-9))
+    depths = F.array(*(F.array(F.lit(m), F.lit(need(m))) for m in range(1, MAX_DEPTH + 1)))
+    rooted = items.where((F.size("f.root") > 0) & (F.col("f.pattern.host") != ""))
+    fits = F.filter(depths, lambda d: (d[0] >= F.size("f.root")) & (d[1] <= F.size("f.root")))
+    rows = rooted.select("tab_id", "seq", F.struct(*rooted.columns).alias("row"), F.explode(fits).alias("d"))
+    rows = rows.select("tab_id", "seq", "row", F.col("d")[0].alias("longest"), F.slice("row.f.root", F.lit(1), F.col("d")[1]).alias("start"))
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("tab_id", "start", "longest")]
+    meet = (F.col("x.seq") < F.col("y.seq")) & (F.greatest(F.size("x.row.f.root"), F.size("y.row.f.root")) == F.col("x.longest"))
+    return x.join(y, same[0] & same[1] & same[2] & meet).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
+
+
+#: Paths of items have at most this many nodes (index.sanitise); of longer ones the pairs are found without a prefix.
+MAX_DEPTH = 16
+
+
+def candidates(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """l and r, whole items, of every pair that can reach the threshold, each pair once."""
     a, b = items.alias("l"), items.alias("r")
+    sides = lambda joined: joined.select(F.struct(*(F.col(f"l.{c}").alias(c) for c in items.columns)).alias("l"), F.struct(*(F.col(f"r.{c}").alias(c) for c in items.columns)).alias("r"))
     bare = (F.col("l.f.pattern.bare") == F.col("r.f.pattern.bare")) & (F.col("l.f.pattern.bare") != "")
     domain = (T._domain(F.col("l.f.pattern")) == T._domain(F.col("r.f.pattern"))) & (F.col("l.f.pattern.host") != "") & (F.col("r.f.pattern.host") != "")
     if threshold > 0.7425:
-        joined = _pairs(a, b, bare)
-    elif threshold > 0.6725:
-        joined = _pairs(a, b, domain)
-    elif threshold >= 0.62:
+        return sides(_pairs(a, b, bare))
+    if threshold > 0.6725:
+        return sides(_pairs(a, b, domain))
+    if threshold >= 0.62:
         start = lambda f: F.slice(F.col(f"{f}.f.root"), 1, 2)
         alike = (F.col("l.f.top") == F.col("r.f.top")) & (F.col("l.f.top") != "") & (start("l") == start("r")) & (F.size(start("l")) > 0)
         sized = (F.col("l.f.width") > 0) & (F.col("r.f.width") > 0)
-        joined = _pairs(a, b, domain).unionAll(_pairs(a, b, alike & sized & ~domain))
-    else:
-        joined = _pairs(a, b, F.lit(True))
-    scored = joined.select(
+        return sides(_pairs(a, b, domain)).unionAll(sides(_pairs(a, b, alike & sized & ~domain)))
+    if threshold <= LOOSEST:
+        return sides(_pairs(a, b, F.lit(True)))
+    apart = lambda df: df.where(~((T._domain(F.col("l.f.pattern")) == T._domain(F.col("r.f.pattern"))) & (F.col("l.f.pattern.host") != "") & (F.col("r.f.pattern.host") != "")))
+    found, shallow = sides(_pairs(a, b, domain)), items.where(F.size("f.root") <= MAX_DEPTH)
+    if _least_jaccard(threshold) <= 0.35:  # tokens of different domains count no more than that
+        found = found.unionAll(apart(_by_tokens(shallow, threshold)))
+    # items without a host have no URL term at all; they and deeper paths than an index holds are compared as they are
+    odd = lambda f: (F.col(f"{f}.f.pattern.host") == "") | (F.size(F.col(f"{f}.f.root")) > MAX_DEPTH)
+    rest = items.where((F.col("f.pattern.host") == "") | (F.size("f.root") > MAX_DEPTH))
+    one = sides(_pairs(rest.alias("l"), b, F.lit(True))).unionAll(sides(_pairs(a, rest.alias("r"), ~odd("l"))))
+    return found.unionAll(apart(_by_paths(shallow, threshold))).unionAll(apart(one))
+
+
+def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b."""
+    scored = candidates(items, threshold).select(
         F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"),
         T.at_most(F.col("l.f"), F.col("r.f")).alias("most"), T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
     )
@@ -104,19 +183,59 @@ def still_there(selected: DataFrame, items: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (tab_id, seq, ...) with ``root``: the least seq that links (tab_id, a_seq, b_seq) connect. Labels spread by
-    minimum with pointer jumping; each round is checkpointed in the folder that the session names."""
-    edges = checkpointed(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y")).unionAll(links.select("tab_id", F.col("b_seq").alias("x"), F.col("a_seq").alias("y"))).distinct())
-    label = checkpointed(nodes.select("tab_id", "seq", F.col("seq").alias("root")))
+    minimum with pointer jumping; each round is written to the folder that the session names."""
+    edges = written(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y")).unionAll(links.select("tab_id", F.col("b_seq").alias("x"), F.col("a_seq").alias("y"))).distinct())
+    label = written(nodes.select("tab_id", "seq", F.col("seq").alias("root")))
     while True:
         near = edges.join(label.withColumnRenamed("seq", "y"), ["tab_id", "y"]).groupBy("tab_id", F.col("x").alias("seq")).agg(F.min("root").alias("near"))
         hooked = label.join(near, ["tab_id", "seq"], "left").select("tab_id", "seq", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = hooked.select("tab_id", F.col("seq").alias("next"), F.col("next").alias("far"))
-        moved = checkpointed(hooked.join(jump, ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")))
+        moved = written(hooked.join(jump, ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")))
         label = moved.drop("was")
         if not moved.where("root <> was").take(1):
             return nodes.join(label, ["tab_id", "seq"])
 
 
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """tab_id, a_seq, b_seq, total of a maximum spanning forest of ``links``: the merges of single linkage, from which a cut at
+    any threshold follows. In each of Boruvka's rounds every component takes its best link out; links are in one order (total,
+    then the pair), so those taken never close a circle longer than two. Components at least halve, and between two of them
+    only the best link is kept."""
+    best_of = lambda df: df.groupBy("tab_id", "x", "y").agg(F.max("w").alias("w"))
+    weight = F.struct("total", (-F.col("a_seq")).alias("a"), (-F.col("b_seq")).alias("b")).alias("w")
+    edges = written(best_of(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y"), weight)))
+    taken = []
+    while edges.take(1):
+        both = edges.unionByName(edges.select("tab_id", F.col("y").alias("x"), F.col("x").alias("y"), "w"))
+        best = written(both.groupBy("tab_id", "x").agg(F.max_by("y", "w").alias("y"), F.max("w").alias("w")))
+        taken.append(best.select("tab_id", "w").distinct())
+        back = best.select("tab_id", F.col("x").alias("y"), F.col("y").alias("back"))
+        mutual = (F.col("back") == F.col("x")) & (F.col("x") < F.col("y"))
+        up = written(best.select("tab_id", "x", "y").join(back, ["tab_id", "y"], "left").select("tab_id", "x", F.when(mutual, F.col("x")).otherwise(F.col("y")).alias("p")))
+        moving = True
+        while moving:  # until every component of the round points at its root
+            further = up.select("tab_id", F.col("x").alias("p"), F.col("p").alias("pp"))
+            moved = written(up.join(further, ["tab_id", "p"]).select("tab_id", "x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            up, moving = moved.drop("moved"), bool(moved.where("moved").take(1))
+        root = lambda c: up.select("tab_id", F.col("x").alias(c), F.col("p").alias(f"p{c}"))
+        joined = edges.join(root("x"), ["tab_id", "x"]).join(root("y"), ["tab_id", "y"]).where("px <> py")
+        edges = written(best_of(joined.select("tab_id", F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"), "w")))
+    rows = links.select("tab_id", weight).limit(0)
+    for more in taken:
+        rows = rows.unionByName(more)
+    return rows.select("tab_id", (-F.col("w.a")).alias("a_seq"), (-F.col("w.b")).alias("b_seq"), F.col("w.total").alias("total"))
+
+
+def cuts(nodes: DataFrame, forest: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Per threshold (``cut``) the nodes with ``root``, the least seq of their single-linkage cluster: one spreading of labels
+    over the forest's few links for all cuts together."""
+    at = F.explode(F.array(*map(F.lit, thresholds)))
+    own = F.struct("tab_id", "cut").alias("tab_id")
+    layered = nodes.select("*", at.alias("cut")).withColumnRenamed("tab_id", "tab").select(F.struct(F.col("tab").alias("tab_id"), "cut").alias("tab_id"), *(c for c in nodes.columns if c != "tab_id"))
+    links = forest.select("*", at.alias("cut")).where(F.col("total") >= F.col("cut")).select(own, "a_seq", "b_seq")
+    return components(layered, links).select("tab_id.*", *(c for c in nodes.columns if c != "tab_id"), "root")
+
+
 def cluster(items: DataFrame, threshold: float = K.THRESHOLD, limit: int | None = K.MAX_CLUSTERED) -> DataFrame:
     """items with cluster_id (rank of the cluster in its tab: larger first, ties by first member) and cluster_size. Of a tab's
     items the first ``limit`` are clustered; the rest form one cluster of id -1 (unclustered)."""

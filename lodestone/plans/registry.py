@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
+from lodestone import storage
 from lodestone.functions import media as M
 from lodestone.functions import paths as X
 from lodestone.functions import policy as P
@@ -256,6 +257,26 @@ def agg5_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cluster(_featured(spark, sf_dir), K.PRESETS["strict"], limit=None).select("tab_id", "item", "cluster_id", "cluster_size")
 
 
+@query("j3_loose_pairs", _SCORED + "SELECT tab_id, count(*) AS pairs, round(sum(total), 4) AS total FROM p WHERE total >= 0.45 GROUP BY tab_id")
+def j3_loose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pairs(storage.written(_featured(spark, sf_dir)), K.PRESETS["loose"]).groupBy("tab_id").agg(F.count("*").alias("pairs"), F.round(F.sum("total"), 4).alias("total"))
+
+
+def _cut(threshold: str) -> str:
+    edges = f"SELECT tab_id, a AS x, b AS y FROM p WHERE total >= {threshold} UNION ALL SELECT tab_id, b, a FROM p WHERE total >= {threshold}"
+    reached = f"WITH RECURSIVE e AS MATERIALIZED ({edges}), r AS (SELECT tab_id, item_seq AS n, item_seq AS m FROM f UNION SELECT r.tab_id, e.y, r.m FROM r JOIN e ON e.tab_id = r.tab_id AND e.x = r.n AND e.y > r.m)"
+    return f"SELECT CAST({threshold} AS DOUBLE) AS cut, tab_id, n AS item, min(m) AS root FROM ({reached} SELECT * FROM r) GROUP BY tab_id, n"
+
+
+@query("agg5_dendrogram", _SCORED + " SELECT * FROM (" + " UNION ALL ".join(_cut(f"{K.PRESETS[x]:.2f}") for x in ("loose", "balanced", "strict")) + ")")
+def agg5_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of all three presets from one spanning forest of the loose links."""
+    items = storage.written(_featured(spark, sf_dir))
+    links = storage.written(similarity.pairs(items, K.PRESETS["loose"]).select("tab_id", "a_seq", "b_seq", "total"))
+    nodes = items.select("tab_id", "seq", "item")
+    return similarity.cuts(nodes, similarity.spanning_forest(links), list(K.PRESETS.values())).select("cut", "tab_id", "item", "root")
+
+
 _DESCRIBED = f"""
 WITH f AS ({_FEATURES}), r AS (SELECT tab_id, source, f.* EXCLUDE (tab_id), concat(host, pattern) AS address, CASE WHEN width > 0 AND height > 0 THEN concat(width, 'x', height) END AS dims FROM f JOIN (SELECT item_seq AS i, source FROM ({V.DUCK_CANDIDATES})) s ON s.i = f.item_seq),
 k AS (SELECT tab_id, source, arg_max(kind, (n, -first)) AS kind, max(n) AS kn FROM (SELECT tab_id, source, CASE WHEN kind = '' THEN 'file' ELSE kind END AS kind, count(*) AS n, min(item_seq) AS first FROM r GROUP BY ALL) GROUP BY ALL),

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def mixed(spark):
     return items(spark, rows)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.45, 0.62, 0.7, 0.75, 0.8])
+@pytest.mark.parametrize("threshold", [0.3, 0.44, 0.45, 0.5, 0.56, 0.6, 0.62, 0.7, 0.75, 0.8])
 def test_blocking_equals_brute_force(spark, threshold):
     df = mixed(spark)
     got = {(r.a, r.b, round(r.total, 9)) for r in S.pairs(df, threshold).collect()}
@@ -133,3 +134,45 @@ def test_seeds_and_growth(spark):
     assert got == {"/gallery/photo-3.jpg": ("https://cdn.example.com/gallery/photo-3.jpg", True), "https://new.com/a.jpg": ("https://new.com/a.jpg", False)}
     assert {r.item for r in S.grown(df.where("item = 0"), df).collect()} == found | {0}
     assert S.still_there(spark.createDataFrame([(0, "1"), (0, "99")], "tab_id long, id string"), df).count() == 1
+
+
+def scattered(spark, n, seed):
+    """Items of many hosts with and without paths, dimensions, types and tokens."""
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(12)] + ["media"] * 6
+    rows = []
+    for i in range(n):
+        host = rng.choice(["cdn.a.com", "img.a.com", "b.org", "c.net", "d.io", "e.co.uk"])
+        name = "/".join(rng.choices(words, k=rng.randint(1, 6)))
+        depth = rng.choice([0, 0, 1, 3, 6, 18])
+        path = [node(rng.choice(["div", "li", "ul"]), *rng.choices(["x", "y"], k=1)) for _ in range(depth)][: max(0, depth - 2)] + [node("main"), node("body")] if depth else None
+        rows.append({
+            "url": rng.choice([f"https://{host}/{name}.{rng.choice(['jpg', 'png', 'mp4'])}"] * 9 + [f"rel{i}"]), "w": rng.choice([0, 100, 400, 1200]), "h": rng.choice([0, 100, 300, 1200]),
+            "path": path, "group": rng.random() < 0.4, "depth": rng.choice([-1, 0, 2]), "tab": i % 2,
+        })
+    return items(spark, rows)
+
+
+@pytest.mark.parametrize("threshold", [0.45, 0.52, 0.58])
+def test_loose_pairs_equal_all_pairs(spark, threshold):
+    df = scattered(spark, 160, 4).persist()
+    every = {(r.a, r.b): round(r.total, 9) for r in S.pairs(df, 0.0).collect() if r.total >= threshold}
+    assert {(r.a, r.b): round(r.total, 9) for r in S.pairs(df, threshold).collect()} == every and len(every) > 30
+    found = S.candidates(df, threshold).select("l.item", F.col("r.item").alias("other")).collect()
+    assert len(found) == len(set(map(tuple, found))) < 2 * 80 * 79 // 2
+
+
+def test_forest_and_cuts(spark):
+    df = scattered(spark, 120, 5).persist()
+    links = S.pairs(df, K.PRESETS["loose"]).select("tab_id", "a_seq", "b_seq", "total").persist()
+    forest = S.spanning_forest(links)
+    edges = forest.collect()
+    nodes = df.select("tab_id", "seq")
+    thresholds = [K.PRESETS[x] for x in ("loose", "balanced", "strict")]
+    got = {(r.tab_id, r.cut, r.seq): r.root for r in S.cuts(nodes, forest, thresholds).collect()}
+    assert len(got) == 3 * 120
+    for cut in thresholds:
+        want = {(r.tab_id, r.seq): r.root for r in S.components(nodes, links.where(F.col("total") >= cut)).collect()}
+        assert {(t, s): r for (t, c, s), r in got.items() if c == cut} == want
+    trees = len(set((t, r) for (t, c, s), r in got.items() if c == thresholds[0]))
+    assert len(edges) == 120 - trees and S.spanning_forest(links.limit(0)).collect() == []

@@ -1,8 +1,11 @@
+import datetime
+import json
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.streaming import downloads as streams
 from lodestone.streaming import tabs, upsert
 
 SCHEMA = "tab_id long, seq long, type string, url string, kind string, source string, status string, navigation boolean, crawling boolean"
@@ -183,3 +186,62 @@ def test_upsert_repeats_and_kills(spark, tmp_path, monkeypatch):
     rows = upsert.table(spark, path, "k long, seq long, v string").collect()
     assert len(rows) == 51 and got()[3] == "c" and got()[77] == "new" and got()[4] == "a"
     assert upsert.write(frame([]), 2, path, ["k"], "seq", 4) and len(got()) == 51
+
+
+def test_progress(rocks, tmp_path):
+    """Seven jobs of a session over three micro-batches, and another that ends at once: errors stay in order, the last five
+    are kept, and the report goes out once."""
+    feed = Feed(rocks, tmp_path, streams.progress, streams.EVENT)
+    try:
+        feed.put([("a", i, i, "queued", None) for i in range(7)] + [("b", 1, 0, "queued", None), ("b", 2, 0, "cancelled", None)])
+        feed.until(lambda rows: len(rows) == 2)
+        feed.put([("a", 10 + i, i, "running", None) for i in range(7)] + [("a", 20 + k, i, "failed", f"E{i}") for k, i in enumerate((3, 1, 5, 0, 2, 6))])
+        feed.until(lambda rows: len(rows) == 3)
+        feed.put([("a", 40, 4, "done", ""), ("c", 1, 9, "strange", None)])
+        feed.until(lambda rows: len(rows) == 5)
+        feed.put([("a", 50, 4, "done", "")])
+        feed.until(lambda rows: len(rows) == 6)
+    finally:
+        feed.query.stop()
+    a = [r for r in feed.rows if r.session == "a"]
+    assert [(r.total, r.done, r.failed, r.running, r.pending, r.percent, r.finished) for r in a] == [(7, 0, 0, 0, 7, 0, False), (7, 0, 6, 1, 1, 86, False), (7, 1, 6, 0, 0, 100, True), (7, 1, 6, 0, 0, 100, True)]
+    assert a[1].errors == a[2].errors == ["E1", "E5", "E0", "E2", "E6"] and [r.report is not None for r in a] == [False, False, True, False]
+    assert [(x["job"], x["state"]) for x in json.loads(a[2].report)] == [(i, "done" if i == 4 else "failed") for i in range(7)]
+    assert [(r.cancelled, r.finished, r.report is not None) for r in feed.rows if r.session == "b"] == [(1, True, True)]
+    assert [(r.total, r.finished) for r in feed.rows if r.session == "c"] == [(0, False)]
+
+
+def test_jobs_are_lost_only_once_the_watermark_has_passed(spark, tmp_path):
+    """Job 2's state comes late but in time; job 3 is lost when its time has passed; job 4's state comes after that."""
+    jobs, states = "session string, job long, download_id long, tries int, state string, error string, found_at timestamp", "download_id long, state string, error string, told_at timestamp"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for side in ("j", "s"):
+        (tmp_path / side / "in").mkdir(parents=True)
+    left = spark.readStream.schema(jobs).parquet(str(tmp_path / "j" / "in"))
+    right = spark.readStream.schema(states).parquet(str(tmp_path / "s" / "in"))
+    out = []
+    query = streams.resumed(left, right).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: out.extend(df.collect())).start()
+
+    def put(side, schema, rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / side / name))
+        next((tmp_path / side / name).glob("part-*")).rename(tmp_path / side / "in" / f"{name}.parquet")
+        query.processAllAvailable()
+
+    try:
+        put("j", jobs, [("s", i, i, 1, "running", "", at(0)) for i in (1, 2, 3, 4)] + [("s", 5, None, 0, "queued", "", at(0)), ("s", 6, 6, 3, "running", "", at(0))], "a")
+        put("s", states, [(1, "complete", None, at(1)), (6, "interrupted", "CRASH", at(1))], "a")
+        assert {r.job for r in out} == {1, 5, 6}
+        put("s", states, [(2, "in_progress", None, at(9)), (77, "complete", None, at(9))], "b")
+        put("j", jobs, [("s", 8, 8, 1, "running", "", at(9))], "b")
+        assert {r.job for r in out} == {1, 2, 5, 6}
+        put("j", jobs, [("s", 9, 9, 1, "running", "", at(30))], "c")
+        put("s", states, [(99, "complete", None, at(30))], "c")
+        put("s", states, [(4, "complete", None, at(5))], "d")
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r.job: (r.state, r.error) for r in out}
+    assert len(out) == len(got) and 9 not in got
+    assert got == {1: ("done", ""), 2: ("running", ""), 3: ("backoff", "NETWORK_FAILED"), 4: ("backoff", "NETWORK_FAILED"), 5: ("queued", ""), 6: ("failed", "CRASH"), 8: ("backoff", "NETWORK_FAILED")}
