@@ -136,13 +136,65 @@ def test_policy(spark):
     assert p[0] > p[1] and round(p[0], 3) == round(1 / 2 + 0.1, 3) or p[0] > 0.4
 
 
-def test_crawl(spark):
+def crawl_alone(start, follow, priority, landed, clicks, max_pages, known_max):
+    """One crawl as plain loops over dictionaries: the twin of a row of crawls()."""
+    visited, queue, current, pages, clicked, n, trail = [start], [], start, 0, 0, 0, []
+    while True:
+        here, explored, found = landed.get(current, current), True, 0
+        if here != current:
+            explored = here not in visited
+            visited += [here] * explored
+        if explored:
+            for key in follow.get(here, []):
+                if len(visited) + len(queue) >= known_max:
+                    break
+                if key in visited or key in [q[2] for q in queue]:
+                    continue
+                n, found = n + 1, found + 1
+                queue.append((-priority(key, start), n, key))
+            pages, clicked = pages + 1, clicked + min(60, clicks.get(here, 0))
+        trail.append((here, found, explored))
+        queue.sort()
+        if pages >= max_pages:
+            return trail, pages, clicked, f"page limit reached ({max_pages})"
+        if not queue:
+            return trail, pages, clicked, "nothing left to visit"
+        current = queue.pop(0)[2]
+        visited.append(current)
+
+
+def test_crawls(spark):
+    """Many crawls in one go, each equal to the loop for it alone, with pages that answer from elsewhere and a click limit."""
+    rng = random.Random(3)
+    url = lambda site, i: f"https://s{site}.com/" + (f"p/{i}" + ("?page=2" if i % 4 == 0 else "") if i else "")
+    rows, follow = [], {}
+    for site in range(3):
+        for i in range(12):
+            to = [rng.randrange(14) for _ in range(rng.randint(0, 6))]
+            hrefs = [url(site, j) for j in to] + ["/delete", "https://other.com/", url(site, to[0]) + "#x" if to else "/"]
+            rows.append((site * 100 + i, url(site, i), "<body>" + "".join(f"<a href='{h}'>go</a>" for h in hrefs) + "</body>"))
+            follow[url(site, i)] = [url(site, j) for j in to] + ([] if to else [url(site, 0)])
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = crawl.links(table)
+    landed = {url(0, 5): url(0, 2), url(0, 3): url(0, 20), url(1, 1): url(1, 0)}
+    clicks = {r[1]: 10 * (r[0] % 9) for r in rows}
+    starts = [(site * 100 + i, url(site, i)) for site in range(3) for i in range(5)]
+    pairs = [(a, b) for a in {u for v in follow.values() for u in v} for b in {s for _, s in starts}]
+    rated = {(r.h, r.s): r.p for r in spark.createDataFrame(pairs, "h string, s string").select("h", "s", P.link_priority(F.col("h"), F.col("s"), {c: F.lit("go" if c == "text" else "") for c in crawl.LABELS}).alias("p")).collect()}
+    pages = crawl.site(found, spark.createDataFrame(list(clicks.items()), "url string, n int"))
+    done = crawl.crawls(spark.createDataFrame(starts, "crawl_id long, url string"), pages, spark.createDataFrame(list(landed.items()), "url string, landed string"), max_pages=5, known_max=9)
+    got = {r.crawl_id: ([tuple(t) for t in r.trail], r.pages, r.clicks, r.note) for r in done.collect()}
+    assert got == {i: crawl_alone(s, follow, lambda h, s: rated[h, s], landed, clicks, 5, 9) for i, s in starts}
+    assert any(not explored for t, *_ in got.values() for *_, explored in t) and {n for *_, n in got.values()} == {"page limit reached (5)", "nothing left to visit"}
+    assert crawl.trail(done).count() == sum(len(t) for t, *_ in got.values()) and crawl.status(done).where("running").count() == 0
+
+
+def test_frontier(spark):
     html = lambda *hrefs: "<body>" + "".join(f"<a href='{h}'>{h}</a>" for h in hrefs) + "</body>"
     pages = spark.createDataFrame([(1, "https://a.com/", html("/p/1", "/p/2", "/delete", "https://b.com", "/p/1#x")), (2, "https://a.com/p/1", html("/", "/p/3?page=2")), (3, "https://a.com/p/2", html()), (4, "https://a.com/p/3?page=2", html("/p/1"))], "page_id long, url string, html string")
     found = crawl.links(pages)
-    out = crawl.crawl(found, "https://a.com/")
-    assert {r["key"] for r in out} == {"https://a.com/", "https://a.com/p/1", "https://a.com/p/2", "https://a.com/p/3?page=2"} and out[-1]["note"] == "nothing left to visit"
-    assert len(crawl.crawl(found, "https://a.com/", max_pages=2)) == 2
+    done = crawl.crawls(spark.createDataFrame([(1, "https://a.com/"), (2, None)], "crawl_id long, url string"), crawl.site(found))
+    assert {r.key for r in crawl.trail(done).collect()} == {"https://a.com/", "https://a.com/p/1", "https://a.com/p/2", "https://a.com/p/3?page=2"} and done.first().note == "nothing left to visit"
     visited, queued = (spark.createDataFrame([(k,)], "key string") for k in ("https://a.com/p/1", "https://a.com/p/2"))
     keys = [r.key for r in crawl.frontier(crawl.accepted(found), visited, queued).collect()]
     assert set(keys) == {"https://a.com/", "https://a.com/p/3?page=2"}
