@@ -440,6 +440,20 @@ def e4_should_click(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("p_partkey").alias("id"), P.should_click(P.element(rows.columns)).alias("v")).select("id", "v.click", "v.reason")
 
 
+@query(
+    "e10_crawls",
+    _LINKS
+    + """, k AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS page FROM pages), f AS (SELECT page, count(DISTINCT href) AS n FROM v JOIN k USING (page_id) WHERE reason = 'same origin' GROUP BY page)
+SELECT page_id AS crawl_id, CAST(1 + coalesce(n, 0) AS INTEGER) AS pages, CAST(0 AS BIGINT) AS clicks, CAST(coalesce(n, 0) AS BIGINT) AS found, 'nothing left to visit' AS note FROM k LEFT JOIN f USING (page)""",
+)
+def e10_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl from every page, all side by side."""
+    starts = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("crawl_id"), "url")
+    done = crawl.crawls(starts, crawl.site(_links(spark, sf_dir)))
+    found = F.aggregate("trail", F.lit(0).cast("long"), lambda a, t: a + t["found"])
+    return done.select("crawl_id", "pages", "clicks", found.alias("found"), "note")
+
+
 _OPENS, _NONE = "opens or expands something not open yet", "no positive reason to believe it reveals media"
 
 
