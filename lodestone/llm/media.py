@@ -116,16 +116,23 @@ def _beside(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], how).drop("salt")
 
 
-def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards below ``folder`` (a URI that all executors share) and returns their index: a row per document."""
+def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", extend=None) -> DataFrame:
+    """Writes the shards below ``folder`` (a URI that all executors share) and returns their index: a row per document.
+    extend: adds columns to an index, by reading its members; it is applied to stored members only, and copies of a payload
+    take theirs."""
     rows = documents(docs, id_col, text_col).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
-    repeated = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("key", "owner", F.lit(True).alias("repeats"))
-    marked = _beside(rows, written(repeated, "repeated"), "left")
+    keys = written(rows.select("doc_id", "key"), "keys")
+    repeated = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("key", "owner", F.lit(True).alias("repeats"))
+    repeated = written(repeated, "repeated")
     is_owner = F.col("repeats").isNull() | F.col("doc_id").eqNullSafe(F.col("owner"))
-    own = written(put(marked.where(is_owner).select("doc_id", "text", F.when(F.col("repeats"), F.col("key")).alias("key")), folder, shard_bytes), "owners")
-    names = ("n_bytes", "digest", "shard", "offset", "length")
+    owners = _beside(rows, repeated, "left").where(is_owner).select("doc_id", "text", F.when(F.col("repeats"), F.col("key")).alias("key"))
+    own = written(put(owners, folder, shard_bytes), "owners")
+    if extend:
+        own = written(extend(own), "members")
+    names = [c for c in own.columns if c not in ("doc_id", "key")]
     places = own.where("key is not null").groupBy("key").agg(F.min(F.struct(*names)).alias("place"))
-    copies = _beside(marked.where(~is_owner).select("doc_id", "key"), written(places, "places"), "inner")
+    copied = _beside(keys, repeated, "inner").where(~is_owner).select("doc_id", "key")
+    copies = _beside(copied, written(places, "places"), "inner")
     return own.drop("key").unionByName(copies.select("doc_id", *(F.col(f"place.{c}").alias(c) for c in names)))
 
 
@@ -226,8 +233,18 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def with_media(index: DataFrame, folder: str) -> DataFrame:
+    """The columns of with_headers() and with_features(), one range read of the header and one of the member."""
+
+    def row(ranges: Ranges, shard: str, offset: int, length: int) -> tuple:
+        return (*read_header(ranges.read(shard, offset, min(length, HEADER_BYTES))), *_features(ranges, shard, offset, length))
+
+    more = f"width int, height int, bits int, {FEATURES}"
+    run = _extended(index, more, row)
+    return index.mapInArrow(lambda batches: run(batches, folder), f"{_ddl(index)}, {more}")
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores all texts and returns their media columns."""
     folder = f"{shared_dir(docs.sparkSession)}/shards"
-    index = written(store(docs, folder), "index")
-    return with_features(with_headers(index, folder), folder)
+    return store(docs, folder, extend=lambda index: with_media(index, folder))
