@@ -2,7 +2,8 @@
 
 A URL is parsed once into a struct (scheme, host, port, path, query, fragment; null if it has no absolute form), in the
 subset of the WHATWG rules that web evidence needs: relative references, dot segments, back slashes, default ports,
-lower-cased hosts, percent-encoding of what may not stand in a path. Paths end before ``?``; query and fragment are
+lower-cased hosts (hosts.ascii_url puts names of other scripts and addresses in numbers into the browser's form first),
+percent-encoding of what may not stand in a path. Paths end before ``?``; query and fragment are
 without their marks and null where absent.
 """
 
@@ -69,7 +70,7 @@ def parse(raw: Column, base: Column | None = None) -> Column:
             F.when(rest.contains("#"), F.regexp_extract(rest, r"(?s)#(.*)\z", 1)).alias("fragment"),
         )
         default = F.when(scheme == "https", "443").otherwise("80")
-        fine = lambda y: F.when((y["host"] != "") & ~y["host"].rlike(r"[\s<>^|%\[\]]"), F.struct(*(F.when(y["port"] != default, y["port"]).otherwise("").alias("port") if c == "port" else y[c].alias(c) for c in ("scheme", "host", "port", "path", "query", "fragment"))))
+        fine = lambda y: F.when((y["host"] != "") & (~y["host"].rlike(r"[\s<>^|%\[\]]") | y["host"].rlike(r"\A\[[0-9a-f:.]+\]\z")), F.struct(*(F.when(y["port"] != default, y["port"]).otherwise("").alias("port") if c == "port" else y[c].alias(c) for c in ("scheme", "host", "port", "path", "query", "fragment"))))
         return let(parts, fine)
 
     clean = F.regexp_replace(F.btrim(raw, F.lit(" \t\n\r\x0b\x0c")), r"[\t\n\r]", "")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import constants as K
 from lodestone import storage
+from lodestone.functions import hosts
 from lodestone.functions import media as M
 from lodestone.functions import paths as X
 from lodestone.functions import policy as P
@@ -91,6 +92,26 @@ def u4_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", U.bare_host(host).alias("bare"), U.registrable_domain(host).alias("domain"))
 
 
+@query(
+    "u1_hosts",
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('http://', o_orderkey // 16777216 % 256, '.', o_orderkey // 65536 % 256, '.', o_orderkey // 256 % 256, '.', o_orderkey % 256, '/a')
+  WHEN 1 THEN concat('http://10.', o_custkey // 65536 % 256, '.', o_custkey // 256 % 256, '.', o_custkey % 256, '/a')
+  WHEN 2 THEN concat('https://[2001:db8::', lower(to_hex(o_orderkey % 65535 + 1)), ']:8443/a') WHEN 3 THEN concat('https://shop', o_custkey, '.example.com/a') ELSE concat('https://xn--mnchen-3ya.example/', o_orderkey) END AS address FROM orders""",
+)
+def u1_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address per order, whose host is a number, a short IPv4 form, an IPv6 address, a name in wide letters, or one with an umlaut."""
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    raw = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("http://"), key, F.lit("/a")))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("http://0xA."), customer, F.lit("/a")))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("https://[2001:0DB8:0:0:0:0:0:"), F.hex(F.col("o_orderkey") % 65535 + 1), F.lit("]:8443/a")))
+        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("https://SHOP"), customer, F.lit("。ｅｘａｍｐｌｅ．com/a")))
+        .otherwise(F.concat(F.lit("https://MÜNCHEN.example/"), key))
+    )
+    rows = V.table(spark, sf_dir, "orders").select("o_orderkey", hosts.ascii_url(raw).alias("raw"))
+    return rows.select("o_orderkey", U.href(U.parse(F.col("raw"))).alias("address"))
+
+
 @query(
     "u8_pattern_of",
     f"""SELECT item_seq, {_HOST} AS host, {_DIR} AS dir, {_GENERIC} AS file, {_EXT} AS ext, concat({_DIR}, '/', {_GENERIC}) AS pattern, len({_TOKENS}) AS n_tokens,

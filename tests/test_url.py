@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import hosts
 from lodestone.functions import media as M
 from lodestone.functions import paths as X
 from lodestone.functions import url as U
@@ -104,3 +105,19 @@ def test_srcset():
     assert X.best_of_srcset("a,b.jpg 300w, c.jpg 600w") == "c.jpg"
     assert X.best_of_srcset("a.jpg, b.jpg") == "a.jpg" and X.best_of_srcset(None) == ""
     assert X.parse_srcset("x (a,b), y 1x") == [("x", "(a,b)"), ("y", "1x")]
+
+
+HOSTS = [
+    ("EXAMPLE.com", "example.com"), ("faß.de", "xn--fa-hia.de"), ("bücher.example", "xn--bcher-kva.example"), ("日本語。ＪＰ", "xn--wgv71a119e.jp"), ("ex%41mple.com", "example.com"), ("a\u00adb.com", "ab.com"),
+    ("127.1", "127.0.0.1"), ("0x7f.0.0.1", "127.0.0.1"), ("0177.0.0.01", "127.0.0.1"), ("2130706433", "127.0.0.1"), ("1.2.3.4.", "1.2.3.4"), ("0xffffffff", "255.255.255.255"), ("0x", "0.0.0.0"), ("a.0x1", None),
+    ("256.1.1.1", None), ("1.2.3.4.5", None), ("4294967296", None), ("09", None), ("1.2.3.08", None), ("foo.1", None), ("a b", None), ("a%00b", None), ("", None), ("%ff", None),
+    ("[::1]", "[::1]"), ("[2001:DB8:0:0:1:0:0:1]", "[2001:db8::1:0:0:1]"), ("[1:0:2:3:4:5:6:7]", "[1:0:2:3:4:5:6:7]"), ("[::ffff:1.2.3.4]", "[::ffff:102:304]"), ("[::]", "[::]"), ("[fe80::1%25eth0]", None), ("[::1", None), ("[g::]", None),
+]
+
+
+def test_hosts(spark):
+    assert [(h, hosts.ascii_host(h)) for h, _ in HOSTS] == HOSTS
+    urls = [("https://user@MÜNCHEN.example:8080/ü?q#f", "https://xn--mnchen-3ya.example:8080/%C3%BC?q#f"), ("//127.1/x", "https://127.0.0.1/x"), ("http://[2001:DB8::0:1]:80/", "http://[2001:db8::1]/"), ("https://plain.example.com/ü", "https://plain.example.com/%C3%BC"), ("/ü", None), ("http://256.256.256.256.1/", None), (None, None), ("http://x.0xfg/", "http://x.0xfg/")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "i int, u string")
+    got = [r.h for r in df.select("i", U.href(U.parse(hosts.ascii_url(F.col("u")))).alias("h")).orderBy("i").collect()]
+    assert got[:5] == [w for _, w in urls[:5]] and got[6:] == [w for _, w in urls[6:]]
