@@ -309,3 +309,15 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 def round_trip(conversations: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Lays out, recognises, formats and reads back all conversations."""
     return digests(formatted(canonical(to_records(conversations, max_rows, max_bytes))))
+
+
+#: The conversations as they are, with the probe; escapes are those of the template.
+ORACLE = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {PROBE_ID}, t, r, '{PROBE_TEXT}' FROM (VALUES (0, 'user'), (1, '{TRAINED}')) x(t, r)),
+e AS (SELECT *, sha256(text) AS h, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') AS shown_role, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, h)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{TRAINED}' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = '{TRAINED}' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, h)) AS loss_sha256,
+  CAST(sum(len(shown_role) + len(shown) + {len(START) + len(END) + 2}) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -529,3 +529,17 @@ def representatives(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     first = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first"))
     gone = written(ids.join(first, "group").where(F.col(row) != F.col(f"first.{row}")).select(row), "gone")
     return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, row, "left_anti").drop(row)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM d),
+k AS (SELECT doc_id, len(sh) AS n, sh, CASE WHEN len(sh) > 0 THEN min(doc_id) OVER (PARTITION BY sh) ELSE doc_id END AS class FROM s),
+e AS (SELECT class, n, unnest(sh) AS x FROM k WHERE class = doc_id),
+p AS MATERIALIZED (SELECT a.class AS a, b.class AS b FROM e a JOIN e b ON a.x = b.x AND a.class < b.class GROUP BY a.class, b.class HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT DISTINCT class AS v, class AS m FROM k UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.v AND l.b > r.m),
+c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v),
+g AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM k JOIN c ON c.v = k.class LEFT JOIN g ON g.a = k.class
+"""

@@ -44,7 +44,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op4_ngram_jaccard")
+@query("op4_ngram_jaccard", jaccard.ORACLE)
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
@@ -55,7 +55,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents")).select(*columns)
 
 
-@query("op6_warc")
+@query("op6_warc", warc.ORACLE)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -66,7 +66,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).select(*columns)
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", substring.ORACLE)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -91,6 +91,6 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op13_chat_format")
+@query("op13_chat_format", chat.ORACLE)
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.with_probe(table(spark, sf_dir, "conversations")))

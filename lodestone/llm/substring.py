@@ -312,3 +312,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_
                     yield pa.RecordBatch.from_arrays([*own, *more], names=schema.names)
 
     return blocks.mapInArrow(apply, schema)
+
+
+ORACLE = r"""
+WITH u AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+h AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, n - 33)) AS i FROM u WHERE n >= 35)),
+r AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h SEMI JOIN r USING (k)),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n_kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS p FROM u) ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT u.doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM u LEFT JOIN t USING (doc_id)
+"""

@@ -263,3 +263,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     archives = written(write_archives(with_referrals(pages), folder), "list")
     records = read_records(chain(candidates(archives, folder)), folder)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: Base32 in SQL: every five hexadecimal digits of a SHA-1 are four letters.
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), s AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda c: list_reduce(list_transform(range(1, 6), lambda i: instr('0123456789abcdef', x[5 * c + i]) - 1), lambda a, b: a * 16 + b)) AS fives FROM s)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(flatten(list_transform(fives, lambda f: list_transform([15, 10, 5, 0], lambda q: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(f >> q) % 32 + 1]))), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, url FROM v
+"""
