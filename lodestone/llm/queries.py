@@ -81,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", repair.ORACLE)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 

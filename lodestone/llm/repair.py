@@ -345,3 +345,35 @@ def repair_damaged(conversations: DataFrame) -> DataFrame:
     names = [x.split(" ")[0] for x in RESULT.split(", ")]
     joined = every.join(found.withColumnRenamed("conv_id", "own"), F.col("conv_id").eqNullSafe(F.col("own")), "left")
     return joined.select("conv_id", *(F.coalesce(F.col(c), none.get(c, F.lit(0).cast("long"))).alias(c) for c in names[1:]))
+
+
+#: CRC-32 bit by bit, then the automaton row by row: of each state the cheapest audit so far, the least of equals. m: what may
+#: be inserted before a row, act: what may become of the row, fin: what is inserted at the end.
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT *, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(k) + 1), lambda i: ascii(k[i])::BIGINT)), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS damage FROM t),
+x AS (SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(len(role), ':', role, text)), copy) AS i FROM x),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault FROM o),
+m(s, mid, letters, said) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', concat('user:', chr(10))), (1, 2, 'I', concat('user:', chr(10))), (3, 2, 'I', concat('user:', chr(10))),
+  (2, 3, 'I', concat('assistant:', chr(10))), (0, 3, 'II', concat('user:', chr(10), 'assistant:', chr(10))), (1, 3, 'II', concat('user:', chr(10), 'assistant:', chr(10)))),
+act(mid, kind, c, next, made) AS (VALUES (0, 'D', '', 0, ''), (1, 'D', '', 1, ''), (2, 'D', '', 2, ''), (3, 'D', '', 3, ''), (0, 'K', 's', 1, ''), (0, 'K', 'u', 2, ''), (1, 'K', 'u', 2, ''), (2, 'K', 'a', 3, ''), (3, 'K', 'u', 2, ''),
+  (0, 'R', '', 2, 'user'), (1, 'R', '', 2, 'user'), (2, 'R', '', 3, 'assistant'), (3, 'R', '', 2, 'user')),
+fin(s, letters, said) AS (VALUES (0, '', ''), (3, '', ''), (2, 'I', concat('assistant:', chr(10))), (1, 'II', concat('user:', chr(10), 'assistant:', chr(10)))),
+r AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, {'cost': 0, 'audit': '', 'said': ''} AS b FROM x
+UNION ALL SELECT conv_id, i, s, min(b) FROM (
+  SELECT f.conv_id, f.i, act.next AS s, {'cost': r.b.cost + 2 * len(m.letters) + CASE act.kind WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN act.kind <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END, 'audit': concat(r.b.audit, m.letters, act.kind),
+    'said': concat(r.b.said, m.said, CASE act.kind WHEN 'D' THEN '' WHEN 'K' THEN concat(f.role, ':', f.text, chr(10)) ELSE concat(act.made, ':', f.text, chr(10)) END)} AS b
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1 JOIN m ON m.s = r.s JOIN act ON act.mid = m.mid AND (act.kind = 'D' OR f.fault NOT IN ('b', 'd')) AND (act.kind <> 'K' OR act.c = f.c)) GROUP BY conv_id, i, s),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND concat(before, c) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT n.*, min({'cost': r.b.cost + 2 * len(fin.letters), 'audit': concat(r.b.audit, fin.letters), 'said': concat(r.b.said, fin.said)}) AS b FROM n JOIN r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.n JOIN fin ON fin.s = r.s GROUP BY ALL),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit, sha256(CASE WHEN coalesce(b.said, '') = '' THEN '' ELSE substr(b.said, 1, len(b.said) - 1) END) AS repaired_sha256
+FROM every LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM every.conv_id
+"""
