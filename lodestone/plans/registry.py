@@ -594,7 +594,29 @@ def st3_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.generations(V.event_log(spark, sf_dir)).groupBy("tab_id", "gen").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"))
 
 
-@query("st1_tab_state")
+#: pp: the navigations that end a document, with the load that began since the one before (l) and the one after (p2). An item
+#: leaves at the first of these after its last sighting, unless the load began before that: then at the second.
+_TABS = f"""
+WITH e AS ({V.DUCK_EVENTS}),
+w AS (SELECT *, count(*) FILTER (type = 'nav_begin') OVER upto AS gen, max(CASE WHEN type = 'page_info' THEN seq END) OVER prior AS lastp, max(CASE WHEN type = 'eme' THEN seq END) OVER prior AS lasteme,
+  max(CASE WHEN type = 'nav_begin' THEN seq END) OVER prior AS lastnav, min(CASE WHEN type = 'page_info' THEN seq END) OVER later AS nextp FROM e
+  WINDOW upto AS (PARTITION BY tab_id ORDER BY seq), prior AS (PARTITION BY tab_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), later AS (PARTITION BY tab_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+pp AS (SELECT tab_id, seq AS p, CASE WHEN lastnav > coalesce(lastp, -1) THEN lastnav END AS l, nextp AS p2 FROM w WHERE type = 'page_info'),
+c AS (SELECT w.*, coalesce(lasteme > coalesce(lastp, -1), false) AS eme_on, CASE WHEN pp.l < w.seq THEN pp.p2 ELSE pp.p END AS gone FROM w LEFT JOIN pp ON pp.tab_id = w.tab_id AND pp.p = w.nextp WHERE type = 'candidate'),
+b AS (SELECT *, CASE WHEN lag(seq) OVER u IS NULL OR lag(gone) OVER u < seq THEN 1 ELSE 0 END AS fresh FROM c WINDOW u AS (PARTITION BY tab_id, url ORDER BY seq)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY tab_id, url ORDER BY seq) AS life FROM b),
+q AS (SELECT *, first(kind) OVER u AS own_kind, first(status) OVER u AS own_status, bool_or(source = 'dom') OVER u AND bool_or(source = 'net') OVER u AS both_seen, lead(seq) OVER u AS next_seen,
+  min(seq) OVER a AS first_seen, max(gone) OVER a AS left_at, count(gone) OVER a = count(*) OVER a AS leaves, min(CASE WHEN eme_on THEN seq END) OVER a AS first_on
+  FROM i WINDOW u AS (PARTITION BY tab_id, url, life ORDER BY seq), a AS (PARTITION BY tab_id, url, life)),
+k AS (SELECT q.tab_id, q.url, q.life, min(x.seq) AS first_eme FROM (SELECT DISTINCT tab_id, url, life, first_seen, CASE WHEN leaves THEN left_at END AS until FROM q) q JOIN e x ON x.tab_id = q.tab_id AND x.type = 'eme' AND x.seq > q.first_seen AND x.seq < coalesce(q.until, 9223372036854775807) GROUP BY ALL),
+z AS (SELECT q.*, first_eme, CASE WHEN own_kind = 'video' THEN least(coalesce(first_eme, 9223372036854775807), coalesce(first_on, 9223372036854775807)) ELSE 9223372036854775807 END AS locked FROM q LEFT JOIN k USING (tab_id, url, life))
+SELECT tab_id, seq, url, CAST(gen AS BIGINT) AS gen, 'live' AS state, CASE WHEN locked <= seq THEN 'protected' WHEN both_seen THEN 'confirmed' ELSE own_status END AS status, 'seen' AS reason FROM z
+UNION ALL SELECT tab_id, first_eme, url, CAST(gen AS BIGINT), 'live', 'protected', 'eme' FROM z WHERE locked = first_eme AND seq < first_eme AND coalesce(next_seen > first_eme, true)
+UNION ALL SELECT tab_id, gone, url, CAST(gen AS BIGINT), 'history', CASE WHEN locked < gone THEN 'protected' WHEN both_seen THEN 'confirmed' ELSE own_status END, 'navigation' FROM z WHERE next_seen IS NULL AND gone IS NOT NULL
+"""
+
+
+@query("st1_tab_state", _TABS)
 def st1_tab_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.batch(V.event_log(spark, sf_dir))
 
