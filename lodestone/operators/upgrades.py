@@ -68,3 +68,30 @@ def collapse(items: DataFrame) -> DataFrame:
         *(c for c in items.columns if c not in ("sources", "width", "height", "upgrade_bytes")), F.col("all_sources").alias("sources"), fill("width").alias("width"), fill("height").alias("height"),
         F.coalesce("upgrade_bytes", "any_bytes").alias("upgrade_bytes"), "effective_url", "merged_duplicates",
     )
+
+
+UPGRADE = {"upgrade_checked": "boolean", "upgrade_verified": "boolean", "upgrade_url": "string", "upgrade_note": "string", "upgrade_bytes": "long"}
+
+
+def verify_batch(items: DataFrame, probes: DataFrame, rules: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the index after a check of all items that were not checked before, counters of the check).
+
+    The five UPGRADE fields are written back: of the items in turn all become checked, those without a proven candidate
+    (streams, protected and inline ones among them) with empty fields; items that were checked keep theirs, and columns that
+    are missing count as never written. Then items with one effective URL are folded. Counters: tab_id, checked, upgraded,
+    collapsed. Of repeated (tab_id, item) rows each is checked; an index has no row without a url, and such rows leave.
+    """
+    have = items.select("*", *(F.lit(None).cast(t).alias(c) for c, t in UPGRADE.items() if c not in items.columns))
+    had = F.coalesce("upgrade_checked", F.lit(False))
+    found = verified(have.where(~had).drop(*(c for c in UPGRADE if c != "upgrade_checked")), probes, rules).dropDuplicates(["tab_id", "item"])
+    found = found.select("tab_id", "item", F.struct("upgrade_verified", "upgrade_url", "upgrade_note", "upgrade_bytes").alias("new"))
+    rows = have.join(found, ["tab_id", "item"], "left")
+    fresh = {
+        "upgrade_checked": F.lit(True), "upgrade_verified": F.coalesce("new.upgrade_verified", F.lit(False)), "upgrade_url": text(F.col("new.upgrade_url")), "upgrade_note": text(F.col("new.upgrade_note")),
+        "upgrade_bytes": F.col("new.upgrade_bytes").cast("long"),
+    }
+    written_back = rows.withColumn("turn", ~had).select(*(c for c in items.columns if c not in UPGRADE), "turn", *(F.when(F.col("turn"), v).otherwise(F.col(c)).alias(c) for c, v in fresh.items()))
+    folded = collapse(written_back.drop("turn"))
+    counts = written_back.groupBy("tab_id").agg(F.count_if("turn").alias("checked"), F.count_if(F.col("turn") & F.col("upgrade_verified")).alias("upgraded"))
+    counters = counts.join(folded.groupBy("tab_id").agg(F.sum("merged_duplicates").alias("collapsed")), "tab_id")
+    return folded, counters

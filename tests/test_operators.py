@@ -212,3 +212,23 @@ def test_downloads(spark):
     jobs = spark.createDataFrame([("s", 1, "a", 1, 1000, 0), ("s", 2, "a", 2, 1000, 0), ("s", 3, "b", 3, 500, 1)], "session string, job long, host string, queue int, duration_ms long, fails int")
     runs = {(r.job, r.attempt): (r.start_ms, r.end_ms, r.state) for r in downloads.simulate(jobs, 2).collect()}
     assert runs == {(1, 1): (0, 1000, "done"), (3, 1): (0, 500, "backoff"), (2, 1): (1000, 2000, "done"), (3, 2): (1300, 1800, "done")}
+
+
+def test_verify_batch(spark):
+    """Two thumbnails of one original fold into it, a checked item keeps what it had, a stream is checked and proves nothing."""
+    at = "https://a.com/wp-content/"
+    rows = [
+        (1, 1, 1, f"{at}p-150x150.jpg", "image", "confirmed", 150.0, 150.0, 900, ["dom"], None, "", None), (1, 2, 2, f"{at}p-300x300.jpg", "image", "confirmed", 0.0, 0.0, 900, ["net"], None, "", None), (1, 3, 3, f"{at}q-150x150.jpg", "image", "confirmed", 9.0, 9.0, 10**9, ["dom"], None, "", None),
+        (1, 4, 4, "https://a.com/s.m3u8", "stream", "background", 0.0, 0.0, None, ["net"], None, "", None), (1, 5, 5, f"{at}z-150x150.jpg", "image", "confirmed", 1.0, 1.0, 1, ["dom"], True, "https://old/z.jpg", True), (2, 6, 6, "data:image/png;base64,AA", "image", "confirmed", 1.0, 1.0, 1, ["dom"], None, "", None),
+    ]
+    items = spark.createDataFrame(rows, "tab_id long, item long, first_seq long, url string, kind string, status string, width double, height double, bytes long, sources array<string>, upgrade_checked boolean, upgrade_url string, upgrade_verified boolean")
+    probes = spark.createDataFrame([(f"{at}p.jpg", True, 5000, "image/jpeg"), (f"{at}q.jpg", True, 5000, "image/jpeg"), (f"{at}z.jpg", True, 5000, "")], "url string, ok boolean, bytes long, mime_type string")
+    folded, counters = upgrades.verify_batch(items, probes)
+    out = {r.item: r for r in folded.collect()}
+    assert set(out) == {1, 3, 4, 5, 6} and out[1].sources == ["dom", "net"] and out[1].merged_duplicates == 1 and out[1].width == 150
+    assert (out[1].upgrade_checked, out[1].upgrade_verified, out[1].upgrade_url, out[1].upgrade_bytes, out[1].effective_url) == (True, True, f"{at}p.jpg", 5000, f"{at}p.jpg")
+    assert [(out[i].upgrade_checked, out[i].upgrade_verified, out[i].upgrade_url, out[i].upgrade_note, out[i].upgrade_bytes) for i in (3, 4, 6)] == [(True, False, "", "", None)] * 3
+    assert out[5].upgrade_url == "https://old/z.jpg" and out[5].effective_url == "https://old/z.jpg"
+    assert {tuple(r) for r in counters.select("tab_id", "checked", "upgraded", "collapsed").collect()} == {(1, 4, 2, 1), (2, 1, 0, 0)}
+    again, counters = upgrades.verify_batch(folded.drop("effective_url", "merged_duplicates"), probes)
+    assert again.count() == 5 and {r.checked for r in counters.collect()} == {0}
