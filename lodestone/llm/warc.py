@@ -36,6 +36,9 @@ HEAD_END = b"\r\n\r\n"
 BROADCAST_ROWS = 100_000
 #: Parts into which a digest's rows are dealt in the join beyond that.
 SALTS = 32
+BLOCK_BYTES = 8 << 20
+#: Tasks that search blocks for heads, or read records, at most.
+MAX_TASKS = 10_000
 RECORD = "archive string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
@@ -146,8 +149,10 @@ def heads(data: bytes) -> list[tuple[int, int, int]]:
         to, told, length = end, False, None
         while to > first:
             line = data.rfind(b"\r\n", first, to) + 2
+            if line < first + len(MAGIC):  # the magic line itself
+                break
             name, colon, value = data[line:to].partition(b":")
-            if line < first + len(MAGIC) or not colon:
+            if not colon:
                 break
             if not told and name.strip().lower() == b"content-length":
                 told, length = True, _length(value)
@@ -158,10 +163,17 @@ def heads(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(archives: DataFrame, folder: str, block_bytes: int = 8 << 20, head_bytes: int = 64 << 10) -> DataFrame:
+def tasks_for(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """Tasks that read archives: rows of blocks and spans are tiny and what they stand for is not, so the bytes of the archives
+    set their number, not those of the rows."""
+    return max(1, min(MAX_TASKS, archives.agg(F.sum(F.ceil(F.col("size") / block_bytes))).first()[0] or 1))
+
+
+def candidates(archives: DataFrame, folder: str, block_bytes: int = BLOCK_BYTES, head_bytes: int = 64 << 10) -> DataFrame:
     """archive, size, offset, successor for each place that parses as a record head and ends within its archive. A head that starts in a block and ends
     beyond what was read with it is read on by ``head_bytes`` at a time, doubled each time, until its end."""
     blocks = archives.select("archive", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(block_bytes))).alias("start"))
+    tasks = tasks_for(archives, block_bytes)
 
     def run(batches):
         fs, base = filesystem(folder)
@@ -183,7 +195,7 @@ def candidates(archives: DataFrame, folder: str, block_bytes: int = 8 << 20, hea
                     n = len(found)
                     yield pa.RecordBatch.from_arrays([pa.array([archive] * n), pa.array([size] * n), pa.array(here), pa.array(there)], names=["archive", "size", "offset", "successor"])
 
-    return blocks.repartition(F.col("archive"), F.col("start")).mapInArrow(run, "archive string, size long, offset long, successor long")
+    return blocks.repartition(tasks, F.col("archive"), F.col("start")).mapInArrow(run, "archive string, size long, offset long, successor long")
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -261,7 +273,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages, finds the records again and reads them."""
     folder = f"{shared_dir(pages.sparkSession)}/archives"
     archives = written(write_archives(with_referrals(pages), folder), "list")
-    records = read_records(chain(candidates(archives, folder)), folder)
+    spans = chain(candidates(archives, folder)).repartition(tasks_for(archives), F.col("archive"), F.floor(F.col("offset") / BLOCK_BYTES)).sortWithinPartitions("archive", "offset")
+    records = read_records(spans, folder)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
