@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 CANDIDATES = """
-SELECT p_partkey AS item_seq, p_partkey % 10 AS tab_id,
+SELECT p_partkey AS item_seq, CAST((p_partkey - p_partkey % 200) / 200 AS BIGINT) AS tab_id,
   concat('https://',
     CASE p_partkey % 4 WHEN 0 THEN 'cdn.shop-a.example.com' WHEN 1 THEN 'www.shop-a.example.com'
                        WHEN 2 THEN 'img.shop-b.example.co.uk' ELSE 'm.shop-c.example.net' END,
