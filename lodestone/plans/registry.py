@@ -683,6 +683,23 @@ def src10_dom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.candidates(pages).select("page_id", "seq", "url", "kind", "repeat_depth", "preview_url")
 
 
+@query(
+    "src15_drawings",
+    """SELECT page_id, concat('drawn-svg:', CAST(4 AS VARCHAR)) AS url, 'image/svg+xml' AS mime_type, CAST(page_id % 20 AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height, 'confirmed' AS status FROM pages WHERE page_id % 20 >= 8
+UNION ALL SELECT page_id, concat('drawn-canvas:', 7), 'image/png', CASE WHEN page_id % 3 = 0 THEN 300.0 ELSE CAST(page_id % 3 AS DOUBLE) END, 150.0, CASE WHEN page_id % 4 = 0 THEN 'unavailable' ELSE 'confirmed' END FROM pages""",
+)
+def src15_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a drawing and a canvas each, of sizes that follow from the page's number."""
+    pages = V.table(spark, sf_dir, "pages")
+    key = lambda n: (F.col("page_id") % n).cast("string")
+    figure = F.concat(
+        F.lit('<html><head></head><body><p></p><svg height="12px" width="'), key(20), F.lit('"><g><svg width="50" height="50"></svg></g></svg><canvas'),
+        F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit(' width="'), key(3), F.lit('"'))), F.lit('></canvas><canvas width="0"></canvas>'), F.col("html"),
+    )
+    tainted = pages.where("page_id % 4 = 0").select("page_id", F.lit(7).alias("element"))
+    return dom.drawings(pages.select("page_id", "url", figure.alias("html")), "drawn", tainted).select("page_id", "url", "mime_type", "width", "height", "status")
+
+
 @query(
     "p2_manifests",
     """SELECT concat('https://v.example.com/', n_nationkey, '/master.m3u8') AS manifest, CAST(0 AS INTEGER) AS pos, concat('https://v.example.com/', n_nationkey, '/high/', n_nationkey, '.m3u8') AS url, CAST(5000 AS BIGINT) AS kbps, '' AS resolution, false AS encrypted FROM nation

@@ -6,6 +6,7 @@ only a browser knows (decoded size, computed style, canvas pixels) are not in th
 
 from __future__ import annotations
 
+import itertools
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -191,3 +192,56 @@ def candidates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1")
     shown = F.when(F.col("shown").rlike("(?i)^https?:"), F.col("shown")).otherwise("")
     return rows.withColumns({"url": F.col("address"), "preview_url": shown, "source": F.lit("dom"), "status": F.lit("referenced"), "in_repeated_group": F.col("repeat_depth") >= 0, "bytes": F.lit(None).cast("double")}).drop("address", "shown", "preview", "checked", "n")
+
+
+MIN_SVG = 8
+#: What a canvas measures where it does not say.
+CANVAS = (300, 150)
+DRAWING = "struct<tag:string,element:int,width:double,height:double>"
+
+
+def drawings_of(html: str | None) -> list[tuple[str, int, float, float]]:
+    """(tag, number of the element, width, height) of outermost svgs of MIN_SVG pixels or more and of canvases that are not empty."""
+
+    def pixels(value: str | None, none: float) -> float:
+        head = "".join(itertools.takewhile(lambda c: c in "0123456789.", (value or "").strip()))
+        rest = (value or "").strip()[len(head) :]
+        return float(head) if head.replace(".", "", 1).isdigit() and rest in ("", "px") else none
+
+    out = []
+    for number, n in enumerate(Tree(html or "").root.walk()):
+        if n.tag == "canvas":
+            size = [float(int(pixels(n.attrs.get(k), d))) for k, d in zip(("width", "height"), CANVAS, strict=True)]
+        elif n.tag == "svg" and not any(p.tag == "svg" for p in n.parent.up()):
+            size = [pixels(n.attrs.get(k), 0.0) for k in ("width", "height")]
+        else:
+            continue
+        if min(size) >= (MIN_SVG if n.tag == "svg" else 1):
+            out.append((n.tag, number, *size))
+    return out
+
+
+def drawings(pages: DataFrame, scheme: str, tainted: DataFrame | None = None, html: str = "html", url: str = "url") -> DataFrame:
+    """page_id, page_url, seq, url, kind, mime_type, width, height, status, protected_reason, synthetic, source of the drawings
+    of pages (page_id, url, html): addresses are ``scheme``-svg and ``scheme``-canvas with the element's number. Sizes are the
+    declared ones. tainted (page_id, element): canvases that a browser could not read. No markup gives no rows."""
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("element", pa.int32()), ("width", pa.float64()), ("height", pa.float64())]))
+    key = dict(pages.dtypes)["page_id"]
+
+    def run(batches):
+        for b in batches:
+            found = [[dict(zip(("tag", "element", "width", "height"), x, strict=True)) for x in drawings_of(text)] for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], names=["page_id", "page_url", "found"])
+
+    rows = pages.select("page_id", url, html).mapInArrow(run, f"page_id {key}, page_url string, found array<{DRAWING}>")
+    rows = rows.select("page_id", "page_url", F.posexplode("found").alias("seq", "d")).select("page_id", "page_url", "seq", "d.*")
+    if tainted is None:
+        rows = rows.withColumn("locked", F.lit(False))
+    else:
+        marked = tainted.select("page_id", "element").distinct().withColumn("mark", F.lit(True))
+        rows = rows.join(marked, ["page_id", "element"], "left").withColumn("locked", F.coalesce("mark", F.lit(False)) & (F.col("tag") == "canvas"))
+    return rows.select(
+        "page_id", "page_url", "seq", F.concat(F.lit(f"{scheme}-"), "tag", F.lit(":"), F.col("element").cast("string")).alias("url"), F.lit("image").alias("kind"),
+        F.when(F.col("tag") == "svg", "image/svg+xml").otherwise("image/png").alias("mime_type"), "width", "height", F.when(F.col("locked"), "unavailable").otherwise("confirmed").alias("status"),
+        F.when(F.col("locked"), "Canvas is cross-origin tainted").otherwise("").alias("protected_reason"), F.col("tag").alias("synthetic"), F.lit("dom").alias("source"),
+    )

@@ -126,3 +126,11 @@ def test_har_query_reads_every_row(spark, tmp_path):
     rows = views.candidates(spark, str(tmp_path)).where("item_seq % 17 <> 0")
     accepted = rows.where((media.classify(F.col("url"), F.lit("")) != "") & (media.rejection_reason(F.col("url"), F.lit(0), F.lit(0), F.col("bytes")) == ""))
     assert got == {r.url for r in accepted.collect()} and len(got) > 3800
+
+
+def test_drawings(spark):
+    html = "<svg width='20' height='8px'><svg width='90' height='90'></svg></svg><svg width='7' height='90'></svg><svg width='50%' height='9'></svg><canvas></canvas><canvas width='12.7' height='3'></canvas><canvas width='0'></canvas>"
+    assert dom.drawings_of(html) == [("svg", 0, 20.0, 8.0), ("canvas", 4, 300.0, 150.0), ("canvas", 5, 12.0, 3.0)] and dom.drawings_of(None) == []
+    pages = spark.createDataFrame([(1, "https://a/", html, 9), (2, None, None, 9)], "page_id long, url string, html string, seq int")
+    out = dom.drawings(pages, "drawn", spark.createDataFrame([(1, 4), (1, 0)], "page_id long, element int")).orderBy("seq").collect()
+    assert [(r.url, r.status, r.protected_reason != "") for r in out] == [("drawn-svg:0", "confirmed", False), ("drawn-canvas:4", "unavailable", True), ("drawn-canvas:5", "confirmed", False)]
