@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +13,14 @@ from lodestone.functions import media as M
 from lodestone.functions import url as U
 from lodestone.functions.core import text
 from lodestone.sources.network import header
+from lodestone.storage import written
 
 _HEADERS = "array<struct<name:string,value:string>>"
-SCHEMA = (
-    "log struct<entries:array<struct<startedDateTime:string,pageref:string,request:struct<url:string,headers:" + _HEADERS + ">,"
-    "response:struct<status:int,bodySize:bigint,headers:" + _HEADERS + ",content:struct<mimeType:string,size:bigint,text:string,encoding:string>>>>>"
+_ENTRY = (
+    "struct<startedDateTime:string,pageref:string,request:struct<url:string,headers:" + _HEADERS + ">,"
+    "response:struct<status:int,bodySize:bigint,headers:" + _HEADERS + ",content:struct<mimeType:string,size:bigint,text:string,encoding:string>>>"
 )
+SCHEMA = f"log struct<entries:array<{_ENTRY}>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +37,11 @@ def errors(archives: DataFrame) -> DataFrame:
 
 def entries(archives: DataFrame) -> DataFrame:
     """A row per entry: pos, url, mime_type, bytes, status, timestamp (epoch ms, 0 if unknown), content."""
-    rows = archives.select("archive", F.posexplode(F.from_json("text", SCHEMA)["log"]["entries"]).alias("pos", "e"))
+    return _facts(archives.select("archive", F.posexplode(F.from_json("text", SCHEMA)["log"]["entries"]).alias("pos", "e")))
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    """The columns of entries() from (archive, pos, e)."""
     response, content = F.col("e.response"), F.col("e.response.content")
     length = header(response["headers"], "content-length").try_cast("double")
     size = F.coalesce(F.when(content["size"] > 0, content["size"].cast("double")), F.when(response["bodySize"] > 0, response["bodySize"].cast("double")), F.when(length > 0, length))
@@ -83,3 +92,65 @@ def with_bodies(rows: DataFrame, max_bytes: int = K.HAR_BODY_MAX, total: int = K
     kept = sizes.select("archive", F.explode(F.aggregate("all", zero, step)["kept"]).alias("pos"), F.lit(True).alias("har_body"))
     out = rows.join(kept, ["archive", "pos"], "left")
     return out.withColumns({"har_body": F.coalesce("har_body", F.lit(False)), "body": F.when(F.col("har_body"), F.col("body"))}).drop("content")
+
+
+# ---------------------------------------------------------------- archives of any size
+
+_MARK = '"startedDateTime"'
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+_PARTS = "archive string, block long, at long, rest string, whole array<string>, head string, key boolean"
+
+
+def cut(piece: str, first: bool) -> tuple[str, list[str], str]:
+    """Of the text between two marks: (what ends the object of the mark before it, whole objects of arrays after that, what
+    begins the object of the mark after it). Marks are strings themselves, so both ends of a piece lie outside of strings."""
+    at, rest, whole = 0, "", []
+    stack: list[tuple[str, int]] = [] if first else [("{", 0)]
+    ended = first
+    for m in _TOKEN.finditer(piece):
+        c = m[0]
+        if c in "{[":
+            stack.append((c, m.start()))
+        elif c in "}]" and stack:
+            _, begun = stack.pop()
+            if not stack and not ended:
+                rest, ended, at = piece[: m.end()], True, m.end()
+            elif ended and c == "}" and begun >= at and (stack[-1][0] == "[" if stack else not first):
+                whole = [x for x in whole if x[0] < begun] + [(begun, piece[begun : m.end()])]
+    open_object = next((begun for c, begun in reversed(stack) if c == "{"), len(piece))
+    return (rest if ended else piece), [x for _, x in whole], piece[open_object:] if ended else ""
+
+
+def entries_in_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of entries() for archives of any size. The reader splits them at the key that every entry begins its time with,
+    by byte ranges as it does with lines, so no task and no row holds an archive; a task finds where entries end in its
+    pieces, and only what stands before that key in an entry travels to the piece after it. An entry is an object with a
+    request or a response. Archives in which the key occurs as a value are read as a whole.
+    """
+    lines = spark.read.option("lineSep", _MARK).text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for archive, block, at, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = re.match(r"\s*:", value) is not None
+                # a first piece does not continue an object: it stands at the file's start, before any mark
+                made.append((archive, block, at, *cut(value, first=not key), key))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in _PARTS.split(", ")])
+
+    parts = written(lines.mapInArrow(run, _PARTS))
+    order = Window.partitionBy("archive").orderBy("block", "at")
+    thin = parts.select("archive", "block", "at", F.lag("head").over(order).alias("head"), F.row_number().over(order).alias("n"), "key")
+    odd = thin.where("n > 1 and not key").select("archive").distinct()
+    texts = parts.drop("head", "key").join(thin.select("archive", "block", "at", "head", "n"), ["archive", "block", "at"]).join(odd, "archive", "left_anti")
+    own = F.when(F.col("n") > 1, F.concat(F.coalesce("head", F.lit("{")), F.lit(_MARK), "rest"))
+    each = texts.select("archive", "n", F.posexplode(F.filter(F.concat(F.array(own), F.coalesce("whole", F.array().cast("array<string>"))), lambda x: x.isNotNull())).alias("k", "text"))
+    found = each.select("archive", "n", "k", F.from_json("text", _ENTRY).alias("e")).where("e.request is not null or e.response is not null")
+    place = F.row_number().over(Window.partitionBy("archive").orderBy("n", "k")) - 1
+    # only numbers are ordered per archive; the entries stay where they are
+    found = written(found)
+    placed = found.select("archive", "n", "k", place.alias("pos"))
+    rows = _facts(found.join(placed, ["archive", "n", "k"]).select("archive", "pos", "e"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("archive"), F.col("value").alias("text"))
+    return rows.unionByName(entries(whole.join(odd, "archive", "left_semi")))

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,34 @@ def test_drawings(spark):
     pages = spark.createDataFrame([(1, "https://a/", html, 9), (2, None, None, 9)], "page_id long, url string, html string, seq int")
     out = dom.drawings(pages, "drawn", spark.createDataFrame([(1, 4), (1, 0)], "page_id long, element int")).orderBy("seq").collect()
     assert [(r.url, r.status, r.protected_reason != "") for r in out] == [("drawn-svg:0", "confirmed", False), ("drawn-canvas:4", "unavailable", True), ("drawn-canvas:5", "confirmed", False)]
+
+
+def test_archives_in_parts(spark, tmp_path):
+    """Split every few hundred bytes, an archive gives the rows that it gives as a whole: keys before the time, entries without
+    one, pages, escapes, the key inside texts, and an archive in which the key is a value."""
+    rng = random.Random(1)
+
+    def entry(i):
+        body = {"text": 'say "startedDateTime" {[' + "x" * rng.randint(0, 200) + "\\\" }", "mimeType": "image/png", "size": i}
+        out = {"startedDateTime": f"2024-01-01T00:00:{i % 60:02}Z", "request": {"url": f"https://a.com/{i}.png?q={{[", "headers": []}, "response": {"status": 200, "bodySize": i, "content": body, "headers": [{"name": "Content-Length", "value": "5"}]}}
+        if i % 3 == 1:
+            out = {"_priority": {"a": [1, {"b": "}"}]}, "pageref": "p"} | out
+        if i % 7 == 5:
+            del out["startedDateTime"]
+        return out
+
+    pages = [{"startedDateTime": "2024-01-01T00:00:00Z", "id": "p", "pageTimings": {}}] * 3
+    logs = {"a": {"log": {"creator": {"name": "x"}, "pages": pages, "entries": [entry(i) for i in range(60)]}}, "b": {"log": {"entries": [entry(5), entry(1)], "pages": pages}}, "c": {"log": {"entries": [entry(2) | {"comment": "startedDateTime"}, entry(3)]}}, "d": {"log": {"entries": []}}}
+    for name, log in logs.items():
+        (tmp_path / f"{name}.har").write_text(json.dumps(log, indent=1 if name == "a" else None))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = har.entries_in_parts(spark, str(tmp_path)).collect()
+        n = spark.read.option("lineSep", '"startedDateTime"').text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = har.entries(spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("archive"), F.col("value").alias("text"))).collect()
+    key = lambda rows: sorted(map(repr, rows))
+    assert n > 8 and len(want) == 64 and key(got) == key(want)
+    assert har.cut(': 1, "a": {"b": 2}}, {"c": [{}]}, {"d": ', False) == (': 1, "a": {"b": 2}}', ['{"c": [{}]}'], '{"d": ')
