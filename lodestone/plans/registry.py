@@ -674,7 +674,12 @@ def src6_json_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.mine(V.candidates(spark, sf_dir).select("item_seq", F.lit("https://page.example.com/a/b").alias("url"), body.alias("body"))).select("item_seq", "pos", "found")
 
 
-@query("src10_dom_scan")
+@query(
+    "src10_dom_scan",
+    """WITH o AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin FROM pages)
+SELECT page_id, CAST(0 AS INTEGER) AS seq, concat(origin, '/t/2.jpg') AS url, 'image' AS kind, CAST(2 AS INTEGER) AS repeat_depth, '' AS preview_url FROM o
+UNION ALL SELECT page_id, 1, concat(origin, '/full/', page_id, '.jpg'), 'image', 2, concat(origin, '/t/2.jpg') FROM o UNION ALL SELECT page_id, 2, concat(origin, '/t/3.png'), 'image', 1, '' FROM o""",
+)
 def src10_dom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with a figure each put into their body."""
     figure = F.concat(F.lit('<ul><li class="tile"><a href="/full/'), F.col("page_id").cast("string"), F.lit('.jpg"><img src="/t/1.jpg" srcset="/t/1.jpg 1x, /t/2.jpg 2x"></a></li><li class="tile"><img src="/t/3.png"></li><li class="tile"></li></ul><body'))
