@@ -138,25 +138,30 @@ def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
 
 
 def select_similar(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
-    """tab_id, item, seq, score of the items at least as similar to any seed of their tab; a seed itself scores 1."""
+    """tab_id, item, seq, score of the items at least as similar to any seed of their tab, best first; a seed itself scores 1."""
+    return similar_to(seeds, items, threshold).orderBy(F.desc("score"), "seq")
+
+
+def similar_to(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """The rows of select_similar() in no order."""
     own = seeds.select("tab_id", "item", F.lit(1.0).alias("best"))
     by_seed = items.alias("i").join(seeds.select("tab_id", F.col("f").alias("seed")).alias("s"), "tab_id")
     scored = by_seed.select("tab_id", "item", "seq", T.score(F.col("seed"), F.col("i.f")).alias("score")).groupBy("tab_id", "item", "seq").agg(F.max("score").alias("score"))
     out = scored.join(own, ["tab_id", "item"], "left").withColumn("score", F.coalesce("best", "score")).drop("best")
-    return out.where(F.col("score") >= threshold).orderBy(F.desc("score"), "seq")
+    return out.where(F.col("score") >= threshold)
 
 
 def proposal(picked: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD, refused: bool = False) -> DataFrame:
     """What a selection of two or more in a tab suggests beyond itself; nothing after a refusal."""
     several = picked.groupBy("tab_id").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & F.lit(not refused)).select("tab_id")
-    found = select_similar(picked.join(several, "tab_id", "left_semi"), items, threshold)
+    found = similar_to(picked.join(several, "tab_id", "left_semi"), items, threshold)
     return found.join(picked.select("tab_id", "item"), ["tab_id", "item"], "left_anti")
 
 
 def find_similar(items: DataFrame, elements: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     """Items similar to those of the given elements (tab_id, element_id), without these."""
     seeds = items.join(elements.select("tab_id", "element_id").distinct(), ["tab_id", "element_id"], "left_semi")
-    return select_similar(seeds, items, threshold).join(seeds.select("tab_id", "item"), ["tab_id", "item"], "left_anti")
+    return similar_to(seeds, items, threshold).join(seeds.select("tab_id", "item"), ["tab_id", "item"], "left_anti")
 
 
 def seeds_for(items: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,7 +177,7 @@ def seeds_for(items: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def grown(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     """The selection with all that is similar to any of it: one step outwards. Its fixed point is the seeds' clusters."""
-    picked = select_similar(seeds, items, threshold).select("tab_id", "item")
+    picked = similar_to(seeds, items, threshold).select("tab_id", "item")
     return items.join(picked, ["tab_id", "item"], "left_semi")
 
 
