@@ -1,7 +1,8 @@
 """Similarity selection, pair scoring with lossless blocking, clusters and group summaries.
 
 Items are rows with ``tab_id``, an ``item`` key, ``seq`` (input order) and ``f`` (functions.terms.features). Nothing is
-compared across tabs. Blocking follows from the weights: without a common bare host a pair scores at most 0.7425, without a
+compared across tabs. Items that no term tells apart are one class, so copies are never paired one by one. Blocking follows
+from the weights: unless bare host, directory and extension agree a pair scores at most 0.79, without a common bare host 0.7425, without a
 common domain at most 0.6725, so above these thresholds an equi-join finds all links; for the range below, the third kind of
 pair must agree in type and in the first two nodes from the root. Down to LOOSEST, pairs of different domains must share
 either tokens (where a path is missing: an inverted index with length and prefix filters) or a prefix of their paths from the
@@ -34,7 +35,7 @@ def with_features(items: DataFrame, **columns: str) -> DataFrame:
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-    return a.join(b, (F.col("l.tab_id") == F.col("r.tab_id")) & (F.col("l.seq") < F.col("r.seq")) & on)
+    return a.join(b.hint("merge"), (F.col("l.tab_id") == F.col("r.tab_id")) & (F.col("l.seq") < F.col("r.seq")) & on)
 
 
 #: What pairs of different domains score at most: without a term for URLs beyond 0.35 of its weight, and none for hosts.
@@ -60,22 +61,22 @@ def _by_tokens(items: DataFrame, threshold: float) -> DataFrame:
     able = items.where((F.col("f.width") > 0) & (F.col("f.height") > 0) & (F.col("f.top") != "") & (F.col("f.pattern.host") != ""))
     tokens = able.select("tab_id", "seq", F.explode(F.array_distinct("f.pattern.tokens")).alias("token"))
     often = tokens.groupBy("tab_id", "token").agg(F.count("*").alias("n"))
-    ordered = tokens.join(often, ["tab_id", "token"]).groupBy("tab_id", "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
+    ordered = tokens.join(often.hint("merge"), ["tab_id", "token"]).groupBy("tab_id", "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tokens"))
     sizes = ordered.groupBy("tab_id").agg(F.collect_set(F.size("tokens")).alias("sizes"))  # of one tab: as many as tokens a URL has
     n = F.size("tokens")
-    sized = ordered.join(sizes, "tab_id").select("tab_id", "seq", "tokens", n.alias("n"), F.explode("sizes").alias("m")).where(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    sized = ordered.join(sizes.hint("merge"), "tab_id").select("tab_id", "seq", "tokens", n.alias("n"), F.explode("sizes").alias("m")).where(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
     share = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9)).cast("int")
     prefix = sized.select("tab_id", "seq", "n", "m", F.slice("tokens", F.lit(1), F.greatest(F.col("n") - share + 1, F.lit(0))).alias("prefix"))
     keyed = prefix.select("*", F.explode("prefix").alias("token"))
     whole = able.select("tab_id", "seq", F.struct(*able.columns).alias("row"))
-    rows = keyed.join(whole, ["tab_id", "seq"])
+    rows = keyed.join(whole.hint("merge"), ["tab_id", "seq"])
     own = F.struct(F.col("row.f.top").alias("top"), F.least("n", "m").alias("low"), F.greatest("n", "m").alias("high")).alias("key")
     rows = rows.select("tab_id", "seq", "n", "m", "prefix", "token", own, "row")
     x, y = rows.alias("x"), rows.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("tab_id", "token", "key")]
     meet = (F.col("x.seq") < F.col("y.seq")) & (F.col("x.n") == F.col("y.m")) & (F.col("y.n") == F.col("x.m"))
     once = F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.token")
-    found = x.join(y, same[0] & same[1] & same[2] & meet & once).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
+    found = x.join(y.hint("merge"), same[0] & same[1] & same[2] & meet & once).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
     return found.where((F.size("l.f.root") == 0) | (F.size("r.f.root") == 0))
 
 
@@ -92,7 +93,7 @@ def _by_paths(items: DataFrame, threshold: float) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("tab_id", "start", "longest")]
     meet = (F.col("x.seq") < F.col("y.seq")) & (F.greatest(F.size("x.row.f.root"), F.size("y.row.f.root")) == F.col("x.longest"))
-    return x.join(y, same[0] & same[1] & same[2] & meet).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
+    return x.join(y.hint("merge"), same[0] & same[1] & same[2] & meet).select(F.col("x.row").alias("l"), F.col("y.row").alias("r"))
 
 
 #: Paths of items have at most this many nodes (index.sanitise); of longer ones the pairs are found without a prefix.
@@ -105,6 +106,9 @@ def candidates(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     sides = lambda joined: joined.select(F.struct(*(F.col(f"l.{c}").alias(c) for c in items.columns)).alias("l"), F.struct(*(F.col(f"r.{c}").alias(c) for c in items.columns)).alias("r"))
     bare = (F.col("l.f.pattern.bare") == F.col("r.f.pattern.bare")) & (F.col("l.f.pattern.bare") != "")
     domain = (T._domain(F.col("l.f.pattern")) == T._domain(F.col("r.f.pattern"))) & (F.col("l.f.pattern.host") != "") & (F.col("r.f.pattern.host") != "")
+    if threshold > 0.79:
+        shape = (F.col("l.f.pattern.dir") == F.col("r.f.pattern.dir")) & (F.col("l.f.pattern.ext") == F.col("r.f.pattern.ext"))
+        return sides(_pairs(a, b, bare & shape))
     if threshold > 0.7425:
         return sides(_pairs(a, b, bare))
     if threshold > 0.6725:
@@ -127,14 +131,60 @@ def candidates(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     return found.unionAll(apart(_by_paths(shallow, threshold))).unionAll(apart(one))
 
 
-def pairs(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
-    """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b."""
+def pairs(items: DataFrame, threshold: float = K.THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b; of both the
+    columns to carry, as a_<name> and b_<name>."""
+    more = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in carry for side, name in (("l", "a"), ("r", "b"))]
     scored = candidates(items, threshold).select(
-        F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"),
+        F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"), *more,
         T.at_most(F.col("l.f"), F.col("r.f")).alias("most"), T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
     )
     # both move into the join's condition, in this order: the score is only computed for pairs that can reach the threshold
-    return scored.where((F.col("most") >= threshold - 1e-9) & (F.col("t.total") >= threshold)).select("tab_id", "a", "b", "a_seq", "b_seq", "t.*")
+    return scored.where((F.col("most") >= threshold - 1e-9) & (F.col("t.total") >= threshold)).select("tab_id", "a", "b", "a_seq", "b_seq", *(f"{name}_{c}" for c in carry for name in "ab"), "t.*")
+
+
+def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tab_id, seq = item, the least of the members, n, f of each class; tab_id, item, seq, class of each item). A class is the
+    items of a tab that no term tells apart: all that the terms read of them is equal."""
+    pattern = F.struct(*(F.col(f"f.pattern.{c}").alias(c) for c in ("host", "bare", "domain", "dir", "ext", "pattern")), F.array_sort(F.array_distinct("f.pattern.tokens")).alias("tokens"))
+    read = F.struct(pattern.alias("pattern"), *(F.col(f"f.{c}").alias(c) for c in ("root", "key", "width", "height", "subtype", "top", "typed")))
+    rows = items.select("tab_id", "item", "seq", read.alias("f")).withColumn("print", F.sha2(F.to_json("f", {"ignoreNullFields": "false"}), 256))
+    rows = written(rows)
+    found = written(rows.groupBy("tab_id", "print").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.first("f").alias("f")))
+    members = rows.select("tab_id", "item", "seq", "print").join(found.select("tab_id", "print", F.col("seq").alias("class")).hint("merge"), ["tab_id", "print"])
+    return found.select("tab_id", "seq", F.col("seq").alias("item"), "n", "f"), members.drop("print")
+
+
+def class_links(found: DataFrame, threshold: float) -> DataFrame:
+    """tab_id, a_seq, b_seq, n, total of any two classes whose items reach the threshold, and of a class with itself where two of
+    its own do; n is the number of pairs of items."""
+    apart = pairs(found, threshold, carry=("n",)).select("tab_id", "a_seq", "b_seq", (F.col("a_n") * F.col("b_n")).alias("n"), "total")
+    own = found.where("n > 1").select("tab_id", F.col("seq").alias("a_seq"), F.col("seq").alias("b_seq"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), T.score(F.col("f"), F.col("f")).alias("total"))
+    return apart.unionAll(own.where(F.col("total") >= threshold))
+
+
+def pair_totals(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """Per tab the number of pairs() and the sum of their totals; none of the pairs is made that a class stands for."""
+    links = class_links(classes(items)[0], threshold)
+    return links.groupBy("tab_id").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("total")).alias("total"))
+
+
+def pairs_by_class(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
+    """tab_id, a, b, a_seq, b_seq, total of pairs(): each two classes are scored once and then written out."""
+    found, members = classes(items)
+    side = lambda x: members.select("tab_id", F.col("class").alias(f"{x}_seq"), F.struct("seq", "item").alias(x)).hint("merge")
+    both = class_links(found, threshold).join(side("a"), ["tab_id", "a_seq"]).join(side("b"), ["tab_id", "b_seq"]).where((F.col("a_seq") != F.col("b_seq")) | (F.col("a.seq") < F.col("b.seq")))
+    turned = both.select("tab_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
+    return turned.select("tab_id", F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.seq").alias("a_seq"), F.col("b.seq").alias("b_seq"), "total")
+
+
+def class_roots(members: DataFrame, labels: DataFrame, links: DataFrame, keys: tuple[str, ...] = ("tab_id",)) -> DataFrame:
+    """keys, item, seq, root of each member, given the ``labels`` (keys, seq, root) of classes: a linked class is in one cluster
+    with all its members; those of a class without links, not even its own, are alone."""
+    linked = links.select(*keys, F.explode(F.array("a_seq", "b_seq")).alias("seq")).distinct().withColumn("linked", F.lit(True))
+    known = labels.select(*keys, "seq", "root").join(linked.hint("merge"), [*keys, "seq"], "left").withColumnRenamed("seq", "class")
+    out = members.join(known.hint("merge"), ["tab_id", "class"])
+    return out.select(*keys, "item", "seq", F.when(F.col("linked"), F.col("root")).otherwise(F.col("seq")).alias("root"))
 
 
 def select_similar(seeds: DataFrame, items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
@@ -192,13 +242,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     edges = written(links.select("tab_id", F.col("a_seq").alias("x"), F.col("b_seq").alias("y")).unionAll(links.select("tab_id", F.col("b_seq").alias("x"), F.col("a_seq").alias("y"))).distinct())
     label = written(nodes.select("tab_id", "seq", F.col("seq").alias("root")))
     while True:
-        near = edges.join(label.withColumnRenamed("seq", "y"), ["tab_id", "y"]).groupBy("tab_id", F.col("x").alias("seq")).agg(F.min("root").alias("near"))
-        hooked = label.join(near, ["tab_id", "seq"], "left").select("tab_id", "seq", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
+        near = edges.join(label.withColumnRenamed("seq", "y").hint("merge"), ["tab_id", "y"]).groupBy("tab_id", F.col("x").alias("seq")).agg(F.min("root").alias("near"))
+        hooked = label.join(near.hint("merge"), ["tab_id", "seq"], "left").select("tab_id", "seq", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = hooked.select("tab_id", F.col("seq").alias("next"), F.col("next").alias("far"))
-        moved = written(hooked.join(jump, ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")))
+        moved = written(hooked.join(jump.hint("merge"), ["tab_id", "next"]).select("tab_id", "seq", F.least("next", "far").alias("root"), F.col("root").alias("was")))
         label = moved.drop("was")
         if not moved.where("root <> was").take(1):
-            return nodes.join(label, ["tab_id", "seq"])
+            return nodes.join(label.hint("merge"), ["tab_id", "seq"])
 
 
 def spanning_forest(links: DataFrame) -> DataFrame:
@@ -216,14 +266,14 @@ def spanning_forest(links: DataFrame) -> DataFrame:
         taken.append(best.select("tab_id", "w").distinct())
         back = best.select("tab_id", F.col("x").alias("y"), F.col("y").alias("back"))
         mutual = (F.col("back") == F.col("x")) & (F.col("x") < F.col("y"))
-        up = written(best.select("tab_id", "x", "y").join(back, ["tab_id", "y"], "left").select("tab_id", "x", F.when(mutual, F.col("x")).otherwise(F.col("y")).alias("p")))
+        up = written(best.select("tab_id", "x", "y").join(back.hint("merge"), ["tab_id", "y"], "left").select("tab_id", "x", F.when(mutual, F.col("x")).otherwise(F.col("y")).alias("p")))
         moving = True
         while moving:  # until every component of the round points at its root
             further = up.select("tab_id", F.col("x").alias("p"), F.col("p").alias("pp"))
-            moved = written(up.join(further, ["tab_id", "p"]).select("tab_id", "x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            moved = written(up.join(further.hint("merge"), ["tab_id", "p"]).select("tab_id", "x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
             up, moving = moved.drop("moved"), bool(moved.where("moved").take(1))
         root = lambda c: up.select("tab_id", F.col("x").alias(c), F.col("p").alias(f"p{c}"))
-        joined = edges.join(root("x"), ["tab_id", "x"]).join(root("y"), ["tab_id", "y"]).where("px <> py")
+        joined = edges.join(root("x").hint("merge"), ["tab_id", "x"]).join(root("y").hint("merge"), ["tab_id", "y"]).where("px <> py")
         edges = written(best_of(joined.select("tab_id", F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y"), "w")))
     rows = links.select("tab_id", weight).limit(0)
     for more in taken:
@@ -245,9 +295,12 @@ def cluster(items: DataFrame, threshold: float = K.THRESHOLD, limit: int | None
     """items with cluster_id (rank of the cluster in its tab: larger first, ties by first member) and cluster_size. Of a tab's
     items the first ``limit`` are clustered; the rest form one cluster of id -1 (unclustered)."""
     order = Window.partitionBy("tab_id").orderBy("seq")
-    placed = items.withColumn("place", F.row_number().over(order))
+    placed = items.withColumn("place", F.row_number().over(order) if limit else F.lit(0))
     shown = placed.where(F.col("place") <= limit) if limit else placed
-    rooted = components(shown, pairs(shown, threshold))
+    found, members = classes(shown)
+    links = written(class_links(found, threshold))
+    roots = class_roots(members, components(found.select("tab_id", "seq"), links), links)
+    rooted = shown.join(written(roots.select("tab_id", "seq", "root")).hint("merge"), ["tab_id", "seq"])
     sizes = rooted.groupBy("tab_id", "root").agg(F.count("*").alias("cluster_size"))
     rank = Window.partitionBy("tab_id").orderBy(F.desc("cluster_size"), "root")
     ranked = sizes.withColumn("cluster_id", F.row_number().over(rank) - 1)
