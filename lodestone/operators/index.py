@@ -81,7 +81,8 @@ def prepared(sightings: DataFrame) -> DataFrame:
     """kind, rejection reason and key of each sighting; the others keep their columns.
 
     An item is seen many times with the same facts, and addresses cost most to read: the three are made once per different
-    (url, mime_type, kind, size) and joined back. They come out of a generator, so that a filter on them stays above it.
+    (url, mime_type, kind, size) and joined back, and so are the facts themselves, which a sighting need not carry to the join.
+    They come out of a generator, so that a filter on them stays above it.
     """
     facts = ["url", "mime_type", "kind", "width", "height", "bytes"]
 
@@ -91,10 +92,12 @@ def prepared(sightings: DataFrame) -> DataFrame:
         return F.struct(kind.alias("kind"), reason.alias("rejection"), U.normalize_url(x["url"]).alias("normalized_url"))
 
     # nulls are facts too, so the join is on values that are never null
-    print_ = F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256).alias("_facts")
+    print_ = F.unhex(F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256)).alias("_facts")
     seen = sightings.select("*", print_)
-    known = seen.groupBy("_facts").agg(F.first(F.struct(*facts)).alias("x")).select("_facts", F.inline(F.array(let(F.col("x"), found))))
-    return seen.drop("kind").join(known, "_facts").drop("_facts")
+    kept = [c for c in facts if c != "kind"]
+    known = seen.groupBy("_facts").agg(F.first(F.struct(*facts)).alias("x")).select("_facts", *(F.col(f"x.{c}").alias(c) for c in kept), F.inline(F.array(let(F.col("x"), found))))
+    joined = seen.drop(*facts).join(known, "_facts")
+    return joined.select(*(c for c in sightings.columns if c != "kind"), "kind", "rejection", "normalized_url")
 
 
 def accepted(rows: DataFrame) -> DataFrame:
