@@ -36,7 +36,7 @@ def to_blocks(docs: DataFrame, block_bytes: int = 12 << 20, text_col: str = "tex
 
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/blocks"
-    docs.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
