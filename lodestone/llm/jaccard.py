@@ -14,8 +14,8 @@ nothing as long as a set can do without it. A pair of which one set has fewer co
 shares a key that is not common, and is found there. What is left are saturated sets, made of common segments throughout:
 in practice the members of large groups of near copies. A saturated set keeps its rarest common keys, as many as a linked
 pair can avoid and one more (prefixes in one order over all sets). Each kept key pairs its members with its hub, the
-member with the largest share of common segments; links make components; then a kept key pairs the members that are still in
-different components. So components are whole, and every link of which one set is not saturated is found as a pair. Links
+member with the largest share of common segments; links make components. Components with a kept key in common are a field:
+no two saturated sets of different fields link. So every link of which one set is not saturated is found as a pair. Links
 between two saturated sets are counted in tiles: the saturated sets of a component are cut into blocks, and a task compares two.
 
 Equal sets are one from the start: a block of documents sends a set once, and equal sets of different blocks are one class.
@@ -396,20 +396,39 @@ def common(x_sizes: np.ndarray, x: np.ndarray, y_sizes: np.ndarray, y: np.ndarra
     return out
 
 
+def _rooted(nodes: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of those that links between places x and y join across labels."""
+    ends, place = np.unique(label, return_inverse=True)
+    root = np.arange(len(ends))
+    apart = place[x] != place[y]
+    u, v = place[x][apart], place[y][apart]
+    while (root[u] != root[v]).any():
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ends)))
+    return ends[moved], ends[root[moved]]
+
+
+_TILED = "class long, n long, a long, b long"
+
+
 def _tile(table: pa.Table, t: Fraction) -> pa.Table:
-    """class, n: links of each set with sets of the other block of its tile (label, i, j), or with others of its own if i = j."""
+    """class, n: links of each set with sets of the other block of its tile (field, i, j), or with others of its own if i = j.
+    a, b: labels that such links join, as a forest."""
     num, den = t.numerator, t.denominator
-    label, i, j, block, node = (table.column(c).to_numpy() for c in ("label", "i", "j", "block", "class"))
-    order = np.lexsort((node, block, j, i, label))
+    field, i, j, block, node, label = (table.column(c).to_numpy() for c in ("field", "i", "j", "block", "class", "label"))
+    order = np.lexsort((node, block, j, i, field))
     if len(order):  # a class may come more than once
-        same = functools.reduce(lambda p, q: p & q, (c[order][1:] == c[order][:-1] for c in (label, i, j, node)))
+        same = functools.reduce(lambda p, q: p & q, (c[order][1:] == c[order][:-1] for c in (field, i, j, node)))
         order = order[np.append(True, ~same)]
-    label, i, j, block, node = label[order], i[order], j[order], block[order], node[order]
+    field, i, j, block, node, label = field[order], i[order], j[order], block[order], node[order], label[order]
     blobs = table.column("set").combine_chunks().take(pa.array(order)) if len(order) else table.column("set")
-    new = np.append(True, (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    new = np.append(True, (field[1:] != field[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
     starts = np.flatnonzero(new)
-    nodes, counts = [], []
-    for a, z in zip(starts.tolist(), np.append(starts[1:], len(label)).tolist()):
+    nodes, counts, joined = [], [], []
+    for a, z in zip(starts.tolist(), np.append(starts[1:], len(field)).tolist()):
         sets = [unpack_sorted(s) for s in blobs[a:z].to_pylist()]
         middle = int(np.searchsorted(block[a:z], i[a], "right")) if i[a] != j[a] else z - a
         sides = [(np.array([len(s) for s in part], np.int64), np.concatenate([np.zeros(0, np.uint64), *part])) for part in (sets[:middle], sets[middle:])]
@@ -424,22 +443,38 @@ def _tile(table: pa.Table, t: Fraction) -> pa.Table:
             counts.append(linked.sum(axis=1))
         else:
             counts.append(np.append(linked.sum(axis=1), linked.sum(axis=0)))
-    return pa.table({"class": np.concatenate([np.zeros(0, np.int64), *nodes]), "n": np.concatenate([np.zeros(0, np.int64), *counts])})
-
-
-def _tiled(labels: DataFrame, saturated: DataFrame, classes: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
-    """class, n: links of saturated sets with other saturated ones, all of which are in their component."""
-    members = labels.withColumnRenamed("node", "class").join(saturated, "class", "left_semi").join(classes.select("class", F.col("n").alias("weight")), "class")
-    sized = members.groupBy("label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight")).where("size > 1")
+        x, y = np.nonzero(linked)
+        joined.append(_rooted(node[a:z], label[a:z], x, y if i[a] == j[a] else y + middle))
+    none = np.zeros(0, np.int64)
+    links = [np.concatenate([none, *(p[side] for p in joined)]) for side in (0, 1)]
+    rows, more = np.concatenate([none, *nodes]), len(links[0])
+    names = [x.split(" ")[0] for x in _TILED.split(", ")]
+    columns = (rows, np.concatenate([none, *counts]), *links)
+    return pa.table([pa.concat_arrays([pa.nulls(0 if c < 2 else len(rows), pa.int64()), pa.array(x, pa.int64()), pa.nulls(more if c < 2 else 0, pa.int64())]) for c, x in enumerate(columns)], names=names)
+
+
+def _fields(apart: DataFrame) -> DataFrame:
+    """label, field: labels that common keys hold together. ``apart``: kept common keys (key, class, label)."""
+    kept = apart.select("key", "label").distinct()
+    ends = kept.groupBy("key").agg(F.min("label").alias("least"), F.count("*").alias("labels")).where("labels > 1")
+    return components(kept.join(ends, "key").select(F.col("label").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("field"))
+
+
+def _tiled(apart: DataFrame, classes: DataFrame, blobs: DataFrame, t: Fraction) -> DataFrame:
+    """class, n: links of saturated sets with other saturated ones; a, b: labels that these links join. Two saturated sets
+    that link have a label or a kept key in common, so both are in one field."""
+    found = apart.select("class", "label").distinct().join(_fields(apart), "label", "left").withColumn("field", F.coalesce("field", "label"))
+    members = found.join(classes.select("class", F.col("n").alias("weight")), "class")
+    sized = members.groupBy("field").agg(F.count("*").alias("size"), F.sum("weight").alias("weight")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
-    members = written(members.join(sized.select("label", blocks.alias("blocks")), "label"), "members")
+    members = written(members.join(sized.select("field", blocks.alias("blocks")), "field"), "members")
     bundles = max(MIN_RANGES, (members.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES)
-    rows = members.select("label", "class", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block")).join(blobs, "class")
+    rows = members.select("field", "label", "class", "blocks", F.pmod(F.xxhash64("class"), "blocks").alias("block")).join(blobs, "class")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "set", "blocks")
-    # small components share a group
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bundles))).otherwise(F.xxhash64("label", "i", "j"))
-    return rows.withColumn("tile", tile).drop("blocks").groupBy("tile").applyInArrow(lambda table: _tile(table, t), "class long, n long")
+    rows = rows.select("field", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "label", "set", "blocks")
+    # small fields share a group
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("field"), F.lit(bundles))).otherwise(F.xxhash64("field", "i", "j"))
+    return written(rows.withColumn("tile", tile).drop("blocks").groupBy("tile").applyInArrow(lambda table: _tile(table, t), _TILED), "tiled")
 
 
 def _common_keys(met: DataFrame, same: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -458,11 +493,11 @@ def _common_keys(met: DataFrame, same: DataFrame, classes: DataFrame) -> tuple[D
     return many.where(F.col("sets") <= SMALL).select("key", "class", "up"), written(kept, "common")
 
 
-def _meetings(rows: DataFrame, classes: DataFrame, t: Fraction, *differing: str) -> DataFrame:
-    """Pairs (a, b) of classes that share a key, may link, and differ in the given columns."""
+def _meetings(rows: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (a, b) of classes that share a key and may link."""
     rows = rows.join(classes.select("class", "n", *_SKETCH), "class")
-    x, y = (rows.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("class", "up", "n", *_SKETCH, *differing))) for p in "xy")
-    apart = functools.reduce(lambda p, q: p & q, (F.col(f"x_{c}") != F.col(f"y_{c}") for c in differing), F.col("x_class") < F.col("y_class"))
+    x, y = (rows.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("class", "up", "n", *_SKETCH))) for p in "xy")
+    apart = F.col("x_class") < F.col("y_class")
     both = x.join(y, (x.key == y.key) & apart & (F.col("x_up") + F.col("y_up") < 2) & _possible(t, "x", "y"))
     return both.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
 
@@ -495,19 +530,16 @@ def similar(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_i
     blobs = _blobs(first.select(F.explode(F.array("a", "b")).alias("class")).unionByName(saturated), classes, docs, k)
     links = _links(first, blobs, t)
     labels = components(links)
-    # common keys once more: pairs of what is not yet connected
-    apart = common_.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    second = _meetings(apart.join(mixed, "key", "left_semi"), classes, t, "label").distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "second")
-    more = _links(second, blobs, t)
+    # saturated sets once more, whether or not they are connected yet
+    apart = common_.select("key", "class").distinct().join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    tiled = _tiled(written(apart, "apart"), classes, blobs, t)
+    more = tiled.where("a is not null").select("a", "b")
     if more.take(1):
-        links = written(links.unionByName(more), "links")
-        labels = components(links)
+        labels = components(links.unionByName(more))
     marked = saturated.withColumn("yes", F.lit(True))
     found = links.join(marked.select(F.col("class").alias("a"), F.col("yes").alias("a_yes")), "a", "left").join(marked.select(F.col("class").alias("b"), F.col("yes").alias("b_yes")), "b", "left")
     found = found.where("a_yes is null or b_yes is null").select(F.explode(F.array("a", "b")).alias("class"), F.lit(1).cast("long").alias("n"))
-    degree = found.unionByName(_tiled(labels, saturated, classes, blobs, t)).groupBy("class").agg(F.sum("n").alias("n_links"))
+    degree = found.unionByName(tiled.where("class is not null").select("class", "n")).groupBy("class").agg(F.sum("n").alias("n_links"))
     of_class = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = of_class.drop("doc_id").join(least, "label").join(degree, "class", "left")

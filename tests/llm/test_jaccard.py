@@ -154,6 +154,31 @@ def test_common_passages(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_links) for r in jaccard.similar(docs).collect()) == links(rows)
 
 
+def test_saturated_sets_are_not_paired_by_rows(spark, monkeypatch):
+    """Heavily edited copies of one passage: none is linked by its hub, and their pairs are compared in tiles, not written as rows."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    seen, verify = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, *more: seen.append(pairs.count()) or verify(pairs, *more))
+    rng = random.Random(6)
+    counts = {}
+    for n in (60, 180):
+        seen.clear()
+        passage = [f"p{i}" for i in range(90)]
+        texts = [" ".join(passage + [f"o{rng.randint(0, 10**6)}" for _ in range(rng.choice([16, 24, 40]))]) for _ in range(n)]
+        rows = list(enumerate([*texts, *(" ".join(x.split()[:-1]) for x in texts[:20])]))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = jaccard.similar(docs).collect()
+        assert sorted((r.doc_id, r.n_links) for r in out) == links(rows)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+        counts[n] = sum(seen)
+    assert counts[180] < 4 * counts[60]
+
+
+def test_links_join_labels():
+    label = np.array([7, 7, 3, 9, 20])
+    assert [x.tolist() for x in jaccard._rooted(label, label, np.array([0, 2, 0]), np.array([2, 3, 1]))] == [[7, 9], [3, 3]]
+
+
 def test_representatives_are_rows(spark, monkeypatch):
     """Ids that repeat or are null: rows are chosen, not ids. Other columns stay, whatever their names."""
     base = " ".join(f"w{i}" for i in range(60))
