@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from lodestone.functions import media as M
 from lodestone.functions.paths import best_of_srcset
 from lodestone.operators.index import absolute
+from lodestone.sources.pieces import pieces
 
 MAX_ELEMENTS, PATH_DEPTH, REPEAT_LEVELS, REPEAT_SIBLINGS, MAX_COUNTS, MAX_CLASSES = 6000, 16, 6, 3, 64, 12
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -179,7 +180,7 @@ def candidates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
     )
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = [[r | {"class_counts": list(r["class_counts"].items())} for r in scan(x)] for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], names=schema.names)
 
@@ -229,7 +230,7 @@ def drawings(pages: DataFrame, scheme: str, tainted: DataFrame | None = None, ht
     key = dict(pages.dtypes)["page_id"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = [[dict(zip(("tag", "element", "width", "height"), x, strict=True)) for x in drawings_of(text)] for text in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], names=["page_id", "page_url", "found"])
 

@@ -21,6 +21,7 @@ from lodestone import constants as K
 from lodestone.functions import url as U
 from lodestone.functions.core import half_up, number, text
 from lodestone.functions.paths import format_bytes
+from lodestone.sources.pieces import pieces
 
 _VARIANT = "struct<id:string,bandwidth:double,resolution:string,codecs:string,frame_rate:double,group:string,mime_type:string,lang:string,url:string>"
 _TRACK = "struct<type:string,name:string,language:string,group:string,url:string,is_default:boolean>"
@@ -214,7 +215,7 @@ def parsed(manifests: DataFrame) -> DataFrame:
     kept = f"url string, mime_type string, stream {STREAM}"
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [dash_description(body, u or "") for u, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _PA_STREAM)], names=["url", "mime_type", "stream"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import url as U
+from lodestone.sources.pieces import pieces
 
 
 def strings(document: str | None) -> list[str]:
@@ -43,7 +44,7 @@ def mine(payloads: DataFrame, body: str = "body", base: str = "url") -> DataFram
     schema = T.StructType([*(payloads.schema[c] for c in others), T.StructField("strings", T.ArrayType(T.StringType()))])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = [strings(x) for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.string()))], names=schema.names)
 

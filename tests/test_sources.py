@@ -1,11 +1,13 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import media
 from lodestone.plans import registry, views
 from lodestone.sources import dom, har, manifests, network, payloads, rules
+from lodestone.sources.pieces import pieces
 from lodestone.streaming import tabs
 
 
@@ -166,3 +168,14 @@ def test_archives_in_parts(spark, tmp_path):
     key = lambda rows: sorted(map(repr, rows))
     assert n > 8 and len(want) == 64 and key(got) == key(want)
     assert har.cut(': 1, "a": {"b": 2}}, {"c": [{}]}, {"d": ', False) == (': 1, "a": {"b": 2}}', ['{"c": [{}]}'], '{"d": ')
+
+
+def test_batches_come_in_pieces(spark):
+    """Python holds the objects of a piece of a batch at a time, never of all its pages."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(50)), "html": ["x" * 100] * 49 + ["y" * 5000]})
+    cut = list(pieces([batch.slice(0, 0), batch], 1000))
+    assert [n for b in cut for n in b.column(0).to_pylist()] == list(range(50)) and max(b.num_rows for b in cut) <= 5
+    assert [b.num_rows for b in pieces([batch], 1)] == [1] * 50
+    img = lambda i: f'<body><img src="/{i}.png"></body>' + " " * 20000
+    pages = spark.createDataFrame([(i, f"https://a/{i}", img(i)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    assert sorted(r.url for r in dom.candidates(pages).collect()) == sorted(f"https://a/{i}.png" for i in range(60))
