@@ -102,12 +102,12 @@ def _step(state: DataFrame, pages: DataFrame, landings: DataFrame | None, max_pa
     if landings is None:
         at = state.withColumn("here", F.col("current"))
     else:
-        at = state.join(landings, F.col("current") == F.col("asked"), "left").withColumn("here", F.coalesce("landed", "current")).drop("asked", "landed")
+        at = state.join(landings.hint("merge"), F.col("current") == F.col("asked"), "left").withColumn("here", F.coalesce("landed", "current")).drop("asked", "landed")
     # a navigation that ends elsewhere is explored once; on a page that was visited the crawl moves on at once
     stray = F.col("here") != F.col("current")
     at = at.withColumn("explored", ~(stray & F.array_contains("visited", F.col("here"))))
     at = at.withColumn("visited", F.when(stray & F.col("explored"), F.concat("visited", F.array("here"))).otherwise(F.col("visited")))
-    on = at.join(pages.withColumnRenamed("clicks", "clicked"), F.col("here") == F.col("page"), "left").drop("page")
+    on = at.join(pages.withColumnRenamed("clicks", "clicked").hint("merge"), F.col("here") == F.col("page"), "left").drop("page")
     links = F.when(F.col("explored"), F.col("links"))
     known = F.concat("visited", F.transform("queue", lambda q: q["key"]))
     keys = F.transform(links, lambda x: x["key"])

@@ -232,3 +232,12 @@ def test_verify_batch(spark):
     assert {tuple(r) for r in counters.select("tab_id", "checked", "upgraded", "collapsed").collect()} == {(1, 4, 2, 1), (2, 1, 0, 0)}
     again, counters = upgrades.verify_batch(folded.drop("effective_url", "merged_duplicates"), probes)
     assert again.count() == 5 and {r.checked for r in counters.collect()} == {0}
+
+
+def test_a_round_of_crawls_broadcasts_no_pages(spark):
+    """Written tables of pages compress so well that Spark would send them all through the driver."""
+    pages = spark.createDataFrame([("https://a/x", [(0, "https://a/y", "", "", "", "", "")], 0)], "page string, links array<struct<pos:int,key:string,text:string,ariaLabel:string,title:string,className:string,id:string>>, clicks long")
+    state = spark.createDataFrame([], crawl.CRAWL)
+    landings = spark.createDataFrame([("https://a/x", "https://a/z")], "asked string, landed string")
+    plan = crawl._step(state, pages, landings, 10, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
