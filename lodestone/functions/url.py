@@ -111,6 +111,20 @@ def href(p: Column, with_fragment: bool = True) -> Column:
     return F.concat(out, text(F.concat(F.lit("#"), p["fragment"]))) if with_fragment else out
 
 
+#: A reference without scheme, query, fragment, dot segments or characters to encode: it is appended to its base's folder as it is.
+_PLAIN = r"\A[A-Za-z0-9_~-][A-Za-z0-9_~,.-]*(?:/(?!\.{1,2}(?:/|\z))[A-Za-z0-9_~,.-]*)*\z"
+
+
+def folder_of(base: Column) -> Column:
+    """What a plain reference is appended to; null if nothing can be resolved against ``base``."""
+    return let(let(parse(F.lit("x"), base), lambda p: href(p)), lambda u: F.substring(u, F.lit(1), F.length(u) - 1))
+
+
+def resolved(raw: Column, base: Column, folder: Column) -> Column:
+    """``raw`` resolved against ``base``, whose folder_of() is at hand; as it is if it cannot be resolved."""
+    return F.when(folder.isNotNull() & raw.rlike(_PLAIN), F.concat(folder, raw)).otherwise(F.coalesce(let(parse(raw, base), lambda p: href(p)), raw))
+
+
 def decode_form(c: Column) -> Column:
     """A form value decoded: plus is a space; what cannot be decoded stays."""
     return F.when(c.rlike("[%+]"), F.coalesce(F.try_url_decode(c), c)).otherwise(c)

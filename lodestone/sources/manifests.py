@@ -1,7 +1,7 @@
 """Stream manifests: HLS playlists and DASH descriptions to variants, tracks and segments. Protection is only marked.
 
-A playlist is exploded into its lines; windows over the lines of a playlist tell which stream tag an address belongs to, and
-one aggregation over tags makes the result, so playlists are handled in the JVM and a long one is no single expression.
+A playlist is an array of lines, and expressions over that array make the result, in time that grows with its lines; playlists
+are handled in the JVM and their lines are neither shuffled nor sorted.
 A DASH description is read as a stream of XML events with the attributes of the enclosing element at hand.
 
 A null, empty or malformed body gives an empty description, as does XML that declares entities. An address that cannot be
@@ -11,15 +11,16 @@ resolved stays as it is written.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import constants as K
 from lodestone.functions import url as U
-from lodestone.functions.core import half_up, number, text
+from lodestone.functions.core import half_up, let, number, text
 from lodestone.functions.paths import format_bytes
 from lodestone.sources.pieces import pieces
 
@@ -52,29 +53,6 @@ def attribute(pairs: Column, name: str) -> Column:
     return text(F.get(found, F.size(found) - 1)["v"])
 
 
-def _lines(playlists: DataFrame) -> DataFrame:
-    """The lines of playlists (id, url, mime_type, body) with what they mean. A body that is no playlist gives one empty line."""
-    body = F.when(F.btrim("body", F.lit(_SPACE)).startswith("#EXTM3U"), F.col("body"))
-    rows = playlists.select("id", "url", "mime_type", F.posexplode(F.split(text(body), r"\r?\n")).alias("pos", "raw"))
-    rows = rows.select("id", "url", "mime_type", "pos", F.btrim("raw", F.lit(_SPACE)).alias("line"))
-    is_tag = F.col("line").startswith("#")
-    rows = rows.withColumns({
-        "tag": F.when(is_tag, F.substring_index("line", ":", 1)),
-        "rest": F.when(is_tag & F.col("line").contains(":"), F.regexp_extract("line", r"(?s)\A[^:]*:(.*)\z", 1)),
-        "address": F.when(~is_tag & (F.col("line") != ""), F.col("line")),
-    })
-    rows = rows.withColumn("a", F.when(F.col("tag").isin("#EXT-X-STREAM-INF", "#EXT-X-MEDIA", "#EXT-X-KEY", "#EXT-X-SESSION-KEY", "#EXT-X-MAP") & F.col("rest").isNotNull(), attributes(F.col("rest"))))
-    so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.last(F.when(F.col("tag") == "#EXT-X-STREAM-INF", F.struct("pos", "a")), ignorenulls=True).over(so_far)
-    rows = rows.withColumns({"opened": opened, "last_address": F.last(F.when(F.col("address").isNotNull(), F.col("pos")), ignorenulls=True).over(before)})
-    # a stream tag describes the next address, and only that
-    mine = F.col("address").isNotNull() & (F.col("opened.pos") > F.coalesce("last_address", F.lit(-1)))
-    link = F.coalesce("address", F.when(F.col("tag").isin("#EXT-X-MEDIA", "#EXT-X-MAP"), attribute(F.col("a"), "URI")))
-    full = F.when(F.col("address").isNotNull() | (link != ""), F.coalesce(U.href(U.parse(link, F.col("url"))), link))
-    return rows.select("id", "url", "mime_type", "pos", "line", "tag", "rest", "a", "address", F.when(mine, F.col("opened.a")).alias("stream_of"), full.alias("full"))
-
-
 def _named_systems(key_format: Column) -> Column:
     """The protection systems that a key format names, in the order of the table."""
     low = F.lower(key_format)
@@ -82,41 +60,71 @@ def _named_systems(key_format: Column) -> Column:
     return F.array_compact(F.array(*known, F.when(low.contains("widevine"), F.lit("widevine"))))
 
 
-def hls(playlists: DataFrame) -> DataFrame:
-    """url, mime_type, ``stream`` (STREAM) of HLS playlists (id, url, mime_type, body); id is different in every row."""
-    at = lambda name: attribute(F.col("a"), name)
-    of = lambda name: attribute(F.col("stream_of"), name)
-    tag = lambda *names: F.col("tag").isin(*names) & F.col("rest").isNotNull()
-    rate = lambda name: F.nullif(F.coalesce(number(of(name)), F.lit(0.0)), F.lit(0.0))
-    variant = F.struct(
-        F.lit("").alias("id"), F.coalesce(rate("BANDWIDTH"), rate("AVERAGE-BANDWIDTH"), F.lit(0.0)).alias("bandwidth"), of("RESOLUTION").alias("resolution"), of("CODECS").alias("codecs"),
-        F.coalesce(number(of("FRAME-RATE")), F.lit(0.0)).alias("frame_rate"), of("AUDIO").alias("group"), F.lit("").alias("mime_type"), F.lit("").alias("lang"), F.col("full").alias("url"),
-    )
-    kind = F.lower(at("TYPE"))
-    track = F.struct(kind.alias("type"), at("NAME").alias("name"), at("LANGUAGE").alias("language"), at("GROUP-ID").alias("group"), text(F.col("full")).alias("url"), (at("DEFAULT") == "YES").alias("is_default"))
-    method = F.upper(at("METHOD"))
-    # fails closed: a key tag without a method, or with NONE and yet a key, counts as encrypted
-    locked = tag("#EXT-X-KEY", "#EXT-X-SESSION-KEY") & ((method != "NONE") | (at("URI") != "") | (at("KEYFORMAT") != ""))
-    seconds = F.when(tag("#EXTINF"), number(F.regexp_extract("rest", r"\A\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)))
-    is_media, is_stream = tag("#EXT-X-MEDIA"), F.col("stream_of").isNotNull()
-    listed = lambda test, value: F.collect_list(F.when(test, F.struct("pos", value.alias("x"))))
-    found = _lines(playlists).groupBy("id", "url", "mime_type").agg(
-        listed(is_stream, variant).alias("variants"), listed(is_media & (kind == "audio"), track).alias("audio"), listed(is_media & kind.isin("subtitles", "closed-captions"), track).alias("subtitles"),
-        listed(F.col("address").isNotNull() & ~is_stream, F.col("full")).alias("segments"), listed(tag("#EXT-X-MAP") & F.col("full").isNotNull(), F.col("full")).alias("maps"),
-        listed(seconds.isNotNull(), seconds).alias("seconds"), listed(locked, F.struct(method.alias("method"), _named_systems(at("KEYFORMAT")).alias("systems"))).alias("keys"),
-        F.bool_or(is_stream | is_media).alias("master"), F.bool_or(F.col("line").startswith("#EXT-X-ENDLIST")).alias("ended"), F.bool_or(F.col("line").startswith("#EXT-X-TARGETDURATION")).alias("timed"),
-    )
-    in_order = lambda c: F.transform(F.array_sort(c, lambda a, b: a["pos"] - b["pos"]), lambda x: x["x"])
-    by_rate = F.array_sort("variants", lambda a, b: F.when(a["x"]["bandwidth"] > b["x"]["bandwidth"], -1).when(a["x"]["bandwidth"] < b["x"]["bandwidth"], 1).otherwise(a["pos"] - b["pos"]))
-    last = F.get(in_order("keys"), F.size("keys") - 1)["method"]
-    stream = F.struct(
-        F.lit("hls").alias("type"), F.col("master"), F.transform(by_rate, lambda x: x["x"]).alias("variants"), in_order("audio").alias("audio_tracks"), in_order("subtitles").alias("subtitle_tracks"),
-        F.concat(F.reverse(in_order("maps")), in_order("segments")).alias("segments"), F.aggregate(in_order("seconds"), F.lit(0.0), lambda a, x: a + x).alias("duration"),
-        (F.col("timed") & ~F.col("ended") & ~F.col("master")).alias("live"), (F.size("keys") > 0).alias("encrypted"),
-        F.when(F.size("keys") == 0, "").when(last.isin("", "NONE"), "UNDECLARED").otherwise(last).alias("encryption_method"),
-        F.array_distinct(F.flatten(F.transform(in_order("keys"), lambda x: x["systems"]))).alias("key_systems"),
-    )
-    return found.select("url", "mime_type", stream.cast(STREAM).alias("stream"))
+def hls_stream(url: Column, body: Column) -> Column:
+    """An HLS playlist as STREAM. A body that is no playlist counts as one empty line.
+
+    All is filters and maps over the array of a playlist's lines, so its rows are neither multiplied nor moved. Of addresses
+    and stream tags alone, the tag that describes an address is the one right before it.
+    """
+    is_tag = lambda line, *names: F.greatest(*(line.startswith(n + ":") for n in names)) if len(names) > 1 else line.startswith(names[0] + ":")
+    rest = lambda line: F.regexp_extract(line, r"(?s)\A[^:]*:(.*)\z", 1)
+    resolved = lambda folder, link: U.resolved(link, url, folder)
+    linked = lambda folder, a: let(attribute(a, "URI"), lambda link: F.when(link != "", resolved(folder, link)))
+    is_address = lambda line: (line != "") & ~line.startswith("#")
+    mark = "#EXT-X-STREAM-INF"
+
+    def variant(folder: Column, x: Column) -> Column:
+        of = lambda name: attribute(x["a"], name)
+        rate = lambda name: F.nullif(F.coalesce(number(of(name)), F.lit(0.0)), F.lit(0.0))
+        return F.struct(
+            F.lit("").alias("id"), F.coalesce(rate("BANDWIDTH"), rate("AVERAGE-BANDWIDTH"), F.lit(0.0)).alias("bandwidth"), of("RESOLUTION").alias("resolution"), of("CODECS").alias("codecs"),
+            F.coalesce(number(of("FRAME-RATE")), F.lit(0.0)).alias("frame_rate"), of("AUDIO").alias("group"), F.lit("").alias("mime_type"), F.lit("").alias("lang"), resolved(folder, x["address"]).alias("url"),
+        )
+
+    def track(folder: Column, a: Column) -> Column:
+        at = lambda name: attribute(a, name)
+        return F.struct(F.lower(at("TYPE")).alias("type"), at("NAME").alias("name"), at("LANGUAGE").alias("language"), at("GROUP-ID").alias("group"), text(linked(folder, a)).alias("url"), (at("DEFAULT") == "YES").alias("is_default"))
+
+    def key(a: Column) -> Column:
+        # fails closed: a key tag without a method, or with NONE and yet a key, counts as encrypted
+        method = F.upper(attribute(a, "METHOD"))
+        locked = (method != "NONE") | (attribute(a, "URI") != "") | (attribute(a, "KEYFORMAT") != "")
+        return F.when(locked, F.struct(method.alias("method"), _named_systems(attribute(a, "KEYFORMAT")).alias("systems")))
+
+    def lines(y: Column) -> Column:
+        x, folder = y["lines"], y["folder"]
+        tags = lambda *names: F.transform(F.filter(x, lambda line: is_tag(line, *names)), lambda line: attributes(rest(line)))
+        seconds = F.transform(F.filter(x, lambda line: is_tag(line, "#EXTINF")), lambda line: number(F.regexp_extract(rest(line), r"\A\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)))
+        return F.struct(
+            folder.alias("folder"), F.filter(x, lambda line: is_address(line) | (F.substring_index(line, ":", 1) == mark)).alias("places"),
+            F.transform(tags("#EXT-X-MEDIA"), lambda a: track(folder, a)).alias("tracks"), F.array_compact(F.transform(tags("#EXT-X-MAP"), lambda a: linked(folder, a))).alias("maps"),
+            F.array_compact(F.transform(tags("#EXT-X-KEY", "#EXT-X-SESSION-KEY"), key)).alias("keys"), F.aggregate(F.array_compact(seconds), F.lit(0.0), lambda a, v: a + v).alias("duration"),
+            F.exists(x, lambda line: line.startswith("#EXT-X-ENDLIST")).alias("ended"), F.exists(x, lambda line: line.startswith("#EXT-X-TARGETDURATION")).alias("timed"),
+        )
+
+    def paired(x: Column) -> Column:
+        """The addresses, each with the attributes of the stream tag right before it."""
+        before = lambda i: F.get(x["places"], i - 1)
+        each = F.transform(x["places"], lambda line, i: F.when(is_address(line), F.struct(line.alias("address"), F.when((i > 0) & is_tag(before(i), mark), attributes(rest(before(i)))).alias("a"), i.alias("pos"))))
+        return let(F.struct(*(x[c].alias(c) for c in ("folder", "tracks", "maps", "keys", "duration", "ended", "timed")), F.array_compact(each).alias("addresses")), made)
+
+    def made(x: Column) -> Column:
+        streams = F.transform(F.filter(x["addresses"], lambda y: y["a"].isNotNull()), lambda y: F.struct(y["pos"].alias("pos"), variant(x["folder"], y).alias("x")))
+        by_rate = F.array_sort(streams, lambda a, b: F.when(a["x"]["bandwidth"] > b["x"]["bandwidth"], -1).when(a["x"]["bandwidth"] < b["x"]["bandwidth"], 1).otherwise(a["pos"] - b["pos"]))
+        segments = F.transform(F.filter(x["addresses"], lambda y: y["a"].isNull()), lambda y: resolved(x["folder"], y["address"]))
+        master = F.exists(x["addresses"], lambda y: y["a"].isNotNull()) | (F.size(x["tracks"]) > 0)
+        last = F.get(x["keys"], F.size(x["keys"]) - 1)["method"]
+        return F.struct(
+            F.lit("hls").alias("type"), master.alias("master"), F.transform(by_rate, lambda y: y["x"]).alias("variants"), F.filter(x["tracks"], lambda t: t["type"] == "audio").alias("audio_tracks"),
+            F.filter(x["tracks"], lambda t: t["type"].isin("subtitles", "closed-captions")).alias("subtitle_tracks"), F.concat(F.reverse(x["maps"]), segments).alias("segments"), x["duration"].alias("duration"),
+            (x["timed"] & ~x["ended"] & ~master).alias("live"), (F.size(x["keys"]) > 0).alias("encrypted"),
+            F.when(F.size(x["keys"]) == 0, "").when(last.isin("", "NONE"), "UNDECLARED").otherwise(last).alias("encryption_method"),
+            F.array_distinct(F.flatten(F.transform(x["keys"], lambda k: k["systems"]))).alias("key_systems"),
+        )
+
+    listed = F.when(F.btrim(body, F.lit(_SPACE)).startswith("#EXTM3U"), body)
+    trimmed = F.transform(F.split(text(listed), r"\r?\n"), lambda line: F.btrim(line, F.lit(_SPACE)))
+    return let(F.struct(trimmed.alias("lines"), U.folder_of(url).alias("folder")), lambda x: let(lines(x), paired)).cast(STREAM)
 
 
 # ---------------------------------------------------------------- DASH
@@ -209,18 +217,20 @@ def manifest_type(url: Column, mime: Column, body: Column) -> Column:
     return F.when(dash, "dash").otherwise("hls")
 
 
-def parsed(manifests: DataFrame) -> DataFrame:
-    """url, mime_type and ``stream`` (STREAM) of manifests (url, mime_type, body)."""
-    kinds = manifests.select("url", "mime_type", "body", manifest_type(F.col("url"), F.col("mime_type"), F.col("body")).alias("kind"))
-    kept = f"url string, mime_type string, stream {STREAM}"
+def _dash_streams(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for addresses, bodies in batches:
+        rows = pa.RecordBatch.from_arrays([addresses, bodies], names=["url", "body"])
+        made = [pa.array([None if body is None else dash_description(body, u or "") for u, body in zip(*(c.to_pylist() for c in b.columns), strict=True)], _PA_STREAM) for b in pieces([rows])]
+        yield pa.concat_arrays(made) if made else pa.array([], _PA_STREAM)
 
-    def run(batches):
-        for b in pieces(batches):
-            rows = [dash_description(body, u or "") for u, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, _PA_STREAM)], names=["url", "mime_type", "stream"])
 
-    dash = kinds.where("kind = 'dash'").select("url", "mime_type", "body").mapInArrow(run, kept)
-    return hls(kinds.where("kind = 'hls'").select(F.monotonically_increasing_id().alias("id"), "url", "mime_type", "body")).unionByName(dash)
+def parsed(manifests: DataFrame) -> DataFrame:
+    """url, mime_type and ``stream`` (STREAM) of manifests (url, mime_type, body). One pass: playlists stay in the JVM, and
+    Python gets the bodies of descriptions."""
+    kinds = manifests.select("url", "mime_type", "body", manifest_type(F.col("url"), F.col("mime_type"), F.col("body")).alias("kind"))
+    dash = F.arrow_udf(_dash_streams, STREAM)("url", F.when(F.col("kind") == "dash", text(F.col("body"))))
+    read = kinds.select("*", dash.alias("dash"))
+    return read.select("url", "mime_type", F.when(F.col("kind") == "dash", F.col("dash")).otherwise(hls_stream(F.col("url"), F.col("body"))).alias("stream"))
 
 
 def estimate_bytes(bandwidth: Column, seconds: Column) -> Column:
