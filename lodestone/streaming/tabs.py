@@ -14,9 +14,11 @@ clock, so there a load is settled where its event stands.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -169,6 +171,17 @@ def apply(store: Store, event, keep_history: bool = True, settle_now: bool = Tru
     return []
 
 
+#: Rows that Python holds as objects, of input and of output.
+ROWS = 4096
+_Event = namedtuple("_Event", _names(EVENT))
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+
+
+def _item_batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in ITEM.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
 def _frame(tab: int, rows: list[Row]) -> pd.DataFrame:
     return pd.DataFrame([(tab, *r) for r in rows], columns=_names(ITEM))
 
@@ -187,15 +200,25 @@ def _events(frame: pd.DataFrame):
 
 
 def batch(events: DataFrame, keep_history: bool = True) -> DataFrame:
-    """All output rows of an event log. A tab's events are one group: a tab is one page session, not a corpus-wide key."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        store, out = Store(), []
-        for event in _events(frame):
-            out += apply(store, event, keep_history)
-        return _frame(key[0], out)
-
-    return _typed(events).groupBy("tab_id").applyInPandas(run, ITEM)
+    """All output rows of an event log. Spark brings a tab's events together in order; they are read as they come, and only the
+    tab's state is kept, so that a tab may be of any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, tab, out = Store(), None, []
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                for values in zip(*(c.to_pylist() for c in b.slice(at, ROWS).columns), strict=True):
+                    event = _Event(*values)
+                    if event.tab_id != tab:
+                        store, tab = Store(), event.tab_id
+                    out += [(tab, *r) for r in apply(store, event, keep_history)]
+                    if len(out) >= ROWS:
+                        yield _item_batch(out)
+                        out = []
+        if out:
+            yield _item_batch(out)
+
+    return _typed(events).repartition("tab_id").sortWithinPartitions("tab_id", F.asc_nulls_last("seq")).mapInArrow(run, ITEM)
 
 
 # ---------------------------------------------------------------- the stream
