@@ -9,6 +9,7 @@ from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import url as U
 from lodestone.functions.core import array_of, let, text
+from lodestone.storage import written
 
 _SCHEMES = r"(?i)\A(?:https?|data|blob):"
 
@@ -168,7 +169,9 @@ def protect(items: DataFrame, protected_tabs: DataFrame) -> DataFrame:
 
 def capped(items: DataFrame, most: int = K.MAX_ITEMS_PER_TAB, data_budget: int = K.DATA_URI_TAB_BUDGET) -> DataFrame:
     """The first ``most`` items of each tab, in order of first sight, with id and ``truncated``. data: keys beyond the tab's
-    budget are refused as they come: a refused one takes nothing of it, so a later, smaller one may fit."""
+    budget are refused as they come: a refused one takes nothing of it, so a later, smaller one may fit. Four reads of the items
+    make the result, so they are written first: else each would merge all sightings anew."""
+    items = written(items)
     data = items.where(M.is_data(F.col("normalized_url"))).groupBy("tab_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", F.length("normalized_url").alias("size")))).alias("all"))
     kind = items.schema["first_seq"].dataType.simpleString()
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("kept"))

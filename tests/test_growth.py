@@ -4,7 +4,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import url as U
+from lodestone.operators import index, upgrades
 from lodestone.sources import manifests
+from lodestone.streaming import tabs
 
 
 def plan(df):
@@ -31,3 +33,22 @@ def test_plain_references_resolve_as_parsed(spark):
     df = spark.createDataFrame([(r, b) for r in refs for b in bases], "r string, b string")
     got = df.select("r", "b", U.resolved(F.col("r"), F.col("b"), U.folder_of(F.col("b"))).alias("x"), F.coalesce(U.href(U.parse(F.col("r"), F.col("b"))), "r").alias("y")).collect()
     assert [(r.r, r.b, r.x) for r in got] == [(r.r, r.b, r.y) for r in got]
+
+
+def test_a_tab_is_no_pandas_group(spark):
+    rows = [(t, i, "candidate" if i % 50 else "nav_begin", f"https://a/{i % 7}.mp4", "video", "dom") for t in (1, None, 2) for i in range(tabs.ROWS + 10)]
+    df = spark.createDataFrame(rows, "tab_id long, seq long, type string, url string, kind string, source string").repartition(3)
+    out = tabs.batch(df)
+    assert "FlatMapGroups" not in plan(out) and "MapInArrow" in plan(out)
+    got = out.collect()
+    for tab in (1, None, 2):
+        store, want = tabs.Store(), []
+        for r in sorted((x for x in rows if x[0] == tab), key=lambda x: x[1]):
+            want += tabs.apply(store, tabs._Event(*r, None, False, False))
+        assert [tuple(r)[1:] for r in got if r.tab_id == tab] == want
+
+
+def test_caps_read_their_items_once(spark):
+    items = spark.createDataFrame([(1, "https://a/1", 1), (1, "data:x", 2)], "tab_id long, normalized_url string, first_seq long")
+    out = index.capped(items)
+    assert "ExistingRDD" not in plan(out) and out.count() == 2
