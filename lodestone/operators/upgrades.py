@@ -9,6 +9,7 @@ from lodestone import constants as K
 from lodestone.functions import media as M
 from lodestone.functions import upgrades as G
 from lodestone.functions.core import text
+from lodestone.storage import written
 
 
 def checkable(items: DataFrame) -> DataFrame:
@@ -22,13 +23,14 @@ def exploded(items: DataFrame, rules: list[dict] | None = None, most: int = K.MA
     return checkable(items).select("*", F.posexplode(F.slice(G.candidates(F.col("url"), rules), 1, most)).alias("pos", "c")).select("*", F.col("c.url").alias("candidate"), "c.verify", "c.note").drop("c")
 
 
-def verified(items: DataFrame, probes: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+def verified(items: DataFrame, probes: DataFrame, rules: list[dict] | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """Per checkable item (tab_id, item) its first proven candidate: upgrade_url, upgrade_note, upgrade_bytes; null if none.
 
     probes: url, ok, bytes, mime_type. A probe must have answered, be media if it names a type, and not be smaller than the
-    item where both sizes are known. A rule that needs no proof wins without a probe.
+    item where both sizes are known. A rule that needs no proof wins without a probe. candidates: the rows of exploded(), where
+    they are at hand.
     """
-    rows = exploded(items, rules).alias("i").join(probes.select(F.col("url").alias("candidate"), "ok", F.col("bytes").alias("probe_bytes"), F.col("mime_type").alias("probe_mime")), "candidate", "left")
+    rows = (exploded(items, rules) if candidates is None else candidates).alias("i").join(probes.select(F.col("url").alias("candidate"), "ok", F.col("bytes").alias("probe_bytes"), F.col("mime_type").alias("probe_mime")), "candidate", "left")
     media = (text(F.col("probe_mime")) == "") | (M.kind_from_mime(F.col("probe_mime")) != "")
     large = F.col("probe_bytes").isNull() | F.col("bytes").isNull() | (F.col("probe_bytes") >= F.col("bytes"))
     good = ~F.col("verify") | (F.coalesce("ok", F.lit(False)) & media & large)
@@ -51,7 +53,7 @@ def effective_url(items: DataFrame) -> DataFrame:
 def collapse(items: DataFrame) -> DataFrame:
     """One row per (tab_id, effective URL): the survivor has structure if any does, then was seen first. It takes the union of
     sources, the first known upgrade size, the first known dimensions if it has none, and counts what it absorbed."""
-    rows = effective_url(items)
+    rows = written(effective_url(items))  # read twice below
     has = F.size("structural_path") > 0 if "structural_path" in items.columns else F.lit(False)
     rank = Window.partitionBy("tab_id", "effective_url").orderBy(F.desc(has), "first_seq")
     rows = rows.withColumn("place", F.row_number().over(rank))

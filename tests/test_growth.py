@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestone import storage
 from lodestone.functions import url as U
 from lodestone.operators import index, upgrades
 from lodestone.sources import manifests
@@ -52,3 +53,13 @@ def test_caps_read_their_items_once(spark):
     items = spark.createDataFrame([(1, "https://a/1", 1), (1, "data:x", 2)], "tab_id long, normalized_url string, first_seq long")
     out = index.capped(items)
     assert "ExistingRDD" not in plan(out) and out.count() == 2
+
+
+def test_upgrade_candidates_are_made_once(spark):
+    items = spark.createDataFrame([(1, 1, 1, "https://a/small/x.jpg", "image", "background", 5, 9, 9, ["dom"])], "tab_id long, item long, first_seq long, url string, kind string, status string, bytes long, width int, height int, sources array<string>")
+    probes = spark.createDataFrame([("https://a/full/x.jpg", True, 50, "image/jpeg")], "url string, ok boolean, bytes long, mime_type string")
+    made = storage.written(upgrades.exploded(items).select("tab_id", "item", "bytes", "pos", "candidate", "verify", "note"))
+    found = upgrades.verified(items, probes, candidates=made)
+    assert "Generate" not in plan(found) and found.collect() == upgrades.verified(items, probes).collect() and found.first().upgrade_bytes == 50
+    out = upgrades.collapse(items.join(found, ["tab_id", "item"]))
+    assert "ExistingRDD" not in plan(out) and out.first().effective_url == "https://a/full/x.jpg"
