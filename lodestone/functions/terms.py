@@ -153,9 +153,14 @@ def _domain(p: Column) -> Column:
 TERMS = {"url": url_similarity, "structure": structure_similarity, "dimension": dimension_similarity, "type": type_similarity, "host": host_similarity}
 
 
+def each(a: Column, b: Column) -> Column:
+    """The five terms."""
+    return F.struct(*(f(a, b).alias(name) for name, f in TERMS.items()))
+
+
 def explain(a: Column, b: Column) -> Column:
     """The five terms and their weighted total."""
-    return let(F.struct(*(f(a, b).alias(name) for name, f in TERMS.items())), lambda t: F.struct(*(t[n].alias(n) for n in TERMS), total(t).alias("total")))
+    return let(each(a, b), lambda t: F.struct(*(t[n].alias(n) for n in TERMS), total(t).alias("total")))
 
 
 def at_most(a: Column, b: Column) -> Column:
@@ -174,4 +179,4 @@ def total(t: Column) -> Column:
 
 
 def score(a: Column, b: Column) -> Column:
-    return let(F.struct(*(f(a, b).alias(name) for name, f in TERMS.items())), total)
+    return total({name: f(a, b) for name, f in TERMS.items()})  # no lambda, whose body Spark would interpret

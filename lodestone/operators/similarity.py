@@ -135,12 +135,12 @@ def pairs(items: DataFrame, threshold: float = K.THRESHOLD, carry: tuple[str, ..
     """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b; of both the
     columns to carry, as a_<name> and b_<name>."""
     more = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in carry for side, name in (("l", "a"), ("r", "b"))]
-    scored = candidates(items, threshold).select(
-        F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"), *more,
-        T.at_most(F.col("l.f"), F.col("r.f")).alias("most"), T.explain(F.col("l.f"), F.col("r.f")).alias("t"),
-    )
-    # both move into the join's condition, in this order: the score is only computed for pairs that can reach the threshold
-    return scored.where((F.col("most") >= threshold - 1e-9) & (F.col("t.total") >= threshold)).select("tab_id", "a", "b", "a_seq", "b_seq", *(f"{name}_{c}" for c in carry for name in "ab"), "t.*")
+    l, r = F.col("l.f"), F.col("r.f")
+    # no lambda around the score, whose body Spark would interpret; the terms come out of a generator, so that a pair is scored once
+    # and no rule of the planner multiplies the conditions. They are only computed for pairs that can reach the threshold.
+    terms = F.inline(F.when(T.at_most(l, r) >= threshold - 1e-9, F.array(T.each(l, r))))
+    scored = candidates(items, threshold).select(F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"), *more, terms)
+    return scored.withColumn("total", T.total({n: F.col(n) for n in T.TERMS})).where(F.col("total") >= threshold)
 
 
 def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:

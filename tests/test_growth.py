@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import storage
 from lodestone.functions import url as U
-from lodestone.operators import index, upgrades
+from lodestone.operators import index, similarity, upgrades
 from lodestone.plans import registry
 from lodestone.sources import manifests
 from lodestone.streaming import tabs
@@ -75,3 +75,14 @@ def test_upgrade_candidates_are_made_once(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_similar_items_read_their_features_once(spark):
     assert "part.parquet" not in plan(registry.QUERIES["j5_select_similar"](spark, SF))
+
+
+def test_a_pair_is_scored_once_and_nothing_is_broadcast(spark):
+    rows = [(i % 2, i, i, f"https://{'ab'[i % 3 % 2]}.com/m/x{i}.jpg", "", 40.0 * (i % 4), 30.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "tab_id long, item long, seq long, url string, mime_type string, width double, height double")
+    items = storage.written(similarity.with_features(df))
+    strict = plan(similarity.pairs(items, 0.8).select("tab_id", "total"))
+    assert strict.count("Generate inline") == 1 and "lambdafunction(((((0.35" not in strict
+    links = storage.written(similarity.pairs(items, 0.45).select("tab_id", "a_seq", "b_seq", "total"))
+    cut = similarity.cuts(items.select("tab_id", "seq", "item"), similarity.spanning_forest(links), [0.45, 0.8])
+    assert not any("Broadcast" in plan(x) for x in (similarity.pairs(items, 0.45), cut)) and cut.count() == 24
