@@ -83,20 +83,25 @@ def prepared(sightings: DataFrame) -> DataFrame:
 
     An item is seen many times with the same facts, and addresses cost most to read: the three are made once per different
     (url, mime_type, kind, size) and joined back, and so are the facts themselves, which a sighting need not carry to the join.
-    They come out of a generator, so that a filter on them stays above it.
+    The key, which costs most of all, is made once per address. All come out of generators, so that a filter stays above them.
     """
     facts = ["url", "mime_type", "kind", "width", "height", "bytes"]
 
     def found(x: Column) -> Column:
         kind = F.when(text(x["kind"]) != "", x["kind"]).otherwise(M.classify(x["url"], x["mime_type"]))
         reason = M.rejection_reason(x["url"], x["width"], x["height"], x["bytes"])
-        return F.struct(kind.alias("kind"), reason.alias("rejection"), U.normalize_url(x["url"]).alias("normalized_url"))
+        return F.struct(kind.alias("kind"), reason.alias("rejection"))
 
     # nulls are facts too, so the join is on values that are never null
     print_ = F.unhex(F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256)).alias("_facts")
     seen = sightings.select("*", print_)
     kept = [c for c in facts if c != "kind"]
-    known = seen.groupBy("_facts").agg(F.first(F.struct(*facts)).alias("x")).select("_facts", *(F.col(f"x.{c}").alias(c) for c in kept), F.inline(F.array(let(F.col("x"), found))))
+    known = seen.groupBy("_facts").agg(F.first(F.struct(*facts)).alias("x")).select("_facts", F.col("x.url").alias("url"), "x")
+    same = Window.partitionBy("url").orderBy("_facts")
+    key = F.when(F.col("nth") == 1, U.normalize_url(F.col("url"))).alias("key")
+    known = known.withColumn("nth", F.row_number().over(same)).select("_facts", "url", "x", F.inline(F.array(F.struct(key))))
+    known = known.withColumn("normalized_url", F.first("key").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    known = known.select("_facts", *(F.col(f"x.{c}").alias(c) for c in kept), "normalized_url", F.inline(F.array(let(F.col("x"), found))))
     joined = seen.drop(*facts).join(known, "_facts")
     return joined.select(*(c for c in sightings.columns if c != "kind"), "kind", "rejection", "normalized_url")
 

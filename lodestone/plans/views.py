@@ -77,7 +77,7 @@ def candidates(spark: SparkSession, sf_dir: str, ten_tabs: bool = False) -> Data
 
 
 def sightings(spark: SparkSession, sf_dir: str, ten_tabs: bool = False) -> DataFrame:
-    rows = spark.sql(SIGHTINGS.replace("({candidates})", "{candidates}"), candidates=spark.sql(in_ten_tabs(CANDIDATES) if ten_tabs else CANDIDATES, part=table(spark, sf_dir, "part")), lineitem=table(spark, sf_dir, "lineitem"))
+    rows = spark.sql(SIGHTINGS.replace("({candidates})", "{candidates}"), candidates=spark.sql(in_ten_tabs(CANDIDATES) if ten_tabs else CANDIDATES, part=parts(spark, sf_dir)), lineitem=table(spark, sf_dir, "lineitem"))
     return rows.selectExpr("tab_id", "url", "width", "height", "bytes", "source", "status", "mime_type", "kind", f"{SIGHTING_ORDER} AS seq")
 
 

@@ -86,3 +86,11 @@ def test_a_pair_is_scored_once_and_nothing_is_broadcast(spark):
     links = storage.written(similarity.pairs(items, 0.45).select("tab_id", "a_seq", "b_seq", "total"))
     cut = similarity.cuts(items.select("tab_id", "seq", "item"), similarity.spanning_forest(links), [0.45, 0.8])
     assert not any("Broadcast" in plan(x) for x in (similarity.pairs(items, 0.45), cut)) and cut.count() == 24
+
+
+def test_an_address_gets_its_key_once(spark):
+    rows = [("https://a/x.jpg?utm_a=1", m, "", w, 5, b) for m in ("", "image/jpeg") for w in (None, 5) for b in (None, 7)] + [(None, "", "", 1, 1, None)] * 2
+    out = index.prepared(spark.createDataFrame(rows, "url string, mime_type string, kind string, width int, height int, bytes long"))
+    assert "row_number" in plan(out)
+    got = out.collect()
+    assert len(got) == 10 and {(r.url, r.normalized_url) for r in got} == {("https://a/x.jpg?utm_a=1", "https://a/x.jpg"), (None, "")}
