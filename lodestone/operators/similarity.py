@@ -1,7 +1,8 @@
 """Similarity selection, pair scoring with lossless blocking, clusters and group summaries.
 
 Items are rows with ``tab_id``, an ``item`` key, ``seq`` (input order) and ``f`` (functions.terms.features). Nothing is
-compared across tabs. Items that no term tells apart are one class, so copies are never paired one by one. Blocking follows
+compared across tabs. Items that no term tells apart are one class, so copies are never paired one by one; where pairs are only
+counted, those whose URL term follows from shapes are counted by groups. Blocking follows
 from the weights: unless bare host, directory and extension agree a pair scores at most 0.79, without a common bare host 0.7425, without a
 common domain at most 0.6725, so above these thresholds an equi-join finds all links; for the range below, the third kind of
 pair must agree in type and in the first two nodes from the root. Down to LOOSEST, pairs of different domains must share
@@ -134,13 +135,18 @@ def candidates(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
 def pairs(items: DataFrame, threshold: float = K.THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """tab_id, a, b, a_seq, b_seq, the five terms and total of every pair that reaches the threshold, a before b; of both the
     columns to carry, as a_<name> and b_<name>."""
+    return scored(candidates(items, threshold), threshold, carry)
+
+
+def scored(found: DataFrame, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """pairs() of the given candidates (l and r)."""
     more = [F.col(f"{side}.{c}").alias(f"{name}_{c}") for c in carry for side, name in (("l", "a"), ("r", "b"))]
     l, r = F.col("l.f"), F.col("r.f")
     # no lambda around the score, whose body Spark would interpret; the terms come out of a generator, so that a pair is scored once
     # and no rule of the planner multiplies the conditions. They are only computed for pairs that can reach the threshold.
     terms = F.inline(F.when(T.at_most(l, r) >= threshold - 1e-9, F.array(T.each(l, r))))
-    scored = candidates(items, threshold).select(F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"), *more, terms)
-    return scored.withColumn("total", T.total({n: F.col(n) for n in T.TERMS})).where(F.col("total") >= threshold)
+    rows = found.select(F.col("l.tab_id").alias("tab_id"), F.col("l.item").alias("a"), F.col("r.item").alias("b"), F.col("l.seq").alias("a_seq"), F.col("r.seq").alias("b_seq"), *more, terms)
+    return rows.withColumn("total", T.total({n: F.col(n) for n in T.TERMS})).where(F.col("total") >= threshold)
 
 
 def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,11 +170,78 @@ def class_links(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def pair_totals(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
-    """Per tab the number of pairs() and the sum of their totals; none of the pairs is made that a class stands for."""
-    links = class_links(classes(items)[0], threshold)
+    """Per tab the number of pairs() and the sum of their totals. Pairs of one shape are counted by groups, so that a tab's work
+    grows with its different shapes and not with the square of its items; the others are paired by classes."""
+    found, _ = classes(items)
+    links = shaped_links(found, threshold).unionAll(unshaped_links(found, threshold))
     return links.groupBy("tab_id").agg(F.sum("n").alias("pairs"), F.sum(F.col("n") * F.col("total")).alias("total"))
 
 
+def _one_shape(l: str, r: str) -> Column:
+    """Whether the URL term of two items follows from shapes: one bare host, and one extension or one pattern."""
+    x = lambda c: F.col(f"{l}.pattern.{c}")
+    y = lambda c: F.col(f"{r}.pattern.{c}")
+    return (x("bare") == y("bare")) & (x("bare") != "") & (((x("ext") == y("ext")) & (x("ext") != "")) | ((x("pattern") == y("pattern")) & (x("pattern") != "")))
+
+
+def shaped_links(found: DataFrame, threshold: float) -> DataFrame:
+    """tab_id, n, total: how many pairs of items of one shape (_one_shape) reach the threshold with that total.
+
+    Given what other terms read of two items, their total follows from the level at which their URLs agree: pattern (1), folder
+    and extension (0.75), extension (0.4); an extension and a folder follow from a pattern. A level's groups count their pairs
+    by these values, and the pairs that agree at the level above are taken off, in whole numbers.
+    """
+    p = "f.pattern."
+    rest = F.struct(*(F.col(f"f.{c}").alias(c) for c in ("root", "key", "width", "height", "subtype", "top", "typed"))).alias("rest")
+    shapes = found.where(F.col(p + "bare") != "").groupBy("tab_id", *(F.col(p + c).alias(c) for c in ("bare", "ext", "dir", "pattern")), rest).agg(F.sum("n").alias("n"))
+    shapes = written(shapes.where((F.col("ext") != "") | (F.col("pattern") != "")))
+    counts = []
+    most = lambda url: _W["url"] * url + sum(w for name, w in _W.items() if name != "url")
+    levels = [(1.0, ("bare", "ext", "dir", "pattern"), F.lit(True)), (0.75, ("bare", "ext", "dir"), F.col("ext") != ""), (0.4, ("bare", "ext"), F.col("ext") != "")]
+    for i, (url, keys, some) in enumerate(levels):
+        if most(url) < threshold - 1e-9:
+            break
+        group = ["tab_id", *keys]
+        rows = shapes.where(some & (F.col("pattern") != "") if i == 0 else some).groupBy(*group, "rest").agg(F.sum("n").alias("n"))
+        other = rows.select(*group, F.col("rest").alias("rest_b"), F.col("n").alias("n_b"))
+        both = rows.join(other.hint("merge"), group).where(F.col("rest") <= F.col("rest_b"))
+        n = F.when(F.col("rest") == F.col("rest_b"), (F.col("n") * (F.col("n") - 1) / 2).cast("long")).otherwise(F.col("n") * F.col("n_b"))
+        both = both.select("tab_id", F.col("rest").alias("a"), F.col("rest_b").alias("b"), "ext", n.alias("n"))
+        counts.append(both.select("tab_id", "a", "b", F.lit(url).alias("url"), "n"))
+        if i + 1 < len(levels):  # these agree at the level below too, which is there for extensions alone
+            counts.append(both.where("ext <> ''").select("tab_id", "a", "b", F.lit(levels[i + 1][0]).alias("url"), (-F.col("n")).alias("n")))
+    rows = found.select("tab_id", rest.alias("a"), rest.alias("b"), F.lit(0.0).alias("url"), "n").limit(0)
+    for more in counts:
+        rows = rows.unionAll(more)
+    rows = rows.groupBy("tab_id", "a", "b", "url").agg(F.sum("n").alias("n")).where("n > 0 and url > 0")
+    total = T.total({"url": F.col("url"), "structure": T.structure_similarity(F.col("a"), F.col("b")), "dimension": T.dimension_similarity(F.col("a"), F.col("b")), "type": T.type_similarity(F.col("a"), F.col("b")), "host": F.lit(1.0)})
+    return rows.select("tab_id", "n", F.inline(F.array(F.struct(total.alias("total"))))).where(F.col("total") >= threshold)
+
+
+#: Where a path is missing, pairs that are not of one shape score at most this unless bare host and subtype agree.
+_UNSHAPED = _URL_APART + _W["structure"] * K.NEUTRAL + _W["dimension"] + max(0.6 * _W["type"] + _W["host"], _W["type"] + 0.7 * _W["host"])
+
+
+def unshaped_links(found: DataFrame, threshold: float) -> DataFrame:
+    """tab_id, n, total of the other pairs: two classes, or a class with itself. Where a path is missing, they must agree in bare
+    host and subtype; their extensions differ or are missing, and are joined by that, so pairs of one shape are not made."""
+    if threshold > _UNSHAPED + 1e-9:
+        key = ["tab_id", "bare", "subtype"]
+        typed = found.where((F.col("f.pattern.host") != "") & F.col("f.typed") & (F.col("f.subtype") != "")).select("*", F.col("f.pattern.bare").alias("bare"), F.col("f.subtype").alias("subtype"), F.col("f.pattern.ext").alias("ext"))
+        exts = typed.select(*key, "ext").distinct()
+        two = exts.join(exts.select(*key, F.col("ext").alias("with")).hint("merge"), key).where((F.col("ext") != F.col("with")) | (F.col("ext") == "") | (F.col("bare") == ""))
+        row = F.struct(*(F.col(c) for c in found.columns))
+        left = typed.select(*key, "ext", row.alias("l")).join(two.hint("merge"), [*key, "ext"]).drop("ext")
+        right = typed.select(*key, F.col("ext").alias("with"), row.alias("r"))
+        pathless = left.join(right.hint("merge"), [*key, "with"]).where((F.col("l.seq") < F.col("r.seq")) & ((F.size("l.f.root") == 0) | (F.size("r.f.root") == 0))).select("l", "r")
+        some = pathless.unionAll(candidates(found.where(F.size("f.root") > 0), threshold))
+    else:
+        some = candidates(found, threshold)
+    apart = scored(some.where(~_one_shape("l.f", "r.f")), threshold, ("n",)).select("tab_id", (F.col("a_n") * F.col("b_n")).alias("n"), "total")
+    own = found.where((F.col("n") > 1) & ~_one_shape("f", "f")).select("tab_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), T.score(F.col("f"), F.col("f")).alias("total"))
+    return apart.unionAll(own.where(F.col("total") >= threshold))
+
+
 def pairs_by_class(items: DataFrame, threshold: float = K.THRESHOLD) -> DataFrame:
     """tab_id, a, b, a_seq, b_seq, total of pairs(): each two classes are scored once and then written out."""
     found, members = classes(items)
