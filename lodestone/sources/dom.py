@@ -7,6 +7,7 @@ only a browser knows (decoded size, computed style, canvas pixels) are not in th
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from lodestone.functions.paths import best_of_srcset
 from lodestone.operators.index import absolute
 from lodestone.sources.pieces import pieces
 
-MAX_ELEMENTS, PATH_DEPTH, REPEAT_LEVELS, REPEAT_SIBLINGS, MAX_COUNTS, MAX_CLASSES = 6000, 16, 6, 3, 64, 12
+PATH_DEPTH, REPEAT_LEVELS, REPEAT_SIBLINGS, MAX_COUNTS, MAX_CLASSES = 16, 6, 3, 64, 12
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CANDIDATE = (
     "struct<url:string,checked:boolean,kind:string,mime_type:string,width:double,height:double,alt:string,poster:boolean,preview:string,"
@@ -32,6 +33,13 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         self.classes = attrs.get("class", "").split()
         self.signature = (tag, tuple(sorted(self.classes[:MAX_CLASSES])))
+        self.alike: Counter | None = None
+
+    def siblings_alike(self) -> int:
+        """How many of the parent's children look like this one, itself included; they are counted once per parent."""
+        if self.parent.alike is None:
+            self.parent.alike = Counter(n.signature for n in self.parent.children)
+        return self.parent.alike[self.signature]
 
     def up(self):
         node = self
@@ -75,7 +83,7 @@ class Tree(HTMLParser):
 
 def class_frequency(nodes: list[Node]) -> dict[str, int]:
     out: dict[str, int] = {}
-    for node in [n for n in nodes if "class" in n.attrs][: MAX_ELEMENTS + 1]:
+    for node in nodes:
         for name in node.classes:
             out[name] = out.get(name, 0) + 1
     return out
@@ -95,7 +103,7 @@ def structure(node: Node, frequency: dict[str, int]) -> dict:
     for i, n in enumerate(node.up()):
         if i == REPEAT_LEVELS or n.parent is None or not n.parent.tag:
             break
-        if sum(s.signature == n.signature for s in n.parent.children) >= REPEAT_SIBLINGS:
+        if n.siblings_alike() >= REPEAT_SIBLINGS:
             depth = i
             break
     return {"structural_path": path, "repeat_depth": depth, "class_counts": counts}
@@ -146,7 +154,7 @@ def scan(html: str | None) -> list[dict]:
     for n in nodes:
         if "poster" in n.attrs and n.tag not in ("video", "audio"):
             push(n, n.attrs["poster"], kind="image", poster=True)
-    for n in nodes[:MAX_ELEMENTS]:
+    for n in nodes:
         for name, value in n.attrs.items():
             if name.startswith("data-") and 0 < len(value) <= 4096:
                 push(n, best_of_srcset(value) if name.endswith("srcset") else value, True)

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from lodestone.operators import similarity as S
+from lodestone.sources import dom
 from tests.test_similarity import GRID, items
 
 
@@ -41,3 +42,12 @@ def test_items_of_one_host_are_not_paired(spark, monkeypatch):
     row = S.pair_totals(df).first()
     assert sum(made) == 0 and row.pairs == n * (n - 1) // 2
     assert S.shaped_links(S.classes(df)[0], 0.62).count() <= 6
+
+
+def test_long_pages_are_scanned_to_their_end():
+    """All elements count, in linear time: siblings are compared once per parent."""
+    n = 20_000
+    page = "<body>" + "<p class='cell'></p>" * n + "<div class='cell' data-src='/last.jpg'></div>" + "<b data-x='/b.jpg'></b>" * n
+    rows = dom.scan(page)
+    assert len(rows) == n + 1 and rows[0]["url"] == "/last.jpg" and rows[0]["class_counts"] == {"cell": n + 1}
+    assert [rows[i]["repeat_depth"] for i in (0, 1, n)] == [-1, 0, 0]
