@@ -172,8 +172,8 @@ def protect(items: DataFrame, protected_tabs: DataFrame) -> DataFrame:
     return items.join(marked, "tab_id", "left").withColumn("status", status).drop("asked")
 
 
-def capped(items: DataFrame, most: int = K.MAX_ITEMS_PER_TAB, data_budget: int = K.DATA_URI_TAB_BUDGET) -> DataFrame:
-    """The first ``most`` items of each tab, in order of first sight, with id and ``truncated``. data: keys beyond the tab's
+def capped(items: DataFrame, most: int | None = K.MAX_ITEMS_PER_TAB, data_budget: int = K.DATA_URI_TAB_BUDGET) -> DataFrame:
+    """The first ``most`` items of each tab (all if None), in order of first sight, with id and ``truncated``. data: keys beyond the tab's
     budget are refused as they come: a refused one takes nothing of it, so a later, smaller one may fit. Four reads of the items
     make the result, so they are written first: else each would merge all sightings anew."""
     items = written(items)
@@ -187,9 +187,10 @@ def capped(items: DataFrame, most: int = K.MAX_ITEMS_PER_TAB, data_budget: int =
     fitting = items.where(~is_data).unionByName(items.where(is_data).join(kept, ["tab_id", "first_seq"], "left_semi"))
     place = F.row_number().over(Window.partitionBy("tab_id").orderBy("first_seq"))
     n = items.groupBy("tab_id").agg(F.count("*").alias("all_items"))
-    out = fitting.withColumn("place", place).where(F.col("place") <= most).join(n, "tab_id")
+    out = fitting.withColumn("place", place)
+    out = out.where(F.col("place") <= most) if most is not None else out
     shown = F.count("*").over(Window.partitionBy("tab_id"))
-    return out.withColumns({"id": F.concat_ws("-", F.col("tab_id").cast("string"), F.col("place").cast("string")), "truncated": shown < F.col("all_items")}).drop("place", "all_items")
+    return out.join(n, "tab_id").withColumns({"id": F.concat_ws("-", F.col("tab_id").cast("string"), F.col("place").cast("string")), "truncated": shown < F.col("all_items")}).drop("place", "all_items")
 
 
 def status_rank(status: Column) -> Column:

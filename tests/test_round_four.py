@@ -3,7 +3,9 @@ import random
 
 import pytest
 
+from lodestone.operators import index
 from lodestone.operators import similarity as S
+from lodestone.plans import registry
 from lodestone.sources import dom
 from tests.test_similarity import GRID, items
 
@@ -51,3 +53,12 @@ def test_long_pages_are_scanned_to_their_end():
     rows = dom.scan(page)
     assert len(rows) == n + 1 and rows[0]["url"] == "/last.jpg" and rows[0]["class_counts"] == {"cell": n + 1}
     assert [rows[i]["repeat_depth"] for i in (0, 1, n)] == [-1, 0, 0]
+
+
+def test_all_items_of_a_tab_are_ordered(spark):
+    """More than the index keeps: ten tabs hold the whole table, and all of it is shown."""
+    items = spark.range(4100).selectExpr("1L AS tab_id", "concat('https://a/', id) AS normalized_url", "id AS first_seq", "'confirmed' AS status")
+    out = index.display_order(index.capped(items, most=None)).collect()
+    assert sorted(r.display for r in out) == list(range(1, 4101)) and not any(r.truncated for r in out)
+    assert index.capped(items).count() == 4000
+    assert "place <=" not in registry.ORACLES["ord1_display_order"]
