@@ -14,6 +14,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -364,6 +367,138 @@ def cuts(nodes: DataFrame, forest: DataFrame, thresholds: list[float]) -> DataFr
     return components(layered, links).select("tab_id.*", *(c for c in nodes.columns if c != "tab_id"), "root")
 
 
+#: Links (of pass one) and rows of whole tabs (of pass two) that a task looks at together.
+LINKS_AT_ONCE = 500_000
+_LINK = "tab_id long, a_seq long, b_seq long, total double"
+
+
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number per different row of the columns, and how many there are; numbers follow the order of rows."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:  # numbers stay below the rows' count, so the product fits
+        codes, values = pd.factorize(c, sort=True)
+        out, found = pd.factorize(out * max(len(values), 1) + codes, sort=True)
+    return out, len(found) if len(out) else 0
+
+
+def _least_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per node 0..n-1 the least node that the links connect with it."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def forest_of(tab: np.ndarray, a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which of the links are a maximum spanning forest of them (Boruvka's rounds; of equals the link that comes first)."""
+    nodes, n = _numbered(np.concatenate([tab, tab]), np.concatenate([a, b]))
+    order = np.argsort(-total, kind="stable")
+    x, y = nodes[: len(a)][order], nodes[len(a) :][order]
+    label, live, kept = np.arange(n), np.arange(len(order)), []
+    while True:
+        live = live[label[x[live]] != label[y[live]]]
+        if not len(live):
+            return order[np.concatenate(kept)] if kept else order
+        best = np.full(n, len(order))
+        for side in (x, y):
+            np.minimum.at(best, label[side[live]], live)
+        taken = np.unique(best[best < len(order)])
+        kept.append(taken)
+        label = _least_linked(n, label[x[taken]], label[y[taken]])[label]
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links that hold a maximum spanning forest of ``links`` (tab_id, a_seq, b_seq, total; whole numbers): what a task sees of
+    them goes through memory in pieces, and only the forest of each piece and what is kept so far stays. Nothing is moved."""
+
+    def run(batches):
+        kept, more, n = None, [], 0
+
+        def thin():
+            table = pa.Table.from_batches(([] if kept is None else kept.to_batches()) + more).combine_chunks()
+            return table.take(pa.array(forest_of(*(table.column(i).to_numpy() for i in range(4))))) if len(table) else table
+
+        for b in batches:
+            more.append(b)
+            n += len(b)
+            if n >= max(LINKS_AT_ONCE, 0 if kept is None else len(kept)):
+                kept, more, n = thin(), [], 0
+        if more:
+            kept = thin()
+        if kept is not None:
+            yield from kept.to_batches(max_chunksize=50_000)
+
+    return links.selectExpr("tab_id", "a_seq", "b_seq", "double(total) AS total").mapInArrow(run, _LINK)
+
+
+def local_cuts(nodes: DataFrame, links: DataFrame, thresholds: list[float]) -> DataFrame:
+    """cuts() for tabs that a task can hold one by one: ``nodes`` are (tab_id, seq, item), ``links`` those of thinned(). A
+    task reads its tabs in order and keeps whole ones until they are enough."""
+    kind = nodes.schema["item"].dataType.simpleString()
+    rows = links.selectExpr("tab_id", "a_seq", "b_seq", "total", f"CAST(NULL AS {kind}) AS item").unionAll(nodes.selectExpr("tab_id", "seq", "seq", "CAST(NULL AS DOUBLE)", "item"))
+
+    def labelled(table):
+        tab, a, b, total = (table.column(i).to_numpy() for i in range(4))
+        numbers, n = _numbered(np.concatenate([tab, tab]), np.concatenate([a, b]))  # in order of tab and seq, so the least is the root
+        x, y = numbers[: len(a)], numbers[len(a) :]
+        seq = np.zeros(n, np.int64)
+        seq[x], seq[y] = a, b
+        own = np.isnan(total)
+        mine = table.filter(pa.array(own))
+        for cut in thresholds:
+            some = ~own & (np.where(own, 0.0, total) >= cut)
+            root = seq[_least_linked(n, x[some], y[some])[x[own]]]
+            out = pa.table({"cut": pa.array(np.full(len(mine), cut)), "tab_id": mine.column(0), "item": mine.column(4), "seq": mine.column(1), "root": pa.array(root)})
+            yield from out.to_batches(max_chunksize=50_000)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if n >= LINKS_AT_ONCE and len(b):
+                table = pa.Table.from_batches(held)
+                tab = table.column(0).to_numpy()
+                whole = int(np.searchsorted(tab, tab[-1]))  # the last tab may go on
+                yield from labelled(table.slice(0, whole).combine_chunks())
+                held, n = table.slice(whole).combine_chunks().to_batches(), len(tab) - whole
+            held.append(b)
+            n += len(b)
+        if n:
+            yield from labelled(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("tab_id").sortWithinPartitions("tab_id").mapInArrow(run, f"cut double, tab_id long, item {kind}, seq long, root long")
+
+
+def dendrogram(items: DataFrame, thresholds: list[float], most: int = K.MAX_CLUSTERED) -> DataFrame:
+    """tab_id, item, seq, cut, root: the single-linkage clusters of ``items`` (a written table) at each threshold.
+
+    Of tabs of at most ``most`` items all pairs are scored where the tab's items meet, and no link is written or sent but those
+    of a forest. Larger tabs find their pairs by index, and rounds over tables spread them over all tasks."""
+    sizes = items.groupBy("tab_id").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > most).select("tab_id"))
+    least = min(thresholds)
+    if not large.take(1):
+        return _small_tabs(items, thresholds)
+    small, rest = (written(items.join(large.hint("merge"), "tab_id", how)) for how in ("left_anti", "left_semi"))
+    links = written(thinned(pairs(rest, least).select("tab_id", "a_seq", "b_seq", "total")))
+    far = cuts(rest.select("tab_id", "seq", "item"), spanning_forest(links), thresholds)
+    return _small_tabs(small, thresholds).unionByName(far.select("cut", "tab_id", "item", "seq", "root"))
+
+
+def _small_tabs(items: DataFrame, thresholds: list[float]) -> DataFrame:
+    least = min(thresholds)
+    a = items.select("tab_id", "seq", "item", "f")
+    found = _pairs(a.alias("l"), a.alias("r"), T.at_most(F.col("l.f"), F.col("r.f")) >= least - 1e-9)
+    found = found.select(F.struct("l.tab_id", "l.seq", "l.item", "l.f").alias("l"), F.struct("r.tab_id", "r.seq", "r.item", "r.f").alias("r"))
+    links = thinned(scored(found, least).select("tab_id", "a_seq", "b_seq", "total"))
+    return local_cuts(items.select("tab_id", "seq", "item"), links, thresholds)
+
+
 def cluster(items: DataFrame, threshold: float = K.THRESHOLD, limit: int | None = K.MAX_CLUSTERED) -> DataFrame:
     """items with cluster_id (rank of the cluster in its tab: larger first, ties by first member) and cluster_size. Of a tab's
     items the first ``limit`` are clustered; the rest form one cluster of id -1 (unclustered)."""

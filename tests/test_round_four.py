@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from lodestone import storage
 from lodestone.operators import index
 from lodestone.operators import similarity as S
 from lodestone.plans import registry
@@ -62,3 +63,31 @@ def test_all_items_of_a_tab_are_ordered(spark):
     assert sorted(r.display for r in out) == list(range(1, 4101)) and not any(r.truncated for r in out)
     assert index.capped(items).count() == 4000
     assert "place <=" not in registry.ORACLES["ord1_display_order"]
+
+
+@pytest.mark.parametrize("most", [1200, 46])
+def test_dendrogram_keeps_a_forest_of_links(spark, monkeypatch, most):
+    """Clusters are those of all links, in small tabs and (46: one of both) by rounds; links are thinned before they are written."""
+    monkeypatch.setattr(S, "LINKS_AT_ONCE", 300)
+    df = storage.written(mixed(spark))
+    sizes = [r["count"] for r in df.groupBy("tab_id").count().collect()]
+    assert min(sizes) <= 46 < max(sizes)
+    made, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda x: made.append(x.columns) or write(x))
+    got = S.dendrogram(df, [0.45, 0.8], most)
+    assert most < 1200 or made == [["tab_id"]]
+    links = S.pairs(df, 0.0).collect()
+    want = {}
+    for r in df.collect():
+        for cut in (0.45, 0.8):
+            want[r.tab_id, cut, r.seq] = r.seq
+    for _ in df.collect():
+        for r in links:
+            for cut in (0.45, 0.8):
+                if r.total >= cut:
+                    x, y = (r.tab_id, cut, r.a_seq), (r.tab_id, cut, r.b_seq)
+                    want[x] = want[y] = min(want[x], want[y])
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.tab_id, r.cut, r.seq): r.root for r in rows} == want and all(r.item == r.seq for r in rows)
+    thin = S.thinned(S.pairs(df, 0.0).select("tab_id", "a_seq", "b_seq", "total").coalesce(1))
+    assert thin.count() == sum(sizes) - len(sizes)
